@@ -4,14 +4,30 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontaminate, exact_dedup, packing_nnls, quality_rqda, simhash_bk
+from tessera.llm import decontaminate, exact_dedup, html_crf, packing_nnls, quality_rqda, secret_scan, simhash_bk, substring_dedup, token_shards, toxicity
 from tessera.session import table
 
 
+def op1_html_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_crf.extract(table(spark, sf_dir, "pages"))
+
+
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.find_secrets(table(spark, sf_dir, "documents"))
+
+
+def op3_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxic_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_simhash_bk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_bk.near_groups(table(spark, sf_dir, "documents"))
 
 
+def op5_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_shards.shard_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rqda(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rqda.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -20,6 +36,10 @@ def op7_packing_nnls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing_nnls.pack(table(spark, sf_dir, "documents"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_words(table(spark, sf_dir, "documents"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -28,7 +48,21 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_simhash_bk, op6_quality_rqda, op7_packing_nnls, op9_decontaminate, op10_exact_dedup)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_html_crf,
+        op2_secret_scan,
+        op3_toxicity_chain,
+        op4_simhash_bk,
+        op5_token_shards,
+        op6_quality_rqda,
+        op7_packing_nnls,
+        op8_substring_dedup,
+        op9_decontaminate,
+        op10_exact_dedup,
+    )
+}
 
 ORACLE_SQL = {
     "op10_exact_dedup": """
