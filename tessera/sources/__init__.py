@@ -1 +1 @@
-"""Sources of the engine."""
+"""Sources of articles and events as DataFrames."""

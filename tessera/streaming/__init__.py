@@ -1 +1 @@
-"""Streaming of the engine."""
+"""Structured Streaming over the event log."""
