@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pyarrow as pa
 import pyarrow.compute as pc
 
@@ -9,6 +11,18 @@ import pyarrow.compute as pc
 #: bytes.split() without arguments splits at exactly these bytes.
 
 
+#: Bytes of a batch that a task turns into Python objects at a time.
+SMALL = 4 << 20
+
+
+def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about SMALL bytes, one row at least; no batch stays empty."""
+    for b in batches:
+        step = max(1, int(b.num_rows * SMALL / max(1, b.nbytes)))
+        for at in range(0, b.num_rows, step):
+            yield b.slice(at, step)
+
+
 def texts(column: pa.Array) -> list[str]:
     """The strings of a column; null counts as empty."""
     return pc.fill_null(column, "").to_pylist()

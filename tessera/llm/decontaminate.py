@@ -25,7 +25,7 @@ from functools import reduce
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tessera.llm.common import batch, texts
+from tessera.llm.common import batch, small, texts
 
 ERROR_RATE, BLOCK_CHARS = 0.05, 4_000_000
 
@@ -133,7 +133,7 @@ def contamination(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE, b
     def over(block: list[tuple[int, str]]) -> DataFrame:
         def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(block, rate)
-            for b in batches:
+            for b in small(batches):
                 out = [(d, *m) for d, t in zip(b.column(0).to_pylist(), texts(b.column(1))) for m in matcher.matches(t)]
                 c = list(zip(*out)) or [()] * 4
                 yield batch("doc_id item_id distance end_char", pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int32()), pa.array(c[3], pa.int64()))
@@ -151,7 +151,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, rate: float = ERROR_RAT
     def without(df: DataFrame, block: list[tuple[int, str]]) -> DataFrame:
         def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(block, rate)
-            for b in batches:
+            for b in small(batches):
                 yield b.filter(pa.array([not matcher.matches(t, first_only=True) for t in texts(b.column(at))], pa.bool_()))
 
         return df.mapInArrow(go, docs.schema)

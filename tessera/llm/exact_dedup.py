@@ -27,7 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tessera.llm.common import batch, utf8
+from tessera.llm.common import batch, small, utf8
 
 WINDOW = 16
 MIN_BYTES, MAX_BYTES = 512, 16384
@@ -83,7 +83,7 @@ def _distinct_chunks(docs: DataFrame, identify: Callable[[bytes], bytes]) -> Dat
     """(id, chunk), each pair once in all: repeats within a task go before the shuffle."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             found = {c for t in set(utf8(b.column(0))) for c in chunks_of(t)}
             yield batch("id chunk", pa.array(map(identify, found), pa.binary()), pa.array(found, pa.binary()))
 
@@ -98,7 +98,7 @@ def recipes(docs: DataFrame, identifiers=IDENTIFIERS) -> DataFrame:
             break
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             data = utf8(b.column(1))
             yield batch(
                 "doc_id text_sha256 recipe",

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tessera.llm.common import batch, texts
+from tessera.llm.common import batch, small, texts
 from tessera.llm.html_pages import labelled_pages
 
 TRAIN_PAGES, EPOCHS, RATE, L2 = 500, 150, 0.15, 1e-3
@@ -243,7 +243,7 @@ def extract(pages: DataFrame, field: Field | None = None) -> DataFrame:
     field = field or default_field()
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             found = [main_text(h, field) for h in texts(b.column(2))]
             yield batch("page_id url text n_chars", b.column(0), b.column(1), pa.array(found, pa.string()), pa.array(map(len, found), pa.int64()))
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from tessera.llm.common import batch, texts
+from tessera.llm.common import batch, small, texts
 from tessera.llm.encoding import default_pattern, default_vocabulary, encoder
 
 WINDOW, END_ID, BLOCK_TOKENS, FREQUENT = 2048, 1, 1 << 23, 48
@@ -155,7 +155,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, pattern: str | None = N
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path, rule)
         block = _Block(window, TaskContext.get().partitionId() << 32)
-        for b in batches:
+        for b in small(batches):
             for doc_id, text in zip(b.column(0).to_pylist(), texts(b.column(1))):
                 ids = encode(text)
                 block.add(doc_id, np.append(ids, np.uint32(end_id)))

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tessera.llm.common import batch, utf8
+from tessera.llm.common import batch, small, utf8
 from tessera.session import cut
 
 POOL, RIDGE, THRESHOLD = 0.1, 0.05, 0.3
@@ -72,7 +72,7 @@ def statistics(docs: DataFrame) -> DataFrame:
     """(doc_id, x) per row of docs."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             yield batch("doc_id x", b.column(0), pa.array([features(t) for t in utf8(b.column(1))], pa.list_(pa.float64())))
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(go, "doc_id long, x array<double>")
@@ -153,7 +153,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     at = docs.columns.index("text")
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             x = np.array([features(t) for t in utf8(b.column(at))], float).reshape(-1, N_FEATURES)
             yield b.filter(pa.array(model.score(x) >= THRESHOLD))
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from tessera.llm.common import batch, texts
+from tessera.llm.common import batch, small, texts
 
 #: The base patterns and the least length of what they must hold.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -122,7 +122,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, n_assign, n_access, n_hex, base_sha256, spans, novelty."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             c = list(zip(*map(scan, texts(b.column(1))))) or [()] * 6
             yield batch("doc_id n_assign n_access n_hex base_sha256 spans novelty", b.column(0), *[pa.array(x, pa.int64()) for x in c[:3]], *[pa.array(x, pa.string()) for x in c[3:5]], pa.array(c[5], pa.list_(pa.float64())))
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from tessera.llm.common import batch, runs, utf8
+from tessera.llm.common import batch, runs, small, utf8
 from tessera.operators.components import connected_components
 from tessera.session import cut
 
@@ -64,7 +64,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp) per row of docs; fp is the fingerprint as a signed long."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             fp = np.fromiter(map(fingerprint, utf8(b.column(1))), np.uint64, b.num_rows)
             yield batch("doc_id fp", b.column(0), pa.array(fp.view(np.int64)))
 
@@ -200,7 +200,7 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     top = named.where(F.col("least").eqNullSafe(F.col("component_id"))).groupBy("part").agg(F.min("component_id").alias("k_id"), F.min("fp").alias("k_fp"))
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             fp = np.fromiter(map(fingerprint, utf8(b.column(1))), np.uint64, b.num_rows)
             yield batch("r_id r_fp row", b.column(0), pa.array(fp.view(np.int64)), b.column(2))
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tessera.llm.common import batch, utf8
+from tessera.llm.common import batch, small, utf8
 
 WINDOW, GRAM, HOT, BLOCK = 20, 8, 512, 1 << 20
 _LEAST = -(1 << 63)
@@ -76,7 +76,7 @@ def window_hashes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, text, ...) to (h, doc_id), each anchor hash once a document, and once more if a window of it repeats there."""
-    for b in batches:
+    for b in small(batches):
         hs, ids = [], []
         for d, t in zip(b.column(0).to_pylist(), utf8(b.column(1))):
             h, w = window_hashes(t.split())
@@ -134,7 +134,7 @@ def _seeded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cols = [pa.concat_arrays([pa.array(a), pa.array(b)]) for a, b in zip(*out)]
         return batch("h salt doc_id t start n w", *cols)
 
-    for b in batches:
+    for b in small(batches):
         for d, text, t, seeds in zip(b.column(0).to_pylist(), utf8(b.column(1)), b.column(2).to_pylist(), b.column(3)):
             h, w = window_hashes(text.split())
             seed = seeds.values.flatten()
@@ -194,7 +194,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts with their repeated runs to the figures and the words that stay."""
-    for b in batches:
+    for b in small(batches):
         out = []
         for text, t, found in zip(utf8(b.column(1)), b.column(2).to_pylist(), b.column(5).to_pylist()):
             words = text.split()

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from tessera.llm.common import batch, texts
+from tessera.llm.common import batch, small, texts
 from tessera.llm.encoding import default_pattern, default_vocabulary, encoder
 from tessera.session import shared_dir
 
@@ -80,7 +80,7 @@ def _sequences(batches: Iterator[pa.RecordBatch], encode, sequence: int, end_id:
     owners: list[tuple[object, int]] = []  # doc_id and ids left of each document in held
     size = 0
 
-    for b in batches:
+    for b in small(batches):
         for d, t in zip(b.column(0).to_pylist(), texts(b.column(1))):
             ids = np.append(encode(t), np.uint32(end_id))
             held.append(ids)
@@ -120,7 +120,7 @@ def write_shards(
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path, rule)
-        n = sum(len(encode(t)) + 1 for b in batches for t in texts(b.column(1)))
+        n = sum(len(encode(t)) + 1 for b in small(batches) for t in texts(b.column(1)))
         yield batch("part n", pa.array([TaskContext.get().partitionId()]), pa.array([-(-n // sequence)]))
 
     count = {r.part: r.n for r in rows.mapInArrow(counted, "part long, n long").collect()}  # two numbers a task

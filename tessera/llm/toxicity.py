@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tessera.llm.common import batch, texts
+from tessera.llm.common import batch, small, texts
 from tessera.session import cut
 
 TRAIN_ROWS, VOCABULARY, PREFIX, FOLDS, THRESHOLD = 10_000, 2048, 5, 5, 0.5
@@ -148,7 +148,7 @@ def learn(docs: DataFrame, labels: DataFrame, seeds: dict[str, list[str]] | None
         return Chain(names, {}, [])
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             at = [(i, d) for i, d in enumerate(b.column(0).to_pylist()) if d in chosen]
             found = [sorted(features(t)) for t in texts(b.column(1).take(pa.array([i for i, _ in at], pa.int64())))]
             yield batch("doc_id y f", pa.array([d for _, d in at], pa.int64()), pa.array([chosen[d] for _, d in at], pa.int32()), pa.array(found, pa.list_(pa.string())))
@@ -189,7 +189,7 @@ def score(docs: DataFrame, chain: Chain) -> DataFrame:
     """One row per row of docs: doc_id, p_<category> for each category, toxic (0 or 1)."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             p = chain.predict(chain.rows(texts(b.column(1))))
             yield batch(" ".join(["doc_id", *(f"p_{n}" for n in chain.names), "toxic"]), b.column(0), *[pa.array(p[:, k]) for k in range(p.shape[1])], pa.array((p[:, -1] >= THRESHOLD).astype(np.int32)))
 
