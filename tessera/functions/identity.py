@@ -189,8 +189,7 @@ def is_anonymous(c: Column | str) -> Column:
 
 def cites(body: Column, tokens: Column) -> Column:
     """Whether a body attributes what it says to a source with these significant tokens."""
-    low = F.lower(_text(body))
-    return _any_of(low, CASCADE_MARKERS) & F.exists(tokens, lambda t: low.contains(t))
+    return F.transform(F.array(F.lower(_text(body))), lambda low: _any_of(low, CASCADE_MARKERS) & F.exists(tokens, lambda t: low.contains(t)))[0]
 
 
 def attribution_weight(body: Column, source: Column) -> Column:

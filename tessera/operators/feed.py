@@ -6,7 +6,7 @@ from collections import Counter
 from math import ceil
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tessera.functions import scoring as S
 from tessera.functions.identity import language_country, source_country
@@ -110,7 +110,7 @@ def diversified(stories: DataFrame, by: str | None = None, country_cap: float =
                 u[v] += 1
         return left.assign(feed_rank=rank)
 
-    schema = stories.schema.add("feed_rank", "int")
+    schema = T.StructType([*stories.schema.fields, T.StructField("feed_rank", T.IntegerType())])
     return stories.groupBy(*([by] if by else [])).applyInPandas(order, schema)
 
 

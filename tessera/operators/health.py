@@ -15,7 +15,7 @@ def stage_health(events: DataFrame, now: Column, stages: dict[str, str] | None =
     """Count, newest event and freshness of each stage; stages without events stay."""
     table = events.sparkSession.createDataFrame([(i, k, v) for i, (k, v) in enumerate((stages or STAGES).items())], "pos int, stage string, type string")
     e = events.groupBy("type").agg(F.count("*").alias("n"), F.max("created_at").alias("last_seen"))
-    age = F.greatest(F.lit(0), F.unix_timestamp(now) - F.unix_timestamp("last_seen"))
+    age = F.when(F.col("last_seen").isNotNull(), F.greatest(F.lit(0), F.unix_timestamp(now) - F.unix_timestamp("last_seen")))
     return F.broadcast(table).join(e, "type", "left").select("pos", "stage", "type", F.coalesce("n", F.lit(0)).alias("n"), "last_seen", age.alias("age_s"), freshness(age).alias("freshness")).orderBy("pos")
 
 
