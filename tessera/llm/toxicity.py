@@ -10,8 +10,9 @@ so the earlier categories are weak: a row has one if it is labelled toxic and
 holds one of the category's seed words (a parameter).
 
 Features are the presence of lower-case words and of their first PREFIX
-letters. They are screened on Spark by log-likelihood ratio against `toxic`,
-and the best VOCABULARY of them stay. Models are fitted on at most TRAIN_ROWS
+letters. They are screened on Spark by log-likelihood ratio against `toxic`
+(MIN_GAIN at least, so that chance alone brings in next to none), and the best
+VOCABULARY of them stay. Models are fitted on at most TRAIN_ROWS
 labelled rows per label value, those of least xxhash64(doc_id); every text of
 the table is scored whole.
 
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame, functions as F
 from tessera.llm.common import batch, small, texts
 from tessera.session import cut
 
-TRAIN_ROWS, VOCABULARY, PREFIX, FOLDS, THRESHOLD = 10_000, 2048, 5, 5, 0.5
+TRAIN_ROWS, VOCABULARY, PREFIX, FOLDS, THRESHOLD, MIN_GAIN = 10_000, 2048, 5, 5, 0.35, 7.5
 #: Seed words of the weak categories, in the order of the chain.
 SEEDS = {
     "insult": "idiot moron stupid dumb loser clown fool jerk".split(),
@@ -161,7 +162,7 @@ def learn(docs: DataFrame, labels: DataFrame, seeds: dict[str, list[str]] | None
     share = (F.col("a") + F.col("b")) / (total.a + total.b)
     part = lambda n, of: F.when(n > 0, n * F.log(n / (of * share))).otherwise(0.0)
     gain = F.round(part(F.col("a"), F.lit(total.a)) + part(F.col("b"), F.lit(total.b)), 6)
-    best = count.where(F.col("a") / total.a > F.col("b") / total.b).orderBy(gain.desc(), "w").limit(VOCABULARY).collect()
+    best = count.where((F.col("a") / total.a > F.col("b") / total.b) & (gain >= MIN_GAIN)).orderBy(gain.desc(), "w").limit(VOCABULARY).collect()
     vocabulary = {r.w: k for k, r in enumerate(best)}
     of_seed = {w: k for k, ws in enumerate(seeds.values()) for w in ws}
     wanted = sorted({*vocabulary, *of_seed})
