@@ -222,7 +222,8 @@ def _leading(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     narrow = rows.select("doc_id", "s1", "s2")
     leads = narrow.groupBy("s1", "s2").agg(F.min("doc_id").alias("lead"))
     same = leads.select(F.col("lead").alias("doc_id"), F.col("s1").alias("l1"), F.col("s2").alias("l2"))
-    base = rows.join(same.hint("shuffle_hash"), "doc_id").where("s1 = l1 and s2 = l2")
+    # told by exclusive or, so that it is no join key: texts are dealt out by doc_id alone, as all joins below need them
+    base = rows.join(same.hint("shuffle_hash"), "doc_id").where((F.col("s1").bitwiseXOR(F.col("l1"))).bitwiseOR(F.col("s2").bitwiseXOR(F.col("l2"))) == 0)
     base = base.select("doc_id", "text", F.col("s1").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("t"), "s1", "s2")
     anchors = base.select("doc_id", "text", "t", "s1", "s2").mapInArrow(_anchors, "h long, doc_id long")
     often = anchors.groupBy("h").agg(F.count("*").alias("n"))
