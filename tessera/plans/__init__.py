@@ -1,6 +1,6 @@
 """Plans: the engine's queries, each over whole tables, with their SQL equivalents."""
 
-from tessera.plans import log_queries, score_queries, text_queries  # noqa: F401
+from tessera.plans import log_queries, score_queries, story_queries, text_queries  # noqa: F401
 from tessera.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
