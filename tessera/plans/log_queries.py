@@ -6,12 +6,11 @@ from pyspark.sql import Window, functions as F
 
 from tessera.operators import folds, log as L
 from tessera.plans.registry import query
-from tessera.plans.stand_ins import SQL_EVENTS, events, k_of, log
+from tessera.plans.stand_ins import SQL_EVENTS, events, k_of, log, k
 from tessera.session import table
 
 ARTICLE = {"view": "article.ingested", "click": "article.ingested"}
 CLUSTER = {"view": "cluster.corroborated", "purchase": "cluster.corroborated", "click": "cluster.grounded", "signup": "cluster.removed"}
-K = F.col("k")
 
 
 @query(f"""SELECT event_type, count(*) AS n, CAST(sum(k) AS BIGINT) AS sum_k FROM (SELECT user_id, event_type, k FROM {SQL_EVENTS}
@@ -37,7 +36,7 @@ def n9_append_once_per_key(spark, sf):
 
 @query("""SELECT count(*) FILTER (WHERE k % 10 <> 0) AS good, count(*) FILTER (WHERE k % 10 = 0) AS dead FROM """ + SQL_EVENTS)
 def n10_quarantine_unreadable(spark, sf):
-    e = events(spark, sf).select("event_id", F.when(K % 10 == 0, F.concat(F.lit("{broken "), "props")).otherwise(F.col("props")).alias("data"))
+    e = events(spark, sf).select("event_id", F.when(k() % 10 == 0, F.concat(F.lit("{broken "), "props")).otherwise(F.col("props")).alias("data"))
     good, dead = L.quarantine(e, "k int")
     return good.agg(F.count("*").alias("good")).crossJoin(dead.agg(F.count("*").alias("dead")))
 
@@ -46,7 +45,7 @@ def n10_quarantine_unreadable(spark, sf):
     CAST(min(ts) AS DATE) AS day FROM {SQL_EVENTS} WHERE event_type IN ('view', 'click') GROUP BY user_id""")
 def k1_article_upsert(spark, sf):
     s = lambda p, c: F.concat(F.lit(p), c.cast("string"))
-    rows = log(spark, sf, ARTICLE, {"title": s("t", K), "source": s("s", K % 20), "url": s("u", K), "body": s("b", K % 9), "language": F.lit("en")})
+    rows = log(spark, sf, ARTICLE, {"title": s("t", k()), "source": s("s", k() % 20), "url": s("u", k()), "body": s("b", k() % 9), "language": F.lit("en")})
     return folds.articles(rows).select("id", "title", "source", "body", F.to_date("ingested_at").alias("day"))
 
 
@@ -55,7 +54,7 @@ def k1_article_upsert(spark, sf):
     QUALIFY row_number() OVER (PARTITION BY claim_id ORDER BY event_id, pos) = 1""")
 def k2_claims_first_wins(spark, sf):
     one = lambda n: F.struct(F.concat(F.lit("c"), (n % 400).cast("string")).alias("id"), F.col("event_type").alias("voice"))
-    rows = log(spark, sf, {"view": "claims.extracted", "click": "claims.extracted"}, {"claims": F.array(one(K * 7), one(K * 7 + F.col("user_id")))})
+    rows = log(spark, sf, {"view": "claims.extracted", "click": "claims.extracted"}, {"claims": F.array(one(k() * 7), one(k() * 7 + F.col("user_id")))})
     return folds.extracted_claims(rows).select("claim_id", "article_id", "voice")
 
 
@@ -67,7 +66,7 @@ def k2_claims_first_wins(spark, sf):
     SELECT c AS claim_id, coalesce(kind_fix, sorted.kind) AS kind, f IS NOT NULL AS corrected, odd.c IS NOT NULL AS disputed FROM born LEFT JOIN fixed USING (c) LEFT JOIN sorted USING (c) LEFT JOIN odd USING (c)""")
 def k3_claims_classified_corrected_disputed(spark, sf):
     kinds = {"view": "claims.extracted", "click": "claims.classified", "error": "admin.classification.corrected", "purchase": "claim.disputed"}
-    c, kind = F.concat(F.lit("c"), K.cast("string")), (F.col("user_id") % 3).cast("string")
+    c, kind = F.concat(F.lit("c"), k().cast("string")), (F.col("user_id") % 3).cast("string")
     fix = F.when(F.col("event_type") == "error", F.when(kind != "0", F.concat(F.lit("fix"), kind)))
     item = F.struct(c.alias("id"), F.when(F.col("event_type") == "click", F.concat(F.lit("kind"), kind)).alias("kind"))
     rows = log(spark, sf, kinds, {"claims": F.array(item), "target": c, "claim_id": c, "kind": fix})
@@ -81,20 +80,20 @@ def k3_claims_classified_corrected_disputed(spark, sf):
     arg_max('g' || k % 3, id) FILTER (WHERE t = 'judged') AS grounding FROM born GROUP BY s""")
 def k4_clusters_with_grounding_and_removal(spark, sf):
     judged = F.col("event_type") == "click"
-    rows = log(spark, sf, CLUSTER, {"independent_originators": F.when(~judged, K % 6), "confidence": K / 100.0, "grounding": F.when(judged, F.concat(F.lit("g"), (K % 3).cast("string")))})
+    rows = log(spark, sf, CLUSTER, {"independent_originators": F.when(~judged, k() % 6), "confidence": k() / 100.0, "grounding": F.when(judged, F.concat(F.lit("g"), (k() % 3).cast("string")))})
     return folds.clusters(rows).select("id", "independent_originators", "confidence", "grounding")
 
 
 @query(f"""SELECT CAST(user_id AS VARCHAR) AS cluster_id, CAST(ts AS DATE) AS snapshot_day, k / 100.0::DOUBLE AS confidence FROM {SQL_EVENTS} QUALIFY row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY event_id DESC) = 1""")
 def k5_daily_snapshots_last_write(spark, sf):
-    rows = log(spark, sf, dict.fromkeys(("view", "click", "error", "purchase", "signup"), "cluster.snapshot"), {"confidence": K / 100.0})
+    rows = log(spark, sf, dict.fromkeys(("view", "click", "error", "purchase", "signup"), "cluster.snapshot"), {"confidence": k() / 100.0})
     return folds.cluster_snapshots(rows).select("cluster_id", "snapshot_day", "confidence")
 
 
 @query(f"""SELECT 'c' || least(k, user_id) AS claim_a, 'c' || greatest(k, user_id) AS claim_b, event_type AS relation, arg_max(CAST(value AS DOUBLE), event_id) AS score FROM {SQL_EVENTS} GROUP BY 1, 2, 3""")
 def k7_relations_last_score(spark, sf):
     c = lambda x: F.concat(F.lit("c"), x.cast("string"))
-    rows = log(spark, sf, dict.fromkeys(("view", "click", "error", "purchase", "signup"), "claim.related"), {"claim_a": c(F.least(K, F.col("user_id"))), "claim_b": c(F.greatest(K, F.col("user_id"))), "relation": F.col("event_type"), "score": F.col("value")})
+    rows = log(spark, sf, dict.fromkeys(("view", "click", "error", "purchase", "signup"), "claim.related"), {"claim_a": c(F.least(k(), F.col("user_id"))), "claim_b": c(F.greatest(k(), F.col("user_id"))), "relation": F.col("event_type"), "score": F.col("value")})
     return folds.claim_relations(rows)
 
 
@@ -102,8 +101,8 @@ def k7_relations_last_score(spark, sf):
     SELECT 'n' || k AS node_id, arg_max('h' || t, id) AS headline, arg_min(v, id) AS first_seen, arg_max(v, id) AS last_updated, CAST(count(*) AS BIGINT) AS n FROM e, r WHERE (t IN ('view', 'click') OR (t = 'error' AND k < 2)) AND (start IS NULL OR id >= start) GROUP BY k""")
 def k10_story_graph_since_reset(spark, sf):
     kinds = {"view": "story.graph.delta", "click": "story.graph.delta", "error": "story.graph.delta"}
-    node = F.struct(F.concat(F.lit("n"), K.cast("string")).alias("id"), F.concat(F.lit("h"), "event_type").alias("headline"), F.col("value").alias("first_seen"), F.col("value").alias("last_updated"))
-    rows = log(spark, sf, kinds, {"reset": F.col("event_type") == "error", "nodes": F.array(node), "k": K}).where("type <> '' and not (get_json_object(data, '$.reset') = 'true' and cast(get_json_object(data, '$.k') as int) >= 2)")
+    node = F.struct(F.concat(F.lit("n"), k().cast("string")).alias("id"), F.concat(F.lit("h"), "event_type").alias("headline"), F.col("value").alias("first_seen"), F.col("value").alias("last_updated"))
+    rows = log(spark, sf, kinds, {"reset": F.col("event_type") == "error", "nodes": F.array(node), "k": k()}).where("type <> '' and not (get_json_object(data, '$.reset') = 'true' and cast(get_json_object(data, '$.k') as int) >= 2)")
     g = folds.story_graph_tables(rows)["nodes"]
     n = rows.withColumn("start", F.max(F.when(F.get_json_object("data", "$.reset") == "true", F.col("id"))).over(Window.partitionBy("tenant_id"))).where("start is null or id >= start").groupBy(F.concat(F.lit("n"), F.get_json_object("data", "$.k")).alias("node_id")).agg(F.count("*").alias("n"))
     return g.join(n, "node_id").select("node_id", "headline", "first_seen", "last_updated", "n")
@@ -111,7 +110,7 @@ def k10_story_graph_since_reset(spark, sf):
 
 @query(f"""SELECT 'p' || k % 25 AS key, CAST(row_number() OVER (PARTITION BY k % 25 ORDER BY event_id) AS INTEGER) AS version, 't' || event_id AS text, lead(event_id) OVER (PARTITION BY k % 25 ORDER BY event_id) IS NULL AS active FROM {SQL_EVENTS} WHERE event_type = 'click'""")
 def k14_prompt_versions(spark, sf):
-    rows = log(spark, sf, {"click": "admin.prompt.updated"}, {"target": F.concat(F.lit("p"), (K % 25).cast("string")), "text": F.concat(F.lit("t"), F.col("event_id").cast("string"))})
+    rows = log(spark, sf, {"click": "admin.prompt.updated"}, {"target": F.concat(F.lit("p"), (k() % 25).cast("string")), "text": F.concat(F.lit("t"), F.col("event_id").cast("string"))})
     return folds.prompts(rows).select("key", "version", "text", "active")
 
 
@@ -123,31 +122,33 @@ def k15_funnel_kinds(spark, sf):
 
 @query(f"""SELECT 'u' || user_id || '@example.com' AS email, count(*) AS hits, bool_or(k % 10 = 0) AS beta, arg_min('p' || k % 4, event_id) AS platform, CAST(min(ts) AS DATE) AS first_day, CAST(max(ts) AS DATE) AS last_day FROM {SQL_EVENTS} WHERE event_type = 'signup' GROUP BY user_id""")
 def k16_signups_by_email(spark, sf):
-    rows = log(spark, sf, {"signup": "acquisition.notify_requested"}, {"email": F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("@example.com")), "beta": K % 10 == 0, "platform": F.concat(F.lit("p"), (K % 4).cast("string"))})
+    rows = log(spark, sf, {"signup": "acquisition.notify_requested"}, {"email": F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("@example.com")), "beta": k() % 10 == 0, "platform": F.concat(F.lit("p"), (k() % 4).cast("string"))})
     return folds.acquisition_signups(rows).select("email", "hits", "beta", "platform", F.to_date("first_seen").alias("first_day"), F.to_date("last_seen").alias("last_day"))
 
 
-FLAGS = {"target": F.concat(F.lit("src"), (K % 30).cast("string")), "status": F.when(K % 3 == 0, "allow").when(K % 3 == 1, "deny").otherwise("watch")}
+def _flags():
+    return {"target": F.concat(F.lit("src"), (k() % 30).cast("string")), "status": F.when(k() % 3 == 0, "allow").when(k() % 3 == 1, "deny").otherwise("watch")}
 SQL_FLAGS = f"""(SELECT 'src' || k % 30 AS source, arg_max(CASE k % 3 WHEN 0 THEN 'allow' ELSE 'deny' END, event_id) AS status FROM {SQL_EVENTS} WHERE event_type = 'error' AND k % 3 < 2 GROUP BY 1)"""
 
 
 @query(f"SELECT source, status FROM {SQL_FLAGS}")
 def r1_source_flags(spark, sf):
-    return folds.source_flags(log(spark, sf, {"error": "admin.source.flagged"}, FLAGS))
+    return folds.source_flags(log(spark, sf, {"error": "admin.source.flagged"}, _flags()))
 
 
 @query(f"SELECT source FROM {SQL_FLAGS} WHERE status = 'deny'")
 def r2_denied_sources(spark, sf):
-    return folds.denied_sources(log(spark, sf, {"error": "admin.source.flagged"}, FLAGS))
+    return folds.denied_sources(log(spark, sf, {"error": "admin.source.flagged"}, _flags()))
 
 
-REGISTRY = {"source": F.concat(F.lit("src"), (F.col("user_id") % 40).cast("string")), "status": F.when(K % 4 == 0, "registered").when(K % 4 == 1, "active").when(K % 4 == 2, "scored").otherwise(""), "country": F.when(K % 5 == 0, "FR").otherwise(""), "at": F.when(K % 2 == 0, F.concat(F.lit("d"), K.cast("string"))).otherwise("")}
+def _registry_fields():
+    return {"source": F.concat(F.lit("src"), (F.col("user_id") % 40).cast("string")), "status": F.when(k() % 4 == 0, "registered").when(k() % 4 == 1, "active").when(k() % 4 == 2, "scored").otherwise(""), "country": F.when(k() % 5 == 0, "FR").otherwise(""), "at": F.when(k() % 2 == 0, F.concat(F.lit("d"), k().cast("string"))).otherwise("")}
 SQL_REGISTRY = f"""(SELECT 'src' || user_id % 40 AS source, arg_max(CASE k % 4 WHEN 0 THEN 'registered' WHEN 1 THEN 'active' ELSE 'scored' END, event_id) FILTER (WHERE k % 4 < 3) AS status,
     arg_max('FR', event_id) FILTER (WHERE k % 5 = 0) AS country, arg_min('d' || k, event_id) FILTER (WHERE k % 2 = 0) AS first_at FROM {SQL_EVENTS} WHERE event_type = 'view' GROUP BY 1)"""
 
 
 def _registry(spark, sf):
-    return folds.source_registry(log(spark, sf, {"view": "source.recorded"}, REGISTRY))
+    return folds.source_registry(log(spark, sf, {"view": "source.recorded"}, _registry_fields()))
 
 
 @query(f"SELECT * FROM {SQL_REGISTRY}")
@@ -174,13 +175,13 @@ def r6_registry_plan(spark, sf):
 
 @query(f"""SELECT 'knob' || k % 6 AS knob, arg_max(CAST(value AS DOUBLE), event_id) AS value FROM {SQL_EVENTS} WHERE event_type = 'purchase' AND k % 6 < 4 AND k % 7 <> 0 GROUP BY 1""")
 def r7_active_config(spark, sf):
-    rows = log(spark, sf, {"purchase": "admin.threshold.promoted"}, {"key": F.concat(F.lit("knob"), (K % 6).cast("string")), "value": F.when(K % 7 == 0, "high").otherwise(F.col("value").cast("string"))})
+    rows = log(spark, sf, {"purchase": "admin.threshold.promoted"}, {"key": F.concat(F.lit("knob"), (k() % 6).cast("string")), "value": F.when(k() % 7 == 0, "high").otherwise(F.col("value").cast("string"))})
     return folds.active_config(rows, [f"knob{i}" for i in range(4)])
 
 
 @query(f"SELECT 'clock' || k % 3 AS clock, arg_max(k % 2 = 0, event_id) AS paused FROM {SQL_EVENTS} WHERE event_type = 'error' GROUP BY 1")
 def r9_paused_clocks(spark, sf):
-    return folds.paused_clocks(log(spark, sf, {"error": "admin.clock.set"}, {"clock": F.concat(F.lit("clock"), (K % 3).cast("string")), "paused": K % 2 == 0}))
+    return folds.paused_clocks(log(spark, sf, {"error": "admin.clock.set"}, {"clock": F.concat(F.lit("clock"), (k() % 3).cast("string")), "paused": k() % 2 == 0}))
 
 
 @query(f"""WITH RECURSIVE e AS (SELECT DISTINCT 's' || user_id AS s, 'q' || user_id // 3 AS q FROM events UNION SELECT DISTINCT 's' || user_id, 'q' || (user_id // 3 + 1) FROM events WHERE user_id % 30 = 29),
@@ -200,14 +201,14 @@ def r10_ownership_groups(spark, sf):
 @query(f"""SELECT CAST(user_id AS VARCHAR) AS cluster_id, 'c' || k AS comment_id, arg_max(event_type, event_id) = 'click' AS live, min(event_id) FILTER (WHERE event_type = 'click') AS pos, arg_max('b' || event_id, event_id) FILTER (WHERE event_type = 'click') AS body
     FROM {SQL_EVENTS} WHERE event_type IN ('click', 'error') GROUP BY user_id, k HAVING arg_max(event_type, event_id) = 'click'""")
 def r12_comment_threads(spark, sf):
-    rows = log(spark, sf, {"click": "comment.added", "error": "comment.deleted"}, {"comment_id": F.concat(F.lit("c"), K.cast("string")), "cluster_id": F.col("user_id").cast("string"), "user_id": F.lit("u"), "body": F.concat(F.lit("b"), F.col("event_id").cast("string"))})
+    rows = log(spark, sf, {"click": "comment.added", "error": "comment.deleted"}, {"comment_id": F.concat(F.lit("c"), k().cast("string")), "cluster_id": F.col("user_id").cast("string"), "user_id": F.lit("u"), "body": F.concat(F.lit("b"), F.col("event_id").cast("string"))})
     return folds.comment_thread(rows).select("cluster_id", "comment_id", F.lit(True).alias("live"), "pos", "body")
 
 
 @query(f"""SELECT user_id, cluster_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY newest DESC) AS INTEGER) AS nth FROM (SELECT CAST(user_id AS VARCHAR) AS user_id, 'c' || k AS cluster_id, max(event_id) AS newest FROM {SQL_EVENTS}
     WHERE event_type IN ('view', 'error') GROUP BY user_id, k HAVING arg_max(event_type, event_id) = 'view')""")
 def r13_user_pins(spark, sf):
-    rows = log(spark, sf, {"view": "story.pinned", "error": "story.unpinned"}, {"user_id": F.col("user_id").cast("string"), "cluster_id": F.concat(F.lit("c"), K.cast("string"))})
+    rows = log(spark, sf, {"view": "story.pinned", "error": "story.unpinned"}, {"user_id": F.col("user_id").cast("string"), "cluster_id": F.concat(F.lit("c"), k().cast("string"))})
     return folds.user_pins(rows).select("user_id", "cluster_id", "nth")
 
 
@@ -216,7 +217,7 @@ FEEDBACK = {"signup": "feedback.submitted", "click": "feedback.triaged"}
 
 def _feedback(spark, sf):
     item = F.concat(F.lit("i"), F.when(F.col("event_type") == "signup", F.col("event_id")).otherwise(F.col("event_id") - 1).cast("string"))
-    return log(spark, sf, FEEDBACK, {"item_id": item, "text": F.concat(F.lit("t"), K.cast("string")), "route": F.when(K % 2 == 0, "review").otherwise("auto-fix"), "category": F.lit("bug")})
+    return log(spark, sf, FEEDBACK, {"item_id": item, "text": F.concat(F.lit("t"), k().cast("string")), "route": F.when(k() % 2 == 0, "review").otherwise("auto-fix"), "category": F.lit("bug")})
 
 
 @query(f"""WITH s AS (SELECT 'i' || event_id AS item_id, 't' || k AS text FROM {SQL_EVENTS} WHERE event_type = 'signup'), t AS (SELECT 'i' || (event_id - 1) AS item_id, CASE WHEN k % 2 = 0 THEN 'review' ELSE 'auto-fix' END AS route FROM {SQL_EVENTS} WHERE event_type = 'click')
@@ -233,7 +234,7 @@ def r17_untriaged_feedback(spark, sf):
 @query(f"""SELECT 'i' || user_id AS item_id, arg_max('s' || k % 3, event_id) AS status, arg_max('d' || k % 17, event_id) AS dedup_key, (SELECT arg_min('r' || y.event_id, y.event_id) FROM {SQL_EVENTS} y WHERE y.event_type = 'purchase' AND y.k % 17 = arg_max(x.k, x.event_id) % 17) AS first_issue
     FROM {SQL_EVENTS} x WHERE event_type = 'purchase' GROUP BY user_id""")
 def r16_issue_links(spark, sf):
-    rows = log(spark, sf, {"purchase": "feedback.linked"}, {"item_id": F.concat(F.lit("i"), F.col("user_id").cast("string")), "issue_ref": F.concat(F.lit("r"), F.col("event_id").cast("string")), "dedup_key": F.concat(F.lit("d"), (K % 17).cast("string")), "status": F.concat(F.lit("s"), (K % 3).cast("string"))})
+    rows = log(spark, sf, {"purchase": "feedback.linked"}, {"item_id": F.concat(F.lit("i"), F.col("user_id").cast("string")), "issue_ref": F.concat(F.lit("r"), F.col("event_id").cast("string")), "dedup_key": F.concat(F.lit("d"), (k() % 17).cast("string")), "status": F.concat(F.lit("s"), (k() % 3).cast("string"))})
     return folds.issue_links(rows).select("item_id", "status", "dedup_key", "first_issue")
 
 
@@ -261,7 +262,7 @@ def q1_a26_table_sizes(spark, sf):
 
 @query(f"""SELECT coalesce(nullif('r' || CASE WHEN k % 5 = 0 THEN '' ELSE CAST(k % 15 AS VARCHAR) END, 'r'), 'direct') AS referrer, count(*) AS n FROM {SQL_EVENTS} WHERE event_type = 'click' GROUP BY 1 ORDER BY n DESC, referrer LIMIT 10""")
 def q8_clicks_by_referrer(spark, sf):
-    ref = F.when(K % 5 == 0, "").otherwise(F.concat(F.lit("r"), (K % 15).cast("string")))
+    ref = F.when(k() % 5 == 0, "").otherwise(F.concat(F.lit("r"), (k() % 15).cast("string")))
     rows = log(spark, sf, {"click": "acquisition.clicked"}, {"referrer": ref})
     s = folds.acquisition_signals(rows).groupBy(F.coalesce(F.nullif("referrer", F.lit("")), F.lit("direct")).alias("referrer")).agg(F.count("*").alias("n"))
     return s.orderBy(F.desc("n"), "referrer").limit(10)
@@ -302,7 +303,7 @@ def q19_data_version(spark, sf):
 def a24_stage_health(spark, sf):
     from tessera.operators.health import stage_health
 
-    rows = log(spark, sf, {"view": "article.ingested", "click": "claims.extracted", "purchase": "claims.classified", "signup": "cluster.corroborated"}, {"k": K})
+    rows = log(spark, sf, {"view": "article.ingested", "click": "claims.extracted", "purchase": "claims.classified", "signup": "cluster.corroborated"}, {"k": k()})
     stages = {"acquire": "article.ingested", "extract": "claims.extracted", "classify": "claims.classified", "cluster": "cluster.corroborated", "review": "review.done"}
     return stage_health(rows, F.to_timestamp(F.lit("2024-01-31 00:00:00")), stages).select("stage", F.col("n").cast("long").alias("n"), "freshness")
 
@@ -319,7 +320,7 @@ def a25_dead_letters(spark, sf):
 def a33_dead_by_stage(spark, sf):
     from tessera.operators.health import dead_by_stage
 
-    return dead_by_stage(events(spark, sf).where("event_type = 'error'").withColumn("stage", F.when(K % 4 > 0, F.concat(F.lit("stage"), (K % 4).cast("string")))))
+    return dead_by_stage(events(spark, sf).where("event_type = 'error'").withColumn("stage", F.when(k() % 4 > 0, F.concat(F.lit("stage"), (k() % 4).cast("string")))))
 
 
 @query("""SELECT user_id, count(*) AS n, count(*) >= 20 AS suspicious FROM events WHERE event_type = 'signup' GROUP BY 1""")

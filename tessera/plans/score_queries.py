@@ -8,15 +8,13 @@ from tessera.functions import scoring as S
 from tessera.functions.identity import is_primary_source
 from tessera.operators import diversity as D, feed, graph as G, health, history as H, steering
 from tessera.plans.registry import query
-from tessera.plans.stand_ins import LEVELS, SQL_EVENTS, SQL_FACTS, SQL_HISTORY, SQL_LEVEL, articles, events, history, level, sql_read
+from tessera.plans.stand_ins import LEVELS, SQL_EVENTS, SQL_FACTS, SQL_HISTORY, SQL_LEVEL, articles, events, history, level, sql_read, k
 from tessera.session import table
 
-K = F.col("k")
-
 
 @query(f"""SELECT event_id, {sql_read('k % 6', 'k % 7 = 0', "CASE extremity WHEN 'routine' THEN 0.35 WHEN 'ordinary' THEN 0.45 WHEN 'notable' THEN 0.55 WHEN 'significant' THEN 0.66 ELSE 0.76 END::DOUBLE")} AS confidence FROM (SELECT *, {SQL_LEVEL} AS extremity FROM {SQL_EVENTS})""")
 def m1_confidence_read(spark, sf):
-    return events(spark, sf).select("event_id", S.confidence_read(K % 6, K % 7 == 0, level(K)).alias("confidence"))
+    return events(spark, sf).select("event_id", S.confidence_read(k() % 6, k() % 7 == 0, level(k())).alias("confidence"))
 
 
 @query("""SELECT c_custkey, CASE WHEN c >= 0.85 THEN 'Well corroborated' WHEN c >= 0.6 THEN 'Corroborated' WHEN n <= 1 THEN 'Single source' ELSE 'Thinly corroborated' END AS label,
@@ -100,7 +98,7 @@ def a3_w6_reputation_series(spark, sf):
 @query(f"""WITH s AS (SELECT source, appearances, CASE WHEN coalesce(solo_extraordinary / CAST(nullif(independent_appearances, 0) AS DOUBLE), 0) > 0.25 THEN 0.6 ELSE 1 END * CASE WHEN confirmation_rate >= 0.7 AND independent_rate >= 0.6 THEN 1.2 ELSE 1 END *
       (0.5 * CASE WHEN appearances < 5 THEN 0.5 ELSE coalesce(confirmation_rate, 0.35) END + 0.35 * CASE WHEN appearances < 5 THEN 0.5 ELSE independent_rate END + 0.15 * mean_attribution_weight) AS score FROM {SQL_RATED}),
     b AS (SELECT *, greatest(0.02, least(0.3, score)) AS w FROM s), t AS (SELECT sum(w) AS total FROM b)
-    SELECT source, round(w * CASE WHEN total > 1 THEN 1 / total ELSE 1 END, 3) AS weight, appearances < 5 AS low_evidence FROM b, t""")
+    SELECT source, round(round(w * CASE WHEN total > 1 THEN 1 / total ELSE 1 END, 4), 3) AS weight, appearances < 5 AS low_evidence FROM b, t""")
 def t14_m10_m12_preferences(spark, sf):
     return H.preferences(H.reputation(history(spark, sf))).select("source", F.round("weight", 3).alias("weight"), "low_evidence")
 
@@ -146,7 +144,7 @@ def a13_correction_weights(spark, sf):
 
 
 @query(f"""WITH s AS (SELECT lang, country, count(*) AS n FROM {SQL_ART} GROUP BY 1, 2), t AS (SELECT CAST(sum(n) AS DOUBLE) AS total, CAST(count(*) AS DOUBLE) AS k FROM s)
-    SELECT count(*) AS strata, round(sum(-round(n / total, 6) * log2(round(n / total, 6))), 4) AS entropy_raw, round(sum((1 / k) * log2(k)), 4) AS entropy_corrected, round(power(sum(total / k), 2) / sum(total * total / (k * k * n)), 3) AS effective_n FROM s, t""")
+    SELECT count(*) AS strata, round(round(sum(-round(n / total, 6) * log2(round(n / total, 6))), 6), 4) AS entropy_raw, round(round(sum((1 / k) * log2(k)), 6), 4) AS entropy_corrected, round(round(power(sum(total / k), 2) / sum(total * total / (k * k * n)), 4), 3) AS effective_n FROM s, t""")
 def a14_a15_bias_summary(spark, sf):
     b = D.bias_summary(_art(spark, sf))
     return b.select("strata", F.round("entropy_raw", 4).alias("entropy_raw"), F.round("entropy_corrected", 4).alias("entropy_corrected"), F.round("effective_n", 3).alias("effective_n"))
@@ -169,9 +167,9 @@ def a17_language_share(spark, sf):
 
 @query(f"""WITH c AS (SELECT country, count(*) AS n FROM {SQL_ART} WHERE country IS NOT NULL GROUP BY 1), s AS (SELECT country, n, round(n / CAST(sum(n) OVER () AS DOUBLE), 4) AS share FROM c), l AS (SELECT count(*) AS languages, max(share) AS top FROM (SELECT round(count(*) / CAST((SELECT count(*) FROM documents) AS DOUBLE), 4) AS share FROM documents GROUP BY lang)),
     g AS (SELECT round(sum(CASE WHEN country IN ('US', 'GB') THEN n ELSE 0 END) / CAST(sum(n) AS DOUBLE), 4) AS anglo_share, round(sum(share * share), 4) AS hhi, count(*) AS countries FROM s)
-    SELECT anglo_share, hhi, countries, languages, round((CASE WHEN anglo_share <= 0.4 THEN 1 ELSE 1 - (anglo_share - 0.4) / 0.6 END + CASE WHEN hhi <= 0.25 THEN 1 ELSE 1 - (hhi - 0.25) / 0.75 END + least(1, countries / 10.0) + least(1, languages / 5.0) + CASE WHEN top <= 0.6 THEN 1 ELSE 1 - (top - 0.6) / 0.4 END)::DOUBLE / 5, 3) AS overall FROM g, l""")
+    SELECT anglo_share, hhi, countries, languages, round((CASE WHEN anglo_share <= 0.4 THEN 1 ELSE 1 - (anglo_share - 0.4) / 0.6 END + CASE WHEN hhi <= 0.25 THEN 1 ELSE 1 - (hhi - 0.25) / 0.75 END + least(1, countries / 10.0) + least(1, languages / 5.0) + CASE WHEN top <= 0.6 THEN 1 ELSE 1 - (top - 0.6) / 0.4 END)::DOUBLE / 5, 4) AS overall FROM g, l""")
 def a18_a21_diversity_score(spark, sf):
-    return D.diversity_score(_art(spark, sf)).select("anglo_share", "hhi", "countries", "languages", F.round("overall", 3).alias("overall"))
+    return D.diversity_score(_art(spark, sf)).select("anglo_share", "hhi", "countries", "languages", "overall")
 
 
 @query(f"SELECT round(avg(CASE WHEN country IN ('US', 'GB', 'CA', 'AU') THEN 1.0 ELSE 0 END::DOUBLE), 6) AS share FROM {SQL_ART}")
@@ -186,7 +184,7 @@ def a23_region_counts(spark, sf):
 
 @query(f"""SELECT count(*) AS n, round(avg(c), 4) AS mean_confidence, count(*) FILTER (WHERE c >= 0.85) AS high, count(*) FILTER (WHERE c >= 0.7 AND c < 0.85) AS good, count(*) FILTER (WHERE c >= 0.5 AND c < 0.7) AS fair, count(*) FILTER (WHERE c < 0.5) AS weak FROM (SELECT k / 100.0::DOUBLE AS c FROM {SQL_EVENTS})""")
 def a28_cluster_rollup(spark, sf):
-    return health.cluster_rollup(events(spark, sf).select((K / 100.0).alias("confidence"), F.lit(False).alias("has_primary"))).drop("with_primary")
+    return health.cluster_rollup(events(spark, sf).select((k() / 100.0).alias("confidence"), F.lit(False).alias("has_primary"))).drop("with_primary")
 
 
 @query("""SELECT event_type AS stage, count(*) AS calls, round(count(*) * (1500 / 1e6 * 3 + 600 / 1e6 * 15), 4) AS usd FROM events GROUP BY 1""")
@@ -221,7 +219,7 @@ def j14_w4_as_of_per_day(spark, sf):
 
 @query("""WITH seen AS (SELECT CAST(json_extract_string(props, '$.k') AS INTEGER) AS id, max(epoch(ts)) AS t FROM events WHERE event_type = 'view' AND user_id = 3 GROUP BY 1) SELECT doc_id AS id, CASE WHEN t IS NULL OR epoch(TIMESTAMP '2024-02-05 00:00:00') - t > 2592000 THEN 1 ELSE 0 END AS novelty FROM documents LEFT JOIN seen ON seen.id = doc_id""")
 def p20_t9_novelty(spark, sf):
-    seen = events(spark, sf).where("event_type = 'view' and user_id = 3").select(K.cast("long").alias("id"), F.col("ts").cast("timestamp").cast("double").alias("seen_at"))
+    seen = events(spark, sf).where("event_type = 'view' and user_id = 3").select(k().cast("long").alias("id"), F.col("ts").cast("timestamp").cast("double").alias("seen_at"))
     stories = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("pos"))
     return feed.novel_first(stories, seen, F.to_timestamp(F.lit("2024-02-05 00:00:00")).cast("double")).select("id", "novelty")
 
@@ -230,7 +228,7 @@ def p20_t9_novelty(spark, sf):
     SELECT id FROM u WHERE id NOT IN (SELECT id FROM s LEFT JOIN d USING (source) GROUP BY id HAVING bool_and(d.source IS NOT NULL))""")
 def p4_p5_without_denied(spark, sf):
     e = events(spark, sf)
-    some = e.where("event_type = 'error' and user_id % 2 = 0 and event_id % 50 = 0").groupBy(F.col("user_id").alias("id")).agg(F.collect_set(F.concat(F.lit("src"), (K % 30).cast("string"))).alias("sources"))
+    some = e.where("event_type = 'error' and user_id % 2 = 0 and event_id % 50 = 0").groupBy(F.col("user_id").alias("id")).agg(F.collect_set(F.concat(F.lit("src"), (k() % 30).cast("string"))).alias("sources"))
     stories = e.select(F.col("user_id").alias("id")).distinct().join(some, "id", "left").withColumn("sources", F.coalesce("sources", F.array().cast("array<string>")))
     return feed.without_sources(stories, spark.range(20).select(F.concat(F.lit("src"), F.col("id").cast("string")).alias("source"))).select("id")
 
@@ -238,7 +236,7 @@ def p4_p5_without_denied(spark, sf):
 @query(f"""SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY n, w DESC, source) AS INTEGER) AS fetch_rank FROM (SELECT user_id, event_id, 'src' || k % 12 AS source, CASE WHEN k % 12 < 8 THEN (k % 12) / 20.0 ELSE 0.02 END AS w, row_number() OVER (PARTITION BY user_id, k % 12 ORDER BY event_id) AS n FROM {SQL_EVENTS})
     QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n, w DESC, source) <= 10""")
 def t3_rank_for_fetch(spark, sf):
-    c = events(spark, sf).select("user_id", F.col("event_id").alias("pos"), F.concat(F.lit("src"), (K % 12).cast("string")).alias("source"))
+    c = events(spark, sf).select("user_id", F.col("event_id").alias("pos"), F.concat(F.lit("src"), (k() % 12).cast("string")).alias("source"))
     w = spark.range(8).select(F.concat(F.lit("src"), F.col("id").cast("string")).alias("source"), (F.col("id") / 20.0).alias("weight"))
     return steering.rank_for_fetch(c, w, 10, ["user_id"]).select("user_id", F.col("pos").alias("event_id"), "fetch_rank")
 
@@ -252,7 +250,7 @@ def t4_deepening_plan(spark, sf):
     SELECT CASE WHEN nth > 1 OR k < 5 THEN 'duplicate' WHEN k % 20 IN (7, 8) THEN 'denied' WHEN k % 6 = 0 THEN 'empty' ELSE 'published' END AS outcome, count(*) AS n FROM n GROUP BY 1""")
 def n1_n16_ingest_outcomes(spark, sf):
     e = events(spark, sf).where("event_type = 'click'")
-    c = e.select(F.col("event_id").alias("pos"), F.concat(F.lit("u"), K.cast("string")).alias("url"), F.concat(F.lit("src"), (K % 20).cast("string"), F.lit(".com")).alias("source"), F.when(K % 6 == 0, "").otherwise("text").alias("body"))
+    c = e.select(F.col("event_id").alias("pos"), F.concat(F.lit("u"), k().cast("string")).alias("url"), F.concat(F.lit("src"), (k() % 20).cast("string"), F.lit(".com")).alias("source"), F.when(k() % 6 == 0, "").otherwise("text").alias("body"))
     known = spark.range(5).select(F.concat(F.lit("u"), F.col("id").cast("string")).alias("url"))
     deny = spark.createDataFrame([("src7.com",), ("src8.com",)], "source string")
     return steering.ingest(c, known, deny).groupBy("outcome").agg(F.count("*").alias("n"))
@@ -278,7 +276,7 @@ def t1_t2_diversified_feed(spark, sf):
 @query("""WITH m AS (SELECT DISTINCT CAST(json_extract_string(props, '$.k') AS INTEGER) AS id, event_type FROM events WHERE user_id = 11 AND event_type IN ('view', 'error')), f AS (SELECT id, bool_or(event_type = 'view') AS pinned, bool_or(event_type = 'error') AS hidden FROM m GROUP BY 1)
     SELECT doc_id AS id, CASE WHEN coalesce(hidden, false) THEN 2 WHEN coalesce(pinned, false) THEN 0 ELSE 1 END AS section FROM documents LEFT JOIN f ON f.id = doc_id""")
 def t10_p11_tenant_view(spark, sf):
-    state = events(spark, sf).where("user_id = 11 and event_type in ('view', 'error')").select(K.cast("long").alias("id"), F.when(F.col("event_type") == "view", "pinned").otherwise("hidden").alias("mark"))
+    state = events(spark, sf).where("user_id = 11 and event_type in ('view', 'error')").select(k().cast("long").alias("id"), F.when(F.col("event_type") == "view", "pinned").otherwise("hidden").alias("mark"))
     stories = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("pos"))
     return feed.tenant_view(stories, state).select("id", "section")
 
@@ -286,8 +284,8 @@ def t10_p11_tenant_view(spark, sf):
 def _graph_clusters(spark, sf):
     """One cluster per event of a few types: entities from k, time in seconds, a two-dimensional vector."""
     e = events(spark, sf).where("event_type = 'purchase'")
-    ent = F.array_distinct(F.array(F.concat(F.lit("e"), K.cast("string")), F.concat(F.lit("u"), (F.col("user_id") % 50).cast("string"))))
-    return e.select(F.col("event_id").cast("string").alias("cluster_id"), ent.alias("spine"), F.array(F.cos(K.cast("double")), F.sin(K.cast("double"))).alias("vector"), F.col("ts").cast("timestamp").cast("double").alias("ts"), F.concat(F.lit("fact "), K.cast("string")).alias("fact"))
+    ent = F.array_distinct(F.array(F.concat(F.lit("e"), k().cast("string")), F.concat(F.lit("u"), (F.col("user_id") % 50).cast("string"))))
+    return e.select(F.col("event_id").cast("string").alias("cluster_id"), ent.alias("spine"), F.array(F.cos(k().cast("double")), F.sin(k().cast("double"))).alias("vector"), F.col("ts").cast("timestamp").cast("double").alias("ts"), F.concat(F.lit("fact "), k().cast("string")).alias("fact"))
 
 
 @query()
@@ -312,7 +310,7 @@ def j19_g11_fact_source_graph(spark, sf):
 
 @query(f"""SELECT CAST(k % 8 AS VARCHAR) AS label, count(*) AS n, round(avg(CAST(value AS DOUBLE)), 2) AS mean FROM {SQL_EVENTS} GROUP BY 1""")
 def a36_eval_metrics(spark, sf):
-    return events(spark, sf).groupBy((K % 8).cast("string").alias("label")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 2).alias("mean"))
+    return events(spark, sf).groupBy((k() % 8).cast("string").alias("label")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 2).alias("mean"))
 
 
 @query("""SELECT n_name AS source, count(*) AS n, round(sum(s_acctbal), 2) AS total FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1""")
@@ -335,8 +333,8 @@ def a41_originator_counts(spark, sf):
 
 def _facts(spark, sf):
     e = events(spark, sf).where("event_type = 'signup'")
-    g = F.when(K % 2 == 0, F.array(F.concat(F.lit("src"), (K % 20).cast("string")))).otherwise(F.array(F.concat(F.lit("src"), (K % 20).cast("string")), F.lit("nobody")))
-    return e.select(F.col("user_id").alias("story_id"), F.col("event_id").alias("id"), F.col("event_id").alias("pos"), (K / 100.0).alias("confidence"), (K % 5).alias("independent_originators"), (K % 7 == 0).alias("has_primary"), level(K).alias("extremity"), F.array(g).alias("originator_sources"), F.lit(None).cast("string").alias("grounding"), F.lit(False).alias("disputed"))
+    g = F.when(k() % 2 == 0, F.array(F.concat(F.lit("src"), (k() % 20).cast("string")))).otherwise(F.array(F.concat(F.lit("src"), (k() % 20).cast("string")), F.lit("nobody")))
+    return e.select(F.col("user_id").alias("story_id"), F.col("event_id").alias("id"), F.col("event_id").alias("pos"), (k() / 100.0).alias("confidence"), (k() % 5).alias("independent_originators"), (k() % 7 == 0).alias("has_primary"), level(k()).alias("extremity"), F.array(g).alias("originator_sources"), F.lit(None).cast("string").alias("grounding"), F.lit(False).alias("disputed"))
 
 
 @query()

@@ -17,6 +17,11 @@ def k_of() -> Column:
     return F.get_json_object("props", "$.k").cast("int")
 
 
+def k() -> Column:
+    """The number of an event."""
+    return F.col("k")
+
+
 def events(spark: SparkSession, sf: str) -> DataFrame:
     """events with their number k."""
     return table(spark, sf, "events").withColumn("k", k_of())

@@ -6,15 +6,13 @@ from pyspark.sql import functions as F
 
 from tessera.operators import history as H, stories as ST
 from tessera.plans.registry import query
-from tessera.plans.stand_ins import SQL_EVENTS, articles, events, history
+from tessera.plans.stand_ins import SQL_EVENTS, articles, events, history, k
 from tessera.session import table
 
-K = F.col("k")
-
 
 def _clusters(spark, sf):
     """A cluster per user: claims are the distinct k of its views, each k is also an article."""
-    e = events(spark, sf).where("event_type = 'view'").groupBy(F.col("user_id").alias("id")).agg(F.sort_array(F.collect_set(K.cast("long"))).alias("claim_ids"))
+    e = events(spark, sf).where("event_type = 'view'").groupBy(F.col("user_id").alias("id")).agg(F.sort_array(F.collect_set(k().cast("long"))).alias("claim_ids"))
     return e.withColumn("originators", F.array("claim_ids")).withColumn("fact", F.concat(F.lit("fact "), F.col("id").cast("string")))
 
 
@@ -149,7 +147,7 @@ def q17_originations_per_source(spark, sf):
 def q12_latest_proposals(spark, sf):
     from tessera.operators.log import latest
 
-    e = events(spark, sf).where("event_type = 'purchase'").select(F.concat(F.lit("knob"), (K % 6).cast("string")).alias("knob"), "value", "event_id")
+    e = events(spark, sf).where("event_type = 'purchase'").select(F.concat(F.lit("knob"), (k() % 6).cast("string")).alias("knob"), "value", "event_id")
     return latest(e, ["knob"], [F.desc("event_id")]).select("knob", "value")
 
 
