@@ -2,21 +2,21 @@
 
 Each task turns its documents into one stream of ids, every document closed by
 an end id, and cuts it into sequences of SEQUENCE ids; the last one of a task is
-filled up with end ids. Sequences are numbered through all tasks, and a keyed
-Feistel permutation of [0, number of sequences) with cycle-walking gives each
-number its slot, without a table. Slots are dealt out in ranges of PER_SHARD:
-one range is one shard file of fixed stride, so slot s is at byte
-(s mod PER_SHARD) * stride of shard s // PER_SHARD, and a reader resumes from
-any slot by one seek.
+filled up with end ids. A byte-level vocabulary makes at most one id of a byte,
+so the bytes of a task bound its sequences, and a sum of lengths is all that is
+needed to number sequences through all tasks: texts are encoded once. A keyed
+Feistel permutation of [0, bound) with cycle-walking gives each number its key,
+without a table. Training order is key order. Keys are dealt out in ranges of
+SPAN: one range is one shard file of fixed stride, sorted by key, so the n-th
+sequence of a shard is at byte n * stride, and a reader resumes anywhere by one
+seek. The global slot of a sequence is its place in that order, counted without
+gaps over all shards (the files' sizes tell how many each one has).
 
 Ids are little-endian, 2 bytes each if the vocabulary allows it, else 4. A shard
 is written under a name of its own attempt and then renamed, so a repeated or
-speculative task leaves whole files only.
-
-The texts are encoded twice, first to count each task's sequences and then to
-write them: this costs time but no copy of all ids. If a task's count differs
-from that of the first pass (an input that is not read alike twice), it fails
-rather than write a wrong order.
+speculative task leaves whole files only. The files are complete when
+write_shards returns. If a task has more sequences than its bound (an input that
+is not read alike twice), it fails rather than write a wrong order.
 
 Defined cases: a null or empty text is its end id alone. Null doc_ids and
 repeated rows are written like others. No rows in: no shards, no rows.
@@ -30,16 +30,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tessera.llm.common import batch, small, texts
 from tessera.llm.encoding import default_pattern, default_vocabulary, encoder
-from tessera.session import shared_dir
+from tessera.session import cut, shared_dir
 
-SEQUENCE, PER_SHARD, END_ID, KEY, ROUNDS = 1024, 4096, 1, 20240607, 6
+SEQUENCE, SPAN, END_ID, KEY, ROUNDS = 1024, 10_240, 1, 20240607, 6
 WIDTH = 2  # bytes an id
-_SCHEMA = "slot long, shard long, byte_offset long, first_doc_id long, n_docs long, n_tokens long, ids_crc32 long"
+_SCHEMA = "key long, shard long, byte_offset long, first_doc_id long, n_docs long, n_tokens long, ids_crc32 long"
 
 
 def _round(x: np.ndarray, key: int) -> np.ndarray:
@@ -109,44 +110,40 @@ def _sequences(batches: Iterator[pa.RecordBatch], encode, sequence: int, end_id:
 
 
 def write_shards(
-    docs: DataFrame, folder: str, vocabulary: str | None = None, pattern: str | None = None, sequence: int = SEQUENCE, per_shard: int = PER_SHARD, key: int = KEY, end_id: int = END_ID, width: int = WIDTH
+    docs: DataFrame, folder: str, vocabulary: str | None = None, pattern: str | None = None, sequence: int = SEQUENCE, span: int = SPAN, key: int = KEY, end_id: int = END_ID, width: int = WIDTH
 ) -> DataFrame:
-    """Write shard files below folder (a URI all executors share); one row per sequence tells where it is.
-
-    The rows are made while the files are written, so the files are complete once the rows have been read.
-    """
+    """Write shard files below folder (a URI all executors share); one row per sequence tells its slot and where it is."""
     path, rule = vocabulary or default_vocabulary(), pattern or default_pattern()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path, rule)
-        n = sum(len(encode(t)) + 1 for b in small(batches) for t in texts(b.column(1)))
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = sum(b.num_rows + (pc.sum(pc.binary_length(b.column(1))).as_py() or 0) for b in batches)
         yield batch("part n", pa.array([TaskContext.get().partitionId()]), pa.array([-(-n // sequence)]))
 
-    count = {r.part: r.n for r in rows.mapInArrow(counted, "part long, n long").collect()}  # two numbers a task
+    bound = {r.part: r.n for r in rows.mapInArrow(bounded, "part long, n long").collect()}  # two numbers a task
     first, total = {}, 0
-    for p in sorted(count):
-        first[p], total = total, total + count[p]
+    for p in sorted(bound):
+        first[p], total = total, total + bound[p]
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         n, held = 0, []
 
         def out() -> pa.RecordBatch:
-            slots = permute(np.arange(first[part] + n - len(held), first[part] + n), total, key)
+            keys = permute(np.arange(first[part] + n - len(held), first[part] + n), total, key)
             ids, d, docs_in, real = zip(*held)
-            return batch("slot shard first_doc_id n_docs n_tokens ids", pa.array(slots), pa.array(slots // per_shard), pa.array(d, pa.int64()), pa.array(docs_in, pa.int64()), pa.array(real, pa.int64()), pa.array(ids, pa.binary()))
+            return batch("key shard first_doc_id n_docs n_tokens ids", pa.array(keys), pa.array(keys // span), pa.array(d, pa.int64()), pa.array(docs_in, pa.int64()), pa.array(real, pa.int64()), pa.array(ids, pa.binary()))
 
         for ids, *rest in _sequences(batches, encoder(path, rule), sequence, end_id):
             held.append((ids.astype(f"<u{width}").tobytes(), *rest))
             n += 1
+            if n > bound.get(part, 0):
+                raise RuntimeError(f"task {part} has more than {bound.get(part, 0)} sequences, its bound in the first pass")
             if len(held) == 512:
                 yield out()
                 held.clear()
         if held:
             yield out()
-        if n != count.get(part, 0):
-            raise RuntimeError(f"task {part} has {n} sequences, {count.get(part, 0)} in the first pass")
 
     stride = sequence * width
 
@@ -160,54 +157,61 @@ def write_shards(
         def close() -> None:
             if stream is not None:
                 stream.close()
-                fs.move(name, f"{root}/shard-{shard:08d}.bin")
+                fs.move(name, f"{root}/{_name(shard)}")
 
         for b in batches:
-            slots, shards = b.column(0).to_pylist(), b.column(1).to_pylist()
-            payload = b.column(5).to_pylist()
-            for slot, s, ids in zip(slots, shards, payload):
+            payload, places = b.column(5).to_pylist(), []
+            for s, ids in zip(b.column(1).to_pylist(), payload):
                 if s != shard:
                     close()
-                    shard, at, name = s, s * per_shard, f"{root}/.writing-{uuid.uuid4().hex}"
+                    shard, at, name = s, 0, f"{root}/.writing-{uuid.uuid4().hex}"
                     stream = fs.open_output_stream(name)
-                if slot != at:
-                    raise RuntimeError(f"slot {slot} where {at} was expected")
                 stream.write(ids)
-                at += 1
+                places.append(at)
+                at += stride
             yield batch(
-                "slot shard byte_offset first_doc_id n_docs n_tokens ids_crc32",
-                b.column(0), b.column(1), pa.array([(s % per_shard) * stride for s in slots], pa.int64()), *b.columns[2:5],
+                "key shard byte_offset first_doc_id n_docs n_tokens ids_crc32",
+                b.column(0), b.column(1), pa.array(places, pa.int64()), *b.columns[2:5],
                 pa.array([zlib.crc32(np.frombuffer(x, f"<u{width}").astype("<u4").tobytes()) for x in payload], pa.int64()),
             )
         close()
 
-    n_shards = max(1, -(-total // per_shard))
-    dealt = rows.mapInArrow(placed, "slot long, shard long, first_doc_id long, n_docs long, n_tokens long, ids binary")
-    return dealt.repartition(n_shards, "shard").sortWithinPartitions("slot").mapInArrow(written, _SCHEMA)
+    dealt = rows.mapInArrow(placed, "key long, shard long, first_doc_id long, n_docs long, n_tokens long, ids binary")
+    n_shards = max(1, -(-total // span))
+    done = cut(dealt.repartition(n_shards, "shard").sortWithinPartitions("key").mapInArrow(written, _SCHEMA))
+    # slots: shards are counted, the counts of each thousand of shards summed, so no window holds more than a thousand rows of one thousand
+    sizes = done.groupBy("shard").agg(F.count("*").alias("n")).withColumn("block", F.floor(F.col("shard") / 1000))
+    blocks = sizes.groupBy("block").agg(F.sum("n").alias("m"))
+    before = lambda w, c: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = blocks.select("block", before(Window.orderBy("block"), "m").alias("base"))
+    starts = sizes.join(blocks, "block").select("shard", (F.col("base") + before(Window.partitionBy("block").orderBy("shard"), "n")).alias("start"))
+    return done.join(starts, "shard").select((F.col("start") + F.col("byte_offset") / stride).cast("long").alias("slot"), *done.columns)
+
 
+def _name(shard: int) -> str:
+    return f"shard-{shard:08d}.bin"
 
-def read_slots(folder: str, start: int, n: int, sequence: int = SEQUENCE, per_shard: int = PER_SHARD, width: int = WIDTH) -> Iterator[np.ndarray]:
-    """The ids of n sequences in training order from slot start: one seek, then sequential reads."""
+
+def read_slots(folder: str, start: int, n: int, sequence: int = SEQUENCE, width: int = WIDTH) -> Iterator[np.ndarray]:
+    """The ids of n sequences in training order from slot start: file sizes, one seek, then sequential reads."""
     import pyarrow.fs as pf
 
     fs, root = pf.FileSystem.from_uri(folder)
-    stride = sequence * width
-    slot = start
-    while slot < start + n:
-        with fs.open_input_file(f"{root}/shard-{slot // per_shard:08d}.bin") as f:
-            f.seek(slot % per_shard * stride)
-            for _ in range(min(start + n - slot, per_shard - slot % per_shard)):
-                data = f.read(stride)
-                if not data:
-                    return
-                yield np.frombuffer(data, f"<u{width}")
-                slot += 1
+    stride, at, end = sequence * width, 0, start + n
+    for info in sorted((x for x in fs.get_file_info(pf.FileSelector(root)) if x.base_name.startswith("shard-")), key=lambda x: x.base_name):
+        here = info.size // stride
+        low, high = max(start, at), min(end, at + here)
+        if low < high:
+            with fs.open_input_file(info.path) as f:
+                f.seek((low - at) * stride)
+                for _ in range(high - low):
+                    yield np.frombuffer(f.read(stride), f"<u{width}")
+        at += here
 
 
 def shard_documents(docs: DataFrame) -> DataFrame:
     """write_shards into a new folder of the shared one."""
-    spark = docs.sparkSession
-    return write_shards(docs, f"{_uri(shared_dir(spark))}/shards-{uuid.uuid4().hex}")
+    return write_shards(docs, f"{_uri(shared_dir(docs.sparkSession))}/shards-{uuid.uuid4().hex}")
 
 
 def _uri(folder: str) -> str:
