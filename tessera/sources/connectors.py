@@ -47,7 +47,7 @@ def fetched_items(replies: DataFrame, column: str = "reply", min_chars: int = MI
     schema = "array<struct<url:string,searchResult:struct<url:string,title:string>,metadata:struct<url:string,title:string,languageCode:string>,markdown:string,text:string>>"
     rows = replies.select(F.explode(F.from_json(column, schema)).alias("a")).select("a.*")
     url = F.coalesce(F.nullif(F.col("metadata.url"), F.lit("")), F.nullif(F.col("searchResult.url"), F.lit("")), F.col("url"), F.lit(""))
-    body = F.coalesce(F.nullif(F.trim("markdown"), F.lit("")), F.trim("text"), F.lit(""))
+    body = F.coalesce(F.nullif("text", F.lit("")), "markdown", F.lit(""))
     title = F.coalesce(F.nullif(F.col("metadata.title"), F.lit("")), F.col("searchResult.title"), F.lit(""))
     out = rows.select(url.alias("url"), title.alias("title"), host_of(url).alias("source"), F.coalesce("metadata.languageCode", F.lit("")).alias("language"), F.lit("").alias("country"), body.alias("body"))
     return out.where((F.col("url") != "") & (F.length("body") >= min_chars))
@@ -60,16 +60,21 @@ def feed_list(spark: SparkSession, path: str) -> DataFrame:
 
 def parse_feed_list(lines: DataFrame) -> DataFrame:
     part = F.transform(F.split("value", r"\|"), lambda x: F.trim(x))
-    rows = lines.where(~F.trim("value").startswith("#") & (F.trim("value") != "")).select(part.alias("p"))
+    rows = lines.where(~F.trim("value").startswith("#") & (F.trim("value") != "")).select(part.alias("p")).where(F.size("p") >= 4)
     at = lambda i: F.coalesce(F.get("p", F.lit(i)), F.lit(""))
     return rows.select(at(0).alias("url"), at(1).alias("country"), at(2).alias("language"), at(3).alias("alignment"), F.coalesce(F.nullif(at(4), F.lit("")), host_of(at(0))).alias("label")).where("url <> ''")
 
 
-def locale_list(lines: DataFrame) -> DataFrame:
-    """Locale lines `country | language | query`."""
+def locale_list(lines: DataFrame, known: dict[str, str] | None = None) -> DataFrame:
+    """Locale lines `language | country | label | terms`; all but the language may be missing, terms then are the known ones of the language."""
     part = F.transform(F.split("value", r"\|"), lambda x: F.trim(x))
     rows = lines.where(~F.trim("value").startswith("#") & (F.trim("value") != "")).select(part.alias("p"))
-    return rows.select(*[F.coalesce(F.get("p", F.lit(i)), F.lit("")).alias(n) for i, n in enumerate(("country", "language", "query"))])
+    at = lambda i: F.coalesce(F.get("p", F.lit(i)), F.lit(""))
+    label = F.coalesce(F.nullif(at(2), F.lit("")), F.when(at(1) != "", F.concat(at(0), F.lit("/"), at(1))).otherwise(at(0)))
+    terms = F.lit("")
+    for lang, words in (known or {}).items():
+        terms = F.when(at(0) == lang, F.lit(words)).otherwise(terms)
+    return rows.select(at(0).alias("language"), at(1).alias("country"), label.alias("label"), F.coalesce(F.nullif(at(3), F.lit("")), terms).alias("terms")).where("language <> ''")
 
 
 def feed_entries(feeds: DataFrame, column: str = "xml", limit: int = 0) -> DataFrame:
@@ -105,6 +110,20 @@ def week_windows(spark: SparkSession, now: str, weeks: int) -> DataFrame:
     return r.select("k", start.alias("start"), end.alias("end")).select("*", search_stamp(F.col("start")).alias("start_stamp"), search_stamp(F.col("end")).alias("end_stamp"))
 
 
+#: Parser of each connector's landed replies.
+PARSERS = {"search": search_articles, "api": api_results, "items": fetched_items, "feeds": feed_entries}
+
+
+def acquire(source: str, landed: DataFrame, **options) -> DataFrame:
+    """Articles of a connector by its name."""
+    return PARSERS[source](landed, **options)
+
+
+def by_languages(queries: DataFrame, languages: DataFrame) -> DataFrame:
+    """Every query once for each language asked for; both are short lists of parameters."""
+    return queries.crossJoin(F.broadcast(languages))
+
+
 def search_stamp(ts: Column) -> Column:
     return F.date_format(ts, "yyyyMMddHHmmss")
 
@@ -129,7 +148,7 @@ def gate_verdict(reply: Column) -> Column:
 
 
 def extremity_level(reply: Column) -> Column:
-    level = F.lower(F.trim(F.coalesce(json_reply(reply, "extremity string")["extremity"], reply)))
+    level = F.coalesce(json_reply(reply, "extremity string")["extremity"], F.lit(""))
     return F.when(level.isin("routine", "ordinary", "notable", "significant", "extraordinary"), level).otherwise("notable")
 
 
