@@ -178,7 +178,9 @@ def write_shards(
 
     dealt = rows.mapInArrow(placed, "key long, shard long, first_doc_id long, n_docs long, n_tokens long, ids binary")
     n_shards = max(1, -(-total // span))
-    done = cut(dealt.repartition(n_shards, "shard").sortWithinPartitions("key").mapInArrow(written, _SCHEMA))
+    # one shard is one partition: dealt by the shard's number itself, as a hash would put several into one task
+    ranged = dealt.withColumn("to", F.col("shard").cast("int")).repartitionById(n_shards, "to").sortWithinPartitions("key")
+    done = cut(ranged.mapInArrow(written, _SCHEMA))
     # slots: shards are counted, the counts of each thousand of shards summed, so no window holds more than a thousand rows of one thousand
     sizes = done.groupBy("shard").agg(F.count("*").alias("n")).withColumn("block", F.floor(F.col("shard") / 1000))
     blocks = sizes.groupBy("block").agg(F.sum("n").alias("m"))
