@@ -4,37 +4,38 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tessera.functions.text import shingles
+from tessera.functions.text import shingle_hashes
 from tessera.functions.vectors import norm
 from tessera.operators.components import connected_components
 
 
 def shingle_pairs(docs: DataFrame, key: str, text: str, at_least: float, k: int = 4, within: list[str] | None = None) -> DataFrame:
-    """(a, b, jaccard) of rows with a < b whose shingle sets overlap enough, exact.
+    """(a, b, jaccard) of rows with a < b whose shingle sets overlap enough.
 
-    Prefix filter: with sets ordered by how rare a shingle is, two sets of
-    similarity s share one of their first n - ceil(s*n) + 1 members, so only
-    those are joined, and rare members make small groups. Candidates are then
-    verified on the whole sets.
+    Sets are held as 64-bit hashes of their shingles (two shingles of one pair of
+    texts would collide about once in 10**14 pairs). Prefix filter: with sets
+    ordered by how rare a member is, two sets of similarity s share one of their
+    first n - ceil(s*n) + 1 members, so only those are joined, and rare members
+    make small groups. Candidates are then verified on the whole sets.
     """
     within = within or []
-    sets = docs.select(F.col(key).alias("k"), *within, shingles(text, k).alias("s"))
+    # dealt out by key first: making sets is the heavy part, and a few large input splits would leave most cores idle
+    sets = docs.select(F.col(key).alias("k"), *within, F.col(text).alias("t")).repartition(F.col("k")).select("k", *within, shingle_hashes("t", k).alias("s"))
     items = sets.select("k", *within, F.size("s").alias("n"), F.explode("s").alias("x"))
     rare = items.groupBy("x").agg(F.count("*").alias("df")).where("df > 1")
-    ranked = items.join(rare, "x").withColumn("r", F.row_number().over(Window.partitionBy("k", *within).orderBy("df", "x")))
+    w = Window.partitionBy("k", *within)
     # members that occur once are the rarest and can't be shared, so they take up prefix places first
-    shared = ranked.groupBy("k", *within).agg(F.max("r").alias("m"))
-    prefix = ranked.join(shared, ["k", *within]).where(F.col("r") + F.col("n") - F.col("m") <= F.col("n") - F.ceil(F.lit(at_least) * F.col("n")) + 1).select("k", *within, "n", "x")
+    ranked = items.join(rare, "x").withColumn("r", F.row_number().over(w.orderBy("df", "x"))).withColumn("m", F.count("*").over(w))
+    prefix = ranked.where(F.col("r") + F.col("n") - F.col("m") <= F.col("n") - F.ceil(F.lit(at_least) * F.col("n")) + 1).select("k", *within, "n", "x")
     a, b = prefix.alias("a"), prefix.alias("b")
-    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in within]
     cond = (F.col("a.x") == F.col("b.x")) & (F.col("a.k") < F.col("b.k")) & (F.col("a.n") >= F.lit(at_least) * F.col("b.n")) & (F.col("b.n") >= F.lit(at_least) * F.col("a.n"))
-    for c in same:
-        cond = cond & c
+    for c in within:
+        cond = cond & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
     pairs = a.join(b, cond).select(F.col("a.k").alias("a"), F.col("b.k").alias("b"), *[F.col(f"a.{c}") for c in within]).distinct()
-    sa, sb = sets.select(F.col("k").alias("a"), *within, F.col("s").alias("sa")), sets.select(F.col("k").alias("b"), *within, F.col("s").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    score = both / (F.size("sa") + F.size("sb") - both)
-    return pairs.join(sa, ["a", *within]).join(sb, ["b", *within]).select("a", "b", *within, score.alias("jaccard")).where(F.col("jaccard") >= at_least)
+    of = lambda side, name: sets.select(F.col("k").alias(side), *within, F.col("s").alias(name))
+    both = pairs.join(of("a", "sa"), ["a", *within]).join(of("b", "sb"), ["b", *within])
+    both = both.select("a", "b", *within, F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("c"))
+    return both.select("a", "b", *within, (F.col("c") / (F.col("na") + F.col("nb") - F.col("c"))).alias("jaccard")).where(F.col("jaccard") >= at_least)
 
 
 def unit_vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
