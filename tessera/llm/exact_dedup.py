@@ -114,8 +114,10 @@ def exact_groups(docs: DataFrame, identifiers=IDENTIFIERS) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256."""
     each = recipes(docs, identifiers).groupBy("recipe", "text_sha256", "doc_id").agg(F.count("*").alias("m"))
     group = each.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.sum("m").alias("group_size"))
+    # the key of the groups is made anew, so both sides are shuffled for the join itself and adaptive execution can split a hot recipe
+    group = group.select(F.concat("recipe", F.lit(bytearray())).alias("of"), "keep_id", "group_size")
     return (
-        each.join(group, "recipe")
+        each.join(group, F.col("recipe") == F.col("of"))
         .select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("m"))).alias("copy"))
         .select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"), "text_sha256")
     )
