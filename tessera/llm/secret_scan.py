@@ -3,8 +3,10 @@
 Base kinds are patterns: assignments (assign), access keys (access) and long
 hex runs (hex); their spans are always reported. The method adds spans of kind
 `novel`: strings of at least MIN_NOVEL key characters that stand in a sensitive
-context (a context word within REACH characters before them) and that hold a
-digit. Each candidate is priced as the marginal compressed bytes of the
+context (a word that holds a context word, within REACH characters before them)
+and that hold a digit. In NAME=value the name is context and the value is the
+candidate; if no part between such signs is reported, the whole string is a
+candidate. Each candidate is priced as the marginal compressed bytes of the
 candidate after its surroundings, with a zstandard dictionary made of
 identifiers and of the surrounding text: text that its surroundings or ordinary
 identifiers predict costs few bytes, a random string costs nearly all of its
@@ -23,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -40,8 +43,9 @@ MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 6, 20, 24
 KINDS = ("assign", "access", "hex", "novel")
 
 #: Words that make what follows them sensitive, and identifiers that ordinary code is made of.
-CONTEXT = re.compile(r"(?:pass(?:word|wd|phrase)?|pwd|secret|token|api_?key|credential|private_?key|bearer|authorization|auth|signature|access_?key)\b", re.IGNORECASE | re.ASCII)
+CONTEXT = re.compile(r"(?:pass(?:word|wd|phrase)?|pwd|secret|token|api_?key|credential|private_?key|bearer|authorization|auth(?!or(?!i[sz]))|signature|access_?key)[A-Za-z0-9_]*", re.IGNORECASE | re.ASCII)
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+NAME_END = re.compile(r"(?<=[A-Za-z0-9_-])=(?=[^=])")
 IDENTIFIERS = (
     "username password passwd secret token api_key apiKey access_key private_key public_key client_id client_secret authorization bearer "
     "signature credential session cookie account config settings environment variable string integer boolean value return function class "
@@ -80,20 +84,24 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def novel_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """(start, kind, end) of further strings in a sensitive context that their surroundings do not predict."""
-    found, reach = [], -1
+    found = []
     contexts = [m.end() for m in CONTEXT.finditer(text)]
     if not contexts:
         return found
-    k = 0
+
+    def novel(a: int, b: int) -> bool:
+        k = bisect_right(contexts, a)
+        if b - a < MIN_NOVEL or not k or a > contexts[k - 1] + REACH or not any(c.isdigit() for c in text[a:b]) or any(s < b and a < e for s, _, e in base):
+            return False
+        return novelty(text, a, b) >= NOVELTY
+
     for m in CANDIDATE.finditer(text):
         a, b = m.span()
-        while k < len(contexts) and contexts[k] <= a:
-            reach = contexts[k] + REACH
-            k += 1
-        if a > reach or not any(c.isdigit() for c in m[0]) or any(s < b and a < e for s, _, e in base):
-            continue
-        if novelty(text, a, b) >= NOVELTY:
-            found.append((a, 3, b))
+        ends = [a + x.start() for x in NAME_END.finditer(m[0])]
+        parts = [(s, e) for s, e in zip([a, *[x + 1 for x in ends]], [*ends, b]) if novel(s, e)]
+        if not parts and ends and novel(a, b):
+            parts = [(a, b)]
+        found += [(s, 3, e) for s, e in parts]
     return found
 
 

@@ -62,5 +62,22 @@ def test_predictable_or_insensitive_strings_are_left_alone():
     assert s.scan(f"{key} {key} then the auth header is {key}")[4] == ""
 
 
+def test_novel_values_after_names_and_longer_context_words():
+    r = random.Random(2)
+    key = "".join(r.choice("ABCDEFGHJKMNPQRSTUVWXYZabcdefghjkmnpqrstuvwxyz23456789") for _ in range(40))
+    forms = [
+        "AWS_SECRET_ACCESS_KEY=%s", "export AWS_SECRET_ACCESS_KEY=%s\n", "https://a.example/x?id=7&signature=%s&y=1", "CREDENTIAL=%s", "--private-key-bearer=%s", "SECRET_KEY = '%s'", "SECRET_KEY='%s'",
+        "secret_token_value: %s", "passwords %s", "API_KEYS = ['%s']", "auth_header %s", "authorized by %s", "CREDENTIAL=%s==",
+    ]
+    for form in forms:
+        text = form % key
+        at, end = text.index(key), text.index(key) + 40 + 2 * form.endswith("==")
+        assert s.scan(text)[4] == f"novel:{at}:{end}", form
+    assert s.scan(f"the author {key}")[4] == "" and s.scan(f"picture={key}")[4] == ""
+    # parts that are too short alone are still priced together, and a long name is a candidate too
+    assert s.scan(f"the bearer {key[:18]}={key[18:36]}")[4] == "novel:11:48"
+    assert s.scan(f"the bearer {key[:20]}={key[20:]}")[4] == "novel:11:31,novel:32:52"
+
+
 def test_empty_table(spark):
     assert s.find_secrets(spark.createDataFrame([], KINDS)).collect() == []
