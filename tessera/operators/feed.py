@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, deque
+from heapq import heappop, heappush
 from math import ceil
 
 import pandas as pd
@@ -93,19 +94,24 @@ def diversified(stories: DataFrame, by: str | None = None, country_cap: float =
         n = len(left)
         caps = (max(1, ceil(n * country_cap - 1e-3)), max(1, ceil(n * source_cap - 1e-3)))
         conf, names = left["confidence"].tolist(), list(zip(left["country"].fillna(""), left["source"].fillna("")))
-        used = (Counter(), Counter())
-        open_rows, rank = list(range(n)), [0] * n
+        used, rank = (Counter(), Counter()), [0] * n
+        queues: dict[tuple, deque] = {}
+        for row, key in enumerate(names):
+            queues.setdefault(key, deque()).append(row)
+        # heads of the queues by place; a name that has reached its cap never comes under it again
+        free, full = sorted(q[0] for q in queues.values()), []
         for place in range(1, n + 1):
-            floor = conf[open_rows[0]] - band
-            pick = 0
-            for at, row in enumerate(open_rows):
-                if conf[row] < floor:
-                    break
-                if all(not v or u[v] < cap for v, u, cap in zip(names[row], used, caps)):
-                    pick = at
-                    break
-            row = open_rows.pop(pick)
+            while free and any(v and u[v] >= cap for v, u, cap in zip(names[free[0]], used, caps)):
+                heappush(full, heappop(free))
+            best = min(free[:1] + full[:1])
+            floor = conf[best] - band
+            heads = free if free and (free[0] == best or conf[free[0]] >= floor or floor != floor) else full
+            row = heappop(heads)
             rank[row] = place
+            queue = queues[names[row]]
+            queue.popleft()
+            if queue:
+                heappush(heads, queue[0])
             for v, u in zip(names[row], used):
                 u[v] += 1
         return left.assign(feed_rank=rank)

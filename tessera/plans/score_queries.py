@@ -263,14 +263,14 @@ def s21_source_history(spark, sf):
 
 
 def _stories(spark, sf):
-    d = table(spark, sf, "documents").where("doc_id < 400")
-    return d.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("pos"), ((F.col("doc_id") * 37) % 101 / 100.0).alias("confidence"), F.col("lang").alias("country"), "source")
+    d = table(spark, sf, "documents")
+    return d.select(F.floor(F.col("doc_id") / 400).alias("feed"), F.col("doc_id").alias("id"), F.col("doc_id").alias("pos"), ((F.col("doc_id") * 37) % 101 / 100.0).alias("confidence"), F.col("lang").alias("country"), "source")
 
 
 @query()
 def t1_t2_diversified_feed(spark, sf):
-    """A feed is what one reader is shown: 400 stories."""
-    return feed.diversified(_stories(spark, sf)).select("id", "feed_rank")
+    """A feed is what one reader is shown: 400 stories. Every document is in one feed."""
+    return feed.diversified(_stories(spark, sf), by="feed").select("id", "feed_rank")
 
 
 @query("""WITH m AS (SELECT DISTINCT CAST(json_extract_string(props, '$.k') AS INTEGER) AS id, event_type FROM events WHERE user_id = 11 AND event_type IN ('view', 'error')), f AS (SELECT id, bool_or(event_type = 'view') AS pinned, bool_or(event_type = 'error') AS hidden FROM m GROUP BY 1)

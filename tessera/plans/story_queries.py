@@ -17,7 +17,7 @@ def _clusters(spark, sf):
 
 
 def _claims(spark, sf):
-    return table(spark, sf, "documents").where("doc_id < 90").select(F.col("doc_id").alias("claim_id"), F.col("doc_id").alias("article_id"), "text", F.col("lang").alias("language"))
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("claim_id"), F.col("doc_id").alias("article_id"), "text", F.col("lang").alias("language"))
 
 
 SQL_CLUSTERS = f"(SELECT DISTINCT user_id AS id, k FROM {SQL_EVENTS} WHERE event_type = 'view')"
@@ -30,7 +30,7 @@ def j2_q6_clusters_of_a_claim(spark, sf):
 
 @query(f"SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY k) - 1 AS INTEGER) AS pos, CAST(k AS BIGINT) AS claim_id FROM {SQL_CLUSTERS} QUALIFY k < 90")
 def j5_member_claims(spark, sf):
-    return ST.member_claims(_clusters(spark, sf), _claims(spark, sf)).select("id", "pos", "claim_id")
+    return ST.member_claims(_clusters(spark, sf), _claims(spark, sf).where("claim_id < 90")).select("id", "pos", "claim_id")
 
 
 @query(f"SELECT id, string_agg(DISTINCT source, ',' ORDER BY source) AS sources FROM {SQL_CLUSTERS} JOIN documents ON doc_id = k GROUP BY id")

@@ -1,4 +1,5 @@
 import json
+import os
 import random
 from collections import Counter
 
@@ -266,6 +267,26 @@ def test_diversified_feed(spark):
         assert [x.id for x in feed.diversified(df).orderBy("feed_rank").collect()] == greedy(stories)
 
 
+def test_diversified_feeds_by_key(spark):
+    r = random.Random(9)
+    stories = {f: [(f * 1000 + i, i, r.randrange(30) / 30, r.choice(["US", "US", "FR", "DE", "", None]), r.choice(["a", "a", "b", "c", "d", "", None])) for i in range(r.randrange(1, 200))] for f in range(12)}
+    df = spark.createDataFrame([(f, *x) for f, rows in stories.items() for x in rows], "feed long, id long, pos long, confidence double, country string, source string")
+    got = feed.diversified(df, by="feed").orderBy("feed", "feed_rank").collect()
+    for f, rows in stories.items():
+        assert [x.id for x in got if x.feed == f] == greedy([(*x[:3], x[3] or "", x[4] or "") for x in rows])
+
+
+def test_queries_take_all_documents(spark):
+    from tessera.plans import QUERIES, story_queries
+
+    sf = "/root/testdata/sf0.01"
+    if not os.path.isdir(sf):
+        pytest.skip("no tables")
+    n = spark.read.parquet(f"{sf}/documents.parquet").count()
+    assert n > 400 and QUERIES["t1_t2_diversified_feed"](spark, sf).count() == n
+    assert story_queries._claims(spark, sf).count() == n
+
+
 def rounds(cands, weights, budget):
     """Fetch order by taking one of each source in turn, best source first."""
     groups = {}
