@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tessera.functions import scoring as S
 from tessera.functions.identity import attribution_weight, is_primary_source
 from tessera.functions.text import norm_fact
+from tessera.session import cut as checkpointed
 
 EDGES = (0.0, 0.4, 0.6, 0.85, 1.01)
 DECAY_GRID = (0.30, 0.40, 0.50, 0.55, 0.60, 0.66, 0.70, 0.76, 0.82)
@@ -72,10 +73,10 @@ def reputation_series(events: DataFrame, buckets: int = 8) -> DataFrame:
     Each event is copied to the cuts it belongs to (at most `buckets` times), and
     the fold runs once over all cuts.
     """
-    n = events.count()
-    cuts = sorted({max(1, round(n * i / buckets)) for i in range(1, buckets + 1)}) if n else []
-    ranked = events.withColumn("nth", F.rank().over(Window.orderBy("id"))) if n <= 1_000_000 else _numbered(events)
-    parts = ranked.withColumn("cut", F.explode(F.filter(F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<int>"), lambda c: c >= F.col("nth"))))
+    cuts, last = _cuts(events, buckets)
+    kind = dict(events.dtypes)["id"]
+    within = [F.when(F.col("id").isNull() | F.coalesce(F.col("id") <= F.lit(x).cast(kind), F.lit(False)), F.lit(c)) for c, x in zip(cuts, last)]
+    parts = events.withColumn("cut", F.explode(F.array_compact(F.array(*within)) if cuts else F.array().cast("array<int>")))
     by_cut = parts.withColumn("fact", F.concat(F.col("cut").cast("string"), F.lit(" "), norm_fact("fact")))
     f = facts(by_cut).withColumn("cut", F.regexp_extract("key", r"^(\d+)", 1).cast("int")).select("cut", "outcome", F.explode("last.sources").alias("source"), "last.n_groups")
     own = S.is_independent(is_primary_source("source"), F.coalesce("n_groups", F.lit(0)))
@@ -83,15 +84,25 @@ def reputation_series(events: DataFrame, buckets: int = 8) -> DataFrame:
     return agg.select("source", "cut", S.reputation_score(F.round(F.try_divide("c", "t"), 3), F.round(F.col("i") / F.col("n"), 3)).alias("score"))
 
 
-def _numbered(events: DataFrame) -> DataFrame:
-    """Rank by id without one task for all: range partitions, their sizes, running numbers inside."""
-    dealt = events.repartitionByRange("id").withColumn("part", F.spark_partition_id())
-    sizes = dealt.groupBy("part").count().orderBy("part").collect()  # one row per partition
+def _cuts(events: DataFrame, buckets: int) -> tuple[list[int], list]:
+    """Cuts by number of events and, for each, the last id whose rank (tied ids share it) is within the cut.
+
+    Distinct ids are counted and dealt out by range, and kept, so that no task
+    has all of them and sizes and numbers are of the same partitions.
+    """
+    ids = checkpointed(events.groupBy("id").agg(F.count("*").alias("n")).repartitionByRange("id").withColumn("part", F.spark_partition_id()))
+    sizes = ids.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect()  # one row per partition
+    n = sum(r.n for r in sizes)
+    cuts = sorted({max(1, round(n * i / buckets)) for i in range(1, buckets + 1)}) if n else []
+    if not cuts:
+        return [], []
     before, at = {}, 0
     for r in sizes:
-        before[r.part], at = at, at + r["count"]
+        before[r.part], at = at, at + r.n
     start = F.element_at(F.create_map(*[F.lit(x) for kv in before.items() for x in kv]), F.col("part"))
-    return dealt.withColumn("nth", F.row_number().over(Window.partitionBy("part").orderBy("id")) + start).drop("part")
+    w = Window.partitionBy("part").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = ids.withColumn("rank", start + F.sum("n").over(w) - F.col("n") + 1)
+    return cuts, list(ranked.agg(*[F.max(F.when(F.col("rank") <= c, F.col("id"))).alias(f"c{c}") for c in cuts]).first())
 
 
 def read_of(obs: DataFrame, decay: dict[str, float] | None = None) -> Column:

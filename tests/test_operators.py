@@ -245,6 +245,19 @@ def test_history(spark):
     assert set(series) == {("s1", 4), ("s2", 4), ("s1", 7), ("s2", 7), ("ministry", 7)}
 
 
+def test_tied_ids_are_on_one_side_of_a_cut_at_any_size(spark):
+    n, half = 1_000_004, 500_002
+    rest = ["1 AS n_groups", "1 AS independent_originators", "false AS has_primary", "'notable' AS extremity", "false AS corrected", "cast(null AS string) AS grounding", "timestamp'2024-01-01' AS ts"]
+    many = spark.range(half - 1).union(spark.range(half + 2, n)).selectExpr("id", "concat('f', id % 7) AS fact", "array('s') AS sources", *rest)
+    tied = spark.range(3).selectExpr(f"{half - 1}L AS id", "concat('tied', id) AS fact", "array(concat('t', id)) AS sources", *rest)
+    got = {(x.source, x.cut) for x in H.reputation_series(many.union(tied), buckets=2).collect()}
+    assert got == {(s, c) for s in ("s", "t0", "t1", "t2") for c in (half, n)}
+    few = tied.union(tied.withColumn("id", F.lit(None).cast("long"))).union(tied.withColumn("id", F.col("id") + 1))
+    # null ids are counted first, but no latest event can be told from them
+    assert {x.cut for x in H.reputation_series(few, buckets=3).collect()} == {6, 9}
+    assert H.reputation_series(few.where("false")).collect() == []
+
+
 def greedy(stories, country_cap=0.25, source_cap=0.2, band=0.2):
     n = len(stories)
     cc, sc = max(1, int(n * country_cap + 0.999)), max(1, int(n * source_cap + 0.999))
