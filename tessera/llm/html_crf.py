@@ -12,7 +12,9 @@ blocks are joined in page order by one space.
 
 Defined cases: null or empty html, and pages without article blocks, give an
 empty text. Null page_ids and urls are passed along, one row out per row in.
-Pages that are cut off or not well formed are read as far as they go.
+Pages that are cut off or not well formed are read as far as they go: what may
+not be in a head ends it, and an unread element without an end tag of its own
+ends where the next block starts (but scripts and styles).
 """
 
 from __future__ import annotations
@@ -32,6 +34,7 @@ from tessera.llm.html_pages import labelled_pages
 TRAIN_PAGES, EPOCHS, RATE, L2 = 500, 150, 0.15, 1e-3
 
 #: How tags shape a page.
+HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 UNREAD = frozenset("script style noscript template head title svg iframe object select option textarea math canvas audio video".split())
 BLOCK = frozenset(
@@ -43,13 +46,40 @@ _ENDS_P = BLOCK - {"li", "td", "th", "tr", "dd", "dt", "tbody", "thead", "tfoot"
 _NAME = re.compile(r"[a-z]+|[A-Z][a-z]+|[A-Z]+(?![a-z])")
 
 
-class _Reader(HTMLParser):
+class _Tokens(HTMLParser):
+    """Tags and text of a page in order; `closed` has the places of unread start tags that have an end tag of their own."""
+
+    def __init__(self, html: str) -> None:
+        super().__init__(convert_charrefs=True)
+        self.tokens: list[tuple[str, str, list | None]] = []
+        self.closed: set[int] = set()
+        self._opened: dict[str, list[int]] = {}
+        self.feed(html)
+        self.close()
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag in UNREAD:
+            self._opened.setdefault(tag, []).append(len(self.tokens))
+        self.tokens.append(("start", tag, attrs))
+
+    def handle_startendtag(self, tag: str, attrs: list) -> None:
+        self.tokens.append(("startend", tag, attrs))
+
+    def handle_endtag(self, tag: str) -> None:
+        if self._opened.get(tag):
+            self.closed.add(self._opened[tag].pop())
+        self.tokens.append(("end", tag, None))
+
+    def handle_data(self, data: str) -> None:
+        self.tokens.append(("data", data, None))
+
+
+class _Reader:
     """Leaf blocks of one page: (text, ancestor features, share of its characters in links)."""
 
     def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, frozenset[str]]] = [("", frozenset())]
-        self.unread = 0
+        self.unread: list[tuple[int, bool]] = []  # places of unread elements in the stack, and whether only an end tag ends them
         self.links = 0
         self.parts: list[str] = []
         self.linked = 0
@@ -63,12 +93,21 @@ class _Reader(HTMLParser):
             self.parts, self.linked = [], 0
 
     def _pop(self, at: int) -> None:
-        for tag, _ in self.stack[at:]:
-            self.unread -= tag in UNREAD
-            self.links -= tag == "a"
+        self.links -= sum(tag == "a" for tag, _ in self.stack[at:])
+        while self.unread and self.unread[-1][0] >= at:
+            self.unread.pop()
         del self.stack[at:]
 
-    def handle_starttag(self, tag: str, attrs: list) -> None:
+    def _end_unread(self) -> None:
+        """A block starts: end the unread elements around it that nothing else ends."""
+        while self.unread and not self.unread[-1][1]:
+            self._pop(self.unread[-1][0])
+
+    def handle_starttag(self, tag: str, attrs: list, closed: bool = False) -> None:
+        if self.stack[-1][0] == "head" and tag not in HEAD:
+            self._pop(len(self.stack) - 1)
+        if self.unread and tag in BLOCK and tag not in VOID:
+            self._end_unread()
         if tag == "br":
             self.parts.append(" ")
         if tag in BLOCK or tag in UNREAD:
@@ -88,8 +127,9 @@ class _Reader(HTMLParser):
             if k in ("class", "id", "role") and v:
                 own |= {f"name:{x.lower()}" for x in _NAME.findall(v)}
         above = frozenset(f for f in self.stack[-1][1] if f[:5] != "leaf:") if tag in BLOCK else self.stack[-1][1]
+        if tag in UNREAD:
+            self.unread.append((len(self.stack), closed and tag != "head"))
         self.stack.append((tag, above | own | ({f"leaf:{tag}"} if tag in BLOCK else set()) if own else above))
-        self.unread += tag in UNREAD
         self.links += tag == "a"
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
@@ -107,6 +147,8 @@ class _Reader(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
+        if self.stack[-1][0] == "head" and not data.isspace():
+            self._pop(len(self.stack) - 1)
         if not self.unread:
             self.parts.append(data)
             if self.links:
@@ -114,9 +156,16 @@ class _Reader(HTMLParser):
 
 
 def leaf_blocks(html: str) -> list[tuple[str, frozenset[str], float]]:
-    reader = _Reader()
-    reader.feed(html)
-    reader.close()
+    page, reader = _Tokens(html), _Reader()
+    for at, (kind, what, attrs) in enumerate(page.tokens):
+        if kind == "data":
+            reader.handle_data(what)
+        elif kind == "start":
+            reader.handle_starttag(what, attrs, at in page.closed)
+        elif kind == "end":
+            reader.handle_endtag(what)
+        else:
+            reader.handle_startendtag(what, attrs)
     reader.end_block()
     return reader.blocks
 

@@ -55,5 +55,19 @@ def test_rows_nulls_cut_pages_and_long_pages(spark):
     assert by[6].text.count("Many words go here.") == 20_000
 
 
+def test_unclosed_unread_elements_end_where_a_block_starts():
+    field = h.default_field()
+    assert h.main_text(PAGE.replace("</head>", ""), field) == WANT
+    assert h.main_text(PAGE.replace("</head><body>", ""), field) == WANT
+    assert h.main_text(PAGE.replace("</title>", "").replace("</head>", ""), field) == WANT
+    for junk in ("<select><option>One<option>Two", "<noscript>Turn scripts on.", "<object data=x>", "<svg><path d=x>", "<iframe src=x>", "<textarea>Yours", "<video src=x>", "<head><title>T", "<svg><noscript><select>"):
+        assert h.main_text(PAGE.replace("<article><h1>", f"{junk}<article><h1>"), field) == WANT, junk
+        assert h.main_text(PAGE.replace("<p>First", f"{junk}<p>First"), field) == WANT, junk
+    # closed ones are not read, whatever is in them
+    for tag in ("noscript", "object", "video", "canvas", "template"):
+        assert h.main_text(PAGE.replace("<p>First", f"<{tag}><div><p>Not to be read at all.</p></div><hr></{tag}><p>First"), field) == WANT, tag
+    assert [b[0] for b in h.leaf_blocks("<head><meta charset=x><noscript><p>No</p></noscript><title>No</title>Yes<p>And")] == ["Yes", "And"]
+
+
 def test_empty_table(spark):
     assert h.extract(spark.createDataFrame([], KINDS)).collect() == []
