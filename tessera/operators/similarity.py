@@ -44,28 +44,37 @@ def unit_vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
     return df.select(F.col(key).alias("k"), v.alias("v"), norm(v).alias("n")).where("n > 0").select("k", F.transform("v", lambda x: x / F.col("n")).alias("v"))
 
 
-def cosine_pairs(df: DataFrame, key: str, vector: str, at_least: float, blocks: int = 8) -> DataFrame:
+#: Rows of a block at most, about; and rows of a block that are multiplied at once.
+BLOCK_ROWS, TILE = 16_384, 512
+
+
+def cosine_pairs(df: DataFrame, key: str, vector: str, at_least: float, blocks: int | None = None) -> DataFrame:
     """(a, b, sim) with a < b and cosine at least `at_least`, all pairs, in blocks.
 
-    Rows are dealt to blocks by hash and every pair of blocks is one group, so
-    a group holds two blocks only and `blocks` sets its size; the products of a
-    group are one matrix product in an Arrow batch.
+    Rows are dealt to blocks by hash and every pair of blocks is one group. The
+    number of blocks grows with the rows (eight at least), so that a group has
+    about 2 * BLOCK_ROWS rows at any size; its products are made in tiles of
+    TILE rows. The work is that of all pairs, and each row is copied once a block.
     """
     import numpy as np
     import pyarrow as pa
 
     kind = dict(df.select(key).dtypes)[key]
+    blocks = blocks or max(8, -(-df.count() // BLOCK_ROWS))
 
     def product(table: pa.Table) -> pa.Table:
         k = np.array(table["k"].to_pylist(), dtype=object if kind == "string" else None)
         home, i, j = (table[c].to_numpy() for c in ("home", "i", "j"))
-        m = np.array(table["v"].to_pylist(), float)
-        left, right = home == i[0], home == j[0]
-        at, to = np.nonzero(m[left] @ m[right].T >= at_least - 1e-9)
-        a, b = k[left][at], k[right][to]
-        sim = np.einsum("ij,ij->i", m[left][at], m[right][to])
-        keep = (sim >= at_least) & ((a < b) if i[0] == j[0] else (a != b))
-        a, b, sim = a[keep], b[keep], sim[keep]
+        m = table["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(k), -1)
+        left, right = np.flatnonzero(home == i[0]), np.flatnonzero(home == j[0])
+        other, found = m[right].T, [(k[:0], k[:0], np.empty(0))]
+        for tile in (left[x : x + TILE] for x in range(0, len(left), TILE)):
+            at, to = np.nonzero(m[tile] @ other >= at_least - 1e-9)
+            at, to = tile[at], right[to]
+            sim = np.einsum("ij,ij->i", m[at], m[to])
+            keep = (sim >= at_least) & ((k[at] < k[to]) if i[0] == j[0] else (k[at] != k[to]))
+            found.append((k[at[keep]], k[to[keep]], sim[keep]))
+        a, b, sim = map(np.concatenate, zip(*found))
         swap = a > b
         return pa.table({"a": pa.array(np.where(swap, b, a).tolist(), table["k"].type), "b": pa.array(np.where(swap, a, b).tolist(), table["k"].type), "sim": sim})
 
@@ -75,7 +84,7 @@ def cosine_pairs(df: DataFrame, key: str, vector: str, at_least: float, blocks:
     return units.groupBy("i", "j").applyInArrow(product, f"a {kind}, b {kind}, sim double")
 
 
-def nearest_pairs(df: DataFrame, key: str, vector: str, k: int = 10, at_least: float = 0.5, blocks: int = 8) -> DataFrame:
+def nearest_pairs(df: DataFrame, key: str, vector: str, k: int = 10, at_least: float = 0.5, blocks: int | None = None) -> DataFrame:
     """Unordered pairs in which one row is among the k nearest of the other, above at_least; ties go to the larger key."""
     pairs = cosine_pairs(df, key, vector, at_least, blocks)
     both = pairs.select("a", "b", "sim").union(pairs.select("b", "a", "sim"))
@@ -108,7 +117,7 @@ def average_linkage(sim, threshold: float) -> list[int]:
     return label.tolist()
 
 
-def group_by_similarity(df: DataFrame, key: str, vector: str, threshold: float, blocks: int = 8) -> DataFrame:
+def group_by_similarity(df: DataFrame, key: str, vector: str, threshold: float, blocks: int | None = None) -> DataFrame:
     """(key, group): average-linkage groups; group is the smallest key in it.
 
     Groups never cross components of the graph of pairs at or above the

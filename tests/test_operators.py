@@ -173,6 +173,31 @@ def test_average_linkage(spark):
     assert sorted(sorted(g) for g in by.values() if 99 not in g) == upgma((m @ m.T).tolist(), 0.8) and len(got) == 61
 
 
+def test_cosine_blocks_grow_with_the_rows(spark, monkeypatch):
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    v = r.normal(size=(300, 6)).round(1)
+    v[50:60] = v[7]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>")
+    u = v / np.linalg.norm(v, axis=1)[:, None]
+    want = {(a, b) for a in range(300) for b in range(a + 1, 300) if u[a] @ u[b] >= 0.8}
+    monkeypatch.setattr(S, "BLOCK_ROWS", 20, raising=False)
+    monkeypatch.setattr(S, "TILE", 3, raising=False)
+    seen = []
+    frame = type(df.groupBy("id"))
+    real = frame.applyInArrow
+
+    def spy(self, f, schema):
+        seen.append(self._df.groupBy("i", "j").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0])
+        return real(self, f, schema)
+
+    monkeypatch.setattr(frame, "applyInArrow", spy)
+    got = {(x.a, x.b): x.sim for x in S.cosine_pairs(df, "id", "v", 0.8).collect()}
+    assert set(got) == want and all(abs(s - u[a] @ u[b]) < 1e-9 for (a, b), s in got.items())
+    assert seen[0] <= 60  # two blocks of about 20; blocks fixed at eight give two of about 38
+
+
 def test_scale_case_of_one_hot_vectors(spark):
     rows = [(i, [1.0 if k == i % 50 else 0.0 for k in range(50)]) for i in range(100)]
     got = S.group_by_similarity(spark.createDataFrame(rows, "id long, v array<double>"), "id", "v", 0.82).collect()
