@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tessera.functions.text import shingle_hashes
 from tessera.functions.vectors import norm
-from tessera.operators.components import connected_components
+from tessera.operators.components import connected_components, forest
+from tessera.session import cut
 
 
 def shingle_pairs(docs: DataFrame, key: str, text: str, at_least: float, k: int = 4, within: list[str] | None = None) -> DataFrame:
@@ -44,103 +45,200 @@ def unit_vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
     return df.select(F.col(key).alias("k"), v.alias("v"), norm(v).alias("n")).where("n > 0").select("k", F.transform("v", lambda x: x / F.col("n")).alias("v"))
 
 
-#: Rows of a block at most, about; and rows of a block that are multiplied at once.
-BLOCK_ROWS, TILE = 16_384, 512
+#: Rows of a block at most, about; rows of a block that are multiplied at once; vectors that one task may group; hits that a task holds before it thins them out.
+BLOCK_ROWS, TILE, GROUP_ROWS, HELD = 16_384, 512, 8_192, 1 << 22
 
 
-def cosine_pairs(df: DataFrame, key: str, vector: str, at_least: float, blocks: int | None = None) -> DataFrame:
-    """(a, b, sim) with a < b and cosine at least `at_least`, all pairs, in blocks.
+def _hits(df: DataFrame, blocks: int, at_least: float, thin=None, within: list[str] | None = None) -> DataFrame:
+    """(a, b, sim) with a < b: pairs of rows (k, v) whose product is at_least or more, unit by unit.
 
-    Rows are dealt to blocks by hash and every pair of blocks is one group. The
-    number of blocks grows with the rows (eight at least), so that a group has
-    about 2 * BLOCK_ROWS rows at any size; its products are made in tiles of
-    TILE rows. The work is that of all pairs, and each row is copied once a block.
+    Rows are dealt to blocks by hash and every pair of blocks is one unit; its
+    products are made in tiles of TILE rows. Each pair of rows comes up in one
+    unit, once. thin(a, b, sim, rank) gives the hits of a unit to go on with (a
+    and b are places of rows, rank their keys' order). within: only rows equal
+    in these columns meet. A column w divides v (the size of what v sums up).
     """
     import numpy as np
     import pyarrow as pa
 
-    kind = dict(df.select(key).dtypes)[key]
-    blocks = blocks or max(8, -(-df.count() // BLOCK_ROWS))
+    within = within or []
+    weighted = "w" in df.columns
+    kind = dict(df.dtypes)["k"]
 
     def product(table: pa.Table) -> pa.Table:
-        k = np.array(table["k"].to_pylist(), dtype=object if kind == "string" else None)
+        k = np.array(table["k"].to_pylist(), dtype=object)
+        rank = np.unique(k, return_inverse=True)[1]
         home, i, j = (table[c].to_numpy() for c in ("home", "i", "j"))
         m = table["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(k), -1)
+        if weighted:
+            m = m / table["w"].to_numpy()[:, None]
         left, right = np.flatnonzero(home == i[0]), np.flatnonzero(home == j[0])
-        other, found = m[right].T, [(k[:0], k[:0], np.empty(0))]
+        other, found, held = m[right].T, [(left[:0], left[:0], np.empty(0))], 0
+        gather = lambda: [np.concatenate(x) for x in zip(*found)]
         for tile in (left[x : x + TILE] for x in range(0, len(left), TILE)):
             at, to = np.nonzero(m[tile] @ other >= at_least - 1e-9)
             at, to = tile[at], right[to]
+            once = (rank[at] != rank[to]) & ((i[0] != j[0]) | (at < to))
+            at, to = at[once], to[once]
+            at, to = np.where(rank[at] < rank[to], at, to), np.where(rank[at] < rank[to], to, at)
             sim = np.einsum("ij,ij->i", m[at], m[to])
-            keep = (sim >= at_least) & ((k[at] < k[to]) if i[0] == j[0] else (k[at] != k[to]))
-            found.append((k[at[keep]], k[to[keep]], sim[keep]))
-        a, b, sim = map(np.concatenate, zip(*found))
-        swap = a > b
-        return pa.table({"a": pa.array(np.where(swap, b, a).tolist(), table["k"].type), "b": pa.array(np.where(swap, a, b).tolist(), table["k"].type), "sim": sim})
+            found.append(tuple(x[sim >= at_least] for x in (at, to, sim)))
+            held += len(found[-1][0])
+            if thin and held >= HELD:
+                found, held = [thin(*gather(), rank)], 0
+        a, b, sim = gather()
+        if thin:
+            a, b, sim = thin(a, b, sim, rank)
+        return pa.table({"a": pa.array(k[a].tolist(), table["k"].type), "b": pa.array(k[b].tolist(), table["k"].type), "sim": sim})
 
     home = F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int")
-    dealt = unit_vectors(df, key, vector).withColumn("home", home).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    units = dealt.select("k", "v", "home", F.least("home", "o").alias("i"), F.greatest("home", "o").alias("j"))
-    return units.groupBy("i", "j").applyInArrow(product, f"a {kind}, b {kind}, sim double")
+    dealt = df.withColumn("home", home).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    units = dealt.select(*df.columns, "home", F.least("home", "o").alias("i"), F.greatest("home", "o").alias("j"))
+    return units.groupBy(*within, "i", "j").applyInArrow(product, f"a {kind}, b {kind}, sim double")
+
+
+def _n_blocks(df: DataFrame) -> int:
+    """Blocks of about BLOCK_ROWS rows, eight at least."""
+    return max(8, -(-df.count() // BLOCK_ROWS))
+
+
+def _nearest(n: int, smallest: bool):
+    """Thins hits out to those that are among the n nearest of one of their rows; ties go to the larger key, or (smallest) to the smallest pair of keys."""
+    import numpy as np
+
+    def thin(a, b, sim, rank):
+        keep, hit = np.zeros(len(a), bool), np.concatenate([np.arange(len(a))] * 2)
+        one, two = rank[np.concatenate([a, b])], rank[np.concatenate([b, a])]
+        tie = (np.maximum(one, two), np.minimum(one, two)) if smallest else (-two,)
+        order = np.lexsort((*tie, -sim[hit], one))
+        start = np.flatnonzero(np.diff(one[order], prepend=-1))
+        nth = np.arange(len(order)) - np.repeat(start, np.diff(np.append(start, len(order))))
+        keep[hit[order[nth < n]]] = True
+        return a[keep], b[keep], sim[keep]
+
+    return thin
+
+
+def _stars(a, b, sim, rank):
+    """Thins hits out to stars that join the same rows: minima are handed on until they stay."""
+    import numpy as np
+
+    label = np.arange(len(rank))
+    while (apart := label[a] != label[b]).any():
+        a, b = a[apart], b[apart]
+        np.minimum.at(label, np.maximum(label[a], label[b]), np.minimum(label[a], label[b]))
+        while (to := label[label]).tolist() != label.tolist():
+            label = to
+    hung = np.flatnonzero(label != np.arange(len(rank)))
+    return label[hung], hung, np.ones(len(hung))
+
+
+def cosine_pairs(df: DataFrame, key: str, vector: str, at_least: float, blocks: int | None = None) -> DataFrame:
+    """(a, b, sim) with a < b and cosine at least `at_least`: all pairs, in blocks of a fixed number of rows.
+
+    The work is that of all pairs, and each row is copied once a block.
+    """
+    return _hits(unit_vectors(df, key, vector), blocks or _n_blocks(df), at_least)
 
 
 def nearest_pairs(df: DataFrame, key: str, vector: str, k: int = 10, at_least: float = 0.5, blocks: int | None = None) -> DataFrame:
-    """Unordered pairs in which one row is among the k nearest of the other, above at_least; ties go to the larger key."""
-    pairs = cosine_pairs(df, key, vector, at_least, blocks)
+    """Unordered pairs in which one row is among the k nearest of the other, above at_least; ties go to the larger key.
+
+    A unit passes on the k nearest of its rows only, so what is shuffled grows with rows and blocks, not with pairs.
+    """
+    pairs = _hits(unit_vectors(df, key, vector), blocks or _n_blocks(df), at_least, _nearest(k, smallest=False))
     both = pairs.select("a", "b", "sim").union(pairs.select("b", "a", "sim"))
     near = both.withColumn("nth", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("sim"), F.desc("b")))).where(F.col("nth") <= k)
     return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sim").groupBy("a", "b").agg(F.max("sim").alias("sim"))
 
 
-def average_linkage(sim, threshold: float) -> list[int]:
-    """Labels of rows merged while the best mean similarity of two groups is at least threshold.
+def average_linkage(sums, sizes, threshold: float) -> list[int]:
+    """Group labels (lowest row of each group) of rows that stand for `sizes` unit vectors with the given sums.
 
-    The first pair in row order wins ties; a group keeps its lowest index.
+    The mean cosine of two groups is the product of their sums over the product
+    of their sizes, so no matrix of pairs is held: a chain of nearest neighbours
+    is followed until its last two are nearest to each other, and these merge.
+    Average linkage is reducible, so this gives the groups of merging the best
+    pair first, ties aside. A row whose nearest is too far is done for good.
     """
     import numpy as np
 
-    s = np.array(sim, float)
-    n = len(s)
-    np.fill_diagonal(s, -np.inf)
-    size, label = np.ones(n), np.arange(n)
-    while n > 1:
-        flat = int(np.argmax(s))
-        i, j = sorted(divmod(flat, len(s)))
-        if s[i, j] < threshold:
-            break
-        s[i] = (size[i] * s[i] + size[j] * s[j]) / (size[i] + size[j])
-        s[i, i] = -np.inf
-        s[:, i] = s[i]
-        s[j], s[:, j] = -np.inf, -np.inf
-        size[i] += size[j]
-        label[label == j] = i
-    return label.tolist()
+    sums, sizes = np.array(sums, float), np.array(sizes, float)
+    up, live, chain = np.arange(len(sums)), np.ones(len(sums), bool), []
+    for start in range(len(sums)):
+        while live[start]:
+            chain = chain or [start]
+            top = chain[-1]
+            mean = np.where(live, sums @ sums[top] / (sizes * sizes[top]), -np.inf)
+            mean[top] = -np.inf
+            near = int(np.argmax(mean))
+            if len(chain) > 1 and mean[chain[-2]] >= mean[near] - 1e-12:
+                near = chain[-2]
+            if mean[near] < threshold:
+                live[chain.pop()] = False
+            elif near not in chain[-2:-1]:
+                chain.append(near)
+            else:
+                keep, gone = sorted((top, near))
+                sums[keep] += sums[gone]
+                sizes[keep] += sizes[gone]
+                up[gone], live[gone] = keep, False
+                del chain[-2:]
+    for x in range(len(up)):
+        up[x] = up[up[x]]
+    return up.tolist()
+
+
+def _merge_mutual(state: DataFrame, threshold: float) -> DataFrame:
+    """(x, gone) of all pairs of groups that are nearest to each other within their component, x being the smaller."""
+    hits = _hits(state, _n_blocks(state), threshold, _nearest(1, smallest=True), ["component"])
+    ends = hits.select(F.inline(F.array(*[F.struct(F.col(c).alias("k"), (-F.col("sim")).alias("s"), F.col("a").alias("x"), F.col("b").alias("y")) for c in "ab"])))
+    best = ends.groupBy("k").agg(F.min(F.struct("s", "x", "y")).alias("m")).groupBy("m.x", "m.y").agg(F.count("*").alias("n"))
+    return best.where("n = 2").select("x", F.col("y").alias("gone"))
 
 
 def group_by_similarity(df: DataFrame, key: str, vector: str, threshold: float, blocks: int | None = None) -> DataFrame:
     """(key, group): average-linkage groups; group is the smallest key in it.
 
-    Groups never cross components of the graph of pairs at or above the
-    threshold (a merge needs a mean at least as high), so each component is
-    clustered alone.
+    Equal vectors are one row with a weight. Groups never cross components of the
+    graph of pairs at or above the threshold (a merge needs a mean at least as
+    high), so each component is grouped alone: by rounds of mutual merges while
+    it has more than GROUP_ROWS groups, else in one task, whose memory is that of
+    its vectors. Which of several equally near groups merge first is not defined.
     """
-    import numpy as np
     import pyarrow as pa
 
     kind = dict(df.select(key).dtypes)[key]
-    pairs = cosine_pairs(df, key, vector, threshold - 1e-9, blocks)
-    part = connected_components(pairs.select("a", "b"))
+    units = unit_vectors(df, key, vector)
+    alike = cut(units.groupBy("v").agg(F.min("k").alias("k"), F.count("*").cast("double").alias("w")))
+    part = connected_components(_hits(alike.select("k", "v"), blocks or _n_blocks(alike), threshold - 1e-9, _stars))
+    state = cut(alike.join(part, F.col("k") == F.col("node")).select("k", F.transform("v", lambda x: x * F.col("w")).alias("v"), "w", "component"))
+    named = state.select(F.col("k").alias("rep"), "k")
+    while True:
+        big = state.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > GROUP_ROWS).select("component")
+        if big.isEmpty():
+            break
+        large, rest = state.join(big, "component", "left_semi"), state.join(big, "component", "left_anti")
+        merged = cut(_merge_mutual(large.select("k", "v", "w", "component"), threshold))
+        moved = cut(large.join(merged.select("gone", "x"), F.col("k") == F.col("gone"), "left").select(F.coalesce("x", "k").alias("k"), "v", "w", "component", F.col("x").isNotNull().alias("joins")))
+        # components in which nothing merges any more are done; in the others two vectors at most become one
+        still = moved.where("joins").select("component").distinct()
+        add = lambda a, b: F.when(F.size(a) == 0, b).otherwise(F.zip_with(a, b, lambda x, y: x + y))
+        one = F.aggregate(F.collect_list("v"), F.array().cast("array<double>"), add).alias("v")
+        summed = moved.join(still, "component", "left_semi").groupBy("component", "k").agg(one, F.sum("w").alias("w"))
+        state = cut(rest.select("k", "v", "w", "component").unionByName(summed.select("k", "v", "w", "component")))
+        named = cut(named.join(merged, F.col("k") == F.col("gone"), "left").select("rep", F.coalesce("x", "k").alias("k")))
 
     def merge(table: pa.Table) -> pa.Table:
         table = table.sort_by("k")
-        k = table["k"].to_pylist()
-        m = np.array(table["v"].to_pylist(), float)
-        labels = average_linkage(m @ m.T, threshold)
-        return pa.table({"k": table["k"], "group": pa.array([k[x] for x in labels], table["k"].type)})
-
-    inside = unit_vectors(df, key, vector).join(part, F.col("k") == F.col("node")).select("k", "v", "component")
-    grouped = inside.groupBy("component").applyInArrow(merge, f"k {kind}, group {kind}")
-    return df.select(F.col(key).alias("k")).join(grouped, "k", "left").select(F.col("k").alias(key), F.coalesce("group", "k").alias("group"))
+        v = table["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(table), -1)
+        labels = average_linkage(v, table["w"].to_numpy(), threshold)
+        return pa.table({"k": table["k"], "g": table["k"].take(pa.array(labels))})
+
+    grouped = state.select("component", "k", "v", "w").groupBy("component").applyInArrow(merge, f"k {kind}, g {kind}")
+    named = named.join(grouped, "k", "left").select("rep", F.coalesce("g", "k").alias("g"))
+    member = units.join(alike.select(F.col("k").alias("rep"), "v"), "v").select("k", "rep").join(named, "rep", "left").select("k", F.coalesce("g", "rep").alias("g"))
+    return df.select(F.col(key).alias("k")).join(member, "k", "left").select(F.col("k").alias(key), F.coalesce("g", "k").alias("group"))
 
 
 def semantic_search(stories: DataFrame, query: Column, least: float = 0.08) -> DataFrame:

@@ -89,17 +89,24 @@ def test_interests(spark):
     ("title", "source", "want"),
     [
         ("Happy News: Stories to make you smile - BBC Newsround", "bbc.co.uk", "Happy News: Stories to make you smile"), ("Markets fall again | The Guardian", "theguardian.com", "Markets fall again"),
-        ("War - what is it good for", "x.com", "War - what is it good for"), ("Reuters: Oil climbs on supply fears", "reuters.com", "Oil climbs on supply fears"), ("", "x.com", ""), (None, None, ""),
+        ("War - what is it good for", "x.com", "War - what is it good for"), ("Trump signs the order - The New York Times", "nytimes.com", "Trump signs the order"),
+        ("Happy News: Stories to make you smile", "bbc.co.uk", "Happy News: Stories to make you smile"), ("BBC: Floods displace thousands in the region", "bbc.co.uk", "Floods displace thousands in the region"),
+        ("Apple unveils a thinner laptop - hands on first impressions", "example.com", "Apple unveils a thinner laptop - hands on first impressions"), ("A tale - of two | Daily Bugle", "x.io", "A tale - of two"), ("Reuters: Oil climbs on supply fears", "reuters.com", "Oil climbs on supply fears"), ("", "x.com", ""), (None, None, ""),
     ],
 )
-def test_clean_title(title, source, want):
-    assert T.plain_title(title, source) == want
+def test_clean_title(spark, title, source, want):
+    assert one(spark, T.clean_title(F.lit(title).cast("string"), F.lit(source).cast("string"))) == want
 
 
-def test_clean_body():
+def test_clean_body(spark):
+    clean = lambda t, title="": one(spark, T.clean_body(F.lit(t).cast("string"), F.lit(title)))
     raw = "# A headline here\n\n![img](x.png)\n* First point is [linked](http://a.b/c).\r\n[Home](/home)\nShare\n1 day ago\nText.\nText.\n\n\n\nhttps://x.y/z\nEnd."
-    once = T.plain_body(raw, "A headline here")
-    assert once == "First point is linked.\nText.\n\nEnd." and T.plain_body(once, "A headline here") == once and T.plain_body(None) == ""
+    once = clean(raw, "A headline here")
+    assert once == "First point is linked.\nText.\n\nEnd." and clean(once, "A headline here") == once and clean(None) == ""
+    wrapped = "A long label that goes on\n](/story/a-b/)\nBy A Writer [![Link](i.png)](/x) and [here](#top)\n[![Link](i.png)](http://e.f)\n\t \nДа\n2. Read more\n3 weeks ago\n12 weeks ago today"
+    assert clean(wrapped) == "A long label that goes on\nBy A Writer and here\n\n12 weeks ago today".replace("Writer and", "Writer  and")
+    prose = "The bank held rates on Thursday.\n\nOfficials cited costs (see page 2) and an array[3] of reasons."
+    assert clean(prose) == prose
 
 
 def test_index_pages(spark):
@@ -108,6 +115,14 @@ def test_index_pages(spark):
     assert page("x", "\n".join(["[a](b)"] * 9)) and not page("x", "\n".join(["[a](b)"] * 9 + ["This is a long line of prose that ends with a full stop here."] * 3))
 
 
+def test_section_titles_and_brands(spark):
+    page = lambda t, b="": one(spark, T.is_index_page(F.lit(t), F.lit(b)))
+    assert page("Climate — News & Analysis") and page("Tech News Archives") and page("News,photos of the day") and not page("Fed holds rates steady", "Prose.")
+    assert not page("Latest news on the merger talks emerges") and not page("Happy News: Stories to make you smile - BBC Newsround") and not page("The archivist resigns")
+    brands = lambda s: one(spark, T.brand_tokens(F.lit(s).cast("string")))
+    assert brands("www.theguardian.com/uk") == ["theguardian", "guardian"] and brands("bbc.co.uk") == ["bbc"] and brands("x.com") == [] and brands(None) == [] and brands("thesun.co.uk:80") == ["thesun", "sun"]
+
+
 def test_triage(spark):
     got = lambda t, h="": one(spark, T.triage(F.lit(t), F.lit(h)))
     assert got("The page crashes with an error")["category"] == "bug" and got("The page crashes with an error")["route"] == "auto-fix"

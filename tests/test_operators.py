@@ -154,23 +154,51 @@ def upgma(sim, t):
         groups[best[1]] += groups.pop(best[2])
 
 
-def test_average_linkage(spark):
+def test_average_linkage(spark, monkeypatch):
     import numpy as np
 
     r = np.random.default_rng(1)
-    for _ in range(20):
-        v = r.normal(size=(9, 3))
+    groups = lambda labels: sorted(sorted(i for i, x in enumerate(labels) if x == k) for k in set(labels))
+    for n in (0, 1, 2, 9, 9, 9, 9, 9, 9, 9, 9, 14, 25, 40):
+        v = r.normal(size=(n, 3))
         v /= np.linalg.norm(v, axis=1)[:, None]
-        labels = S.average_linkage(v @ v.T, 0.5)
-        assert sorted(sorted(i for i, x in enumerate(labels) if x == k) for k in set(labels)) == upgma((v @ v.T).tolist(), 0.5)
+        for t in (0.2, 0.5, 0.8):
+            assert groups(S.average_linkage(v, np.ones(n), t)) == upgma((v @ v.T).tolist(), t)
+    # 500 pairs of equal vectors, orthogonal to each other
+    pairs = np.repeat(np.eye(500), 2, axis=0)
+    assert groups(S.average_linkage(pairs, np.ones(1000), 0.82)) == [[2 * i, 2 * i + 1] for i in range(500)]
     rows = [(i, [float(x) for x in r.normal(size=4)]) for i in range(60)] + [(99, [0.0] * 4)]
-    got = S.group_by_similarity(spark.createDataFrame(rows, "id long, v array<double>"), "id", "v", 0.8, blocks=3).collect()
-    m = np.array([v for _, v in rows[:60]])
+    rows += [(100 + i, [2 * x for x in rows[i % 3][1]]) for i in range(12)]  # copies in all but length
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    at = [i for i, _ in rows if i != 99]
+    m = np.array([v for i, v in rows if i != 99])
     m /= np.linalg.norm(m, axis=1)[:, None]
-    by = {}
-    for x in got:
-        by.setdefault(x.group, []).append(x.id)
-    assert sorted(sorted(g) for g in by.values() if 99 not in g) == upgma((m @ m.T).tolist(), 0.8) and len(got) == 61
+    want = sorted(sorted(at[i] for i in g) for g in upgma((m @ m.T).tolist(), 0.7))
+    for bound in (8192, 5):  # in one task, and in rounds on Spark
+        monkeypatch.setattr(S, "GROUP_ROWS", bound)
+        got = S.group_by_similarity(df, "id", "v", 0.7, blocks=3).collect()
+        by = {}
+        for x in got:
+            by.setdefault(x.group, []).append(x.id)
+        assert sorted(sorted(g) for g in by.values() if 99 not in g) == want and len(got) == 73 and all(min(g) == k for k, g in by.items())
+
+
+def test_nearest_pairs_are_thinned_in_tasks(spark, monkeypatch):
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    v = r.normal(size=(120, 3))
+    u = v / np.linalg.norm(v, axis=1)[:, None]
+    sim = u @ u.T
+    want = set()
+    for i in range(120):
+        near = sorted(((sim[i, j], j) for j in range(120) if j != i and sim[i, j] >= 0.5), reverse=True)[:4]
+        want |= {(min(i, j), max(i, j)) for _, j in near}
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>")
+    monkeypatch.setattr(S, "HELD", 50)
+    monkeypatch.setattr(S, "TILE", 7)
+    got = [(x.a, x.b) for x in S.nearest_pairs(df, "id", "v", 4, 0.5, blocks=2).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
 
 
 def test_cosine_blocks_grow_with_the_rows(spark, monkeypatch):
