@@ -6,26 +6,31 @@ those probabilities are out of fold (FOLDS folds by crc32(doc_id)), so a later
 model never learns from a probability that has seen its own label.
 
 The last category is the labelled one, `toxic`. The labels know no finer ones,
-so the earlier categories are weak: a row has one if it is labelled toxic and
-holds one of the category's seed words (a parameter).
-
-Features are the presence of lower-case words and of their first PREFIX
-letters. They are screened on Spark by log-likelihood ratio against `toxic`
-(MIN_GAIN at least, so that chance alone brings in next to none), and the best
-VOCABULARY of them stay. Models are fitted on at most TRAIN_ROWS
+so the earlier categories are learned from the labelled evidence: the toxic
+training rows are clustered by their features (spherical k-means, KINDS
+clusters, largest first), and a row has category kind_k if it is toxic and in
+cluster k. On texts in several languages these are the wordings of toxicity.
+
+Features are the presence of lower-case words and, for each of their first
+letters of each length in PREFIXES, whether 1, 2 or 3 different words start with
+them: forms of one word count together, and one chance likeness counts less than
+three. Those whose log-likelihood ratio for `toxic` is at least MIN_GAIN stay,
+counted on Spark over the training rows. Models are fitted on at most TRAIN_ROWS
 labelled rows per label value, those of least xxhash64(doc_id); every text of
 the table is scored whole.
 
 Defined cases: a null text counts as empty and gets the probabilities of no
 features. Null doc_ids are scored and never learned from. Of repeated label
 rows the largest label counts. Without labelled rows of both values every
-probability is 0. No rows in, no rows out.
+probability is 0. Repeated rows are scored each; very long texts are read whole;
+other columns are not read, whatever their names. No rows in, no rows out.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,19 +41,19 @@ from pyspark.sql import DataFrame, functions as F
 from tessera.llm.common import batch, small, texts
 from tessera.session import cut
 
-TRAIN_ROWS, VOCABULARY, PREFIX, FOLDS, THRESHOLD, MIN_GAIN = 10_000, 2048, 5, 5, 0.35, 7.5
-#: Seed words of the weak categories, in the order of the chain.
-SEEDS = {
-    "insult": "idiot moron stupid dumb loser clown fool jerk".split(),
-    "contempt": "scum trash worthless disgusting pathetic vile filth garbage".split(),
-}
+TRAIN_ROWS, KINDS, FOLDS, THRESHOLD, MIN_GAIN = 10_000, 2, 5, 0.5, 5.0
+PREFIXES, LEVELS = range(3, 9), 3
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def features(text: str) -> set[str]:
-    """Words of a text and, marked by a leading bar, the first letters of longer ones."""
+def features(text: str, known: dict[str, int] | None = None) -> list[str]:
+    """Words of a text, and a bar, first letters and 1, 2 or 3 for these letters of that many words; of `known` features only, if given."""
     words = set(_WORD.findall(text.lower()))
-    return words | {"|" + w[:PREFIX] for w in words if len(w) > PREFIX}
+    heads = Counter(w[:k] for w in words for k in PREFIXES if len(w) > k)
+    found = [*words, *(f"|{h}{j + 1}" for h, n in heads.items() for j in range(min(n, LEVELS)))] if known is None else [w for w in words if w in known]
+    if known is not None:
+        found += [f for h, n in heads.items() if f"|{h}1" in known or n > 1 for j in range(min(n, LEVELS)) if (f := f"|{h}{j + 1}") in known]
+    return found
 
 
 def _logistic(x: np.ndarray) -> np.ndarray:
@@ -74,7 +79,8 @@ class Rows:
         return np.bincount(self.ids, np.repeat(per_row, np.diff(self.start)), size)
 
     def take(self, keep: np.ndarray) -> Rows:
-        return Rows.of([self.ids[self.start[i] : self.start[i + 1]].tolist() for i in np.flatnonzero(keep)])
+        size = np.diff(self.start)
+        return Rows(self.ids[np.repeat(keep, size)], np.concatenate([[0], np.cumsum(size[keep])]))
 
 
 @dataclass
@@ -119,7 +125,7 @@ class Chain:
 
     def rows(self, found: list[str]) -> Rows:
         known = self.vocabulary
-        return Rows.of([[known[f] for f in features(t) & known.keys()] for t in found])
+        return Rows.of([[known[f] for f in features(t, known)] for t in found])
 
 
 def fit_chain(names: list[str], vocabulary: dict[str, int], x: Rows, y: np.ndarray, fold: np.ndarray) -> Chain:
@@ -139,10 +145,30 @@ def fit_chain(names: list[str], vocabulary: dict[str, int], x: Rows, y: np.ndarr
     return Chain(names, vocabulary, models)
 
 
-def learn(docs: DataFrame, labels: DataFrame, seeds: dict[str, list[str]] | None = None, train_rows: int = TRAIN_ROWS) -> Chain:
+def kinds_of(x: Rows, size: int, n: int, rounds: int = 20) -> np.ndarray:
+    """The cluster (0 the largest) of each row by spherical k-means; centres start far apart, the first at the row with most features."""
+    count = np.diff(x.start)
+    norm = np.sqrt(np.maximum(count, 1))
+    dense = lambda i: np.bincount(x.ids[x.start[i] : x.start[i + 1]], minlength=size) / norm[i]
+    centres = [dense(int(np.argmax(count)))]
+    while len(centres) < n:
+        centres.append(dense(int(np.argmin(np.max([x.times(c) / norm for c in centres], axis=0) - (count > 0)))))
+    label = np.zeros(len(count), int)
+    for _ in range(rounds):
+        now = np.argmax([x.times(c) / norm for c in centres], axis=0)
+        if (now == label).all() and _:
+            break
+        label = now
+        for k in range(n):
+            c = x.gather((label == k) / norm, size)
+            centres[k] = c / max(1e-12, np.sqrt(c @ c))
+    order = np.argsort(-np.bincount(label, minlength=n), kind="stable")
+    return np.argsort(order)[label]
+
+
+def learn(docs: DataFrame, labels: DataFrame, kinds: int = KINDS, train_rows: int = TRAIN_ROWS) -> Chain:
     """Screen features on Spark and fit the chain on a bounded sample of labelled rows."""
-    seeds = SEEDS if seeds is None else seeds
-    names = [*seeds, "toxic"]
+    names = [*(f"kind_{k + 1}" for k in range(kinds)), "toxic"]
     known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("y"))
     chosen = {r.doc_id: r.y for v in (0, 1) for r in known.where(F.col("y") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows).collect()}
     if len(set(chosen.values())) < 2:
@@ -151,39 +177,48 @@ def learn(docs: DataFrame, labels: DataFrame, seeds: dict[str, list[str]] | None
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small(batches):
             at = [(i, d) for i, d in enumerate(b.column(0).to_pylist()) if d in chosen]
-            found = [sorted(features(t)) for t in texts(b.column(1).take(pa.array([i for i, _ in at], pa.int64())))]
-            yield batch("doc_id y f", pa.array([d for _, d in at], pa.int64()), pa.array([chosen[d] for _, d in at], pa.int32()), pa.array(found, pa.list_(pa.string())))
+            yield batch("doc_id y text", pa.array([d for _, d in at], pa.int64()), pa.array([chosen[d] for _, d in at], pa.int32()), b.column(1).take(pa.array([i for i, _ in at], pa.int64())))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: tuple[Counter, Counter] = Counter(), Counter()
+
+        def out() -> pa.RecordBatch:
+            words = sorted({*seen[0], *seen[1]})
+            part = batch("w a b", pa.array(words, pa.string()), *[pa.array([seen[v][w] for w in words], pa.int64()) for v in (1, 0)])
+            seen[0].clear(), seen[1].clear()
+            return part
+
+        for b in small(batches):
+            for y, t in zip(b.column(0).to_pylist(), texts(b.column(1))):
+                seen[y].update(features(t))
+            if len(seen[0]) + len(seen[1]) > 1_000_000:
+                yield out()
+        yield out()
 
-    sample = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(go, "doc_id long, y int, f array<string>"))
+    sample = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(go, "doc_id long, y int, text string"))
     total = sample.agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b")).first()
     if not total.a or not total.b:
         return Chain(names, {}, [])
-    count = sample.select("y", F.explode("f").alias("w")).groupBy("w").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b")).where("a >= 3")
+    count = sample.select("y", "text").mapInArrow(counted, "w string, a long, b long").groupBy("w").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     share = (F.col("a") + F.col("b")) / (total.a + total.b)
     part = lambda n, of: F.when(n > 0, n * F.log(n / (of * share))).otherwise(0.0)
     gain = F.round(part(F.col("a"), F.lit(total.a)) + part(F.col("b"), F.lit(total.b)), 6)
-    best = count.where((F.col("a") / total.a > F.col("b") / total.b) & (gain >= MIN_GAIN)).orderBy(gain.desc(), "w").limit(VOCABULARY).collect()
-    vocabulary = {r.w: k for k, r in enumerate(best)}
-    of_seed = {w: k for k, ws in enumerate(seeds.values()) for w in ws}
-    wanted = sorted({*vocabulary, *of_seed})
-    rows = sample.select("doc_id", "y", F.array_intersect("f", F.array(*map(F.lit, wanted))).alias("f")).collect() if len(wanted) < 64 else _restricted(sample, set(wanted)).collect()
-    rows = sorted(rows, key=lambda r: (r.doc_id, r.y, r.f))
-    x = Rows.of([[vocabulary[f] for f in r.f if f in vocabulary] for r in rows])
-    y = np.zeros((len(rows), len(names)))
-    for i, r in enumerate(rows):
-        y[i, -1] = r.y
-        for f in r.f:
-            if r.y and f in of_seed:
-                y[i, of_seed[f]] = 1
-    return fit_chain(names, vocabulary, x, y, np.array([zlib.crc32(str(r.doc_id).encode()) % FOLDS for r in rows]))
+    best = count.where((F.col("a") / total.a > F.col("b") / total.b) & (gain >= MIN_GAIN)).select("w").collect()  # bounded by the sample
+    vocabulary = {w: k for k, w in enumerate(sorted(r.w for r in best))}
 
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small(batches):
+            ids = [sorted(vocabulary[f] for f in features(t, vocabulary)) for t in texts(b.column(2))]
+            yield batch("doc_id y ids", b.column(0), b.column(1), pa.array(ids, pa.list_(pa.int32())))
 
-def _restricted(sample: DataFrame, wanted: set[str]) -> DataFrame:
-    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield batch("doc_id y f", b.column(0), b.column(1), pa.array([[f for f in fs if f in wanted] for fs in b.column(2).to_pylist()], pa.list_(pa.string())))
-
-    return sample.mapInArrow(go, "doc_id long, y int, f array<string>")
+    rows = sorted(sample.mapInArrow(found, "doc_id long, y int, ids array<int>").collect(), key=lambda r: (r.doc_id, r.y, r.ids))
+    x = Rows.of([r.ids for r in rows])
+    y = np.zeros((len(rows), len(names)))
+    y[:, -1] = [r.y for r in rows]
+    toxic = np.flatnonzero(y[:, -1])
+    if kinds:
+        y[toxic, kinds_of(x.take(y[:, -1] == 1), len(vocabulary), kinds)] = 1
+    return fit_chain(names, vocabulary, x, y, np.array([zlib.crc32(str(r.doc_id).encode()) % FOLDS for r in rows]))
 
 
 def score(docs: DataFrame, chain: Chain) -> DataFrame:

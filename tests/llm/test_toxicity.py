@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from tessera.llm import toxicity as tx
 
 DOCS, LABELS = "doc_id long, text string, toxic string, y string", "doc_id long, quality int, toxic int"
@@ -29,11 +31,48 @@ def test_finds_unlabelled_toxic_documents_and_leaves_clean_ones(spark):
 
 
 def test_chain_feeds_earlier_probabilities(spark):
+    """Kinds come from the evidence: documents of two vocabularies fall into two kinds."""
     docs, labels = corpus(300)
+    r = random.Random(1)
+    docs = [(d, t + " " + " ".join(r.sample(["quorf", "quelb", "quimp", "quast"] if d % 16 else ["zodd", "zund", "zarp", "zilk"], 3)) if y else t, a, b) for (d, t, a, b), (_, _, y) in zip(docs, labels)]
     chain = tx.learn(spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, LABELS))
-    assert chain.names == ["insult", "contempt", "toxic"] and [len(m.earlier) for m in chain.models] == [0, 1, 2]
-    p = chain.predict(chain.rows(["you idiot", "what scum", "a calm text"]))
-    assert p[0, 0] > p[0, 1] and p[1, 1] > p[1, 0] and p[0, 2] > 0.5 > p[2, 2]
+    assert chain.names == ["kind_1", "kind_2", "toxic"] and [len(m.earlier) for m in chain.models] == [0, 1, 2]
+    p = chain.predict(chain.rows(["quorf quelb quimp ta", "zodd zund zarp ta", "a calm text"]))
+    assert abs(p[0, 0] - p[1, 0]) > 0.4 and abs(p[0, 1] - p[1, 1]) > 0.4 and min(p[0, 2], p[1, 2]) > 0.5 > p[2, 2]
+
+
+def test_chain_against_a_plain_one():
+    """Out-of-fold inputs, models and predictions equal those of a plain dense version."""
+    r = np.random.default_rng(3)
+    n, size = 60, 7
+    dense = (r.random((n, size)) < 0.3).astype(float)
+    y = np.column_stack([dense[:, 0], (dense[:, 0] + dense[:, 1] > 0) * 1.0])
+    fold = np.arange(n) % tx.FOLDS
+    chain = tx.fit_chain(["a", "b"], {str(i): i for i in range(size)}, tx.Rows.of([np.flatnonzero(v).tolist() for v in dense]), y, fold)
+
+    def fit(x, t, l2=1e-4, rate=0.1):
+        w, m, v = np.zeros(x.shape[1] + 1), 0.0, 0.0
+        one = np.column_stack([x, np.ones(len(x))])
+        weight = np.where(t == 1, 0.5 / max(1, t.sum()), 0.5 / max(1, (1 - t).sum()))
+        for step in range(1, 301):
+            g = one.T @ ((t - 1 / (1 + np.exp(-one @ w))) * weight)
+            g[:-1] -= l2 * w[:-1]
+            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+            w = w + rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
+        return lambda z: 1 / (1 + np.exp(-np.column_stack([z, np.ones(len(z))]) @ w))
+
+    first = fit(dense, y[:, 0])
+    out = np.zeros(n)
+    for f in range(tx.FOLDS):
+        out[fold == f] = fit(dense[fold != f], y[fold != f, 0])(dense[fold == f])
+    second = fit(np.column_stack([dense, out]), y[:, 1])
+    want = np.column_stack([first(dense), second(np.column_stack([dense, first(dense)]))])
+    assert np.allclose(chain.predict(tx.Rows.of([np.flatnonzero(v).tolist() for v in dense])), want, atol=1e-6)
+
+
+def test_features_by_hand():
+    assert sorted(tx.features("Abcd abcd abce")) == ["abcd", "abce", "|abc1", "|abc2"]
+    assert tx.features("abcd abce abcf abcg", {"|abc3": 0, "abcd": 1}) == ["abcd", "|abc3"] and tx.features("") == []
 
 
 def test_nulls_repeats_long_and_degenerate_labels(spark):
