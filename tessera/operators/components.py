@@ -2,9 +2,8 @@
 
 Large-star / small-star rounds (Kiveris et al., "Connected Components in
 MapReduce and Beyond", 2014): every round is two grouped minima and two joins,
-so a hub of any degree is pre-aggregated before it is shuffled. The minima carry
-a key of their own, so the join shuffles both sides for itself and adaptive
-execution can split a hub's side.
+so a hub of any degree is pre-aggregated before it is shuffled, and the minima of
+the largest hubs are broadcast to their edges (join_per_key).
 """
 
 from __future__ import annotations
@@ -14,6 +13,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from tessera.operators.skew import join_per_key
 from tessera.session import cut
 
 
@@ -45,12 +45,12 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One large-star or small-star step over edges (a, b) with a > b."""
     near = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges
-    low = near.groupBy("a").agg(F.max("a").alias("of"), F.least(F.max("a"), F.min("b")).alias("m")).select("of", "m")
-    hung = near.join(low, F.col("a") == F.col("of")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+    low = near.groupBy("a").agg(F.least(F.max("a"), F.min("b")).alias("m"), F.count("*").alias("n"))
+    hung = join_per_key(near, low, ["a"]).select(F.col("b").alias("a"), F.col("m").alias("b"))
     if large:
-        hung = hung.where(F.col("a") > F.col("b")).union(low.where("of > m").select("of", "m"))
+        hung = hung.where(F.col("a") > F.col("b")).union(low.where("a > m").select("a", "m"))
     else:
-        hung = hung.union(low).where(F.col("a") != F.col("b"))
+        hung = hung.union(low.select("a", "m")).where(F.col("a") != F.col("b"))
     return hung.distinct()
 
 
@@ -74,7 +74,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
     for _ in range(rounds):
         if _all_stars(now):
             break
-        now = cut(_star(_star(now, large=True), large=False))
+        now = cut(_star(cut(_star(now, large=True)), large=False))
     else:
         raise RuntimeError(f"no fixed point after {rounds} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(

@@ -405,3 +405,16 @@ def test_order_of_rows_does_not_matter(spark, seed):
     one = sorted(connected_components(spark.createDataFrame(edges, "a long, b long")).collect())
     r.shuffle(edges)
     assert sorted(connected_components(spark.createDataFrame([(b, a) for a, b in edges], "a long, b long")).collect()) == one
+
+
+def test_join_per_key_equals_a_join(spark):
+    from tessera.operators.skew import join_per_key
+
+    r = random.Random(2)
+    rows = [(r.choice([None, 1, 1, 1, 2, *range(3, 40)]), i) for i in range(300)]
+    df = spark.createDataFrame(rows, "k long, i long")
+    per = df.where("k % 5 > 0").groupBy("k").agg(F.count("*").alias("n"), F.max("i").alias("top"))
+    want = sorted(map(tuple, df.join(per, "k").collect()))
+    for top in (1, 4, 1000):
+        assert sorted(map(tuple, join_per_key(df, per, ["k"], top=top).collect())) == want
+    assert join_per_key(df.where("false"), per, ["k"]).collect() == []
