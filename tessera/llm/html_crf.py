@@ -14,12 +14,15 @@ Defined cases: null or empty html, and pages without article blocks, give an
 empty text. Null page_ids and urls are passed along, one row out per row in.
 Pages that are cut off or not well formed are read as far as they go: what may
 not be in a head ends it, and an unread element without an end tag of its own
-ends where the next block starts (but scripts and styles).
+ends where the next block starts (but scripts and styles). Very long pages are
+read whole, in one pass. Other columns are not read, whatever their names. No
+rows in, no rows out.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from html.parser import HTMLParser
@@ -79,6 +82,7 @@ class _Reader:
 
     def __init__(self) -> None:
         self.stack: list[tuple[str, frozenset[str]]] = [("", frozenset())]
+        self.open: Counter[str] = Counter()  # tags in the stack
         self.unread: list[tuple[int, bool]] = []  # places of unread elements in the stack, and whether only an end tag ends them
         self.links = 0
         self.parts: list[str] = []
@@ -94,6 +98,7 @@ class _Reader:
 
     def _pop(self, at: int) -> None:
         self.links -= sum(tag == "a" for tag, _ in self.stack[at:])
+        self.open.subtract(tag for tag, _ in self.stack[at:])
         while self.unread and self.unread[-1][0] >= at:
             self.unread.pop()
         del self.stack[at:]
@@ -115,7 +120,7 @@ class _Reader:
         if tag in VOID:
             return
         closes = CLOSES.get(tag) or ({"p"} if tag in _ENDS_P else ())
-        if closes:
+        if any(self.open[x] for x in closes):
             for at in range(len(self.stack) - 1, 0, -1):
                 if self.stack[at][0] in closes:
                     self._pop(at)
@@ -131,6 +136,7 @@ class _Reader:
             self.unread.append((len(self.stack), closed and tag != "head"))
         self.stack.append((tag, above | own | ({f"leaf:{tag}"} if tag in BLOCK else set()) if own else above))
         self.links += tag == "a"
+        self.open[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         if tag in VOID:
@@ -141,10 +147,8 @@ class _Reader:
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCK or tag in UNREAD:
             self.end_block()
-        for at in range(len(self.stack) - 1, 0, -1):
-            if self.stack[at][0] == tag:
-                self._pop(at)
-                return
+        if self.open[tag]:  # an end tag without its start ends nothing, and isn't searched for
+            self._pop(next(at for at in range(len(self.stack) - 1, 0, -1) if self.stack[at][0] == tag))
 
     def handle_data(self, data: str) -> None:
         if self.stack[-1][0] == "head" and not data.isspace():
@@ -223,6 +227,28 @@ class Field:
         return out[::-1]
 
 
+def gradient(field: Field, x: np.ndarray, y: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """Mean gradient of the log-likelihood of pages by w, start and step: what is seen less what the field expects, by forward-backward."""
+    p, length, _ = x.shape
+    pair = mask[:, 1:] * mask[:, :-1]
+    lse = lambda a, axis: np.logaddexp.reduce(a, axis=axis)
+    s = np.zeros((p, length, 2))
+    s[:, :, 1] = x @ field.w.astype(np.float32)
+    ahead, behind = np.zeros((p, length, 2)), np.zeros((p, length, 2))
+    ahead[:, 0] = field.start + s[:, 0]
+    for k in range(1, length):
+        ahead[:, k] = np.where(mask[:, k, None] > 0, lse(ahead[:, k - 1, :, None] + field.step, 1) + s[:, k], ahead[:, k - 1])
+    for k in range(length - 2, -1, -1):
+        behind[:, k] = np.where(mask[:, k + 1, None] > 0, lse(field.step + (s[:, k + 1] + behind[:, k + 1])[:, None, :], 2), 0)
+    z = lse(ahead[:, -1], 1)
+    one = np.exp(ahead[:, :, 1] + behind[:, :, 1] - z[:, None]) * mask
+    gap = y * mask - one
+    both = np.exp(ahead[:, :-1, :, None] + field.step + (s[:, 1:] + behind[:, 1:])[:, :, None, :] - z[:, None, None, None]) * pair[:, :, None, None]
+    seen_step = np.array([[(((y[:, :-1] == a) & (y[:, 1:] == b)) * pair).sum() for b in (0, 1)] for a in (0, 1)])
+    start = np.array([(y[:, 0] == a).sum() for a in (0, 1)]) - np.array([p - one[:, 0].sum(), one[:, 0].sum()])
+    return np.concatenate([np.einsum("plf,pl->f", x, gap, optimize=True), start, (seen_step - both.sum((0, 1))).ravel()]) / p
+
+
 def train(pages: list[tuple[list, list[int]]], epochs: int = EPOCHS, rate: float = RATE, l2: float = L2) -> Field:
     """Fit a field to pages of (blocks, labels) by gradient ascent on the penalised log-likelihood."""
     pages = [p for p in pages if p[0]]
@@ -239,25 +265,9 @@ def train(pages: list[tuple[list, list[int]]], epochs: int = EPOCHS, rate: float
         for k, (block, label) in enumerate(zip(page, labels)):
             x[i, k, [names[f] for f in block if f in names]] = 1
             y[i, k], mask[i, k] = label, 1
-    pair = mask[:, 1:] * mask[:, :-1]
     moment = [np.zeros(len(names) + 6), np.zeros(len(names) + 6)]
-    lse = lambda a, axis: np.logaddexp.reduce(a, axis=axis)
     for epoch in range(1, epochs + 1):
-        s = np.zeros((p, length, 2))
-        s[:, :, 1] = x @ field.w.astype(np.float32)
-        ahead, behind = np.zeros((p, length, 2)), np.zeros((p, length, 2))
-        ahead[:, 0] = field.start + s[:, 0]
-        for k in range(1, length):
-            ahead[:, k] = np.where(mask[:, k, None] > 0, lse(ahead[:, k - 1, :, None] + field.step, 1) + s[:, k], ahead[:, k - 1])
-        for k in range(length - 2, -1, -1):
-            behind[:, k] = np.where(mask[:, k + 1, None] > 0, lse(field.step + (s[:, k + 1] + behind[:, k + 1])[:, None, :], 2), 0)
-        z = lse(ahead[:, -1], 1)
-        one = np.exp(ahead[:, :, 1] + behind[:, :, 1] - z[:, None]) * mask
-        gap = y * mask - one
-        both = np.exp(ahead[:, :-1, :, None] + field.step + (s[:, 1:] + behind[:, 1:])[:, :, None, :] - z[:, None, None, None]) * pair[:, :, None, None]
-        seen_step = np.array([[(((y[:, :-1] == a) & (y[:, 1:] == b)) * pair).sum() for b in (0, 1)] for a in (0, 1)])
-        start = np.array([(y[:, 0] == a).sum() for a in (0, 1)]) - np.array([p - one[:, 0].sum(), one[:, 0].sum()])
-        grad = np.concatenate([np.einsum("plf,pl->f", x, gap, optimize=True), start, (seen_step - both.sum((0, 1))).ravel()]) / p
+        grad = gradient(field, x, y, mask)
         theta = np.concatenate([field.w, field.start, field.step.ravel()])
         grad -= l2 * theta
         moment[0] = 0.9 * moment[0] + 0.1 * grad

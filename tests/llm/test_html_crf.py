@@ -71,3 +71,45 @@ def test_unclosed_unread_elements_end_where_a_block_starts():
 
 def test_empty_table(spark):
     assert h.extract(spark.createDataFrame([], KINDS)).collect() == []
+
+
+def test_gradient_is_that_of_all_labellings():
+    """Forward-backward against the likelihood summed over every labelling, by finite differences."""
+    from itertools import product
+
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    p, length, n = 3, 4, 2
+    x, y = r.integers(0, 2, (p, length, n)).astype(np.float32), r.integers(0, 2, (p, length))
+    mask = np.array([[1, 1, 1, 1], [1, 1, 0, 0], [1, 1, 1, 0]], float)
+    theta = r.normal(size=n + 6)
+
+    def likelihood(t):
+        w, start, step = t[:n], t[n : n + 2], t[n + 2 :].reshape(2, 2)
+        total = 0.0
+        for i in range(p):
+            m = int(mask[i].sum())
+            score = lambda lab: start[lab[0]] + sum(x[i, k] @ w * lab[k] for k in range(m)) + sum(step[a, b] for a, b in zip(lab, lab[1:]))  # noqa: E731,B023
+            total += score(y[i, :m]) - np.logaddexp.reduce([score(lab) for lab in product((0, 1), repeat=m)])
+        return total / p
+
+    f = h.Field({"a": 0, "b": 1})
+    f.w, f.start, f.step = theta[:n], theta[n : n + 2], theta[n + 2 :].reshape(2, 2)
+    got = h.gradient(f, x, y * mask.astype(int), mask)
+    for k in range(len(theta)):
+        d = np.zeros_like(theta)
+        d[k] = 1e-4
+        assert abs((likelihood(theta + d) - likelihood(theta - d)) / 2e-4 - got[k]) < 1e-3
+
+
+def test_long_pages_of_unmatched_tags_take_one_pass():
+    n = 100_000
+    assert h.leaf_blocks("<i>" * n + "text" + "</b>" * n)[0][0] == "text"
+    assert h.leaf_blocks("<div>" * 50 + "<i>" * n + "</p>" * n + "end")[0][0] == "end"
+
+
+def test_empty_table_and_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "u", PAGE, "x", 1), (None, None, None, None, None)], KINDS)
+    assert sorted((r.page_id or 0, r.text, r.n_chars) for r in h.extract(df).collect()) == [(0, "", 0), (1, WANT, len(WANT))]
+    assert h.extract(df.where("false")).collect() == []
