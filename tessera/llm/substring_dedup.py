@@ -3,22 +3,27 @@
 A window is WINDOW consecutive words. Every window has one winnowed anchor: the
 GRAM-word hash that is least in it. Equal windows have equal anchors at equal
 places, so documents are joined on anchors alone (about one for seven words),
-and only anchors that occur twice are seeds. Around each seed the match is
-extended both ways: all windows that have it as their anchor are compared by
-(anchor hash, window hash), 128 bits in all. Consecutive repeated windows make
-up the maximal repeats of at least WINDOW words, and every word in them goes,
-but for the place where the sequence starts first.
+and only anchors that occur twice are seeds. Around a seed, each place that has
+it as the anchor of its windows is paired with the earliest place whose window
+is alike by its hash, one partner and not all of them, so copies make no pairs
+of pairs. From the seed the match is then extended both ways, word by word,
+as far as the two places agree, and kept if it has WINDOW words at least.
+Matches of neighbouring seeds with one partner at one distance are joined into
+maximal repeats (`repeats` gives them). Every word in a repeat goes, but for the
+place where the sequence starts first.
 
 Scale: equal texts take part once, by their smallest doc_id. The texts are dealt
-out by doc_id once and that exchange is used by all three passes over them. A
-task settles repeats among its own rows first, so a window reaches the shuffle
-once per task at most; anchors with many occurrences are split further by the
-window's hash. No group is ever held whole by one task.
+out once, by a hash of doc_id and text, and that exchange is used by all three
+passes over them. A task settles repeats among its own rows first, so a window
+reaches the shuffle once per task at most; anchors with many occurrences are
+split further by the window's hash, and the commonest anchors and texts are
+joined without moving their rows. No group is ever held whole by one task.
 
 Defined cases: null text: no words. A null doc_id counts as smaller than any
 other. "Earlier" compares (doc_id, start) only: rows that share a doc_id are one
 document in it, and equal rows do not remove each other's words. Documents of
-fewer than WINDOW words lose nothing. No rows in, no rows out.
+fewer than WINDOW words lose nothing; very long texts are read whole. Other
+columns are not read, whatever their names. No rows in, no rows out.
 """
 
 from __future__ import annotations
@@ -33,6 +38,8 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from tessera.llm.common import batch, small, utf8
+from tessera.operators.skew import join_per_key
+from tessera.session import cut
 
 WINDOW, GRAM, HOT, BLOCK = 20, 8, 512, 1 << 20
 _LEAST = -(1 << 63)
@@ -75,7 +82,7 @@ def window_hashes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text, ...) to (h, doc_id), each anchor hash once a document, and once more if a window of it repeats there."""
+    """(key, text, ...) to (h, key), each anchor hash once a text, and once more if a window of it repeats there."""
     for b in small(batches):
         hs, ids = [], []
         for d, t in zip(b.column(0).to_pylist(), utf8(b.column(1))):
@@ -86,17 +93,30 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hs.append(h)
             ids.append(np.full(len(h), d, np.int64))
         if hs:
-            yield batch("h doc_id", pa.array(np.concatenate(hs)), pa.array(np.concatenate(ids)))
+            yield batch("h key", pa.array(np.concatenate(hs)), pa.array(np.concatenate(ids)))
 
 
-def _not_first(h, w, d, s) -> tuple[np.ndarray, np.ndarray]:
-    """Order by (h, w, d, s), and which rows in that order come after another place of their window."""
+def extended(late: list[bytes], early: list[bytes], seed: int) -> tuple[int, int]:
+    """(start, end) of the longest stretch around word `seed` in which two equally long stretches of words agree; empty if not there."""
+    if late == early:
+        return 0, len(late)
+    start = end = seed
+    while start and late[start - 1] == early[start - 1]:
+        start -= 1
+    while end < len(late) and late[end] == early[end]:
+        end += 1
+    return start, end
+
+
+def _partners(h, w, d, s) -> tuple[np.ndarray, np.ndarray]:
+    """The places that are not the first of their window, and the first place of each of these."""
     order = np.lexsort((s, d, w, h))
-    h, w, d, s = h[order], w[order], d[order], s[order]
+    h, w = h[order], w[order]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (w[1:] != w[:-1])
-    first = np.flatnonzero(new)[np.cumsum(new) - 1]
-    return order, (d != d[first]) | (s != s[first])
+    first = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    late = (d[order] != d[first]) | (s[order] != s[first])
+    return order[late], first[late]
 
 
 def _streaks(*keys: np.ndarray) -> np.ndarray:
@@ -108,35 +128,63 @@ def _streaks(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-_RUN = "h long, salt int, doc_id long, t int, start int, n int, w array<long>"
+class _Places:
+    """Windows by place: anchor hash, window hash, doc_id, key of the text, start, and the words of a stretch of windows."""
+
+    def __init__(self, h, w, d, key, s, words) -> None:
+        self.h, self.w, self.d, self.key, self.s, self.words = h, w, d, key, s, words
+
+    def matches(self) -> tuple[list[tuple[int, int, int, int, int]], np.ndarray]:
+        """(key, start, words, earlier doc_id, earlier start) of verified matches, and which windows lie in one."""
+        late, early = _partners(self.h, self.w, self.d, self.s)
+        order = np.lexsort((self.s[late], self.s[early] - self.s[late], self.key[early], self.key[late], self.h[late]))
+        late, early = late[order], early[order]
+        at = _streaks(self.h[late], self.key[late], self.key[early], self.s[early] - self.s[late], self.s[late])
+        out, inside = [], np.zeros(len(self.h), bool)
+        for x, end in zip(at.tolist(), [*at[1:].tolist(), len(late)]):
+            n = end - x
+            a, b = int(late[x]), int(early[x])
+            # all windows of a streak have one anchor, so it lies in the words that all of them share
+            start, stop = extended(self.words(a, n), self.words(b, n), n - 1)
+            if stop - start >= WINDOW:
+                out.append((int(self.key[a]), int(self.s[a]) + start, stop - start, int(self.d[b]), int(self.s[b]) + start))
+                inside[late[x + start : x + stop - WINDOW + 1]] = True
+        return out, inside
+
+
+_RUN = "h long, salt int, doc_id long, key long, start int, n int, words binary, from_doc long, from_start int"
+
+
+def _matched(found: list[tuple]) -> list[pa.Array]:
+    """Columns of _RUN for verified matches; n counts words."""
+    key, start, n, d, s = zip(*found) if found else [()] * 5
+    zero, none = np.zeros(len(key), np.int64), pa.nulls(len(key), pa.binary())
+    return [pa.array(zero), pa.array(zero.astype(np.int32)), pa.array(zero), pa.array(key, pa.int64()), pa.array(start, pa.int32()), pa.array(n, pa.int32()), none, pa.array(d, pa.int64()), pa.array(s, pa.int32())]
 
 
 def _seeded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts with their seeds to runs of windows to compare (w not empty), and runs found repeated within the task (w empty)."""
+    """Texts with their seeds to runs of windows to compare (with their words), and matches found within the task (without)."""
     held: list[tuple] = []
+    texts: dict[int, list[bytes]] = {}
     size = 0
 
     def settle() -> pa.RecordBatch:
-        h, salt, d, t, s, w = (np.concatenate(c) for c in zip(*held))
-        order, late = _not_first(h, w, d, s)
-        out = []
-        for rows, empty in ((order[~late], False), (order[late], True)):
-            rows = rows[np.lexsort((s[rows], t[rows], d[rows]))]
-            keys = (d[rows], t[rows], s[rows]) if empty else (h[rows], salt[rows], d[rows], t[rows], s[rows])
-            at = _streaks(*keys)
-            n = np.diff(np.append(at, len(rows)))
-            r = rows[at]
-            ends = np.zeros(len(at) + 1, np.int32)
-            if not empty:
-                ends[1:] = np.cumsum(n)
-            values = pa.array(w[rows] if not empty else np.empty(0, np.int64))
-            out.append([h[r], salt[r], d[r], t[r], s[r], n.astype(np.int32), pa.ListArray.from_arrays(pa.array(ends), values)])
-        cols = [pa.concat_arrays([pa.array(a), pa.array(b)]) for a, b in zip(*out)]
-        return batch("h salt doc_id t start n w", *cols)
+        h, salt, d, key, s, w = (np.concatenate(c) for c in zip(*held))
+        places = _Places(h, w, d, key, s, lambda i, n: texts[int(key[i])][s[i] : s[i] + n - 1 + WINDOW])
+        found, inside = places.matches()
+        rows = np.flatnonzero(~inside)
+        rows = rows[np.lexsort((s[rows], key[rows], salt[rows], h[rows]))]
+        at = _streaks(h[rows], salt[rows], d[rows], key[rows], s[rows])
+        n = np.diff(np.append(at, len(rows)))
+        r = rows[at]
+        words = pa.array([b" ".join(texts[k][x : x + m - 1 + WINDOW]) for k, x, m in zip(key[r].tolist(), s[r].tolist(), n.tolist())], pa.binary())
+        runs = [pa.array(h[r]), pa.array(salt[r]), pa.array(d[r]), pa.array(key[r]), pa.array(s[r]), pa.array(n.astype(np.int32)), words, pa.nulls(len(r), pa.int64()), pa.nulls(len(r), pa.int32())]
+        return batch("h salt doc_id key start n words from_doc from_start", *[pa.concat_arrays(x) for x in zip(runs, _matched(found))])
 
     for b in small(batches):
-        for d, text, t, seeds in zip(b.column(0).to_pylist(), utf8(b.column(1)), b.column(2).to_pylist(), b.column(3)):
-            h, w = window_hashes(text.split())
+        for key, text, d, seeds in zip(b.column(0).to_pylist(), utf8(b.column(1)), b.column(2).to_pylist(), b.column(3)):
+            words = text.split()
+            h, w = window_hashes(words)
             seed = seeds.values.flatten()
             known = seed[0].to_numpy(zero_copy_only=False)
             parts = seed[1].to_numpy(zero_copy_only=False)
@@ -147,36 +195,34 @@ def _seeded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(s):
                 part = parts[at[s]]
                 salt = ((w[s].view(np.uint64) >> np.uint64(17)) % part.astype(np.uint64)).astype(np.int32)
-                held.append((h[s], salt, np.full(len(s), d, np.int64), np.full(len(s), t, np.int32), s, w[s]))
-                size += len(s)
+                held.append((h[s], salt, np.full(len(s), d, np.int64), np.full(len(s), key, np.int64), s, w[s]))
+                texts[key] = words
+                size += len(words)
                 if size >= BLOCK:
                     yield settle()
                     held.clear()
+                    texts.clear()
                     size = 0
     if held:
         yield settle()
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs sorted by (h, salt) to the runs (doc_id, t, start, n) that start earlier elsewhere."""
+    """Runs sorted by (h, salt) to matches (key, start, n words, from_doc, from_start)."""
     held: list[pa.RecordBatch] = []
 
     def settle(rows: pa.Table) -> pa.RecordBatch:
-        n = rows["n"].to_numpy()
-        lists = rows["w"].combine_chunks()
-        w = lists.flatten().to_numpy(zero_copy_only=False)
-        size = np.diff(lists.offsets.to_numpy()) if len(lists) else np.empty(0, np.int64)
-        done = size == 0
-        rep = lambda name: np.repeat(rows[name].to_numpy(), size)
-        nth = np.arange(len(w)) - np.repeat(np.cumsum(size) - size, size)
-        h, d, t, s = rep("h"), rep("doc_id"), rep("t"), (rep("start") + nth).astype(np.int32)
-        order, late = _not_first(h, w, d, s)
-        r = order[late]
-        r = r[np.lexsort((s[r], t[r], d[r]))]
-        at = _streaks(d[r], t[r], s[r])
-        m = np.diff(np.append(at, len(r)))
-        old = [rows[c].to_numpy()[done] for c in ("doc_id", "t", "start")]
-        return batch("doc_id t start n", *[pa.array(np.concatenate([o, x[r][at]])) for o, x in zip(old, (d, t, s))], pa.array(np.concatenate([n[done], m]).astype(np.int32)))
+        done = rows["words"].is_null().to_numpy()
+        old = [c.combine_chunks() for c in rows.filter(pa.array(done)).select(["key", "start", "n", "from_doc", "from_start"]).columns]
+        rows = rows.filter(pa.array(~done))
+        h, d, key, start, n = (rows[c].to_numpy() for c in ("h", "doc_id", "key", "start", "n"))
+        words = [x.split(b" ") for x in rows["words"].to_pylist()]
+        home = np.repeat(np.arange(len(n)), n)
+        nth = (np.arange(len(home)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
+        w = np.concatenate([window_hashes(x)[1] for x in words]) if words else np.empty(0, np.int64)
+        places = _Places(h[home], w, d[home], key[home], start[home] + nth, lambda i, m: words[home[i]][nth[i] : nth[i] + m - 1 + WINDOW])
+        new = _matched(places.matches()[0])[3:]
+        return batch("key start n from_doc from_start", *[pa.concat_arrays(x) for x in zip(old, [*new[:3], *new[4:]])])
 
     for b in batches:
         if not b.num_rows:
@@ -192,17 +238,28 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield settle(pa.Table.from_batches(held))
 
 
+def maximal(found: list[dict]) -> list[tuple[int, int, int, int]]:
+    """(start, words, from_doc, from_start): matches with one partner at one distance that touch or overlap become one."""
+    out: list[list[int]] = []
+    for x in sorted(found, key=lambda x: (x["from_doc"], x["from_start"] - x["start"], x["start"])):
+        s, n, d, f = x["start"], x["n"], x["from_doc"], x["from_start"]
+        if out and out[-1][2] == d and out[-1][3] - out[-1][0] == f - s and s <= out[-1][0] + out[-1][1]:
+            out[-1][1] = max(out[-1][1], s + n - out[-1][0])
+        else:
+            out.append([s, n, d, f])
+    return sorted(map(tuple, out))
+
+
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts with their repeated runs to the figures and the words that stay."""
+    """Texts with their matches to the figures and the words that stay."""
     for b in small(batches):
         out = []
-        for text, t, found in zip(utf8(b.column(1)), b.column(2).to_pylist(), b.column(5).to_pylist()):
+        for text, found in zip(utf8(b.column(1)), b.column(5).to_pylist()):
             words = text.split()
             change = np.zeros(len(words) + 1, np.int64)
             for x in found or ():
-                if x["t"] == t:
-                    change[x["start"]] += 1
-                    change[min(x["start"] + x["n"] - 1 + WINDOW, len(words))] -= 1
+                change[x["start"]] += 1
+                change[x["start"] + x["n"]] -= 1
             stay = np.cumsum(change[:-1]) == 0
             kept = b" ".join([words[i] for i in np.flatnonzero(stay).tolist()]) if found else b" ".join(words)
             out.append((len(words), len(words) - int(stay.sum()), kept))
@@ -215,24 +272,39 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch("s1 s2 n_words n_removed kept_sha256", *b.columns[:4], pa.array([hashlib.sha256(t).hexdigest() for t in utf8(b.column(4))], pa.string()))
 
 
+def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        rows = [(d, *m) for d, found in zip(b.column(2).to_pylist(), b.column(5).to_pylist()) for m in maximal(found or [])]
+        c = list(zip(*rows)) or [()] * 5
+        yield batch("doc_id start n_words from_doc from_start", *[pa.array(x, pa.int64()) for x in c])
+
+
 def _leading(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows without texts, the smallest doc_id of each text, and the distinct texts with their repeated runs."""
+    """Rows without texts, the smallest doc_id and number of rows of each text, and the distinct texts with their matches."""
     doc_id, text = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)), F.coalesce("text", F.lit(""))
     rows = docs.select(doc_id.alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("s1"), F.xxhash64(F.lit("second"), text).alias("s2"))
     narrow = rows.select("doc_id", "s1", "s2")
-    leads = narrow.groupBy("s1", "s2").agg(F.min("doc_id").alias("lead"))
-    same = leads.select(F.col("lead").alias("doc_id"), F.col("s1").alias("l1"), F.col("s2").alias("l2"))
-    # told by exclusive or, so that it is no join key: texts are dealt out by doc_id alone, as all joins below need them
-    base = rows.join(same.hint("shuffle_hash"), "doc_id").where((F.col("s1").bitwiseXOR(F.col("l1"))).bitwiseOR(F.col("s2").bitwiseXOR(F.col("l2"))) == 0)
-    base = base.select("doc_id", "text", F.col("s1").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("t"), "s1", "s2")
-    anchors = base.select("doc_id", "text", "t", "s1", "s2").mapInArrow(_anchors, "h long, doc_id long")
-    often = anchors.groupBy("h").agg(F.count("*").alias("n"))
-    seeds = anchors.join(often.where("n > 1"), "h").groupBy("doc_id").agg(F.collect_list(F.struct("h", F.ceil(F.col("n") / HOT).cast("int").alias("parts"))).alias("seeds"))
-    runs = base.join(seeds.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "t", "seeds").mapInArrow(_seeded, _RUN)
+    leads = narrow.groupBy("s1", "s2").agg(F.min("doc_id").alias("lead"), F.count("*").alias("n"))
+    key = lambda d: F.xxhash64(d, "s1", "s2").alias("key")
+    same = leads.select(key("lead"), "lead", F.col("s1").alias("l1"), F.col("s2").alias("l2"))
+    # told by exclusive or, so that it is no join key: texts are dealt out by key alone, as all joins below need them
+    apart = (F.col("s1").bitwiseXOR(F.col("l1"))).bitwiseOR(F.col("s2").bitwiseXOR(F.col("l2"))).bitwiseOR(F.col("doc_id").bitwiseXOR(F.col("lead")))
+    base = rows.select("*", key("doc_id")).join(same.hint("shuffle_hash"), "key").where(apart == 0).select("key", "text", "doc_id", "s1", "s2")
+    anchors = cut(base.mapInArrow(_anchors, "h long, key long"))
+    often = anchors.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    seeds = join_per_key(anchors, often, ["h"]).groupBy("key").agg(F.collect_list(F.struct("h", F.ceil(F.col("n") / HOT).cast("int").alias("parts"))).alias("seeds"))
+    runs = base.join(seeds.hint("shuffle_hash"), "key").select("key", "text", "doc_id", "seeds").mapInArrow(_seeded, _RUN)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    late = runs.repartition(n, "h", "salt").sortWithinPartitions("h", "salt").mapInArrow(_compare, "doc_id long, t int, start int, n int")
-    found = late.groupBy("doc_id").agg(F.collect_list(F.struct("t", "start", "n")).alias("found"))
-    return narrow, leads, base.join(found.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "t", "s1", "s2", "found")
+    late = runs.repartition(n, "h", "salt").sortWithinPartitions("h", "salt").mapInArrow(_compare, "key long, start int, n int, from_doc long, from_start int")
+    found = late.groupBy("key").agg(F.collect_list(F.struct("start", "n", "from_doc", "from_start")).alias("found"))
+    return narrow, leads, base.join(found.hint("shuffle_hash"), "key", "left").select("key", "text", "doc_id", "s1", "s2", "found")
+
+
+def repeats(docs: DataFrame) -> DataFrame:
+    """Maximal repeats of each distinct text, by its smallest doc_id: doc_id, start, n_words, and an earlier place of the same words (from_doc, from_start)."""
+    null = lambda c: F.when(F.col(c) != _LEAST, F.col(c)).alias(c)
+    rows = _leading(docs)[2].where("found is not null").mapInArrow(_spans, "doc_id long, start long, n_words long, from_doc long, from_start long")
+    return rows.select(null("doc_id"), "start", "n_words", null("from_doc"), "from_start")
 
 
 def repeated_words(docs: DataFrame, keep_text: bool = False) -> DataFrame:
@@ -240,10 +312,12 @@ def repeated_words(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     narrow, leads, texts = _leading(docs)
     kept = "kept_text" if keep_text else "kept_sha256"
     done = texts.mapInArrow(_kept if keep_text else _digest, f"s1 long, s2 long, n_words long, n_removed long, {kept} string")
-    done = done.dropDuplicates(["s1", "s2"]).join(leads, ["s1", "s2"])
+    done = cut(done.dropDuplicates(["s1", "s2"]).join(leads, ["s1", "s2"]))
+    # texts have no bound, so they are not broadcast
+    rows = narrow.join(done, ["s1", "s2"]) if keep_text else join_per_key(narrow, done, ["s1", "s2"])
     copy = (F.col("doc_id") != F.col("lead")) & (F.col("n_words") >= WINDOW)
     none = F.lit("") if keep_text else F.sha2(F.lit(""), 256)
-    return narrow.join(done, ["s1", "s2"]).select(
+    return rows.select(
         F.when(F.col("doc_id") != _LEAST, F.col("doc_id")).alias("doc_id"),
         "n_words",
         F.when(copy, F.col("n_words")).otherwise(F.col("n_removed")).alias("n_removed"),

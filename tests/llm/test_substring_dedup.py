@@ -68,3 +68,44 @@ def test_kept_text_and_clashing_columns(spark):
 
 def test_empty_table(spark):
     assert sd.repeated_words(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_match_is_extended_both_ways_until_words_differ():
+    a = [b"w%d" % i for i in range(30)]
+    b = [*a[:4], b"other", *a[5:25], b"more", *a[26:]]
+    assert sd.extended(a, list(a), 12) == (0, 30)
+    assert sd.extended(a, b, 12) == (5, 25)
+    assert sd.extended(a, [b"x"] * 30, 12) == (12, 12)
+
+
+def test_windows_alike_by_hash_only_do_not_match(spark, monkeypatch):
+    import numpy as np
+
+    real = sd.window_hashes
+    monkeypatch.setattr(sd, "window_hashes", lambda words: tuple(np.zeros_like(x) for x in real(words)))
+    rng = random.Random(4)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(20)) for _ in range(5)]
+    places = [t.encode().split() for t in texts]
+    zero = np.zeros(5, np.int64)
+    found, inside = sd._Places(zero, zero, np.arange(5), np.arange(5), zero.astype(np.int32), lambda i, n: places[i]).matches()
+    assert found == [] and not inside.any()
+
+
+def test_repeats_are_maximal_and_the_words_of_an_earlier_place(spark):
+    rows = corpus(4)
+    words = {}
+    for d, t in rows:
+        words.setdefault(d, []).append((t or "").encode().split())
+    got = sd.repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    least = lambda d: -(1 << 63) if d is None else d
+    assert len(got) > 20
+    for r in got:
+        assert (least(r.from_doc), r.from_start) < (least(r.doc_id), r.start) and r.n_words >= sd.WINDOW
+        at = lambda ws, s: [w[s : s + r.n_words] for w in ws if len(w) >= s + r.n_words]
+        assert any(x == y for x in at(words[r.doc_id], r.start) for y in at(words[r.from_doc], r.from_start))
+    same = {}
+    for r in got:
+        same.setdefault((r.doc_id, r.from_doc, r.from_start - r.start), []).append((r.start, r.start + r.n_words))
+    for spans in same.values():
+        spans.sort()
+        assert all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
