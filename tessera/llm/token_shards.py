@@ -4,22 +4,27 @@ Each task turns its documents into one stream of ids, every document closed by
 an end id, and cuts it into sequences of SEQUENCE ids; the last one of a task is
 filled up with end ids. A byte-level vocabulary makes at most one id of a byte,
 so the bytes of a task bound its sequences, and a sum of lengths is all that is
-needed to number sequences through all tasks: texts are encoded once. A keyed
-Feistel permutation of [0, bound) with cycle-walking gives each number its key,
-without a table. Training order is key order. Keys are dealt out in ranges of
+needed to number sequences through all tasks: texts are encoded once. (The exact
+number of sequences would take a second encoding of every text, or the ids
+written and moved once more than the disk bound allows.) A keyed Feistel
+permutation of [0, bound) with cycle-walking gives each number its key, without
+a table. Training order is key order. Keys are dealt out in ranges of
 SPAN: one range is one shard file of fixed stride, sorted by key, so the n-th
 sequence of a shard is at byte n * stride, and a reader resumes anywhere by one
 seek. The global slot of a sequence is its place in that order, counted without
 gaps over all shards (the files' sizes tell how many each one has).
 
-Ids are little-endian, 2 bytes each if the vocabulary allows it, else 4. A shard
-is written under a name of its own attempt and then renamed, so a repeated or
-speculative task leaves whole files only. The files are complete when
-write_shards returns. If a task has more sequences than its bound (an input that
+Ids are little-endian, of `width` bytes each; a vocabulary with ids that do not
+fit raises an error. A shard is written under a name of its own attempt and then
+renamed, so a repeated or speculative task leaves whole files only; what failed
+attempts left is removed at the end. The files are complete when write_shards
+returns. If a task has more sequences than its bound (an input that
 is not read alike twice), it fails rather than write a wrong order.
 
 Defined cases: a null or empty text is its end id alone. Null doc_ids and
-repeated rows are written like others. No rows in: no shards, no rows.
+repeated rows are written like others. Very long texts run on through as many
+sequences as they need. Other columns are not read, whatever their names. No
+rows in: no shards, no rows.
 """
 
 from __future__ import annotations
@@ -121,24 +126,29 @@ def write_shards(
         yield batch("part n", pa.array([TaskContext.get().partitionId()]), pa.array([-(-n // sequence)]))
 
     bound = {r.part: r.n for r in rows.mapInArrow(bounded, "part long, n long").collect()}  # two numbers a task
-    first, total = {}, 0
-    for p in sorted(bound):
-        first[p], total = total, total + bound[p]
+    # ends[p]: numbers given to tasks before p; 8 bytes a task, sent to each executor once
+    ends = np.zeros(max(bound, default=-1) + 2, np.int64)
+    ends[[p + 1 for p in bound]] = list(bound.values())
+    numbers = docs.sparkSession.sparkContext.broadcast(np.cumsum(ends))
+    total = int(numbers.value[-1])
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
+        first, last = numbers.value[part : part + 2].tolist() if part + 1 < len(numbers.value) else (0, 0)
         n, held = 0, []
 
         def out() -> pa.RecordBatch:
-            keys = permute(np.arange(first[part] + n - len(held), first[part] + n), total, key)
+            keys = permute(np.arange(first + n - len(held), first + n), total, key)
             ids, d, docs_in, real = zip(*held)
             return batch("key shard first_doc_id n_docs n_tokens ids", pa.array(keys), pa.array(keys // span), pa.array(d, pa.int64()), pa.array(docs_in, pa.int64()), pa.array(real, pa.int64()), pa.array(ids, pa.binary()))
 
         for ids, *rest in _sequences(batches, encoder(path, rule), sequence, end_id):
+            if int(ids.max()) >> 8 * width:
+                raise ValueError(f"id {ids.max()} does not fit {width} bytes")
             held.append((ids.astype(f"<u{width}").tobytes(), *rest))
             n += 1
-            if n > bound.get(part, 0):
-                raise RuntimeError(f"task {part} has more than {bound.get(part, 0)} sequences, its bound in the first pass")
+            if n > last - first:
+                raise RuntimeError(f"task {part} has more than {last - first} sequences, its bound in the first pass")
             if len(held) == 512:
                 yield out()
                 held.clear()
@@ -181,6 +191,7 @@ def write_shards(
     # one shard is one partition: dealt by the shard's number itself, as a hash would put several into one task
     ranged = dealt.withColumn("to", F.col("shard").cast("int")).repartitionById(n_shards, "to").sortWithinPartitions("key")
     done = cut(ranged.mapInArrow(written, _SCHEMA))
+    _sweep(folder)
     # slots: shards are counted, the counts of each thousand of shards summed, so no window holds more than a thousand rows of one thousand
     sizes = done.groupBy("shard").agg(F.count("*").alias("n")).withColumn("block", F.floor(F.col("shard") / 1000))
     blocks = sizes.groupBy("block").agg(F.sum("n").alias("m"))
@@ -190,6 +201,16 @@ def write_shards(
     return done.join(starts, "shard").select((F.col("start") + F.col("byte_offset") / stride).cast("long").alias("slot"), *done.columns)
 
 
+def _sweep(folder: str) -> None:
+    """Remove what attempts that failed have left."""
+    import pyarrow.fs as pf
+
+    fs, root = pf.FileSystem.from_uri(folder)
+    for info in fs.get_file_info(pf.FileSelector(root, allow_not_found=True)):
+        if info.base_name.startswith(".writing-"):
+            fs.delete_file(info.path)
+
+
 def _name(shard: int) -> str:
     return f"shard-{shard:08d}.bin"
 

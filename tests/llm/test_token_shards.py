@@ -48,3 +48,15 @@ def test_round_trip(spark, tmp_path):
 
 def test_empty_table(spark, tmp_path):
     assert ts.write_shards(spark.createDataFrame([], KINDS), f"file://{tmp_path}/none").collect() == []
+
+
+def test_ids_that_do_not_fit_the_width_are_an_error(spark, tmp_path):
+    import pytest
+
+    df = spark.createDataFrame([(1, "some text of words")], "doc_id long, text string")
+    with pytest.raises(Exception, match="does not fit 1 bytes"):
+        ts.write_shards(df, f"file://{tmp_path}/narrow", width=1).collect()
+    (tmp_path / "wide").mkdir()
+    (tmp_path / "wide" / ".writing-old").write_bytes(b"x")
+    assert ts.write_shards(df, f"file://{tmp_path}/wide", width=4, sequence=8).count() == 1
+    assert [p.name for p in (tmp_path / "wide").iterdir() if not p.name.endswith(".crc")] == ["shard-00000000.bin"]
