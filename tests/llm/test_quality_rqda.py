@@ -56,3 +56,24 @@ def test_keep_good_agrees_with_scores(spark):
     want = {r.doc_id for r in q.quality_scores(d, lab).collect() if r.predicted}
     kept = q.keep_good(d, lab)
     assert kept.columns == d.columns and {r.doc_id for r in kept.collect()} == want
+
+
+def test_scores_equal_densities_computed_in_one_place(spark):
+    """The discriminant from numpy's own covariances and determinants of all learned rows, without Spark or Cholesky factors."""
+    import numpy as np
+
+    docs, labels = corpus(200)
+    x = {i: np.array(q.features(t.encode())) for i, t, _ in docs}
+    learned = {k: np.array([x[i] for i, y, _ in labels if y == k and zlib.crc32(str(i).encode()) % 5]) for k in (0, 1)}
+    n = {k: len(v) for k, v in learned.items()}
+    cov = {k: np.cov(v.T, bias=True) for k, v in learned.items()}
+    pooled = sum(n[k] * cov[k] for k in (0, 1)) / sum(n.values())
+    log = {}
+    for k in (0, 1):
+        c = (1 - q.POOL) * cov[k] + q.POOL * pooled
+        c = (1 - q.RIDGE) * c + q.RIDGE * (np.trace(pooled) / len(c) + 1e-9) * np.eye(len(c))
+        gap = lambda v: v - learned[k].mean(0)  # noqa: E731,B023
+        log[k] = {i: np.log(n[k]) - 0.5 * np.linalg.slogdet(c)[1] - 0.5 * gap(v) @ np.linalg.solve(c, gap(v)) for i, v in x.items()}
+    for r in q.quality_scores(spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, LABELS)).collect():
+        want = 1 / (1 + np.exp(np.clip(log[0][r.doc_id] - log[1][r.doc_id], -500, 500)))
+        assert abs(r.score - want) < 1e-6
