@@ -15,7 +15,9 @@ Sequence ids are unique, not dense: the task's partition number in the high
 bits, a running number in the low 32.
 
 Defined cases: a null or empty text is the end id alone. Null doc_ids and
-repeated rows are packed like others. No rows in, no rows out.
+repeated rows are packed like others. A very long text is cut into windows like
+any other, and may make its block longer than BLOCK_TOKENS. Other columns are
+not read, whatever their names. No rows in, no rows out.
 """
 
 from __future__ import annotations
@@ -37,19 +39,23 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 
 def combinations_filling(lengths: list[int], histogram: dict[int, int], window: int, frequent: int = FREQUENT) -> list[tuple[int, ...]]:
-    """Pairs and triples of present lengths that fill a window exactly."""
+    """Pairs and triples of present lengths that fill a window exactly.
+
+    Which triples are tried decides only how many rests need no cut: what no pattern takes is packed greedily.
+    """
     found = {tuple(sorted((a, window - a))) for a in lengths if histogram.get(window - a)}
     top = sorted(lengths, key=lambda a: (-histogram[a], a))[:frequent]
     found |= {tuple(sorted((a, b, c))) for i, a in enumerate(top) for b in top[i:] if (c := window - a - b) > 0 and histogram.get(c)}
     return sorted(found)
 
 
-def repeat_counts(patterns: list[tuple[int, ...]], histogram: dict[int, int], sweeps: int = 30) -> list[float]:
-    """x >= 0 that minimises the squared gap between the lengths used and the histogram, by coordinate descent."""
+def repeat_counts(patterns: list[tuple[int, ...]], histogram: dict[int, int], near: float = 0.01) -> list[float]:
+    """x >= 0 that minimises the squared gap between the lengths used and the histogram, by coordinate descent until no count moves by `near`."""
     gap = {k: float(v) for k, v in histogram.items()}
     uses = [{a: p.count(a) for a in set(p)} for p in patterns]
     x = [0.0] * len(patterns)
-    for _ in range(sweeps):
+    moved = near
+    while moved >= near:
         moved = 0.0
         for k, use in enumerate(uses):
             step = sum(gap[a] * m for a, m in use.items()) / sum(m * m for m in use.values())
@@ -59,8 +65,6 @@ def repeat_counts(patterns: list[tuple[int, ...]], histogram: dict[int, int], sw
                 moved = max(moved, abs(step))
                 for a, m in use.items():
                     gap[a] -= step * m
-        if moved < 0.05:
-            break
     return x
 
 
