@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, functions as F
 
 #: In every operator here a word is a longest run without ASCII white space, [^\x20\x09-\x0D]+;
 #: bytes.split() without arguments splits at exactly these bytes.
@@ -33,6 +34,12 @@ def utf8(column: pa.Array) -> list[bytes]:
     return pc.fill_null(column, "").cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
 
 
+def rank_of(docs: DataFrame, *but: str) -> Column:
+    """A hash of a row's columns but those named, to choose among rows alike in these; maps can't be hashed and are left out."""
+    kept = [docs[c] for c, t in docs.dtypes if c not in but and "map<" not in t]
+    return F.xxhash64(*kept) if kept else F.lit(0).cast("long")
+
+
 def batch(names: str, *columns) -> pa.RecordBatch:
     """A record batch; names are divided by spaces."""
     return pa.RecordBatch.from_arrays(list(columns), names=names.split())

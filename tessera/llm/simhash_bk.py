@@ -18,7 +18,14 @@ all pairs; connected components then put the forests together.
 Defined cases: a null or empty text has no shingles and fingerprint zero, which
 is linked like any other; fewer words than a shingle: the whole sequence is the
 one shingle. Null doc_ids take part; component_id is the smallest doc_id that
-is not null, or null if there is none. Repeated rows stay repeated.
+is not null, or null if there is none. Repeated rows stay repeated. Very long
+texts are read whole, shingles in blocks. Other columns are not read, whatever
+their names. No rows in, no rows out.
+
+Trees are made in the task of a unit and not broadcast: their number grows with
+the table, so broadcasting them would either send all fingerprints to every
+executor or take a pass over all fingerprints for each group of trees; a shuffle
+by unit brings each tree to just those that ask it.
 """
 
 from __future__ import annotations
@@ -31,8 +38,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from tessera.llm.common import batch, runs, small, utf8
+from tessera.llm.common import batch, rank_of, runs, small, utf8
 from tessera.operators.components import connected_components
+from tessera.operators.skew import join_per_key
 from tessera.session import cut
 
 SHINGLE, SEED, RADIUS, SHARD = 4, 42, 4, 2048
@@ -165,7 +173,7 @@ def fingerprint_links(fps: DataFrame, shard: int = SHARD) -> DataFrame:
     """(a, b) of distinct fingerprints within RADIUS bits: links that join the same components as all of them."""
     keyed = fps.select("fp").distinct().select("fp", F.inline(F.array(*[F.struct(F.lit(i).alias("k"), F.col("fp").bitwiseAND(F.lit(m if m < 1 << 63 else m - (1 << 64))).alias("v")) for i, m in enumerate(KEYS)])))
     count = keyed.groupBy("k", "v").agg(F.count("*").alias("n")).where("n > 1")
-    dealt = keyed.join(count, ["k", "v"]).select("k", "v", "fp", F.ceil(F.col("n") / shard).cast("int").alias("s"))
+    dealt = join_per_key(keyed, count, ["k", "v"]).select("k", "v", "fp", F.ceil(F.col("n") / shard).cast("int").alias("s"))
     dealt = dealt.withColumn("home", F.pmod(F.xxhash64("fp", "k"), F.col("s")).cast("int"))
     unit = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("s") - 1))).select(
         "k", "v", F.least("home", "o").alias("i"), F.greatest("home", "o").alias("j"), "home", "fp"
@@ -175,38 +183,40 @@ def fingerprint_links(fps: DataFrame, shard: int = SHARD) -> DataFrame:
 
 
 def _labelled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, fp) rows, and (fp, component_id, first_fp) for each distinct fp."""
+    """(doc_id, fp) rows, and (fp, n, least, part, component_id) for each distinct fp."""
     rows = cut(fingerprints(docs))
-    fps = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    fps = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
     part = connected_components(fingerprint_links(fps))
-    named = fps.join(part, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("part"))
-    best = named.groupBy("part").agg(F.min("least").alias("component_id"))
-    return rows, named.join(best, "part").select("fp", "least", "part", "component_id")
+    named = cut(fps.join(part, F.col("fp") == F.col("node"), "left").select("fp", "n", "least", F.coalesce("component", "fp").alias("part")))
+    best = named.groupBy("part").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
+    return rows, join_per_key(named, best, ["part"], "members").drop("members")
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, fingerprint (16 lowercase hex digits), component_id."""
     rows, named = _labelled(docs)
-    return rows.join(named.select("fp", "component_id"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return join_per_key(rows, cut(named.select("fp", "n", "component_id")), ["fp"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay: of each component the one with the smallest doc_id.
 
     If several rows of a component have that doc_id, the one with the smallest
-    fingerprint (as a signed number) stays, and one of rows equal in both.
+    fingerprint (as a signed number) stays, and of rows equal in both the one
+    whose other columns have the least hash. Texts are shuffled once.
     """
     _, named = _labelled(docs)
     top = named.where(F.col("least").eqNullSafe(F.col("component_id"))).groupBy("part").agg(F.min("component_id").alias("k_id"), F.min("fp").alias("k_fp"))
+    key = lambda doc_id, fp: F.concat_ws(":", doc_id, fp).alias("k")
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small(batches):
             fp = np.fromiter(map(fingerprint, utf8(b.column(1))), np.uint64, b.num_rows)
-            yield batch("r_id r_fp row", b.column(0), pa.array(fp.view(np.int64)), b.column(2))
+            yield batch("r_id r_fp r_of row", b.column(0), pa.array(fp.view(np.int64)), b.column(2), b.column(3))
 
     row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
-    kind = T.StructType().add("r_id", "long").add("r_fp", "long").add("row", docs.select(row).schema["row"].dataType)
-    rows = docs.select(docs["doc_id"].cast("long").alias("r_id"), docs["text"], row).mapInArrow(go, kind)
-    found = rows.join(top, F.col("r_id").eqNullSafe(F.col("k_id")) & (F.col("r_fp") == F.col("k_fp")), "left_semi")
-    one = F.row_number().over(Window.partitionBy("r_id", "r_fp").orderBy(F.lit(1)))
-    return found.withColumn("nth", one).where("nth = 1").select("row.*")
+    kind = T.StructType().add("r_id", "long").add("r_fp", "long").add("r_of", "long").add("row", docs.select(row).schema["row"].dataType)
+    rows = docs.select(docs["doc_id"].cast("long").alias("r_id"), docs["text"], rank_of(docs, "doc_id").alias("r_of"), row).mapInArrow(go, kind)
+    found = rows.select("row", "r_of", key("r_id", "r_fp")).join(top.select(key("k_id", "k_fp")), "k", "left_semi")
+    first = F.row_number().over(Window.partitionBy("k").orderBy("r_of"))
+    return found.withColumn("nth", first).where("nth = 1").select("row.*")
