@@ -13,8 +13,9 @@ of texts.
 
 Defined cases: a null text counts as empty; the empty text has the empty recipe
 and its copies form one group. A null doc_id is smaller than any other. Of rows
-that are equal in doc_id and text exactly one is kept. Other columns are passed
-by untouched. No rows in, no rows out.
+that are equal in doc_id and text exactly one is kept. Very long texts are read
+whole, as chunks of at most MAX_BYTES. Other columns, whatever their names, are
+passed by untouched. No rows in, no rows out.
 """
 
 from __future__ import annotations
@@ -27,7 +28,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tessera.llm.common import batch, small, utf8
+from tessera.llm.common import batch, rank_of, small, utf8
+from tessera.operators.skew import join_per_key
+from tessera.session import cut
 
 WINDOW = 16
 MIN_BYTES, MAX_BYTES = 512, 16384
@@ -112,23 +115,24 @@ def recipes(docs: DataFrame, identifiers=IDENTIFIERS) -> DataFrame:
 
 def exact_groups(docs: DataFrame, identifiers=IDENTIFIERS) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256."""
-    each = recipes(docs, identifiers).groupBy("recipe", "text_sha256", "doc_id").agg(F.count("*").alias("m"))
-    group = each.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.sum("m").alias("group_size"))
-    # the key of the groups is made anew, so both sides are shuffled for the join itself and adaptive execution can split a hot recipe
-    group = group.select(F.concat("recipe", F.lit(bytearray())).alias("of"), "keep_id", "group_size")
+    each = cut(recipes(docs, identifiers).groupBy("recipe", "text_sha256", "doc_id").agg(F.count("*").alias("m")))
+    group = each.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.sum("m").alias("group_size"), F.count("*").alias("n"))
     return (
-        each.join(group, F.col("recipe") == F.col("of"))
+        join_per_key(each, group, ["recipe"])
         .select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("m"))).alias("copy"))
         .select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"), "text_sha256")
     )
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay: of equal texts the one with the largest doc_id."""
-    keep = exact_groups(docs).where("kept").select(F.col("doc_id").alias("k_id"), F.col("text_sha256").alias("k_sha"))
-    rows = docs.select(
-        F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].cast("long").alias("r_id"), F.sha2(F.coalesce(docs["text"], F.lit("")), 256).alias("r_sha")
-    )
-    found = rows.join(keep, F.col("r_id").eqNullSafe(F.col("k_id")) & (F.col("r_sha") == F.col("k_sha")), "left_semi")
-    one = F.row_number().over(Window.partitionBy("r_id", "r_sha").orderBy(F.lit(1)))
-    return found.withColumn("nth", one).where("nth = 1").select("row.*")
+    """The rows of docs that stay: of equal texts the one with the largest doc_id.
+
+    Of rows equal in doc_id and text the one whose other columns have the least
+    hash stays. Rows and what stays meet by one key, so texts are shuffled once.
+    """
+    key = lambda doc_id, sha: F.concat_ws(":", doc_id, sha).alias("k")
+    keep = exact_groups(docs).where("kept").select(key("doc_id", "text_sha256"))
+    row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
+    rows = docs.select(row, key(docs["doc_id"].cast("long"), F.sha2(F.coalesce(docs["text"], F.lit("")), 256)), rank_of(docs, "doc_id", "text").alias("of"))
+    first = F.row_number().over(Window.partitionBy("k").orderBy("of"))
+    return rows.join(keep, "k", "left_semi").withColumn("nth", first).where("nth = 1").select("row.*")
