@@ -11,11 +11,14 @@ TOP = 256
 def join_per_key(rows: DataFrame, per_key: DataFrame, keys: list[str], n: str = "n", top: int = TOP) -> DataFrame:
     """rows joined to per_key, which has one row a key and the number of rows of the key in column n.
 
-    The `top` keys with the most rows are joined by broadcast, so their rows stay
-    where they are; all other rows are shuffled, and none of their keys has more
-    than one in `top` of all rows. What is broadcast is `top` rows at any size.
+    The `top` keys with the most rows (read by the driver, `top` rows at any size)
+    are joined by broadcast, so their rows stay where they are; all other rows are
+    shuffled, and none of their keys has more than one in `top` of all rows.
     Both inputs are read twice: cut them if they are costly. Null keys join nothing.
     """
-    hot = F.broadcast(per_key.orderBy(F.desc(n), *keys).limit(top))
-    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    most = per_key.orderBy(F.desc(n), *keys).limit(top).collect()
+    if not most:
+        return rows.join(per_key, keys)
+    hot = F.broadcast(rows.sparkSession.createDataFrame(most, per_key.schema))
+    rest = rows.join(hot.select(*keys), keys, "left_anti")
     return rows.join(hot, keys).unionByName(rest.join(per_key, keys))
