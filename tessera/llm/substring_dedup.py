@@ -29,6 +29,7 @@ columns are not read, whatever their names. No rows in, no rows out.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -39,7 +40,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tessera.llm.common import batch, small, utf8
 from tessera.operators.skew import join_per_key
-from tessera.session import cut
+from tessera.session import cut, shared_dir
 
 WINDOW, GRAM, HOT, BLOCK = 20, 8, 512, 1 << 20
 _LEAST = -(1 << 63)
@@ -156,10 +157,10 @@ _RUN = "h long, salt int, doc_id long, key long, start int, n int, words binary,
 
 
 def _matched(found: list[tuple]) -> list[pa.Array]:
-    """Columns of _RUN for verified matches; n counts words."""
+    """Columns of _RUN for verified matches; n counts words, and the text's key stands for the anchor, so they are dealt out evenly."""
     key, start, n, d, s = zip(*found) if found else [()] * 5
-    zero, none = np.zeros(len(key), np.int64), pa.nulls(len(key), pa.binary())
-    return [pa.array(zero), pa.array(zero.astype(np.int32)), pa.array(zero), pa.array(key, pa.int64()), pa.array(start, pa.int32()), pa.array(n, pa.int32()), none, pa.array(d, pa.int64()), pa.array(s, pa.int32())]
+    zero, none, key = np.zeros(len(key), np.int64), pa.nulls(len(key), pa.binary()), pa.array(key, pa.int64())
+    return [key, pa.array(zero.astype(np.int32)), pa.array(zero), key, pa.array(start, pa.int32()), pa.array(n, pa.int32()), none, pa.array(d, pa.int64()), pa.array(s, pa.int32())]
 
 
 def _seeded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,6 +280,13 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch("doc_id start n_words from_doc from_start", *[pa.array(x, pa.int64()) for x in c])
 
 
+def _written(df: DataFrame) -> DataFrame:
+    """The same rows from a table in the shared folder: a third of the size of a checkpoint."""
+    place = f"{shared_dir(df.sparkSession)}/anchors-{uuid.uuid4().hex}"
+    df.write.parquet(place)
+    return df.sparkSession.read.parquet(place)
+
+
 def _leading(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows without texts, the smallest doc_id and number of rows of each text, and the distinct texts with their matches."""
     doc_id, text = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)), F.coalesce("text", F.lit(""))
@@ -290,8 +298,8 @@ def _leading(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     # told by exclusive or, so that it is no join key: texts are dealt out by key alone, as all joins below need them
     apart = (F.col("s1").bitwiseXOR(F.col("l1"))).bitwiseOR(F.col("s2").bitwiseXOR(F.col("l2"))).bitwiseOR(F.col("doc_id").bitwiseXOR(F.col("lead")))
     base = rows.select("*", key("doc_id")).join(same.hint("shuffle_hash"), "key").where(apart == 0).select("key", "text", "doc_id", "s1", "s2")
-    anchors = cut(base.mapInArrow(_anchors, "h long, key long"))
-    often = anchors.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    anchors = _written(base.mapInArrow(_anchors, "h long, key long"))
+    often = cut(anchors.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"))
     seeds = join_per_key(anchors, often, ["h"]).groupBy("key").agg(F.collect_list(F.struct("h", F.ceil(F.col("n") / HOT).cast("int").alias("parts"))).alias("seeds"))
     runs = base.join(seeds.hint("shuffle_hash"), "key").select("key", "text", "doc_id", "seeds").mapInArrow(_seeded, _RUN)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
