@@ -321,8 +321,3 @@ def a33_dead_by_stage(spark, sf):
     from tessera.operators.health import dead_by_stage
 
     return dead_by_stage(events(spark, sf).where("event_type = 'error'").withColumn("stage", F.when(k() % 4 > 0, F.concat(F.lit("stage"), (k() % 4).cast("string")))))
-
-
-@query("""SELECT user_id, count(*) AS n, count(*) >= 20 AS suspicious FROM events WHERE event_type = 'signup' GROUP BY 1""")
-def a35_feedback_bursts(spark, sf):
-    return table(spark, sf, "events").where("event_type = 'signup'").groupBy("user_id").agg(F.count("*").alias("n")).withColumn("suspicious", F.col("n") >= 20)

@@ -308,27 +308,8 @@ def j19_g11_fact_source_graph(spark, sf):
     return G.fact_source_edges(clusters, claims, articles(spark, sf), 20)
 
 
-@query(f"""SELECT CAST(k % 8 AS VARCHAR) AS label, count(*) AS n, round(avg(CAST(value AS DOUBLE)), 2) AS mean FROM {SQL_EVENTS} GROUP BY 1""")
-def a36_eval_metrics(spark, sf):
-    return events(spark, sf).groupBy((k() % 8).cast("string").alias("label")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 2).alias("mean"))
 
 
-@query("""SELECT n_name AS source, count(*) AS n, round(sum(s_acctbal), 2) AS total FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1""")
-def j16_source_list(spark, sf):
-    s, n = table(spark, sf, "supplier"), table(spark, sf, "nation")
-    return s.join(n, s.s_nationkey == n.n_nationkey).groupBy(F.col("n_name").alias("source")).agg(F.count("*").alias("n"), F.round(F.sum("s_acctbal"), 2).alias("total"))
-
-
-@query("""SELECT source, CASE WHEN regexp_matches(source, 'src1') THEN 'a' ELSE 'b' END AS grp, n, CAST(row_number() OVER (ORDER BY n DESC, source) AS INTEGER) AS place FROM (SELECT source, count(*) AS n FROM documents GROUP BY 1)""")
-def t11_w7_ratings(spark, sf):
-    n = table(spark, sf, "documents").groupBy("source").agg(F.count("*").alias("n"))
-    return n.select("source", F.when(F.col("source").contains("src1"), "a").otherwise("b").alias("grp"), "n", F.row_number().over(Window.orderBy(F.desc("n"), "source")).alias("place"))
-
-
-@query("""WITH f AS (SELECT doc_id % 50 AS id, bool_or(doc_id % 9 = 0) AS p, count(DISTINCT source) AS n FROM documents GROUP BY 1) SELECT id, n, p FROM f""")
-def a41_originator_counts(spark, sf):
-    d = table(spark, sf, "documents").groupBy((F.col("doc_id") % 50).alias("id")).agg(F.countDistinct("source").alias("n"), F.bool_or(F.col("doc_id") % 9 == 0).alias("p"))
-    return d.select("id", "n", "p")
 
 
 def _facts(spark, sf):

@@ -137,11 +137,6 @@ def q21_articles_by_id(spark, sf):
     return table(spark, sf, "documents").where(F.col("doc_id").isin(5, 17, 400)).select("doc_id")
 
 
-@query("SELECT source, count(*) AS originations FROM documents WHERE doc_id IN (SELECT min(doc_id) FROM documents GROUP BY text) GROUP BY source")
-def q17_originations_per_source(spark, sf):
-    d = table(spark, sf, "documents").groupBy("text").agg(F.min_by("source", "doc_id").alias("source"))
-    return d.groupBy("source").agg(F.count("*").alias("originations"))
-
 
 @query(f"SELECT knob, value FROM (SELECT 'knob' || k % 6 AS knob, CAST(value AS DOUBLE) AS value, event_id FROM {SQL_EVENTS} WHERE event_type = 'purchase') QUALIFY row_number() OVER (PARTITION BY knob ORDER BY event_id DESC) = 1")
 def q12_latest_proposals(spark, sf):

@@ -185,12 +185,6 @@ def j8_j9_not_yet_judged(spark, sf):
     return table(spark, sf, "documents").select("doc_id").join(table(spark, sf, "labels"), "doc_id", "left_anti")
 
 
-@query("""SELECT source, coalesce(n, 0) AS n, coalesce(good, 0) AS good FROM (SELECT source, count(*) AS n FROM documents WHERE doc_id % 3 = 0 GROUP BY 1) FULL JOIN (SELECT 'src' || s_suppkey % 30 AS source, count(*) AS good FROM supplier GROUP BY 1) USING (source)""")
-def j17_all_sources(spark, sf):
-    a = table(spark, sf, "documents").where("doc_id % 3 = 0").groupBy("source").agg(F.count("*").alias("n"))
-    b = table(spark, sf, "supplier").groupBy(F.concat(F.lit("src"), (F.col("s_suppkey") % 30).cast("string")).alias("source")).agg(F.count("*").alias("good"))
-    return a.join(b, "source", "full_outer").select("source", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("good", F.lit(0)).alias("good"))
-
 
 @query("""SELECT source, max('https://www.' || source || '.com/' || doc_id) AS url FROM documents GROUP BY source""")
 def q18_one_url_per_source(spark, sf):

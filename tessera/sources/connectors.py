@@ -138,6 +138,19 @@ def topics_query(topics: Column) -> Column:
     return F.array_join(F.transform(topics, lambda t: F.concat(F.lit('"'), t, F.lit('"'))), " OR ")
 
 
+def topic_list(lines: Column, default: str = "news") -> Column:
+    """Topics of a file's lines: # starts a comment, blank lines go; none: the default alone."""
+    bare = F.filter(F.transform(lines, lambda x: F.trim(F.regexp_replace(x, "#.*$", ""))), lambda x: x != "")
+    return F.when(F.size(bare) > 0, bare).otherwise(F.array(F.lit(default)))
+
+
+def news_queries(reply: Column, fallback: Column, most: int = 4) -> Column:
+    """The first queries of a reply's JSON list that say something; none: the fallback."""
+    found = F.from_json(F.regexp_extract(reply, r"(?s)(\[.*\])", 1), "array<string>")
+    kept = F.slice(F.filter(F.transform(found, lambda x: F.trim(x)), lambda x: x != ""), 1, most)
+    return F.when(F.size(F.coalesce(kept, F.array().cast("array<string>"))) > 0, kept).otherwise(F.array(fallback))
+
+
 def json_reply(reply: Column, schema: str) -> Column:
     """The object between a model reply's first { and last }."""
     return F.from_json(F.regexp_extract(reply, r"(?s)(\{.*\})", 1), schema)
