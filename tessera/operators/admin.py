@@ -18,7 +18,7 @@ COMMANDS = {
 
 def command_events(rows: DataFrame, command: str, target: Column, reason: Column, actor: str = "operator", **fields: Column) -> DataFrame:
     """Log rows (stream_id, type, data) of a named command; rows without a target are refused (left out)."""
-    data = F.to_json(operator_event(target, reason, actor, **fields))
+    data = F.to_json(operator_event(target.cast("string"), reason, actor, **fields))
     return rows.where(F.coalesce(target.cast("string"), F.lit("")) != "").select(target.cast("string").alias("stream_id"), F.lit(COMMANDS[command]).alias("type"), data.alias("data"))
 
 

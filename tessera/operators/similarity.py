@@ -250,6 +250,17 @@ def semantic_search(stories: DataFrame, query: Column, least: float = 0.08) -> D
     return parts.groupBy("id").agg(F.max(jaccard(words(F.col("part")), words(query))).alias("score")).where(F.col("score") >= least).orderBy(F.desc("score"), "id")
 
 
+def search_many(stories: DataFrame, queries: DataFrame, least: float = 0.08) -> DataFrame:
+    """(q_id, id, score): semantic_search for many queries (q_id, text) at once, by a join on words; stories has (id, fact, claims)."""
+    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"(?U)[^\p{L}\p{N}]+"), lambda t: F.length(t) > 2))
+    parts = stories.select("id", F.posexplode(F.concat(F.array("fact"), "claims")).alias("part", "t")).select("id", "part", words(F.col("t")).alias("w"))
+    asked = queries.select("q_id", words(F.col("text")).alias("w"))
+    have = parts.select("id", "part", F.size("w").alias("n"), F.explode("w").alias("x"))
+    want = asked.select("q_id", F.size("w").alias("m"), F.explode("w").alias("x"))
+    both = have.join(want, "x").groupBy("q_id", "id", "part", "n", "m").agg(F.count("*").alias("c"))
+    return both.groupBy("q_id", "id").agg(F.max(F.col("c") / (F.col("n") + F.col("m") - F.col("c"))).alias("score")).where(F.col("score") >= least)
+
+
 def cached_embeddings(texts: DataFrame, cache: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(rows with the vectors that the cache has, distinct texts that it lacks) by hash of the text."""
     keyed = texts.withColumn("text_hash", F.sha2(text, 256))

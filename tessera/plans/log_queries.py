@@ -20,10 +20,6 @@ def w2_latest_per_stream(spark, sf):
     return last.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("k").alias("sum_k"))
 
 
-@query("SELECT event_id, user_id, event_type FROM events WHERE event_id > 9000")
-def s1_log_scan_past_watermark(spark, sf):
-    return table(spark, sf, "events").where("event_id > 9000").select("event_id", "user_id", "event_type")
-
 
 @query("""SELECT min(event_id) AS event_id, user_id, event_type, CAST(ts AS DATE) AS day FROM events GROUP BY user_id, event_type, CAST(ts AS DATE)""")
 def n9_append_once_per_key(spark, sf):
@@ -238,11 +234,6 @@ def r16_issue_links(spark, sf):
     return folds.issue_links(rows).select("item_id", "status", "dedup_key", "first_issue")
 
 
-@query("SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
-def w10_daily_counts(spark, sf):
-    e = table(spark, sf, "events")
-    return e.groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.to_date("w.start").alias("day"), "event_type", "n")
-
 
 @query("SELECT event_type, count(*) AS n, max(event_id) AS last_id, CAST(max(ts) AS DATE) AS last_day FROM events GROUP BY 1")
 def q2_events_by_type(spark, sf):

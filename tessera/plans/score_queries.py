@@ -224,13 +224,13 @@ def p20_t9_novelty(spark, sf):
     return feed.novel_first(stories, seen, F.to_timestamp(F.lit("2024-02-05 00:00:00")).cast("double")).select("id", "novelty")
 
 
-@query(f"""WITH s AS (SELECT DISTINCT user_id AS id, 'src' || k % 30 AS source FROM {SQL_EVENTS} WHERE event_type = 'error' AND user_id % 2 = 0 AND event_id % 50 = 0), d AS (SELECT 'src' || i AS source FROM range(20) t(i)), u AS (SELECT DISTINCT user_id AS id FROM events)
+@query(f"""WITH s AS (SELECT DISTINCT user_id AS id, 'src' || k % 30 AS source FROM {SQL_EVENTS} WHERE event_type = 'error' AND k < user_id % 4), d AS (SELECT 'src' || i AS source FROM range(2) t(i)), u AS (SELECT DISTINCT user_id AS id FROM events)
     SELECT id FROM u WHERE id NOT IN (SELECT id FROM s LEFT JOIN d USING (source) GROUP BY id HAVING bool_and(d.source IS NOT NULL))""")
 def p4_p5_without_denied(spark, sf):
     e = events(spark, sf)
-    some = e.where("event_type = 'error' and user_id % 2 = 0 and event_id % 50 = 0").groupBy(F.col("user_id").alias("id")).agg(F.collect_set(F.concat(F.lit("src"), (k() % 30).cast("string"))).alias("sources"))
+    some = e.where("event_type = 'error' and k < user_id % 4").groupBy(F.col("user_id").alias("id")).agg(F.collect_set(F.concat(F.lit("src"), (k() % 30).cast("string"))).alias("sources"))
     stories = e.select(F.col("user_id").alias("id")).distinct().join(some, "id", "left").withColumn("sources", F.coalesce("sources", F.array().cast("array<string>")))
-    return feed.without_sources(stories, spark.range(20).select(F.concat(F.lit("src"), F.col("id").cast("string")).alias("source"))).select("id")
+    return feed.without_sources(stories, spark.range(2).select(F.concat(F.lit("src"), F.col("id").cast("string")).alias("source"))).select("id")
 
 
 @query(f"""SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY n, w DESC, source) AS INTEGER) AS fetch_rank FROM (SELECT user_id, event_id, 'src' || k % 12 AS source, CASE WHEN k % 12 < 8 THEN (k % 12) / 20.0 ELSE 0.02 END AS w, row_number() OVER (PARTITION BY user_id, k % 12 ORDER BY event_id) AS n FROM {SQL_EVENTS})

@@ -126,11 +126,6 @@ def m16_z38_golden_checks(spark, sf):
     return ST.golden_checks(c, x)
 
 
-@query("SELECT source, min(doc_id) AS pos FROM documents GROUP BY source")
-def z24_pick_entity(spark, sf):
-    d = table(spark, sf, "documents")
-    return ST.pick_entity(d.select("source", F.col("doc_id").alias("pos"), F.lit("Q1").alias("qid"), F.lit("other.org").alias("site"))).select("source", "pos")
-
 
 @query("SELECT doc_id FROM documents WHERE doc_id IN (5, 17, 400)")
 def q21_articles_by_id(spark, sf):
@@ -144,8 +139,3 @@ def q12_latest_proposals(spark, sf):
 
     e = events(spark, sf).where("event_type = 'purchase'").select(F.concat(F.lit("knob"), (k() % 6).cast("string")).alias("knob"), "value", "event_id")
     return latest(e, ["knob"], [F.desc("event_id")]).select("knob", "value")
-
-
-@query("SELECT page_id, length(regexp_extract(html, '<title>(.*?)</title>', 1)) > 0 AS has_title FROM pages")
-def s20_page_titles(spark, sf):
-    return table(spark, sf, "pages").select("page_id", (F.length(F.regexp_extract("html", "<title>(.*?)</title>", 1)) > 0).alias("has_title"))

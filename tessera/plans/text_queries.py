@@ -122,11 +122,6 @@ def v5_average_linkage_groups(spark, sf):
     return g.groupBy("group").agg(F.count("*").alias("n"), F.min("vec_id").alias("first"))
 
 
-@query("""SELECT label, round(avg(CAST(embedding[1] AS DOUBLE)), 6) AS c1, round(avg(CAST(embedding[64] AS DOUBLE)), 6) AS c64 FROM embeddings GROUP BY label""")
-def v10_label_centroids(spark, sf):
-    e = table(spark, sf, "embeddings").select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
-    return e.where("i in (0, 63)").groupBy("label").agg(F.round(F.max(F.when(F.col("i") == 0, F.col("m"))), 6).alias("c1"), F.round(F.max(F.when(F.col("i") == 63, F.col("m"))), 6).alias("c64"))
-
 
 @query("""SELECT doc_id, round(exp(1.0) / (exp(1.0) + exp(CAST(doc_id % 3 AS DOUBLE))), 9) AS p FROM documents""")
 def v13_softmax(spark, sf):
@@ -147,12 +142,6 @@ def j11_originator_edges(spark, sf):
     return O.originator_edges(m).select("a", "b")
 
 
-@query("""WITH d AS (SELECT lang AS cluster_id, source, doc_id FROM documents) SELECT cluster_id, count(DISTINCT source) AS at_most FROM d GROUP BY 1""")
-def c5_ownership_collapse(spark, sf):
-    s = table(spark, sf, "documents").select(F.col("lang").alias("cluster_id"), "source").distinct()
-    none = s.select("source", F.lit(None).cast("string").alias("owner_group")).where("false")
-    return O.collapse_by_ownership(s, none).select("cluster_id", F.col("independent").alias("at_most"))
-
 
 @query()
 def c6_m3_corroborate(spark, sf):
@@ -161,11 +150,6 @@ def c6_m3_corroborate(spark, sf):
     return c.select("cluster_id", "independent_originators", "effective_originators", "has_primary", "confidence", F.array_join("sources", ",").alias("sources"))
 
 
-@query("""SELECT claim_id, text, source FROM (SELECT conv_id * 1000 + turn AS claim_id, c.text, d.source FROM conversations c JOIN documents d ON d.doc_id = c.conv_id)""")
-def j1_q5_claims_with_articles(spark, sf):
-    c = table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("claim_id"), "text", "conv_id")
-    return c.join(table(spark, sf, "documents").select(F.col("doc_id").alias("conv_id"), "source"), "conv_id").select("claim_id", "text", "source")
-
 
 @query("""SELECT conv_id, role FROM (SELECT conv_id, role, count(*) AS n, min(turn) AS f FROM conversations GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY n DESC, f) = 1""")
 def a40_dominant_value(spark, sf):
@@ -175,14 +159,6 @@ def a40_dominant_value(spark, sf):
     return dominant_language(c).select(F.col("id").alias("conv_id"), F.col("language").alias("role"))
 
 
-@query("""SELECT d.doc_id, l.quality FROM documents d LEFT JOIN labels l USING (doc_id) WHERE d.doc_id % 2 = 0""")
-def j4_articles_with_labels(spark, sf):
-    return table(spark, sf, "documents").select("doc_id").where("doc_id % 2 = 0").join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id", "left")
-
-
-@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
-def j8_j9_not_yet_judged(spark, sf):
-    return table(spark, sf, "documents").select("doc_id").join(table(spark, sf, "labels"), "doc_id", "left_anti")
 
 
 
@@ -191,11 +167,6 @@ def q18_one_url_per_source(spark, sf):
     return articles(spark, sf).groupBy("source").agg(F.max("url").alias("url"))
 
 
-@query("""SELECT item_id, CASE WHEN regexp_matches(lower(text), '\\b(wrong|false|score|disputed)\\b') THEN 1 ELSE 0 END >= 0 AS seen FROM benchmark""")
-def f25_z50_triage(spark, sf):
-    b = table(spark, sf, "benchmark")
-    return b.withColumn("t", T.triage(F.col("text"))).select("item_id", F.col("t.route").isin("review", "auto-fix").alias("seen"))
-
 
 @query("""SELECT doc_id, 'feedback::' || substr(sha1(array_to_string(list_slice(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda t: length(t) >= 3 AND t NOT IN ('the', 'and', 'for', 'that', 'this', 'with', 'not', 'but', 'you', 'are', 'was')), 1, 8), ' ')), 1, 12) AS key FROM documents""")
 def f23_feedback_keys(spark, sf):
@@ -224,20 +195,3 @@ def p6_p7_topic_matches(spark, sf):
 def f12_f14_clean_articles(spark, sf):
     a = articles(spark, sf)
     return a.select("id", T.clean_title("title", "source").alias("title"), F.length(T.clean_body("body", "title")).alias("n_chars"))
-
-
-@query("""SELECT doc_id, CASE WHEN regexp_matches(split_part(text, chr(10), 1), '(?i)archives') THEN 1 ELSE 0 END = 1 AS is_index FROM documents""")
-def p8_p9_index_pages(spark, sf):
-    a = articles(spark, sf)
-    return a.select(F.col("id").alias("doc_id"), T.is_index_page(F.col("title"), F.col("body")).alias("is_index"))
-
-
-@query("""WITH q AS (SELECT list_distinct(list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda t: length(t) > 2)) AS w FROM benchmark WHERE item_id = 0),
-    d AS (SELECT item_id, list_distinct(list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda t: length(t) > 2)) AS w FROM benchmark),
-    s AS (SELECT item_id AS id, CAST(len(list_intersect(d.w, q.w)) AS DOUBLE) / (len(d.w) + len(q.w) - len(list_intersect(d.w, q.w))) AS score FROM d, q) SELECT id, round(score, 6) AS score FROM s WHERE score >= 0.08""")
-def l1_semantic_search(spark, sf):
-    b = table(spark, sf, "benchmark")
-    one = b.where("item_id = 0").select(F.col("text").alias("asked"))
-    stories = b.select(F.col("item_id").alias("id"), F.col("text").alias("fact"), F.array().cast("array<string>").alias("claims")).crossJoin(F.broadcast(one))
-    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"(?U)[^\p{L}\p{N}]+"), lambda t: F.length(t) > 2))
-    return stories.select("id", F.round(V.jaccard(words(F.col("fact")), words(F.col("asked"))), 6).alias("score")).where("score >= 0.08")

@@ -172,11 +172,19 @@ def salvaged_array(reply: Column, schema: str) -> Column:
     return F.coalesce(F.from_json(F.nullif(whole, F.lit("")), schema), F.from_json(F.when(F.length(cut) > 1, cut), schema), F.from_json(F.lit("[]"), schema))
 
 
+def page_articles(pages: DataFrame, min_chars: int = MIN_BODY) -> DataFrame:
+    """Fetched pages (page_id, url, html) as articles with title, main text and lead image; too short ones are left out."""
+    from tessera.sources.warc import parse_pages
+
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(parse_pages(min_chars), "page_id long, url string, title string, body string, image string")
+
+
 def warc_articles(spark: SparkSession, path: str, min_chars: int = 400, limit: int = 0) -> DataFrame:
     """HTML responses of WARC files as articles; limit is per file (0: all).
 
-    Files are read as a stream record by record, in tasks of their own, through
-    Spark's file source, so any store Spark reads will do.
+    Files come through Spark's file source, so any store Spark reads will do. A
+    file (1 GB as a rule, 2 GB at most) is held once in its task as it lies in
+    the store; it is unpacked record by record, and rows go on in small batches.
     """
     from tessera.sources.warc import parse_files
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import gzip
-import io
 import re
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
@@ -59,13 +58,37 @@ def records(stream) -> Iterator[tuple[dict[str, str], bytes]]:
         yield head, stream.read(int(head.get("content-length", 0)))
 
 
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)], names="file url title body language_header seendate".split())
+
+
+_IMAGE = re.compile(r"""<meta[^>]+property=["']og:image["'][^>]+content=["']([^"']+)""", re.IGNORECASE)
+
+
+def parse_pages(min_chars: int) -> Callable:
+    """(page_id, url, html) to (page_id, url, title, body, image), pages with too little text left out."""
+
+    def go(batches):
+        for b in batches:
+            rows = []
+            for page_id, url, html in zip(*(c.to_pylist() for c in b.columns)):
+                title, text = html_text(html or "")
+                if len(text) >= min_chars:
+                    image = _IMAGE.search(html or "")
+                    rows.append((page_id, url, title, text, image and image[1]))
+            cols = list(zip(*rows)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *[pa.array(c, pa.string()) for c in cols[1:]]], names="page_id url title body image".split())
+
+    return go
+
+
 def parse_files(min_chars: int, limit: int) -> Callable:
     def go(batches):
         for b in batches:
             for path, content in zip(b.column(0).to_pylist(), b.column(1)):
-                raw = io.BytesIO(content.as_py())
-                stream = gzip.GzipFile(fileobj=raw) if content.as_py()[:2] == b"\x1f\x8b" else raw
-                rows = []
+                raw = pa.BufferReader(content.as_buffer())
+                stream = gzip.GzipFile(fileobj=raw) if content.as_buffer()[:2].to_pybytes() == b"\x1f\x8b" else raw
+                rows, found = [], 0
                 for head, body in records(stream):
                     if head.get("warc-type") != "response" or not head.get("warc-target-uri"):
                         continue
@@ -74,10 +97,14 @@ def parse_files(min_chars: int, limit: int) -> Callable:
                         continue
                     title, text = html_text(page.decode("utf-8", "replace"))
                     if len(text) >= min_chars:
+                        found += 1
                         rows.append((path, head["warc-target-uri"], title, text, head.get("warc-identified-content-language", ""), head.get("warc-date", "")))
-                    if limit and len(rows) >= limit:
+                    if len(rows) >= 256:
+                        yield _batch(rows)
+                        rows = []
+                    if limit and found >= limit:
                         break
-                cols = list(zip(*rows)) or [()] * 6
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], names="file url title body language_header seendate".split())
+                if rows:
+                    yield _batch(rows)
 
     return go

@@ -15,9 +15,9 @@ from pyspark.sql.streaming import StreamingQuery
 from tessera.operators.log import LOG_SCHEMA
 
 
-def read_log(spark: SparkSession, path: str, files_per_trigger: int | None = None, schema=LOG_SCHEMA) -> DataFrame:
-    """The log as a stream."""
-    reader = spark.readStream.schema(schema)
+def read_log(spark: SparkSession, path: str, files_per_trigger: int | None = None, schema=LOG_SCHEMA, files: str = "*.parquet") -> DataFrame:
+    """The log folder as a stream of its files."""
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", files)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     return reader.parquet(path)
