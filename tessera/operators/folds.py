@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tessera.operators.log import latest
+from tessera.operators.skew import join_per_key
 
 
 def _events(log: DataFrame, kind: str, schema: str) -> DataFrame:
@@ -152,8 +153,9 @@ def story_graph_tables(log: DataFrame) -> dict[str, DataFrame]:
     """story.graph.rebuilt and story.graph.delta: nodes, edges and links since the tenant's last reset."""
     e = log.where(F.col("type").isin("story.graph.rebuilt", "story.graph.delta")).withColumn("d", F.from_json("data", _GRAPH))
     reset = (F.col("type") == "story.graph.rebuilt") | F.coalesce("d.reset", F.lit(False))
-    w = Window.partitionBy("tenant_id")
-    e = e.withColumn("start", F.max(F.when(reset, F.col("id"))).over(w)).where(F.col("start").isNull() | (F.col("id") >= F.col("start")))
+    e = e.withColumn("tenant_id", F.coalesce("tenant_id", F.lit("")))
+    start = e.groupBy("tenant_id").agg(F.max(F.when(reset, F.col("id"))).alias("start"), F.count("*").alias("n"))
+    e = join_per_key(e, start, ["tenant_id"]).where(F.col("start").isNull() | (F.col("id") >= F.col("start")))
     n = e.select("tenant_id", "id", F.explode("d.nodes").alias("n"))
     nodes = n.groupBy("tenant_id", F.col("n.id").alias("node_id")).agg(
         last_of("n.headline").alias("headline"),

@@ -9,7 +9,7 @@ from tessera.functions.identity import is_primary_source
 from tessera.operators import diversity as D, feed, graph as G, health, history as H, steering
 from tessera.plans.registry import query
 from tessera.plans.stand_ins import LEVELS, SQL_EVENTS, SQL_FACTS, SQL_HISTORY, SQL_LEVEL, articles, events, history, level, sql_read, k
-from tessera.session import table
+from tessera.session import cut, table
 
 
 @query(f"""SELECT event_id, {sql_read('k % 6', 'k % 7 = 0', "CASE extremity WHEN 'routine' THEN 0.35 WHEN 'ordinary' THEN 0.45 WHEN 'notable' THEN 0.55 WHEN 'significant' THEN 0.66 ELSE 0.76 END::DOUBLE")} AS confidence FROM (SELECT *, {SQL_LEVEL} AS extremity FROM {SQL_EVENTS})""")
@@ -90,7 +90,12 @@ def m8_reputation_scores(spark, sf):
     return H.reputation(history(spark, sf)).select("source", "score")
 
 
-@query()
+@query(f"""WITH e AS (SELECT *, rank() OVER (ORDER BY id) AS r FROM {SQL_HISTORY}), c AS (SELECT DISTINCT CAST(greatest(1, round_even((SELECT count(*) FROM events) * i / 8.0, 0)) AS INTEGER) AS cut FROM range(1, 9) t(i)),
+    f AS (SELECT cut, fact, arg_min(n, id) AS first_n, arg_max(n, id) AS last_n, arg_max(p, id) AS last_p, bool_or(corrected) AS corrected, arg_max(contradicted, id) AS bad, arg_max(k, id) AS k FROM e JOIN c ON r <= cut GROUP BY 1, 2),
+    o AS (SELECT *, CASE WHEN corrected OR bad THEN 'refuted' WHEN last_n >= 3 OR last_p THEN 'confirmed' ELSE 'open' END AS outcome FROM f),
+    s AS (SELECT *, 'src' || k % 20 AS source FROM o UNION ALL SELECT *, CASE WHEN k % 3 = 0 THEN 'ministry of truth' ELSE 'src' || k % 7 END FROM o),
+    a AS (SELECT source, cut, count(*) AS n, count(*) FILTER (WHERE last_n > 1 OR (last_n = 1 AND source LIKE 'ministry%')) AS own, count(*) FILTER (WHERE outcome = 'confirmed') AS c, count(*) FILTER (WHERE outcome <> 'open') AS t FROM s GROUP BY 1, 2)
+    SELECT source, cut, round(CASE WHEN t > 0 THEN 0.7 * round(c / CAST(t AS DOUBLE), 3) + 0.3 * round(own / CAST(n AS DOUBLE), 3) ELSE 0.5 * round(own / CAST(n AS DOUBLE), 3) END, 3) AS score FROM a""")
 def a3_w6_reputation_series(spark, sf):
     return H.reputation_series(history(spark, sf))
 
@@ -103,7 +108,9 @@ def t14_m10_m12_preferences(spark, sf):
     return H.preferences(H.reputation(history(spark, sf))).select("source", F.round("weight", 3).alias("weight"), "low_evidence")
 
 
-@query()
+@query(f"""SELECT * FROM (SELECT count(*) AS n_facts, count(*) FILTER (WHERE outcome = 'confirmed') AS confirmed, count(*) FILTER (WHERE outcome = 'refuted') AS refuted, count(*) FILTER (WHERE outcome = 'corroborating') AS corroborating, count(*) FILTER (WHERE outcome = 'unconfirmed') AS unconfirmed FROM {SQL_FACTS}),
+    (SELECT round(avg(power(read - target, 2)), 4) AS brier, count(*) AS n_scored, CASE WHEN avg(read - target) > 0.1 THEN 'over-confident' WHEN avg(read - target) < -0.1 THEN 'under-confident' ELSE 'calibrated' END AS flag FROM {SQL_SCORED}),
+    (SELECT CASE WHEN age < 3600 THEN 'fresh' WHEN age < 86400 THEN 'stale' ELSE 'stalled' END AS freshness FROM (SELECT epoch(TIMESTAMP '2024-01-31 00:00:00') - epoch(max(ts)) AS age FROM events))""")
 def a10_z19_calibration_status(spark, sf):
     return H.calibration_status(history(spark, sf), F.to_timestamp(F.lit("2024-01-31 00:00:00"))).select("n_facts", "confirmed", "refuted", "corroborating", "unconfirmed", "brier", "n_scored", "flag", "freshness")
 
@@ -294,6 +301,18 @@ def g1_g6_story_graph(spark, sf):
     return g.groupBy("kind").agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("members")).cast("long"), F.lit(0)).alias("members"))
 
 
+@query("SELECT count(*) AS members, count(DISTINCT event_id) AS clusters FROM events WHERE event_type = 'purchase'")
+def g2_g7_extended_graph(spark, sf):
+    """The first half of the clusters is folded and kept, the rest is folded onto it: every cluster lies in one node."""
+    c = _graph_clusters(spark, sf)
+    half = c.agg(F.avg("ts")).first()[0] or 0.0
+    first = cut(G.story_graph(c.where(F.col("ts") < half)))
+    more = G.extend_graph(first, c.where(F.col("ts") >= half))
+    now = first.where("kind = 'node'").join(more.where("kind = 'node'").select("id"), "id", "left_anti").unionByName(more.where("kind = 'node'"))
+    m = now.select(F.explode("members").alias("c"))
+    return m.agg(F.count("*").alias("members"), F.countDistinct("c").alias("clusters"))
+
+
 @query()
 def g6_headlines(spark, sf):
     c = _graph_clusters(spark, sf)
@@ -318,7 +337,14 @@ def _facts(spark, sf):
     return e.select(F.col("user_id").alias("story_id"), F.col("event_id").alias("id"), F.col("event_id").alias("pos"), (k() / 100.0).alias("confidence"), (k() % 5).alias("independent_originators"), (k() % 7 == 0).alias("has_primary"), level(k()).alias("extremity"), F.array(g).alias("originator_sources"), F.lit(None).cast("string").alias("grounding"), F.lit(False).alias("disputed"))
 
 
-@query()
+@query(f"""WITH f AS (SELECT user_id AS s, event_id AS id, k, k % 5 AS n, k % 7 = 0 AS p, {SQL_LEVEL} AS extremity, k % 20 < 10 AS rated, 0.6 + 0.4 * CASE WHEN k % 20 < 10 THEN (k % 20) / 10.0 ELSE 0.5 END::DOUBLE AS effective FROM {SQL_EVENTS} WHERE event_type = 'signup'),
+    h AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY s ORDER BY n DESC, id) = 1), a AS (SELECT s, count(*) FILTER (WHERE k >= 70) AS strong_all, bool_or(rated) AS any_rated FROM f GROUP BY s),
+    b AS (SELECT h.*, any_rated, strong_all - CASE WHEN k >= 70 THEN 1 ELSE 0 END AS strong, {sql_read('effective', 'p')} AS b0 FROM h JOIN a USING (s)),
+    c AS (SELECT *, CASE WHEN strong > 0 THEN least(0.99::DOUBLE, b0 + least(0.03::DOUBLE * strong, 0.09::DOUBLE)) ELSE b0 END AS b1 FROM b), d AS (SELECT *, NOT any_rated AND b1 > 0.7 AS capped FROM c),
+    x AS (SELECT *, CAST(round(greatest(0::DOUBLE, least(1::DOUBLE, CASE WHEN capped THEN 0.7 ELSE b1 END)) * 100) AS INTEGER) AS score FROM d)
+    SELECT s AS story_id, score, CASE WHEN score >= 85 THEN 'established' WHEN score >= 65 THEN 'corroborated' WHEN score >= 45 THEN 'developing' WHEN score >= 25 THEN 'thin' ELSE 'single' END AS band, capped,
+    array_to_string(list_filter([n || ' independent originator' || CASE WHEN n <> 1 THEN 's' ELSE '' END || CASE WHEN rated THEN ', 1 with a track record' ELSE '' END, CASE WHEN strong > 0 THEN strong || ' corroborating fact' || CASE WHEN strong <> 1 THEN 's' ELSE '' END || ' in the story' END,
+      CASE WHEN extremity IN ('significant', 'extraordinary') THEN extremity || ' claim — bar raised' END, CASE WHEN capped THEN 'carriers not yet proven — capped' END], lambda y: y IS NOT NULL), '; ') AS why FROM x""")
 def m9_a42_credibility(spark, sf):
     rep = spark.range(10).select(F.concat(F.lit("src"), F.col("id").cast("string")).alias("source"), (F.col("id") / 10.0).alias("reputation"))
     return feed.credibility(_facts(spark, sf), rep).select("story_id", "score", "band", "capped", F.array_join("why", "; ").alias("why"))

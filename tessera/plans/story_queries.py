@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import history as H, stories as ST
 from tessera.plans.registry import query
+from tessera.plans.score_queries import SQL_RATED
 from tessera.plans.stand_ins import SQL_EVENTS, articles, events, history, k
 from tessera.session import table
 
@@ -111,7 +112,7 @@ def l5_first_turn_summary(spark, sf):
     return c.select("conv_id", ST.summary(F.col("fact"), F.array(F.col("fact"))).alias("summary"))
 
 
-@query()
+@query(f"SELECT source, 0.5::DOUBLE AS now, round(greatest(0.2::DOUBLE, least(0.8::DOUBLE, coalesce(confirmation_rate, independent_rate))), 4) AS proposed FROM {SQL_RATED}")
 def m13_policy_step(spark, sf):
     h = history(spark, sf)
     none = spark.createDataFrame([], "source string, preference double")

@@ -418,3 +418,17 @@ def test_join_per_key_equals_a_join(spark):
     for top in (1, 4, 1000):
         assert sorted(map(tuple, join_per_key(df, per, ["k"], top=top).collect())) == want
     assert join_per_key(df.where("false"), per, ["k"]).collect() == []
+
+
+def test_graph_extended_by_halves_is_the_graph_of_all(spark):
+    r = random.Random(12)
+    rows = [(f"c{i:03d}", sorted({f"e{r.randrange(12)}" for _ in range(2)}), [r.random(), r.random()], 3600.0 * r.randrange(400)) for i in range(60)]
+    df = spark.createDataFrame(rows, "cluster_id string, spine array<string>, vector array<double>, ts double")
+    nodes = lambda g: {(x.id, tuple(x.members)) for x in g if x.kind == "node"}
+    edges = lambda g: sorted((x.kind, x.id, x.to_id) for x in g if x.kind != "node")
+    whole = G.story_graph(df).collect()
+    first = G.story_graph(df.where("ts < 700000"))
+    more = G.extend_graph(first, df.where("ts >= 700000")).collect()
+    kept = [x for x in first.collect() if x.id not in {y.id for y in more if y.kind == "node"} or x.kind != "node"]
+    assert nodes(whole) == nodes(kept + more) and edges(whole) == edges(kept + more)
+    assert nodes(more) and len(nodes(more)) < len(nodes(whole))

@@ -48,7 +48,8 @@ def test_query_equals_its_sql(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_query_without_sql_runs(spark, name):
-    assert QUERIES[name](spark, SF).columns
+    df = QUERIES[name](spark, SF)
+    assert len(df.collect()) > 0 and df.columns
 
 
 def test_entry_imports_without_a_session():
