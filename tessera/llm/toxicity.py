@@ -33,6 +33,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain as chained
 
 import numpy as np
 import pyarrow as pa
@@ -46,14 +47,29 @@ PREFIXES, LEVELS = range(3, 9), 3
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def features(text: str, known: dict[str, int] | None = None) -> list[str]:
+class Heads(dict):
+    """The first letters of a word that some known feature counts, made once a word; emptied when it holds too many words."""
+
+    def __init__(self, known: dict[str, int]) -> None:
+        super().__init__()
+        self.letters = frozenset(f[1:-1] for f in known if f[0] == "|")
+
+    def __missing__(self, word: str) -> list[str]:
+        if len(self) >= 1 << 18:
+            self.clear()
+        found = self[word] = [h for k in PREFIXES if len(word) > k and (h := word[:k]) in self.letters]
+        return found
+
+
+def features(text: str, known: dict[str, int] | None = None, heads: Heads | None = None) -> list[str]:
     """Words of a text, and a bar, first letters and 1, 2 or 3 for these letters of that many words; of `known` features only, if given."""
     words = set(_WORD.findall(text.lower()))
-    heads = Counter(w[:k] for w in words for k in PREFIXES if len(w) > k)
-    found = [*words, *(f"|{h}{j + 1}" for h, n in heads.items() for j in range(min(n, LEVELS)))] if known is None else [w for w in words if w in known]
-    if known is not None:
-        found += [f for h, n in heads.items() if f"|{h}1" in known or n > 1 for j in range(min(n, LEVELS)) if (f := f"|{h}{j + 1}") in known]
-    return found
+    if known is None:
+        count = Counter(w[:k] for w in words for k in PREFIXES if len(w) > k)
+        return [*words, *(f"|{h}{j + 1}" for h, n in count.items() for j in range(min(n, LEVELS)))]
+    heads = Heads(known) if heads is None else heads
+    count = Counter(chained.from_iterable(map(heads.__getitem__, words)))
+    return [w for w in words if w in known] + [f for h, n in count.items() for j in range(min(n, LEVELS)) if (f := f"|{h}{j + 1}") in known]
 
 
 def _logistic(x: np.ndarray) -> np.ndarray:
@@ -123,9 +139,9 @@ class Chain:
             before = np.column_stack([before, model.predict(x, before)])
         return before
 
-    def rows(self, found: list[str]) -> Rows:
-        known = self.vocabulary
-        return Rows.of([[known[f] for f in features(t, known)] for t in found])
+    def rows(self, found: list[str], heads: Heads | None = None) -> Rows:
+        known, heads = self.vocabulary, Heads(self.vocabulary) if heads is None else heads
+        return Rows.of([[known[f] for f in features(t, known, heads)] for t in found])
 
 
 def fit_chain(names: list[str], vocabulary: dict[str, int], x: Rows, y: np.ndarray, fold: np.ndarray) -> Chain:
@@ -207,8 +223,9 @@ def learn(docs: DataFrame, labels: DataFrame, kinds: int = KINDS, train_rows: in
     vocabulary = {w: k for k, w in enumerate(sorted(r.w for r in best))}
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heads = Heads(vocabulary)
         for b in small(batches):
-            ids = [sorted(vocabulary[f] for f in features(t, vocabulary)) for t in texts(b.column(2))]
+            ids = [sorted(vocabulary[f] for f in features(t, vocabulary, heads)) for t in texts(b.column(2))]
             yield batch("doc_id y ids", b.column(0), b.column(1), pa.array(ids, pa.list_(pa.int32())))
 
     rows = sorted(sample.mapInArrow(found, "doc_id long, y int, ids array<int>").collect(), key=lambda r: (r.doc_id, r.y, r.ids))
@@ -225,8 +242,9 @@ def score(docs: DataFrame, chain: Chain) -> DataFrame:
     """One row per row of docs: doc_id, p_<category> for each category, toxic (0 or 1)."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heads = Heads(chain.vocabulary)
         for b in small(batches):
-            p = chain.predict(chain.rows(texts(b.column(1))))
+            p = chain.predict(chain.rows(texts(b.column(1)), heads))
             yield batch(" ".join(["doc_id", *(f"p_{n}" for n in chain.names), "toxic"]), b.column(0), *[pa.array(p[:, k]) for k in range(p.shape[1])], pa.array((p[:, -1] >= THRESHOLD).astype(np.int32)))
 
     schema = ", ".join(["doc_id long", *(f"p_{n} double" for n in chain.names), "toxic int"])
