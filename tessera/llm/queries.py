@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontaminate, exact_dedup, html_crf, packing_nnls, quality_rqda, secret_scan, simhash_bk, substring_dedup, token_shards, toxicity
+from tessera.llm import decontaminate, exact_dedup, fill_in_middle, html_crf, packing_nnls, quality_rqda, secret_scan, simhash_bk, substring_dedup, token_shards, toxicity
 from tessera.session import table
 
 
@@ -48,6 +48,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -61,6 +65,7 @@ QUERIES = {
         op8_substring_dedup,
         op9_decontaminate,
         op10_exact_dedup,
+        op12_fill_in_middle,
     )
 }
 
@@ -73,4 +78,21 @@ ORACLE_SQL = {
                sha256(coalesce(text, '')) AS text_sha256
         FROM documents
     """,
+    "op12_fill_in_middle": """
+        WITH h AS (
+            SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(doc_id::VARCHAR, 'null')) AS x
+            FROM documents
+        ), k AS (
+            SELECT *, ('0x' || substr(x, 1, 8))::BIGINT % (n + 1) AS c1, ('0x' || substr(x, 9, 8))::BIGINT % (n + 1) AS c2,
+                   CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR ('0x' || substr(x, 17, 8))::BIGINT % 100 >= 90 THEN 'plain'
+                        WHEN ('0x' || substr(x, 25, 8))::BIGINT % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+            FROM h
+        ), p AS (
+            SELECT *, substr(text, 1, least(c1, c2)) AS a, substr(text, least(c1, c2) + 1, abs(c1 - c2)) AS b, substr(text, greatest(c1, c2) + 1) AS c FROM k
+        )
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(a) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(b) END AS middle_chars,
+               sha256(CASE form WHEN 'psm' THEN '<P>' || a || '<S>' || c || '<M>' || b WHEN 'spm' THEN '<S>' || c || '<P>' || a || '<M>' || b ELSE text END) AS output_sha256,
+               sha256(text) AS restored_sha256
+        FROM p
+    """,
 }
