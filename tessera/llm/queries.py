@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontaminate, exact_dedup, fill_in_middle, html_crf, packing_nnls, quality_rqda, secret_scan, simhash_bk, substring_dedup, token_shards, toxicity
+from tessera.llm import decontaminate, exact_dedup, fill_in_middle, html_crf, ngram_lm, packing_nnls, quality_rqda, secret_scan, simhash_bk, substring_dedup, token_shards, toxicity
 from tessera.session import table
 
 
@@ -48,6 +48,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op11_ngram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.scores(table(spark, sf_dir, "documents"))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_in_middle.digests(table(spark, sf_dir, "documents"))
 
@@ -65,6 +69,7 @@ QUERIES = {
         op8_substring_dedup,
         op9_decontaminate,
         op10_exact_dedup,
+        op11_ngram_trie,
         op12_fill_in_middle,
     )
 }
