@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontaminate, exact_dedup, fill_in_middle, html_crf, ngram_lm, packing_nnls, quality_rqda, secret_scan, simhash_bk, substring_dedup, token_shards, toxicity
+from tessera.llm import decontaminate, exact_dedup, fill_in_middle, html_crf, ngram_lm, packing_nnls, phrases, quality_rqda, secret_scan, simhash_bk, substring_dedup, token_shards, toxicity
 from tessera.session import table
 
 
@@ -56,6 +56,10 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_in_middle.digests(table(spark, sf_dir, "documents"))
 
 
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -71,6 +75,7 @@ QUERIES = {
         op10_exact_dedup,
         op11_ngram_trie,
         op12_fill_in_middle,
+        op13_phrases,
     )
 }
 
@@ -100,4 +105,38 @@ ORACLE_SQL = {
                sha256(text) AS restored_sha256
         FROM p
     """,
+    "op13_phrases": r"""
+        WITH d AS (
+            SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+        ), p AS (
+            SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d
+        ), w AS (
+            SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), x -> x <> '') AS w FROM p
+        ), g AS (
+            SELECT lang, k, w[i : i + k - 1] AS g
+            FROM (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w), (SELECT unnest([1, 2, 3, 4]) AS k)
+            WHERE i + k - 1 <= len(w)
+        ), f AS (
+            SELECT lang, k, g, count(*)::HUGEINT AS a FROM g GROUP BY ALL
+        ), n AS (
+            SELECT lang, sum(a)::HUGEINT AS n FROM f WHERE k = 1 GROUP BY lang
+        ), c AS (
+            SELECT * FROM f WHERE k >= 2 AND a >= 30
+        ), gone AS (
+            SELECT DISTINCT x.lang, x.g
+            FROM (SELECT lang, a, g[i : i + s - 1] AS g FROM (SELECT *, unnest(range(2, k)) AS s FROM c), (SELECT unnest([1, 2, 3]) AS i) WHERE i + s - 1 <= k) AS y
+            JOIN c AS x ON x.lang = y.lang AND x.g = y.g
+            WHERE 100 * y.a >= 80 * x.a
+        ), s AS (
+            SELECT c.lang, c.g, c.a, l.a AS l, r.a AS r, 2000000 * c.a // (l.a + r.a) AS score, row_number() OVER (PARTITION BY c.lang, c.g ORDER BY 2000000 * c.a // (l.a + r.a), j) AS o
+            FROM (SELECT *, unnest(range(1, k)) AS j FROM c) AS c
+            JOIN f AS l ON l.lang = c.lang AND l.g = c.g[1 : j]
+            JOIN f AS r ON r.lang = c.lang AND r.g = c.g[j + 1 : k]
+        ), o AS (
+            SELECT s.lang, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, a DESC, array_to_string(s.g, ' ')) AS rank, array_to_string(s.g, ' ') AS phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, score::BIGINT AS score
+            FROM s ANTI JOIN gone ON gone.lang = s.lang AND gone.g = s.g
+            WHERE o = 1
+        )
+        SELECT o.lang, rank, phrase, a, l, r, n.n::BIGINT AS n, score FROM o JOIN n ON n.lang = o.lang WHERE rank <= 2000
+    """,
 }
