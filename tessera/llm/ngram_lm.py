@@ -13,14 +13,16 @@ with one end token, which counts as a token. The model has three levels:
    its context's range. With each successor goes its smoothed probability
    (c - d) / c(context), with each context the weight of the level below,
    (sum of d) / c(context), both as 16-bit codes of their logarithm. d is the
-   discount of a count of 1, 2 or more, reckoned from the block's counts of counts.
+   discount of a count of 1, 2 or more, reckoned from the block's counts of counts;
+   a triple seen once is discounted as a whole, so only its context's weight tells
+   of it, and a context of nothing else needs no entry.
 
 P3 = a3 + l3 P2, P2 = a2 + l2 P1, P1 = base: probabilities of a context add up to
 one but for the codes' steps of 0.0002. The first words of a document have shorter contexts.
 
 Work on Spark: words, then pairs and triples, are counted within blocks of text,
-dealt out by key and merged in order by streaming tasks that write a block at a
-time. The triples' shares are ranges of (first, second, third word) cut by the
+dealt out by key (n-grams packed, some thousands a row) and merged in order by
+streaming tasks that write a block at a time. The n-grams' shares are ranges of (first, second, third word) cut by the
 words' own cumulated counts, so a frequent word's contexts are spread over many
 tasks, and a context that runs over blocks is put together by the index from the
 sums that blocks tell at their ends (one row a block). Nothing is broadcast:
@@ -51,7 +53,9 @@ from tessera.llm.elias_fano import U, EliasFano, Lexicon, digests, encode, n_sha
 from tessera.session import cut
 
 #: Tokens that a task counts or scores together, and n-grams that go into one block of a level.
-TOKENS, NGRAMS = 2_500_000, 1 << 21
+TOKENS, NGRAMS = 1_000_000, 1 << 20
+#: N-grams of a block of text that go into one row, about.
+PACKED = 1000
 #: A code is one of 65,536 steps of log10 p from -16 to 0.
 STEP = 16 / 65535
 BITS = 31  # of a word's id
@@ -96,66 +100,94 @@ def decoded(c: np.ndarray) -> np.ndarray:
     return 10.0 ** (c.astype(float) * -STEP)
 
 
-def _level_block(ctx: np.ndarray, w: np.ndarray, c: np.ndarray) -> tuple[dict, dict, list]:
+def _level_block(level: int, ctx: np.ndarray, w: np.ndarray, c: np.ndarray) -> tuple[dict, dict, list]:
     """(arrays, meta, line of the index) of a sorted run of one level."""
-    start = np.flatnonzero(np.r_[True, ctx[1:] != ctx[:-1]])
-    of = np.cumsum(np.r_[False, ctx[1:] != ctx[:-1]])
-    last = w[np.r_[start[1:], len(w)] - 1]
-    base = np.cumsum(last) - last  # what the ranges before end with
-    d = discounts(c)
+    new = np.r_[True, ctx[1:] != ctx[:-1]]
+    start, of = np.flatnonzero(new), np.cumsum(new) - 1
+    d = np.where(c == 1, 1.0, discounts(c)) if level == 3 else discounts(c)
     total, taken = np.add.reduceat(c, start), np.add.reduceat(d, start)
-    arrays, meta = {"alpha": code((c - d) / total[of]), "lambda": code(taken / total)}, {}
-    for name, values in (("context", ctx[start]), ("pointer", np.r_[start, len(w)]), ("word", base[of] + w)):
+    keep = c > d
+    for x, y in ((0, start[1] if len(start) > 1 else len(c)), (start[-1], len(c))):
+        keep[x] |= not keep[x:y].any()  # the first and the last context may go on in other blocks, which count on their being here
+    kept = np.add.reduceat(keep.astype(np.int64), start)
+    there = kept > 0
+    at = np.cumsum(there) - 1
+    alpha, of, w = ((c - d) / total[of])[keep], at[of[keep]], w[keep]
+    pointer = np.r_[0, np.cumsum(kept[there])]
+    last = w[pointer[1:] - 1]
+    base = np.cumsum(last) - last  # what the ranges before end with
+    arrays, meta = {"alpha": code(alpha), "lambda": code((taken / total)[there])}, {}
+    for name, values in (("context", ctx[start][there]), ("pointer", pointer), ("word", base[of] + w)):
         a, m = encode(name, values.astype(U))
         arrays |= a
         meta |= m
     return arrays, meta, [int(ctx[0]), int(w[0]), int(ctx[-1]), int(total[0]), float(taken[0]), int(total[-1]), float(taken[-1])]
 
 
+def packed(ids: list[np.ndarray], n: np.ndarray) -> bytes:
+    """Sorted n-grams and their counts: columns of 32 bits, the first as differences, byte by byte, and compressed if that pays."""
+    from zstandard import ZstdCompressor
+
+    cols = np.stack([np.diff(ids[0], prepend=0), *ids[1:], n]).astype("<u4")
+    data = np.ascontiguousarray(cols.view(np.uint8).reshape(len(cols), -1, 4).transpose(0, 2, 1)).tobytes()
+    return bytes([len(cols), len(n) > 100]) + (ZstdCompressor(level=1).compress(data) if len(n) > 100 else data)
+
+
+def unpacked(data: bytes) -> list[np.ndarray]:
+    from zstandard import ZstdDecompressor
+
+    k, small_one, data = data[0], not data[1], data[2:]
+    data = data if small_one else ZstdDecompressor().decompress(data)
+    cols = np.frombuffer(data, np.uint8).reshape(k, 4, -1).transpose(0, 2, 1).reshape(k, -1).copy().view("<u4").astype(np.int64)
+    cols[0] = np.cumsum(cols[0])
+    return list(cols)
+
+
 _INDEX = "level long, part long, k long, context long, word long, last long, total double, taken double, last_total double, last_taken double"
 
 
 def _write_levels(rows: DataFrame, folder: str, block: int) -> None:
-    """From (part, key, w, n), dealt by part: merged in order of (key, w), where keys of the second level come before those of the third."""
+    """From (part, level, sub, data): packed n-grams; parts and their subs are ranges in the order of n-grams of a level."""
 
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
-        size, part, k = 0, -1, 0
-
-        def out(ctx: np.ndarray, w: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-            nonlocal k
-            for level, own in ((2, ctx < 1 << 2 * BITS), (3, ctx >= 1 << 2 * BITS)):
-                if own.any():
-                    arrays, meta, line = _level_block(ctx[own], w[own], n[own])
-                    write_block(folder, f"level-{part:06d}-{k:06d}", arrays, meta)
-                    yield batch("level part k context word last total taken last_total last_taken", *(pa.array([x]) for x in (level, part, k, *line[:3])), *(pa.array([float(x)]) for x in line[3:]))
-                    k += 1
+        held: list[list[np.ndarray]] = []  # merged runs of the part and level, in order
+        here: list[bytes] = []  # of one sub
+        now, k = (-1, -1, -1), 0
 
         def merged() -> list[np.ndarray]:
-            ctx, w, n = (np.concatenate(x) for x in zip(*held))
+            cols = [np.concatenate(x) for x in zip(*map(unpacked, here))]
+            ctx = cols[0] if len(cols) == 3 else 1 << 2 * BITS | cols[0] << BITS | cols[1]
+            order = np.lexsort((cols[-2], ctx))
+            ctx, w, n = ctx[order], cols[-2][order], cols[-1][order]
             new = np.flatnonzero(np.r_[True, (ctx[1:] != ctx[:-1]) | (w[1:] != w[:-1])])
             return [ctx[new], w[new], np.add.reduceat(n, new)]
 
+        def out() -> pa.RecordBatch:
+            nonlocal k
+            part, level, _ = now
+            arrays, meta, line = _level_block(level, *(np.concatenate(x) for x in zip(*held)))
+            write_block(folder, f"level-{part:06d}-{k:06d}", arrays, meta)
+            held.clear()
+            k += 1
+            return batch("level part k context word last total taken last_total last_taken", *(pa.array([x]) for x in (level, part, k - 1, *line[:3])), *(pa.array([float(x)]) for x in line[3:]))
+
         for b in batches:
-            cols = [b.column(i).to_numpy().astype(np.int64) for i in range(4)]
-            for x, y in runs([cols[0]]):
-                if held and int(cols[0][x]) != part:
-                    yield from out(*merged())
-                    held, size = [], 0
-                if int(cols[0][x]) != part:
-                    part, k = int(cols[0][x]), 0
-                held.append([c[x:y] for c in cols[1:]])
-                size += y - x
-                if size >= block:
-                    ctx, w, n = merged()
-                    if len(ctx) >= block // 2:
-                        yield from out(ctx[:-1], w[:-1], n[:-1])  # the last one may go on
-                        ctx, w, n = ctx[-1:], w[-1:], n[-1:]
-                    held, size = [[ctx, w, n]], len(ctx)
-        if held:
-            yield from out(*merged())
-
-    dealt = rows.repartitionById(n_shards(rows), "part").sortWithinPartitions("part", "key", "w")
+            for part, level, sub, data in zip(*(b.column(i).to_pylist() for i in range(4))):
+                if (part, level, sub) != now:
+                    if here:
+                        held.append(merged())
+                        here.clear()
+                    if held and ((part, level) != now[:2] or sum(len(x[0]) for x in held) >= block):
+                        yield out()
+                    if part != now[0]:
+                        k = 0
+                    now = (part, level, sub)
+                here.append(data)
+        if here:
+            held.append(merged())
+            yield out()
+
+    dealt = rows.repartitionById(n_shards(rows), "part").sortWithinPartitions("part", "level", "sub")
     index = sorted(tuple(r) for r in dealt.mapInArrow(written, _INDEX).collect())  # one row a block
     for level in (2, 3):
         lines = [x for x in index if x[0] == level]
@@ -288,6 +320,7 @@ def train(docs: DataFrame, folder: str | None = None, tokens: int = TOKENS, bloc
     """Learn from the texts of all rows; the model's blocks are in folder (a new one of the shared folder by default)."""
     folder = folder or new_folder(docs, "lm")
     rows, parts = docs.select("text"), n_shards(docs)
+    subs = max(1, min(64, tokens // (PACKED * parts)))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, ids, _, words in token_blocks(batches, tokens):
@@ -316,22 +349,25 @@ def train(docs: DataFrame, folder: str | None = None, tokens: int = TOKENS, bloc
                 continue
             pairs, of, n = np.unique(ids[two] * m + ids[two + 1], return_inverse=True, return_counts=True)
             a, w = pairs // m, pairs % m
-            yield _gram_rows(within(a, low[w]), parts, kept[a], kept[w], n)
+            yield _gram_rows(within(a, low[w]), parts, subs, 2, [kept[a], kept[w]], n)
             pair_at = np.full(len(ids), -1, np.int64)
             pair_at[two] = of
             three = two[more[two + 1]]
             if len(three):
                 triples, n = np.unique(pair_at[three] * m + ids[three + 2], return_counts=True)
                 a, b, w = pairs[triples // m] // m, pairs[triples // m] % m, triples % m
-                yield _gram_rows(within(a, within(b, low[w])), parts, 1 << 2 * BITS | kept[a] << BITS | kept[b], kept[w], n)
+                yield _gram_rows(within(a, within(b, low[w])), parts, subs, 3, [kept[a], kept[b], kept[w]], n)
 
-    _write_levels(rows.mapInArrow(grams, "part int, key long, w int, n int"), folder, block)
+    _write_levels(rows.mapInArrow(grams, "part int, level int, sub int, data binary"), folder, block)
     return Model(folder, words)
 
 
-def _gram_rows(place: np.ndarray, parts: int, key: np.ndarray, w: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    part = np.minimum((place * parts).astype(np.int32), parts - 1)
-    return batch("part key w n", pa.array(part), pa.array(key), pa.array(w.astype(np.int32)), pa.array(n.astype(np.int32)))
+def _gram_rows(place: np.ndarray, parts: int, subs: int, level: int, ids: list[np.ndarray], n: np.ndarray) -> pa.RecordBatch:
+    to = np.minimum((place * (parts * subs)).astype(np.int64), parts * subs - 1)
+    cuts = runs([to])
+    where = to[[x for x, _ in cuts]]
+    data = [packed([i[x:y] for i in ids], n[x:y]) for x, y in cuts]
+    return batch("part level sub data", pa.array((where // subs).astype(np.int32)), pa.array(np.full(len(cuts), level, np.int32)), pa.array((where % subs).astype(np.int32)), pa.array(data, pa.binary()))
 
 
 def held_out(docs: DataFrame, folds: int = 10) -> DataFrame:
