@@ -111,7 +111,7 @@ ORACLE_SQL = {
         ), p AS (
             SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d
         ), w AS (
-            SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), x -> x <> '') AS w FROM p
+            SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p
         ), g AS (
             SELECT lang, k, w[i : i + k - 1] AS g
             FROM (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w), (SELECT unnest([1, 2, 3, 4]) AS k)
