@@ -128,10 +128,10 @@ ORACLE_SQL = {
             JOIN c AS x ON x.lang = y.lang AND x.g = y.g
             WHERE 100 * y.a >= 80 * x.a
         ), s AS (
-            SELECT c.lang, c.g, c.a, l.a AS l, r.a AS r, 2000000 * c.a // (l.a + r.a) AS score, row_number() OVER (PARTITION BY c.lang, c.g ORDER BY 2000000 * c.a // (l.a + r.a), j) AS o
+            SELECT c.lang, c.g, c.a, l.a AS l, r.a AS r, 2000000 * c.a // (l.a + r.a) AS score, row_number() OVER (PARTITION BY c.lang, c.g ORDER BY 2000000 * c.a // (l.a + r.a), c.j) AS o
             FROM (SELECT *, unnest(range(1, k)) AS j FROM c) AS c
-            JOIN f AS l ON l.lang = c.lang AND l.g = c.g[1 : j]
-            JOIN f AS r ON r.lang = c.lang AND r.g = c.g[j + 1 : k]
+            JOIN f AS l ON l.lang = c.lang AND l.g = c.g[1 : c.j]
+            JOIN f AS r ON r.lang = c.lang AND r.g = c.g[c.j + 1 : c.k]
         ), o AS (
             SELECT s.lang, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, a DESC, array_to_string(s.g, ' ')) AS rank, array_to_string(s.g, ' ') AS phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, score::BIGINT AS score
             FROM s ANTI JOIN gone ON gone.lang = s.lang AND gone.g = s.g
