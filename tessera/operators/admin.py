@@ -15,6 +15,9 @@ COMMANDS = {
     "triage-feedback": "feedback.triaged", "link-feedback": "feedback.linked", "start-run": "admin.run.requested",
 }
 
+#: Knobs of the decay of each level.
+DECAY_KNOBS = [f"decay.{level}" for level in S.DECAY]
+
 
 def command_events(rows: DataFrame, command: str, target: Column, reason: Column, actor: str = "operator", **fields: Column) -> DataFrame:
     """Log rows (stream_id, type, data) of a named command; rows without a target are refused (left out)."""
@@ -50,8 +53,16 @@ def issue_worthy(route: Column, auto_fixable: Column) -> Column:
 
 
 def overrides(config: DataFrame) -> dict:
-    """Scoring parameters from the promoted knobs (knob, value): a handful of rows."""
-    found = {r.knob: r.value for r in config.limit(100).collect()}
+    """Scoring parameters from the promoted knobs (knob, value[, id]).
+
+    Of several rows of a knob the one with the largest id counts (without ids the
+    largest value). Knobs that no parameter has are left out and the others
+    brought down to one row each before the driver reads them, a row a parameter.
+    """
+    names = [*DECAY_KNOBS, "primary_lift", "confidence_cap"]
+    order = F.struct("id", "value") if "id" in config.columns else F.struct("value")
+    rows = config.where(F.col("knob").isin(names) & F.col("value").isNotNull()).groupBy("knob").agg(F.max(order).getField("value").alias("value"))
+    found = {r.knob: r.value for r in rows.collect()}
     return {
         "decay": {level: found.get(f"decay.{level}", d) for level, d in S.DECAY.items()},
         "lift": found.get("primary_lift", S.PRIMARY_LIFT),
@@ -60,8 +71,12 @@ def overrides(config: DataFrame) -> dict:
 
 
 def knob_candidates(proposals: DataFrame) -> list[dict[str, float]]:
-    """One decay table for each pending proposal (knob, value) of a decay: a handful of rows."""
-    rows = proposals.where("knob like 'decay.%'").orderBy("knob").limit(100).collect()
+    """One decay table for each pending proposal (knob, value) of a level's decay, in order of knob and value.
+
+    Equal proposals give one table; knobs of no known level give none. There are
+    as many tables as different values are proposed, which people do one by one.
+    """
+    rows = proposals.where(F.col("knob").isin(DECAY_KNOBS) & F.col("value").isNotNull()).select("knob", "value").distinct().orderBy("knob", "value").collect()
     return [S.DECAY | {r.knob.removeprefix("decay."): float(r.value)} for r in rows]
 
 

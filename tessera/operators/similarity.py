@@ -47,6 +47,8 @@ def unit_vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
 
 #: Rows of a block at most, about; rows of a block that are multiplied at once; vectors that one task may group; hits that a task holds before it thins them out.
 BLOCK_ROWS, TILE, GROUP_ROWS, HELD = 16_384, 512, 8_192, 1 << 22
+#: Mean similarities of groups count as equal if they are so to this many digits, whatever order they were summed in.
+DIGITS = 12
 
 
 def _hits(df: DataFrame, blocks: int, at_least: float, thin=None, within: list[str] | None = None) -> DataFrame:
@@ -107,6 +109,8 @@ def _nearest(n: int, smallest: bool):
     import numpy as np
 
     def thin(a, b, sim, rank):
+        if smallest:
+            sim = np.round(sim, DIGITS)
         keep, hit = np.zeros(len(a), bool), np.concatenate([np.arange(len(a))] * 2)
         one, two = rank[np.concatenate([a, b])], rank[np.concatenate([b, a])]
         tie = (np.maximum(one, two), np.minimum(one, two)) if smallest else (-two,)
@@ -155,11 +159,15 @@ def nearest_pairs(df: DataFrame, key: str, vector: str, k: int = 10, at_least: f
 def average_linkage(sums, sizes, threshold: float) -> list[int]:
     """Group labels (lowest row of each group) of rows that stand for `sizes` unit vectors with the given sums.
 
-    The mean cosine of two groups is the product of their sums over the product
-    of their sizes, so no matrix of pairs is held: a chain of nearest neighbours
-    is followed until its last two are nearest to each other, and these merge.
-    Average linkage is reducible, so this gives the groups of merging the best
-    pair first, ties aside. A row whose nearest is too far is done for good.
+    Rows are in the order of their keys. The mean cosine of two groups is the
+    product of their sums over the product of their sizes, so no matrix of pairs
+    is held: a chain of nearest neighbours is followed until its last two are
+    nearest to each other, and these merge. Of equally near groups (to DIGITS)
+    the pair with the smallest lower row, then the smallest other row, comes
+    first; a group counts as its lowest row. As a merged group is never nearer to
+    a third than both of its parts were, and its row is one of theirs, this gives
+    the groups of merging the first of the best pairs at every step, ties
+    included. A row whose nearest is too far is done for good.
     """
     import numpy as np
 
@@ -169,11 +177,9 @@ def average_linkage(sums, sizes, threshold: float) -> list[int]:
         while live[start]:
             chain = chain or [start]
             top = chain[-1]
-            mean = np.where(live, sums @ sums[top] / (sizes * sizes[top]), -np.inf)
+            mean = np.where(live, np.round(sums @ sums[top] / (sizes * sizes[top]), DIGITS), -np.inf)
             mean[top] = -np.inf
-            near = int(np.argmax(mean))
-            if len(chain) > 1 and mean[chain[-2]] >= mean[near] - 1e-12:
-                near = chain[-2]
+            near = int(np.argmax(mean))  # the first of the best
             if mean[near] < threshold:
                 live[chain.pop()] = False
             elif near not in chain[-2:-1]:
@@ -190,8 +196,8 @@ def average_linkage(sums, sizes, threshold: float) -> list[int]:
 
 
 def _merge_mutual(state: DataFrame, threshold: float) -> DataFrame:
-    """(x, gone) of all pairs of groups that are nearest to each other within their component, x being the smaller."""
-    hits = _hits(state, _n_blocks(state), threshold, _nearest(1, smallest=True), ["component"])
+    """(x, gone) of all pairs of groups that are nearest to each other within their component, x being the smaller; ties as in average_linkage."""
+    hits = _hits(state, _n_blocks(state), threshold - 10.0**-DIGITS, _nearest(1, smallest=True), ["component"]).where(F.col("sim") >= threshold)
     ends = hits.select(F.inline(F.array(*[F.struct(F.col(c).alias("k"), (-F.col("sim")).alias("s"), F.col("a").alias("x"), F.col("b").alias("y")) for c in "ab"])))
     best = ends.groupBy("k").agg(F.min(F.struct("s", "x", "y")).alias("m")).groupBy("m.x", "m.y").agg(F.count("*").alias("n"))
     return best.where("n = 2").select("x", F.col("y").alias("gone"))
@@ -203,18 +209,25 @@ def group_by_similarity(df: DataFrame, key: str, vector: str, threshold: float,
     Equal vectors are one row with a weight. Groups never cross components of the
     graph of pairs at or above the threshold (a merge needs a mean at least as
     high), so each component is grouped alone: by rounds of mutual merges while
-    it has more than GROUP_ROWS groups, else in one task, whose memory is that of
-    its vectors. Which of several equally near groups merge first is not defined.
+    it has more than GROUP_ROWS groups, then in one task, whose memory is that of
+    its vectors. If there are no more than GROUP_ROWS different vectors, one task
+    takes them all. Both ways merge the same pairs, with average_linkage's rule for
+    ties, so the groups are the same at any size of a component and any GROUP_ROWS.
     """
     import pyarrow as pa
 
     kind = dict(df.select(key).dtypes)[key]
     units = unit_vectors(df, key, vector)
     alike = cut(units.groupBy("v").agg(F.min("k").alias("k"), F.count("*").cast("double").alias("w")))
-    part = connected_components(_hits(alike.select("k", "v"), blocks or _n_blocks(alike), threshold - 1e-9, _stars))
-    state = cut(alike.join(part, F.col("k") == F.col("node")).select("k", F.transform("v", lambda x: x * F.col("w")).alias("v"), "w", "component"))
+    state = alike.select("k", F.transform("v", lambda x: x * F.col("w")).alias("v"), "w")
+    few = alike.count() <= GROUP_ROWS
+    if few:
+        state = state.withColumn("component", F.lit(None).cast(kind))
+    else:
+        part = connected_components(_hits(alike.select("k", "v"), blocks or _n_blocks(alike), threshold - 1e-9, _stars))
+        state = cut(state.join(part, F.col("k") == F.col("node")).drop("node"))
     named = state.select(F.col("k").alias("rep"), "k")
-    while True:
+    while not few:
         big = state.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > GROUP_ROWS).select("component")
         if big.isEmpty():
             break

@@ -21,6 +21,15 @@ def test_prompts_and_knobs(spark):
     assert A.knob_candidates(spark.createDataFrame([("decay.notable", 0.4)], "knob string, value double"))[0]["notable"] == 0.4
 
 
+def test_knobs_beyond_a_hundred_rows(spark):
+    rows = [(f"unheard.of.{i}", 0.1, i) for i in range(150)] + [("decay.notable", 0.3, 150), ("decay.notable", 0.5, 151), ("primary_lift", None, 152)]
+    config = spark.createDataFrame(rows, "knob string, value double, id long")
+    o = A.overrides(config)
+    assert o["decay"]["notable"] == 0.5 and o["lift"] == A.S.PRIMARY_LIFT
+    many = spark.createDataFrame([("decay.notable", i / 300) for i in range(150)] + [("decay.notable", 0.0), ("decay.x", 1.0)], "knob string, value double")
+    assert [c["notable"] for c in A.knob_candidates(many)] == [i / 300 for i in range(150)]
+
+
 def test_social_events_and_history(spark):
     rows = spark.createDataFrame([("u", "c1", None, "hi"), ("u", "c1", None, "hi")], "user_id string, cluster_id string, comment_id string, body string")
     ids = {json.loads(x.data)["comment_id"] for x in A.social_events(rows, "comment.added").collect()}

@@ -183,6 +183,46 @@ def test_average_linkage(spark, monkeypatch):
         assert sorted(sorted(g) for g in by.values() if 99 not in g) == want and len(got) == 73 and all(min(g) == k for k, g in by.items())
 
 
+def first_best(sim, t):
+    """Merges the first of the best pairs in index order, by group averages kept in a matrix."""
+    import numpy as np
+
+    s, groups = np.array(sim, float), {i: [i] for i in range(len(sim))}
+    np.fill_diagonal(s, -np.inf)
+    while len(groups) > 1:
+        a, b = divmod(int(np.argmax(np.round(s, 12))), len(s))
+        if np.round(s[a, b], 12) < t:
+            break
+        a, b = min(a, b), max(a, b)
+        s[a] = s[:, a] = (len(groups[a]) * s[a] + len(groups[b]) * s[b]) / (len(groups[a]) + len(groups[b]))
+        s[a, a] = s[b] = s[:, b] = -np.inf
+        groups[a] += groups.pop(b)
+    return sorted(sorted(g) for g in groups.values())
+
+
+def test_average_linkage_of_tied_rows(spark, monkeypatch):
+    import numpy as np
+
+    r = np.random.default_rng(7)
+    cases = [([[np.cos(2 * np.pi * i / 12), np.sin(2 * np.pi * i / 12)] for i in range(12)], 0.9, 0)]  # at equal angles
+    cases += [(r.integers(-1, 2, (30, 3)).astype(float), t, 1) for t in (0.5, 0.8)]  # few directions, many equal angles
+    cases += [(r.permutation(np.repeat(np.eye(6), 4, axis=0)) + 0.0, 0.82, 2)]
+    groups = lambda labels: sorted(sorted(i for i, x in enumerate(labels) if x == k) for k in set(labels))
+    for v, t, _ in cases:
+        v = np.array(v)
+        v = v[np.linalg.norm(v, axis=1) > 0]
+        u = v / np.linalg.norm(v, axis=1)[:, None]
+        want = first_best(u @ u.T, t)
+        assert groups(S.average_linkage(u, np.ones(len(u)), t)) == want
+        df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>")
+        for bound in (8192, 3):  # in one task, and in rounds on Spark
+            monkeypatch.setattr(S, "GROUP_ROWS", bound)
+            by = {}
+            for x in S.group_by_similarity(df, "id", "v", t, blocks=2).collect():
+                by.setdefault(x.group, []).append(x.id)
+            assert sorted(sorted(g) for g in by.values()) == want
+
+
 def test_nearest_pairs_are_thinned_in_tasks(spark, monkeypatch):
     import numpy as np
 
