@@ -82,6 +82,20 @@ class EliasFano:
         word = np.searchsorted(before, k, "right") - 1
         return word * 64 + _select(~self.high[word], k - before[word])
 
+    def _bucket(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """[begin, end) of the places with high part h: the ones after the zero before them, which most often end within 64 bits."""
+        zero = np.where(h > 0, self._zeros(np.maximum(h - 1, 0)), -1)
+        at = zero + 1
+        word, shift = at >> 6, (at & 63).astype(U)
+        after = np.minimum(word + 1, len(self.high) - 1)
+        window = self.high[word] >> shift | np.where(word < len(self.high) - 1, (self.high[after] << U(1)) << (U(63) - shift), U(0))
+        n = np.bitwise_count(window & ~(window + U(1))).astype(np.int64)  # ones before the first zero
+        begin = zero - h + 1
+        end = begin + n
+        far = np.flatnonzero(n == 64)
+        end[far] = self._zeros(h[far]) - h[far]
+        return begin, end
+
     def _low(self, i: np.ndarray) -> np.ndarray:
         at = i * self.bits
         word, shift = at >> 6, (at & 63).astype(U)
@@ -100,8 +114,9 @@ class EliasFano:
         inside = (x >= U(self.first)) & (x <= U(self.last))
         rel = np.where(inside, x - U(self.first), U(0))
         h, want = (rel >> U(self.bits)).astype(np.int64), rel & U((1 << self.bits) - 1)
-        low = np.maximum(begin, np.where(h > 0, self._zeros(np.maximum(h - 1, 0)) - (h - 1), 0))
-        high = np.maximum(np.minimum(end, self._zeros(h) - h), low)  # places with the same high part
+        low, high = self._bucket(h)  # places with the same high part
+        low = np.maximum(begin, low)
+        high = np.maximum(np.minimum(end, high), low)
         stop, todo = high.copy(), np.flatnonzero(low < high)
         while len(todo):
             mid = (low[todo] + high[todo]) >> 1
@@ -164,7 +179,7 @@ def open_block(folder: str, name: str) -> Block:
 
     fs, root = pf.FileSystem.from_uri(folder)
     if fs.type_name == "local":
-        return Block(np.memmap(f"{root}/{name}", np.uint8, "r"))
+        return Block(np.memmap(f"{root}/{name}", np.uint8, "r").view(np.ndarray))
     with fs.open_input_file(f"{root}/{name}") as f:
         return Block(np.frombuffer(f.read(), np.uint8))
 

@@ -249,18 +249,25 @@ class Model:
             return
         b = open_block(self.folder, f"level-{index['part'][i]:06d}-{index['k'][i]:06d}")
         contexts, pointer, word = (EliasFano(b, x) for x in ("context", "pointer", "word"))
-        place, there = contexts.successor(ctx[q].astype(U))
-        q, place = q[there], place[there]
-        weight[q] = decoded(b["lambda"][place])
-        share = np.ones(len(q))
+        # a context is looked for once, not for each of its words
+        new = np.r_[True, ctx[q[1:]] != ctx[q[:-1]]]
+        head, of = np.flatnonzero(new), np.cumsum(new) - 1
+        place, there = contexts.successor(ctx[q[head]].astype(U))
+        kept, to = np.flatnonzero(there), np.cumsum(there) - 1
+        if not len(kept):
+            return
+        q, of = q[there[of]], to[of[there[of]]]
+        place = place[kept]
+        heavy, share = decoded(b["lambda"][place]), np.ones(len(place))
         for side, where in (("first", 0), ("end", contexts.n - 1)):
             if not np.isnan(index[f"{side}_weight"][i]):
                 mine = place == where
-                weight[q[mine]], share[mine] = index[f"{side}_weight"][i], index[f"{side}_share"][i]
+                heavy[mine], share[mine] = index[f"{side}_weight"][i], index[f"{side}_share"][i]
         begin, end = pointer.value(place).astype(np.int64), pointer.value(place + 1).astype(np.int64)
         base = np.where(begin > 0, word.value(np.maximum(begin - 1, 0)), U(0))
-        at, found = word.successor(base + w[q].astype(U), begin, end)
-        alpha[q[found]] = decoded(b["alpha"][at[found]]) * share[found]
+        at, found = word.successor(base[of] + w[q].astype(U), begin[of], end[of])
+        weight[q] = heavy[of]
+        alpha[q[found]] = decoded(b["alpha"][at[found]]) * share[of[found]]
 
     def score(self, docs: DataFrame) -> DataFrame:
         """doc_id, held_out (if docs have it), n_tokens, n_known, train_tokens, base_score and score of each document."""
