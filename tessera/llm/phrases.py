@@ -42,7 +42,7 @@ from tessera.session import cut
 
 MIN_COUNT, FIRST, SALTS = 30, 2000, 64
 #: Words of a shard.
-TOKENS = 1_000_000
+TOKENS = 400_000
 #: All break marks become a full stop of its own.
 _BREAKS = bytes.maketrans(b",;:!?\n\x0b\x0c\r", b".........")
 #: A phrase's key: its word ids plus one, 32 bits each, in two longs; 0 where there is no word.
