@@ -187,6 +187,11 @@ def is_anonymous(c: Column | str) -> Column:
     return _any_of(F.lower(_text(c)), ANONYMOUS_MARKERS)
 
 
+def has_cascade_marker(body: Column | str) -> Column:
+    """Whether a body attributes something to someone."""
+    return _any_of(F.lower(_text(body)), CASCADE_MARKERS)
+
+
 def cites(body: Column, tokens: Column) -> Column:
     """Whether a body attributes what it says to a source with these significant tokens."""
     return F.transform(F.array(F.lower(_text(body))), lambda low: _any_of(low, CASCADE_MARKERS) & F.exists(tokens, lambda t: low.contains(t)))[0]

@@ -6,37 +6,125 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tessera.functions.text import shingle_hashes
 from tessera.functions.vectors import norm
-from tessera.operators.components import connected_components, forest
+from tessera.operators.components import connected_components
+from tessera.operators.skew import join_per_key
 from tessera.session import cut
 
 
+#: A set member that this many sets or fewer have in their prefixes gives all their pairs; beyond it, pairs are made by rounds of anchors.
+#: Members of a hot one that one unit of such a round takes.
+FEW, UNIT = 64, 4_096
+
+
+def _shingle_sets(docs: DataFrame, key: str, text: str, k: int, within: list[str]) -> DataFrame:
+    """(k, within, s): shingle sets as sorted 64-bit hashes (two shingles of one pair of texts would collide about once in 10**14 pairs)."""
+    # dealt out by key first: making sets is the heavy part, and a few large input splits would leave most cores idle
+    dealt = docs.select(F.col(key).alias("k"), *within, F.col(text).alias("t")).repartition(F.col("k"))
+    return cut(dealt.select("k", *within, F.array_sort(shingle_hashes("t", k)).alias("s")))
+
+
+def _prefixes(sets: DataFrame, at_least: float, within: list[str]) -> DataFrame:
+    """(k, n, x, m): the members x that each set is joined by, and the number m > 1 of sets that are joined by it.
+
+    With sets ordered by how rare a member is, two sets of similarity s share one
+    of their first n - ceil(s * n) + 1 members, so only those are joined. Members
+    that occur once are the rarest and can't be shared, so they take up prefix
+    places first. A member counts within its group of rows equal in `within`.
+    """
+    x = F.xxhash64(*within, "x") if within else F.col("x")
+    items = sets.select("k", F.size("s").alias("n"), F.explode("s").alias("x"), *within).select("k", "n", x.alias("x"))
+    shared = items.groupBy("x").agg(F.count("*").alias("df")).where("df > 1")
+    ranked = items.join(shared, "x").groupBy("k", "n").agg(F.array_sort(F.collect_list(F.struct("df", "x"))).alias("r"))
+    places = F.size("r") - F.ceil(F.lit(at_least) * F.col("n")).cast("int") + 1
+    prefix = cut(ranked.where(places > 0).select("k", "n", F.explode(F.slice("r", 1, places)).alias("r")).select("k", "n", "r.x"))
+    return prefix.join(prefix.groupBy("x").agg(F.count("*").alias("m")).where("m > 1"), "x")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, at_least: float) -> DataFrame:
+    """(a, b, jaccard) of the pairs whose whole sets overlap enough."""
+    of = lambda side, name: sets.select(F.col("k").alias(side), F.col("s").alias(name))
+    both = pairs.join(of("a", "sa"), "a").join(of("b", "sb"), "b")
+    both = both.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("c"))
+    return both.select("a", "b", (F.col("c") / (F.col("na") + F.col("nb") - F.col("c"))).alias("jaccard")).where(F.col("jaccard") >= at_least)
+
+
+def _near_sizes(at_least: float, n: str, m: str):
+    return (F.col(n) >= F.lit(at_least) * F.col(m)) & (F.col(m) >= F.lit(at_least) * F.col(n))
+
+
 def shingle_pairs(docs: DataFrame, key: str, text: str, at_least: float, k: int = 4, within: list[str] | None = None) -> DataFrame:
-    """(a, b, jaccard) of rows with a < b whose shingle sets overlap enough.
+    """(a, b, jaccard) of all rows with a < b whose shingle sets overlap enough; keys are unique within `within`.
 
-    Sets are held as 64-bit hashes of their shingles (two shingles of one pair of
-    texts would collide about once in 10**14 pairs). Prefix filter: with sets
-    ordered by how rare a member is, two sets of similarity s share one of their
-    first n - ceil(s*n) + 1 members, so only those are joined, and rare members
-    make small groups. Candidates are then verified on the whole sets.
+    All pairs of a group of copies are among them: for groups of copies alone,
+    near_copies gives the same components with links in proportion to rows.
     """
     within = within or []
-    # dealt out by key first: making sets is the heavy part, and a few large input splits would leave most cores idle
-    sets = docs.select(F.col(key).alias("k"), *within, F.col(text).alias("t")).repartition(F.col("k")).select("k", *within, shingle_hashes("t", k).alias("s"))
-    items = sets.select("k", *within, F.size("s").alias("n"), F.explode("s").alias("x"))
-    rare = items.groupBy("x").agg(F.count("*").alias("df")).where("df > 1")
-    w = Window.partitionBy("k", *within)
-    # members that occur once are the rarest and can't be shared, so they take up prefix places first
-    ranked = items.join(rare, "x").withColumn("r", F.row_number().over(w.orderBy("df", "x"))).withColumn("m", F.count("*").over(w))
-    prefix = ranked.where(F.col("r") + F.col("n") - F.col("m") <= F.col("n") - F.ceil(F.lit(at_least) * F.col("n")) + 1).select("k", *within, "n", "x")
-    a, b = prefix.alias("a"), prefix.alias("b")
-    cond = (F.col("a.x") == F.col("b.x")) & (F.col("a.k") < F.col("b.k")) & (F.col("a.n") >= F.lit(at_least) * F.col("b.n")) & (F.col("b.n") >= F.lit(at_least) * F.col("a.n"))
-    for c in within:
-        cond = cond & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
-    pairs = a.join(b, cond).select(F.col("a.k").alias("a"), F.col("b.k").alias("b"), *[F.col(f"a.{c}") for c in within]).distinct()
-    of = lambda side, name: sets.select(F.col("k").alias(side), *within, F.col("s").alias(name))
-    both = pairs.join(of("a", "sa"), ["a", *within]).join(of("b", "sb"), ["b", *within])
-    both = both.select("a", "b", *within, F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("c"))
-    return both.select("a", "b", *within, (F.col("c") / (F.col("na") + F.col("nb") - F.col("c"))).alias("jaccard")).where(F.col("jaccard") >= at_least)
+    named = docs.select(F.struct(*within, F.col(key).alias("key")).alias("k"), F.col(text).alias("t"), *within)
+    sets = _shingle_sets(named, "k", "t", k, within)
+    prefix = _prefixes(sets, at_least, within)
+    a, b = (prefix.select(F.col("k").alias(c), "x", F.col("n").alias(f"n{c}")) for c in "ab")
+    pairs = a.join(b, "x").where((F.col("a") < F.col("b")) & _near_sizes(at_least, "na", "nb")).select("a", "b").distinct()
+    found = _verified(pairs, sets, at_least)
+    return found.select(F.col("a.key").alias("a"), F.col("b.key").alias("b"), *[F.col(f"a.{c}").alias(c) for c in within], "jaccard")
+
+
+def near_copies(docs: DataFrame, key: str, text: str, at_least: float, k: int = 4, within: list[str] | None = None) -> DataFrame:
+    """(node, component) of the keys of rows that have a row within reach by links of texts whose shingle sets overlap enough.
+
+    Keys are unique; a component is named by its smallest key. Only rows equal in
+    the columns `within` are linked. See near_sets.
+    """
+    return near_sets(_shingle_sets(docs, key, text, k, within or []), at_least, within)
+
+
+def near_sets(sets: DataFrame, at_least: float, within: list[str] | None = None) -> DataFrame:
+    """(node, component) of sets (k, within, s: sorted longs) linked by an overlap of at_least, never making all pairs of copies.
+
+    Equal sets are one, by two 64-bit hashes of the whole. Members of few
+    prefixes give their pairs at once. A member of more than FEW prefixes gives
+    them in rounds: its sets are ordered by a hash of their key, and a round pairs
+    its next anchors (twice as many as in the round before) with the sets that
+    come after them in other components so far. A group of copies becomes one
+    component with its first anchor that is like the others, so later rounds have
+    nothing left of it, while sets that are not alike are all compared. Rows of
+    a hot member are dealt out UNIT by UNIT, so no task holds all of them.
+    """
+    within = within or []
+    whole = sets.withColumns({"g1": F.xxhash64("s"), "g2": F.xxhash64(F.lit(1), "s"), "n": F.size("s")})
+    alike = cut(whole.groupBy(*within, "n", "g1", "g2").agg(F.min("k").alias("rep"), F.count("*").alias("w")))
+    several = alike.where("w > 1")
+    member = whole.select(*within, "n", "g1", "g2", "k")
+    for c in within:  # nulls are equal here
+        several, member = several.withColumn(c, F.to_json(F.struct(c))), member.withColumn(c, F.to_json(F.struct(c)))
+    equal = cut(join_per_key(member, several, [*within, "n", "g1", "g2"], "w").where("k <> rep").select(F.col("rep").alias("a"), F.col("k").alias("b")))
+    reps = sets.join(alike.select(F.col("rep").alias("k")), "k", "left_semi") if not equal.isEmpty() else sets
+    prefix = cut(_prefixes(reps, at_least, within).select("k", "n", "x", "m"))
+    side = lambda df, c, *more: df.select(F.col("k").alias(c), F.col("n").alias(f"n{c}"), "x", *more)
+    ordered = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    small = prefix.where(F.col("m") <= FEW)
+    pairs = side(small, "a").join(side(small, "b"), "x").where((F.col("a") < F.col("b")) & _near_sizes(at_least, "na", "nb")).select("a", "b").distinct()
+    links = cut(_verified(pairs, reps, at_least).select("a", "b"))
+    parts = connected_components(links)
+    most = prefix.agg(F.max("m")).first()[0] or 0
+    if most > FEW:
+        parts = cut(parts)
+        hot = cut(prefix.where(F.col("m") > FEW).withColumn("place", F.pmod(F.xxhash64("k"), "m")))
+        subs = F.ceil(F.col("m") / UNIT).cast("int")
+        low, wide = 0, FEW
+        while low < most:
+            now = hot.where(F.col("place") >= low).join(parts.withColumnRenamed("node", "k"), "k", "left").withColumn("c", F.coalesce("component", "k"))
+            anchors = side(now.where(F.col("place") < low + wide), "a", F.col("place").alias("pa"), F.col("c").alias("ca"), F.explode(F.sequence(F.lit(0), subs - 1)).alias("sub"))
+            others = side(now, "b", F.col("place").alias("pb"), F.col("c").alias("cb"), F.pmod(F.xxhash64("k", F.lit(1)), subs).cast("int").alias("sub"))
+            after = (F.col("pa") < F.col("pb")) | ((F.col("pa") == F.col("pb")) & (F.col("a") < F.col("b")))
+            pairs = ordered(anchors.join(others, ["x", "sub"]).where(after & (F.col("ca") != F.col("cb")) & _near_sizes(at_least, "na", "nb")))
+            found = cut(_verified(pairs, reps, at_least).select("a", "b"))
+            if not found.isEmpty():
+                links = cut(links.union(found))
+                parts = cut(connected_components(links))
+            low, wide = low + wide, 2 * wide
+    if equal.isEmpty():
+        return parts
+    return connected_components(links.union(equal))
 
 
 def unit_vectors(df: DataFrame, key: str, vector: str) -> DataFrame:

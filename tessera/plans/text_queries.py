@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from tessera.functions import identity as I, ids, text as T, vectors as V
 from tessera.operators import originators as O, similarity as S
-from tessera.operators.components import connected_components
 from tessera.plans.registry import query
 from tessera.plans.stand_ins import articles
 from tessera.session import table
@@ -57,8 +56,7 @@ def v7_shingle_overlap_pairs(spark, sf):
     r(a, b) AS (SELECT a, a FROM u UNION SELECT r.a, u.b FROM r JOIN u ON r.b = u.a)
     SELECT component, count(*) AS n FROM (SELECT a, min(b) AS component FROM r GROUP BY a) GROUP BY component""")
 def c1_near_copy_components(spark, sf):
-    pairs = S.shingle_pairs(table(spark, sf, "documents"), "doc_id", "text", 0.4)
-    return connected_components(pairs.select("a", "b")).groupBy("component").agg(F.count("*").alias("n"))
+    return S.near_copies(table(spark, sf, "documents"), "doc_id", "text", 0.4).groupBy("component").agg(F.count("*").alias("n"))
 
 
 @query(f"SELECT s_suppkey, {_case(CANONICAL)} AS canonical FROM supplier")

@@ -288,6 +288,41 @@ def test_shingle_pairs_against_all_pairs(spark):
         assert {(x.a, x.b) for x in S.shingle_pairs(spark.createDataFrame(docs, "id long, t string"), "id", "t", t).collect()} == want
 
 
+@pytest.mark.parametrize("few, unit", [(64, 4096), (4, 5)])
+def test_near_copies_against_all_pairs(spark, monkeypatch, few, unit):
+    monkeypatch.setattr(S, "FEW", few)
+    monkeypatch.setattr(S, "UNIT", unit)
+    r = random.Random(few)
+    base = [[f"w{r.randrange(60)}" for _ in range(30)] for _ in range(4)]
+    docs = []
+    for i in range(40):
+        w = list(r.choice(base))
+        for _ in range(r.randrange(9)):
+            w[r.randrange(30)] = f"x{r.randrange(99)}"
+        docs.append((i, " ".join(w[: r.randrange(1, 31)]), r.choice(["p", "q", None])))
+    docs += [(100 + i, " ".join(base[0]), "p") for i in range(20)] + [(200, "", "p"), (201, None, "p"), (202, "", "q")]
+    sets = {i: {" ".join(w[k : k + 4]) for k in range(len(w) - 3)} if len(w := (t or "").lower().split()) >= 4 else {" ".join(w)} for i, t, _ in docs}
+    group = {i: g for i, _, g in docs}
+    df = spark.createDataFrame(docs, "id long, t string, g string")
+    for t in (0.4,):
+        near = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= t]
+        for within in ([], ["g"]):
+            want = components_of(300, [(a, b) for a, b in near if not within or group[a] == group[b]])
+            assert {x.node: x.component for x in S.near_copies(df, "id", "t", t, within=within).collect()} == want
+
+
+def test_near_copies_make_no_pairs_of_pairs(spark, monkeypatch):
+    """A third of the rows are copies but for one word: the pairs looked at are in proportion to rows."""
+    r = random.Random(1)
+    base = [f"b{i}" for i in range(40)]
+    rows = [(i, " ".join(base[:20] + [f"own{i}"] + base[20:])) for i in range(300)] + [(1000 + i, " ".join(f"w{r.randrange(10**6)}" for _ in range(20))) for i in range(300)]
+    seen, real = [], S._verified
+    monkeypatch.setattr(S, "_verified", lambda pairs, *a: seen.append(pairs.count()) or real(pairs, *a))
+    got = S.near_copies(spark.createDataFrame(rows, "id long, t string"), "id", "t", 0.6).collect()
+    assert {x.node for x in got} == set(range(300)) and {x.component for x in got} == {0}
+    assert sum(seen) < 100 * 300  # all pairs would be 44,850, and grow with the square
+
+
 def test_originators_collapse_reprints_cascades_and_one_outlet(spark):
     text = "the minister will resign on friday after a vote in the lower house said the speaker"
     rows = [
