@@ -6,11 +6,13 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from tessera.operators import admin, feed, folds, graph as G, health, log as L, originators as O, similarity as SIM, stories as ST
-from tessera.plans.registry import query
+from tessera.operators import admin, feed, folds, graph as G, health, log as L, originators as O, similarity as SIM, states, stories as ST
+from tessera.operators.log import LOG_SCHEMA
+from tessera.plans import log_queries
+from tessera.plans.registry import ORACLES, query
 from tessera.plans.stand_ins import LEVELS, SQL_EVENTS, articles, events, k, log
 from tessera.session import shared_dir, table
-from tessera.streaming import stream
+from tessera.streaming import keyed, stream
 
 S = lambda p, c: F.concat(F.lit(p), c.cast("string"))
 
@@ -93,18 +95,110 @@ def s1_log_scan_past_watermark(spark, sf):
 
 @query("SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1, 2")
 def s2_w10_daily_counts_of_a_stream(spark, sf):
-    """The log read as a stream, counted by day and type in complete mode."""
+    """The log read as a stream, counted by day and type; batches write what has changed to files."""
     e = stream.read_log(spark, sf, schema=table(spark, sf, "events").schema, files="events.parquet").withColumn("at", F.col("ts").cast("timestamp"))
-    run = uuid.uuid4().hex
-    done = stream.run_to_table(stream.daily_counts(e, time="at", by="event_type"), f"counts_{run}", "complete", f"{shared_dir(spark)}/stream-{run}")
+    done = keyed.run_to_table(stream.daily_counts(e, time="at", by="event_type"), ["day", "event_type"], _new_folder(spark))
     return done.select("event_type", F.to_date("day").alias("day"), "n")
 
 
 @query("SELECT user_id, arg_max(event_type, event_id) AS event_type, max(event_id) AS event_id FROM events GROUP BY 1")
 def s3_w2_latest_state_of_a_stream(spark, sf):
     e = stream.read_log(spark, sf, schema=table(spark, sf, "events").schema, files="events.parquet")
-    run = uuid.uuid4().hex
-    return stream.run_to_table(stream.latest_state(e, "user_id", "event_type", "event_id"), f"state_{run}", "complete", f"{shared_dir(spark)}/stream-{run}")
+    return keyed.run_to_table(stream.latest_state(e, "user_id", "event_type", "event_id"), ["user_id"], _new_folder(spark))
+
+
+def _new_folder(spark):
+    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+
+
+def _landed(spark, sf, rows):
+    """A log as a stream of files: what has landed, in five parts by id."""
+    folder = _new_folder(spark)
+    last = rows.agg(F.max("id")).first()[0] or 0
+    rows = rows.withColumn("part", F.least(F.floor(F.col("id") * 5 / max(1, last)), F.lit(4)))
+    for i in range(5):  # one after another, as logs land; a stream takes files in the order of their times
+        rows.where(F.col("part") == i).drop("part").coalesce(1).write.mode("append").parquet(f"{folder}/log")
+    return stream.read_log(spark, f"{folder}/log", files_per_trigger=1), folder
+
+
+@query(ORACLES["k4_clusters_with_grounding_and_removal"])
+def s3_k4_k6_k13_clusters_of_a_stream(spark, sf):
+    """The table of clusters from a stream in five batches, by keyed state."""
+    events, folder = _landed(spark, sf, log_queries.cluster_log(spark, sf))
+    done = keyed.run_to_table(keyed.cluster_rows(events), ["id"], f"{folder}/done")
+    return done.where("alive").select("id", "independent_originators", "confidence", "grounding")
+
+
+@query(ORACLES["k3_claims_classified_corrected_disputed"])
+def s3_k3_k8_k11_claims_of_a_stream(spark, sf):
+    """The table of claims from a stream in five batches, by keyed state."""
+    events, folder = _landed(spark, sf, log_queries.claim_log(spark, sf))
+    return keyed.run_to_table(keyed.claim_rows(events), ["claim_id"], f"{folder}/done").select("claim_id", "kind", "corrected", "disputed")
+
+
+@query(ORACLES["k7_relations_last_score"])
+def s2_k7_relations_kept_by_batches(spark, sf):
+    """The table of relations from a fold's state that each batch is merged into."""
+    events, folder = _landed(spark, sf, log_queries.relation_log(spark, sf))
+    fold = states.FOLDS["claim_relations"]
+    stream.fold_batches(events, fold, f"{folder}/state", f"{folder}/checkpoint").awaitTermination()
+    return stream.folded(spark, f"{folder}/state", fold)
+
+
+def _from_snapshot(spark, rows, name):
+    """A fold's table from its state at a third of the log, brought to two thirds, and the tail."""
+    folder, last = _new_folder(spark), rows.agg(F.max("id")).first()[0] or 0
+    mark = states.save(rows.where(F.col("id") <= last // 3), folder, [name])
+    mark = states.advance(spark, folder, mark, rows.where(F.col("id") <= last * 2 // 3), [name])
+    return states.rebuilt(spark, folder, mark, rows, name)
+
+
+@query(ORACLES["k1_article_upsert"])
+def n13_k1_articles_from_a_snapshot(spark, sf):
+    return _from_snapshot(spark, log_queries.article_log(spark, sf), "articles").select("id", "title", "source", "body", F.to_date("ingested_at").alias("day"))
+
+
+@query(ORACLES["k3_claims_classified_corrected_disputed"])
+def n14_k3_claims_from_a_snapshot(spark, sf):
+    return _from_snapshot(spark, log_queries.claim_log(spark, sf), "claims").select("claim_id", "kind", "corrected", "disputed")
+
+
+@query(ORACLES["k4_clusters_with_grounding_and_removal"])
+def n15_k4_clusters_from_a_snapshot(spark, sf):
+    return _from_snapshot(spark, log_queries.cluster_log(spark, sf), "clusters").select("id", "independent_originators", "confidence", "grounding")
+
+
+@query(ORACLES["k5_daily_snapshots_last_write"])
+def k17_k5_daily_snapshots_from_a_snapshot(spark, sf):
+    return _from_snapshot(spark, log_queries.snapshot_log(spark, sf), "cluster_snapshots").select("cluster_id", "snapshot_day", "confidence")
+
+
+@query(ORACLES["k16_signups_by_email"])
+def k17_k16_signups_from_a_snapshot(spark, sf):
+    return _from_snapshot(spark, log_queries.signup_log(spark, sf), "acquisition_signups").select("email", "hits", "beta", "platform", F.to_date("first_seen").alias("first_day"), F.to_date("last_seen").alias("last_day"))
+
+
+@query("""WITH t AS (SELECT 'stage' || event_id % 3 AS stage, user_id AS id, event_id, event_type <> 'view' AND event_type <> 'click' AS failed FROM events),
+    r AS (SELECT *, sum(CASE WHEN failed THEN 0 ELSE 1 END) OVER (PARTITION BY stage, id ORDER BY event_id) AS run FROM t),
+    c AS (SELECT *, count(*) FILTER (WHERE failed) OVER (PARTITION BY stage, id, run ORDER BY event_id) AS n FROM r)
+    SELECT stage, id, CAST(4 AS INTEGER) AS attempt, 'e' || min(event_id) AS error FROM c WHERE failed AND n = 4 GROUP BY stage, id""")
+def n10_n12_dead_letters_of_a_stream(spark, sf):
+    """Deliveries that fail four times running, each a dead letter once, from a stream in five batches by keyed state."""
+    e = events(spark, sf)
+    rows = e.select(F.col("event_id").alias("id"), F.col("user_id").cast("string").alias("stream_id"), F.col("event_type").alias("type"), F.lit("{}").alias("data"), F.lit("default").alias("tenant_id"), F.col("ts").cast("timestamp").alias("created_at"))
+    landed, folder = _landed(spark, sf, rows)
+    tries = landed.select(S("stage", F.col("id") % 3).alias("stage"), F.col("stream_id").cast("long").alias("id"), F.col("id").alias("at"), F.col("type").isin("view", "click").alias("ok"), S("e", F.col("id")).alias("error"))
+    keyed.write_by_batch(keyed.counted_deliveries(tries, 4), f"{folder}/tries", f"{folder}/checkpoint", "append").awaitTermination()
+    return spark.read.parquet(f"{folder}/tries").where("dead").select("stage", "id", "attempt", "error")
+
+
+@query("SELECT DISTINCT k FROM (SELECT CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events) WHERE k IS NOT NULL")
+def n9_once_across_batches(spark, sf):
+    """Keys appended once, whatever batches of a stream they come in."""
+    rows = log_queries.relation_log(spark, sf).join(events(spark, sf).select(F.col("event_id").alias("id"), "k"), "id").withColumn("stream_id", F.col("k").cast("string")).drop("k")
+    landed, folder = _landed(spark, sf, rows.select(LOG_SCHEMA.fieldNames()))
+    stream.append_batches(landed, f"{folder}/out", f"{folder}/checkpoint", "stream_id").awaitTermination()
+    return spark.read.schema(LOG_SCHEMA).parquet(f"{folder}/out").select(F.col("stream_id").cast("int").alias("k"))
 
 
 @query(f"SELECT source, grp AS owner_label FROM (SELECT 'src' || i AS source, CASE WHEN i % 5 = 0 THEN 'by hand' ELSE 'group ' || i // 4 END AS grp FROM range(30) t(i) WHERE i % 5 = 0 OR i % 2 = 0)")

@@ -37,12 +37,15 @@ def n10_quarantine_unreadable(spark, sf):
     return good.agg(F.count("*").alias("good")).crossJoin(dead.agg(F.count("*").alias("dead")))
 
 
+def article_log(spark, sf):
+    s = lambda p, c: F.concat(F.lit(p), c.cast("string"))
+    return log(spark, sf, ARTICLE, {"title": s("t", k()), "source": s("s", k() % 20), "url": s("u", k()), "body": s("b", k() % 9), "language": F.lit("en")})
+
+
 @query(f"""SELECT CAST(user_id AS VARCHAR) AS id, arg_max('t' || k, event_id) AS title, arg_min('s' || k % 20, event_id) AS source, arg_max('b' || k % 9, event_id) AS body,
     CAST(min(ts) AS DATE) AS day FROM {SQL_EVENTS} WHERE event_type IN ('view', 'click') GROUP BY user_id""")
 def k1_article_upsert(spark, sf):
-    s = lambda p, c: F.concat(F.lit(p), c.cast("string"))
-    rows = log(spark, sf, ARTICLE, {"title": s("t", k()), "source": s("s", k() % 20), "url": s("u", k()), "body": s("b", k() % 9), "language": F.lit("en")})
-    return folds.articles(rows).select("id", "title", "source", "body", F.to_date("ingested_at").alias("day"))
+    return folds.articles(article_log(spark, sf)).select("id", "title", "source", "body", F.to_date("ingested_at").alias("day"))
 
 
 @query(f"""SELECT claim_id, article_id, voice FROM (SELECT 'c' || k * 7 % 400 AS claim_id, CAST(user_id AS VARCHAR) AS article_id, event_type AS voice, event_id, 0 AS pos FROM {SQL_EVENTS} WHERE event_type IN ('view', 'click')
@@ -54,6 +57,14 @@ def k2_claims_first_wins(spark, sf):
     return folds.extracted_claims(rows).select("claim_id", "article_id", "voice")
 
 
+def claim_log(spark, sf):
+    kinds = {"view": "claims.extracted", "click": "claims.classified", "error": "admin.classification.corrected", "purchase": "claim.disputed"}
+    c, kind = F.concat(F.lit("c"), k().cast("string")), (F.col("user_id") % 3).cast("string")
+    fix = F.when(F.col("event_type") == "error", F.when(kind != "0", F.concat(F.lit("fix"), kind)))
+    item = F.struct(c.alias("id"), F.when(F.col("event_type") == "click", F.concat(F.lit("kind"), kind)).alias("kind"))
+    return log(spark, sf, kinds, {"claims": F.array(item), "target": c, "claim_id": c, "kind": fix})
+
+
 @query(f"""WITH e AS (SELECT 'c' || k AS c, event_id AS id, event_type AS t, user_id % 3 AS kind, k FROM {SQL_EVENTS}),
     born AS (SELECT c, min(id) AS b FROM e WHERE t = 'view' GROUP BY c),
     fixed AS (SELECT e.c, min(id) AS f, arg_max(CASE kind WHEN 0 THEN NULL ELSE 'fix' || kind END, CASE WHEN kind = 0 THEN NULL ELSE id END) AS kind_fix FROM e JOIN born USING (c) WHERE t = 'error' AND id > b GROUP BY e.c),
@@ -61,12 +72,12 @@ def k2_claims_first_wins(spark, sf):
     odd AS (SELECT DISTINCT e.c FROM e JOIN born USING (c) WHERE t = 'purchase' AND id > b)
     SELECT c AS claim_id, coalesce(kind_fix, sorted.kind) AS kind, f IS NOT NULL AS corrected, odd.c IS NOT NULL AS disputed FROM born LEFT JOIN fixed USING (c) LEFT JOIN sorted USING (c) LEFT JOIN odd USING (c)""")
 def k3_claims_classified_corrected_disputed(spark, sf):
-    kinds = {"view": "claims.extracted", "click": "claims.classified", "error": "admin.classification.corrected", "purchase": "claim.disputed"}
-    c, kind = F.concat(F.lit("c"), k().cast("string")), (F.col("user_id") % 3).cast("string")
-    fix = F.when(F.col("event_type") == "error", F.when(kind != "0", F.concat(F.lit("fix"), kind)))
-    item = F.struct(c.alias("id"), F.when(F.col("event_type") == "click", F.concat(F.lit("kind"), kind)).alias("kind"))
-    rows = log(spark, sf, kinds, {"claims": F.array(item), "target": c, "claim_id": c, "kind": fix})
-    return folds.claims(rows).select("claim_id", "kind", "corrected", "disputed")
+    return folds.claims(claim_log(spark, sf)).select("claim_id", "kind", "corrected", "disputed")
+
+
+def cluster_log(spark, sf):
+    judged = F.col("event_type") == "click"
+    return log(spark, sf, CLUSTER, {"independent_originators": F.when(~judged, k() % 6), "confidence": k() / 100.0, "grounding": F.when(judged, F.concat(F.lit("g"), (k() % 3).cast("string")))})
 
 
 @query(f"""WITH e AS (SELECT user_id AS s, event_id AS id, CASE event_type WHEN 'view' THEN 'made' WHEN 'purchase' THEN 'made' WHEN 'click' THEN 'judged' WHEN 'signup' THEN 'gone' END AS t, k FROM {SQL_EVENTS} WHERE event_type <> 'error'),
@@ -75,22 +86,26 @@ def k3_claims_classified_corrected_disputed(spark, sf):
     SELECT CAST(s AS VARCHAR) AS id, arg_max(k % 6, id) FILTER (WHERE t = 'made') AS independent_originators, arg_max(k, id) / 100.0::DOUBLE AS confidence,
     arg_max('g' || k % 3, id) FILTER (WHERE t = 'judged') AS grounding FROM born GROUP BY s""")
 def k4_clusters_with_grounding_and_removal(spark, sf):
-    judged = F.col("event_type") == "click"
-    rows = log(spark, sf, CLUSTER, {"independent_originators": F.when(~judged, k() % 6), "confidence": k() / 100.0, "grounding": F.when(judged, F.concat(F.lit("g"), (k() % 3).cast("string")))})
-    return folds.clusters(rows).select("id", "independent_originators", "confidence", "grounding")
+    return folds.clusters(cluster_log(spark, sf)).select("id", "independent_originators", "confidence", "grounding")
+
+
+def snapshot_log(spark, sf):
+    return log(spark, sf, dict.fromkeys(("view", "click", "error", "purchase", "signup"), "cluster.snapshot"), {"confidence": k() / 100.0})
 
 
 @query(f"""SELECT CAST(user_id AS VARCHAR) AS cluster_id, CAST(ts AS DATE) AS snapshot_day, k / 100.0::DOUBLE AS confidence FROM {SQL_EVENTS} QUALIFY row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY event_id DESC) = 1""")
 def k5_daily_snapshots_last_write(spark, sf):
-    rows = log(spark, sf, dict.fromkeys(("view", "click", "error", "purchase", "signup"), "cluster.snapshot"), {"confidence": k() / 100.0})
-    return folds.cluster_snapshots(rows).select("cluster_id", "snapshot_day", "confidence")
+    return folds.cluster_snapshots(snapshot_log(spark, sf)).select("cluster_id", "snapshot_day", "confidence")
+
+
+def relation_log(spark, sf):
+    c = lambda x: F.concat(F.lit("c"), x.cast("string"))
+    return log(spark, sf, dict.fromkeys(("view", "click", "error", "purchase", "signup"), "claim.related"), {"claim_a": c(F.least(k(), F.col("user_id"))), "claim_b": c(F.greatest(k(), F.col("user_id"))), "relation": F.col("event_type"), "score": F.col("value")})
 
 
 @query(f"""SELECT 'c' || least(k, user_id) AS claim_a, 'c' || greatest(k, user_id) AS claim_b, event_type AS relation, arg_max(CAST(value AS DOUBLE), event_id) AS score FROM {SQL_EVENTS} GROUP BY 1, 2, 3""")
 def k7_relations_last_score(spark, sf):
-    c = lambda x: F.concat(F.lit("c"), x.cast("string"))
-    rows = log(spark, sf, dict.fromkeys(("view", "click", "error", "purchase", "signup"), "claim.related"), {"claim_a": c(F.least(k(), F.col("user_id"))), "claim_b": c(F.greatest(k(), F.col("user_id"))), "relation": F.col("event_type"), "score": F.col("value")})
-    return folds.claim_relations(rows)
+    return folds.claim_relations(relation_log(spark, sf))
 
 
 @query(f"""WITH e AS (SELECT event_id AS id, event_type AS t, k, CAST(value AS DOUBLE) AS v FROM {SQL_EVENTS}), r AS (SELECT max(id) AS start FROM e WHERE t = 'error' AND k < 2)
@@ -116,10 +131,13 @@ def k15_funnel_kinds(spark, sf):
     return folds.acquisition_signals(rows).groupBy("kind").agg(F.count("*").alias("n"))
 
 
+def signup_log(spark, sf):
+    return log(spark, sf, {"signup": "acquisition.notify_requested"}, {"email": F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("@example.com")), "beta": k() % 10 == 0, "platform": F.concat(F.lit("p"), (k() % 4).cast("string"))})
+
+
 @query(f"""SELECT 'u' || user_id || '@example.com' AS email, count(*) AS hits, bool_or(k % 10 = 0) AS beta, arg_min('p' || k % 4, event_id) AS platform, CAST(min(ts) AS DATE) AS first_day, CAST(max(ts) AS DATE) AS last_day FROM {SQL_EVENTS} WHERE event_type = 'signup' GROUP BY user_id""")
 def k16_signups_by_email(spark, sf):
-    rows = log(spark, sf, {"signup": "acquisition.notify_requested"}, {"email": F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("@example.com")), "beta": k() % 10 == 0, "platform": F.concat(F.lit("p"), (k() % 4).cast("string"))})
-    return folds.acquisition_signups(rows).select("email", "hits", "beta", "platform", F.to_date("first_seen").alias("first_day"), F.to_date("last_seen").alias("last_day"))
+    return folds.acquisition_signups(signup_log(spark, sf)).select("email", "hits", "beta", "platform", F.to_date("first_seen").alias("first_day"), F.to_date("last_seen").alias("last_day"))
 
 
 def _flags():

@@ -1,18 +1,18 @@
 """The event log as a stream: ingest once, fold, count, rebuild.
 
 A stream reads log files as they land. Exactly-once folding comes from the
-checkpoint plus a fold that is a function of the rows seen so far: a repeated
+checkpoint plus states that are a function of the rows seen so far: a repeated
 micro-batch writes the same files again.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tessera.operators.log import LOG_SCHEMA
+from tessera.operators.states import Fold
+from tessera.streaming.keyed import once_across_batches, write_by_batch
 
 
 def read_log(spark: SparkSession, path: str, files_per_trigger: int | None = None, schema=LOG_SCHEMA, files: str = "*.parquet") -> DataFrame:
@@ -34,46 +34,52 @@ def daily_counts(events: DataFrame, late: str = "1 day", time: str = "created_at
 
 
 def append_batches(new: DataFrame, target: str, checkpoint: str, key: str = "id") -> StreamingQuery:
-    """Append to a log folder exactly once: a batch is written under its own id, so a repeat replaces it."""
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.dropDuplicates([key]).write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+    """Append to a log folder exactly once: each key in one batch only (by state of the keys seen), and a batch under its own id, so a repeat replaces it."""
+    return write_by_batch(once_across_batches(new, key), target, checkpoint, "append")
 
-    return new.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
+def fold_batches(events: DataFrame, fold: Fold, folder: str, checkpoint: str) -> StreamingQuery:
+    """Keep a fold's state up to date in a folder: a batch is merged into the state before it, and the log is not read again.
 
-def fold_batches(events: DataFrame, fold: Callable[[DataFrame], DataFrame], keys: list[str], state: str, checkpoint: str) -> StreamingQuery:
-    """Keep a folder with a fold's table up to date.
-
-    The rows of a key are kept as they arrived, in files by batch; a batch
-    re-folds only the keys that it touches and writes the new version beside
-    the old, then points to it. Readers take the version named last.
+    A version is named by its batch, so a repeated batch writes its own again
+    from the same one before; versions older than that one are removed.
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{state}/log/batch={batch_id}")
-        every = spark.read.parquet(f"{state}/log").where(F.col("batch") <= batch_id).drop("batch")
-        touched = batch.select(*keys).distinct()
-        fold(every.join(touched, keys, "left_semi")).write.mode("overwrite").parquet(f"{state}/table/batch={batch_id}")
+        old = sorted(v for v in _versions(spark, folder) if v < batch_id)
+        now = fold.merge(spark.read.parquet(f"{folder}/version-{old[-1]}"), batch) if old else fold.state(batch)
+        now.write.mode("overwrite").parquet(f"{folder}/version-{batch_id}")
+        for v in old[:-1]:
+            _folder(spark, f"{folder}/version-{v}", remove=True)
 
     return events.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def folded(spark: SparkSession, state: str, keys: list[str]) -> DataFrame:
-    """The table that fold_batches keeps: of each key the row of the last batch that touched it."""
-    from tessera.operators.log import latest
+def folded(spark: SparkSession, folder: str, fold: Fold) -> DataFrame | dict[str, DataFrame]:
+    """The table (or tables) of the state that fold_batches keeps."""
+    return fold.finish(spark.read.parquet(f"{folder}/version-{max(_versions(spark, folder))}"))
+
 
-    return latest(spark.read.parquet(f"{state}/table"), keys, [F.desc("batch")]).drop("batch")
+def _folder(spark: SparkSession, place: str, remove: bool = False):
+    """(file system, path) of a place in any store that Spark reads."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(place)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if remove:
+        fs.delete(path, True)
+    return fs, path
+
+
+def _versions(spark: SparkSession, folder: str) -> list[int]:
+    """Numbers of the versions that are written to the end."""
+    fs, path = _folder(spark, folder)
+    if not fs.exists(path):
+        return []
+    names = [f.getPath().getName() for f in fs.listStatus(path) if f.isDirectory()]
+    return [int(n[8:]) for n in names if n.startswith("version-") and fs.exists(_folder(spark, f"{folder}/{n}/_SUCCESS")[1])]
 
 
 def latest_state(events: DataFrame, key: str, value: str, order: str = "id") -> DataFrame:
     """Per key the value at the largest order seen so far, as an update-mode aggregate."""
     return events.groupBy(key).agg(F.max_by(value, order).alias(value), F.max(order).alias(order))
-
-
-def run_to_table(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Run a stream over all that has landed into an in-memory table; for tests and small results."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return stream.sparkSession.table(name)

@@ -1,11 +1,14 @@
 import gzip
 import json
+import random
 
-from pyspark.sql import functions as F
+from pyspark.sql import Row, functions as F
 
-from tessera.operators import folds, log as L
+from tessera.operators import folds, log as L, states
 from tessera.sources import connectors as C
-from tessera.streaming import stream
+from tessera.streaming import keyed, stream
+from tests.test_operators import log_of
+from tests.test_states import random_log
 
 
 def test_search_articles(spark):
@@ -79,30 +82,76 @@ def log_rows(spark, ids):
 
 def test_stream_folds_once_and_equals_the_batch_fold(spark, tmp_path):
     src, state, cp = (f"file://{tmp_path}/{x}" for x in ("src", "state", "cp"))
-    pair = F.from_json("data", "claim_b string")["claim_b"]
+    fold = states.FOLDS["claim_relations"]
     for part in (range(10), range(10, 25), range(25, 30)):
         log_rows(spark, part).coalesce(1).write.mode("append").parquet(src)
-        events = stream.read_log(spark, src, files_per_trigger=1)
-        fold = lambda df: folds.claim_relations(df.drop("claim_b"))
-        stream.fold_batches(events.withColumn("claim_b", pair), fold, ["claim_b"], state, cp).awaitTermination()
-    got = stream.folded(spark, state, ["claim_a", "claim_b", "relation"])
+        stream.fold_batches(stream.read_log(spark, src, files_per_trigger=1), fold, state, cp).awaitTermination()
+    got = stream.folded(spark, state, fold)
     assert sorted(got.select("claim_b", "score").collect()) == sorted(folds.claim_relations(log_rows(spark, range(30))).select("claim_b", "score").collect())
+    assert len(stream._versions(spark, state)) == 2  # the last and the one that a repeated batch would start from
 
 
 def test_stream_append_and_dedup(spark, tmp_path):
     src, out, cp = (f"file://{tmp_path}/{x}" for x in ("src", "out", "cp"))
-    log_rows(spark, [1, 2, 2, 3]).coalesce(1).write.parquet(src)
-    for _ in range(2):
+    for part in ([1, 2, 2, 3], [2, 3, 4, None, None]):
+        df = log_rows(spark, [i or 9 for i in part])
+        df.withColumn("id", F.when(F.col("id") != 9, F.col("id"))).coalesce(1).write.mode("append").parquet(src)
         stream.append_batches(stream.read_log(spark, src), out, cp).awaitTermination()
-    assert spark.read.schema(L.LOG_SCHEMA).parquet(out).count() == 3
-    once = stream.run_to_table(stream.once(stream.read_log(spark, src)), "once_rows", "append", f"{cp}2")
-    assert sorted(r.id for r in once.collect()) == [1, 2, 3]
+    assert sorted(r.id or 0 for r in spark.read.schema(L.LOG_SCHEMA).parquet(out).collect()) == [0, 0, 1, 2, 3, 4]
+    keyed.write_by_batch(stream.once(stream.read_log(spark, src).where("id is not null")), f"{out}2", f"{cp}2", "append").awaitTermination()
+    assert sorted(r.id for r in spark.read.parquet(f"{out}2").collect()) == [1, 2, 3, 4]
 
 
 def test_stream_latest_state_and_daily_counts(spark, tmp_path):
-    src, cp = f"file://{tmp_path}/src", f"file://{tmp_path}/cp"
+    src = f"file://{tmp_path}/src"
     log_rows(spark, range(50)).coalesce(1).write.parquet(src)
-    last = stream.run_to_table(stream.latest_state(stream.read_log(spark, src), "stream_id", "data"), "last_rows", "complete", f"{cp}1")
+    last = keyed.run_to_table(stream.latest_state(stream.read_log(spark, src), "stream_id", "data"), ["stream_id"], f"file://{tmp_path}/last")
     assert {r.stream_id: r.id for r in last.collect()} == {"c0": 48, "c1": 49, "c2": 47}
-    days = stream.run_to_table(stream.daily_counts(stream.read_log(spark, src)), "day_rows", "complete", f"{cp}2")
+    days = keyed.run_to_table(stream.daily_counts(stream.read_log(spark, src)), ["day", "type"], f"file://{tmp_path}/days")
     assert sum(r.n for r in days.collect()) == 50
+
+
+def test_keyed_state_equals_the_batch_fold_at_any_cut(spark, tmp_path):
+    seed = random.randrange(10**6)
+    r = random.Random(seed)
+    events = [e for e in random_log(r, 700) if e[1].split(".")[0] in ("cluster", "claims", "claim", "admin")]
+    log = spark.createDataFrame(log_of(spark, events).collect(), L.LOG_SCHEMA)
+    src, cuts = f"file://{tmp_path}/src", [0, *sorted(r.sample(range(1, len(events)), 2)), len(events)]
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        for a, b in zip(cuts, cuts[1:]):
+            log.where(f"id > {a} and id <= {b}").coalesce(1).write.mode("append").parquet(src)
+            for f, name in ((keyed.cluster_rows, "clusters"), (keyed.claim_rows, "claims")):
+                keyed.write_by_batch(f(stream.read_log(spark, src)), f"file://{tmp_path}/{name}", f"file://{tmp_path}/cp-{name}").awaitTermination()
+        rows = lambda df, cols: sorted(map(repr, (x.asDict() for x in df.select(cols).collect())))
+        cols = ["id", "fact", "independent_originators", "confidence", "grounding", "created_at"]
+        assert rows(keyed.table_of(spark, f"file://{tmp_path}/clusters", ["id"]).where("alive"), cols) == rows(folds.clusters(log), cols), seed
+        cols = ["claim_id", "article_id", "text", "kind", "voice", "speaker", "corrected", "laundering_flag", "disputed", "created_at"]
+        assert rows(keyed.table_of(spark, f"file://{tmp_path}/claims", ["claim_id"]), cols) == rows(folds.claims(log), cols), seed
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_states_of_a_key_stay_short():
+    event = lambda i, t, **d: Row(id=i, pos=0, type=t, data=json.dumps(d), created_at=i)
+    events = [event(i, "cluster.corroborated", confidence=0.5) for i in range(100)] + [event(i, "cluster.grounded", grounding="x") for i in range(100, 200)]
+    row, keep = keyed.fold_cluster("c", events)
+    assert row["grounding"] == "x" and [e.id for e in keep] == [0, 99, 199]
+    assert keyed.fold_cluster("c", [*events, event(300, "cluster.removed"), event(301, "cluster.grounded", grounding="y")]) == ({"id": "c", "alive": False}, [])
+    assert keyed.fold_claim("k", [event(1, "claims.classified", kind="x")]) == (None, [])
+
+
+def test_deliveries_die_once(spark, tmp_path):
+    src = f"file://{tmp_path}/src"
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        tries = [("s", 1, i, False, f"e{i}") for i in range(9)] + [("s", 2, i, i == 3, f"f{i}") for i in range(8)]
+        for part in (tries[::2], tries[1::2][:0], [("s", 1, 20, True, None), ("s", 1, 21, False, "late")]):
+            if part:
+                spark.createDataFrame(part, "stage string, id long, at long, ok boolean, error string").coalesce(1).write.mode("append").parquet(src)
+                rows = spark.readStream.schema("stage string, id long, at long, ok boolean, error string").parquet(src)
+                keyed.write_by_batch(keyed.counted_deliveries(rows, 4), f"file://{tmp_path}/out", f"file://{tmp_path}/cp", "append").awaitTermination()
+        got = sorted((x.id, x.attempt, x.dead, x.error) for x in spark.read.parquet(f"file://{tmp_path}/out").collect())
+        assert [g for g in got if g[0] == 1] == [(1, 1, False, "e0"), (1, 2, False, "e2"), (1, 3, False, "e4"), (1, 4, True, "e6")]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
