@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -40,3 +40,14 @@ def parse_vector(text: Column) -> Column:
 
 def vector_text(v: Column) -> Column:
     return F.concat(F.lit("["), F.array_join(F.transform(v, lambda x: x.cast("string")), ","), F.lit("]"))
+
+
+def centroids(df: DataFrame, key: str, vector: str) -> DataFrame:
+    """(key, i, mean): the mean of each key's vectors, component by component (i from 0).
+
+    Components are summed where they are, so a key with many vectors moves one
+    row for each component and task. The mean of vectors taken one after the
+    other by moved_centroid is the same.
+    """
+    each = df.select(key, F.posexplode(F.transform(vector, lambda x: x.cast("double"))).alias("i", "x"))
+    return each.groupBy(key, "i").agg(F.avg("x").alias("mean"))

@@ -116,10 +116,12 @@ def clusters(log: DataFrame) -> DataFrame:
     confidence is that of the later of the two events.
     """
     e = log.where(F.col("type").isin("cluster.corroborated", "cluster.grounded", "cluster.removed")).withColumn("d", F.from_json("data", _CLUSTER))
-    w = Window.partitionBy("stream_id")
-    e = e.withColumn("gone", F.max(F.when(F.col("type") == "cluster.removed", F.col("id"))).over(w)).where(F.col("gone").isNull() | (F.col("id") > F.col("gone")))
-    e = e.withColumn("born", F.min(F.when(F.col("type") == "cluster.corroborated", F.col("id"))).over(w)).where("id >= born")
     made = F.col("type") == "cluster.corroborated"
+    # boundaries are grouped first and joined to the events, so a stream with many events moves no payload to one task
+    gone = e.groupBy("stream_id").agg(F.max(F.when(F.col("type") == "cluster.removed", F.col("id"))).alias("gone"), F.count("*").alias("n"))
+    e = join_per_key(e, gone, ["stream_id"]).where(F.col("gone").isNull() | (F.col("id") > F.col("gone"))).drop("n")
+    born = e.groupBy("stream_id").agg(F.min(F.when(made, F.col("id"))).alias("born"), F.count("*").alias("n"))
+    e = join_per_key(e, born, ["stream_id"]).where("id >= born")
     state = e.groupBy(F.col("stream_id").alias("id")).agg(
         F.max_by(F.when(made, F.col("d")), F.when(made, F.col("id"))).alias("d"),
         last_of(F.coalesce("d.grounding", "d.verdict"), F.col("type") == "cluster.grounded").alias("grounding"),

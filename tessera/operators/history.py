@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tessera.functions import scoring as S
 from tessera.functions.identity import attribution_weight, is_primary_source
 from tessera.functions.text import norm_fact
+from tessera.operators.ordering import numbered
 from tessera.session import cut as checkpointed
 
 EDGES = (0.0, 0.4, 0.6, 0.85, 1.01)
@@ -182,5 +183,5 @@ def preferences(rep: DataFrame) -> DataFrame:
     p = p.withColumn("bounded", F.greatest(F.lit(S.FLOOR_WEIGHT), F.least(F.lit(S.MAX_WEIGHT), F.col("score"))))
     p = p.crossJoin(F.broadcast(p.agg(F.sum("bounded").alias("total"))))
     p = p.withColumn("weight", F.round(F.col("bounded") * F.when(F.col("total") > 1, 1 / F.col("total")).otherwise(1.0), 4))
-    p = p.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("weight"), F.desc(F.round("score", 9)), "source")))
+    p = numbered(p.withColumn("_score", F.round("score", 9)), F.desc("weight"), F.desc("_score"), "source", name="rank")
     return p.select("source", "rank", "weight", "score", (F.col("solo") > S.SOLO_SHARE).alias("solo_flag"), (F.col("appearances") < S.MIN_EVIDENCE).alias("low_evidence"), (F.col("rank") <= S.DIVERSITY_MINIMUM).alias("in_floor"))

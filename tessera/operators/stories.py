@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tessera.functions import scoring as S
 from tessera.functions.identity import is_primary_source
+from tessera.operators.ordering import numbered
 from tessera.operators.log import latest
 from tessera.operators.originators import corroborate
 
@@ -143,10 +144,10 @@ def golden_checks(clusters: DataFrame, expected: DataFrame) -> DataFrame:
 
 
 def reconcile_order(items: DataFrame, proposed: DataFrame) -> DataFrame:
-    """A proposed order (id, at) made whole: known ids once, in that order, then the rest in theirs (pos)."""
+    """A proposed order (id, at) made whole: known ids once, in that order, then the rest in theirs (pos, which tells items apart)."""
     p = proposed.groupBy("id").agg(F.min("at").alias("at"))
     j = items.join(p, "id", "left")
-    return j.withColumn("place", F.row_number().over(Window.orderBy(F.col("at").isNull(), F.coalesce("at", "pos"), "pos"))).drop("at")
+    return numbered(j.withColumns({"_rest": F.col("at").isNull(), "_at": F.coalesce("at", "pos")}), "_rest", "_at", "pos").drop("at", "_rest", "_at")
 
 
 def summary(fact: Column, claims: Column) -> Column:

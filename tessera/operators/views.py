@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tessera.functions.identity import is_primary_source
 from tessera.operators.feed import as_of, credibility
+from tessera.operators.ordering import numbered
 from tessera.operators.folds import _events, last_of
 from tessera.operators.log import latest
 
@@ -214,8 +215,8 @@ def source_list(reputation: DataFrame, registry: DataFrame, flags: DataFrame, co
 
 
 def ratings_order(sources: DataFrame) -> DataFrame:
-    """Place of each source (source, reputation, rated): unrated ones last, then by reputation and name. The list of sources is short enough for one window."""
-    return sources.withColumn("place", F.row_number().over(Window.orderBy(~F.col("rated"), F.desc("reputation"), "source")))
+    """Place of each source (source, reputation, rated): unrated ones last, then by reputation and name."""
+    return numbered(sources, F.desc("rated"), F.desc("reputation"), "source")
 
 
 def originations(clusters: DataFrame, articles: DataFrame) -> DataFrame:

@@ -422,14 +422,10 @@ def f25_z50_triage(spark, sf):
 
 @query("""SELECT label, i, round(avg(x), 6) AS mean FROM (SELECT label, unnest(range(64)) AS i, unnest(CAST(embedding AS DOUBLE[])) AS x FROM embeddings) GROUP BY 1, 2""")
 def v10_running_centroids(spark, sf):
-    """Vectors of a label taken one after the other into a running centroid; all 64 components."""
-    from tessera.functions.vectors import moved_centroid
-
-    v = table(spark, sf, "embeddings").select("label", "vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    start = F.struct(F.array().cast("array<double>").alias("c"), F.lit(0).alias("n"))
-    step = lambda s, x: F.struct(moved_centroid(s["c"], x["v"], s["n"] + 1).alias("c"), (s["n"] + 1).alias("n"))
-    c = v.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("vec_id", "v"))).alias("vs")).select("label", F.aggregate("vs", start, step)["c"].alias("c"))
-    return c.select("label", F.posexplode("c").alias("i", "x")).select("label", F.col("i").cast("long").alias("i"), F.round("x", 6).alias("mean"))
+    """The centroid of each label; all 64 components."""
+    from tessera.functions.vectors import centroids
+
+    return centroids(table(spark, sf, "embeddings"), "label", "embedding").select("label", F.col("i").cast("long").alias("i"), F.round("mean", 6).alias("mean"))
 
 
 @query("SELECT source, CASE WHEN has THEN good ELSE first END AS pos FROM (SELECT source, min(doc_id) AS first, min(doc_id) FILTER (WHERE doc_id % 4 = 3) AS good, count(*) FILTER (WHERE doc_id % 4 = 3) > 0 AS has FROM documents GROUP BY source)")

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from tessera.operators import feed, folds, graph as G, history as H, log as L, similarity as S, steering
 from tessera.operators.components import connected_components, forest
+from tessera.functions.vectors import centroids
+from tessera.operators.ordering import numbered
 from tessera.operators.originators import alias_clusters, collapse_originators, corroborate
 
 
@@ -323,6 +325,27 @@ def test_near_copies_make_no_pairs_of_pairs(spark, monkeypatch):
     assert sum(seen) < 100 * 300  # all pairs would be 44,850, and grow with the square
 
 
+def test_numbers_in_order_are_whole_and_dealt_out(spark):
+    r = random.Random(6)
+    rows = [(i, r.choice([None, 1.0, 2.0, 3.0]), "x" * (i % 3)) for i in r.sample(range(1000), 500)]
+    df = spark.createDataFrame(rows, "id long, v double, s string").repartition(3)
+    got = numbered(df, F.desc("v"), "id").collect()
+    want = sorted(rows, key=lambda x: (-(x[1] or 0), x[0]))
+    assert [x.id for x in sorted(got, key=lambda x: x.place)] == [x[0] for x in want] and sorted(x.place for x in got) == list(range(1, 501))
+    assert numbered(df.where("id < 0"), "id").collect() == [] and "place" in numbered(df, "id").columns
+
+
+def test_centroids_equal_running_means(spark):
+    r = random.Random(2)
+    rows = [(i % 3, [r.random() for _ in range(4)]) for i in range(30)]
+    want = {}
+    for k, v in rows:
+        n, c = want.get(k, (0, [0.0] * 4))
+        want[k] = n + 1, [(a * n + x) / (n + 1) for a, x in zip(c, v)]
+    for x in centroids(spark.createDataFrame(rows, "k long, v array<double>"), "k", "v").collect():
+        assert abs(want[x.k][1][x.i] - x["mean"]) < 1e-12
+
+
 def test_originators_collapse_reprints_cascades_and_one_outlet(spark):
     text = "the minister will resign on friday after a vote in the lower house said the speaker"
     rows = [
