@@ -44,6 +44,8 @@ from tessera.session import cut
 
 TRAIN_ROWS, KINDS, FOLDS, THRESHOLD, MIN_GAIN = 10_000, 2, 5, 0.5, 5.0
 PREFIXES, LEVELS = range(3, 9), 3
+#: Steps of a fit at most.
+STEPS = 100
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -88,11 +90,25 @@ class Rows:
         return Rows(np.array([k for x in lists for k in x], np.int64), np.cumsum([0, *map(len, lists)]))
 
     def times(self, w: np.ndarray) -> np.ndarray:
-        total = np.concatenate([[0.0], np.cumsum(w[self.ids])])
-        return total[self.start[1:]] - total[self.start[:-1]]
+        """Sum of w over the features of each row."""
+        if not len(self.ids):
+            return np.zeros(len(self.start) - 1)
+        some = np.flatnonzero(np.diff(self.start))
+        total = np.zeros(len(self.start) - 1)
+        total[some] = np.add.reduceat(w[self.ids], self.start[some])
+        return total
 
     def gather(self, per_row: np.ndarray, size: int) -> np.ndarray:
-        return np.bincount(self.ids, np.repeat(per_row, np.diff(self.start)), size)
+        """Sum over the rows of each feature; the rows are put in order of features once."""
+        if "rows" not in self.__dict__:
+            order = np.argsort(self.ids, kind="stable")
+            self.rows = np.repeat(np.arange(len(self.start) - 1), np.diff(self.start))[order]
+            found, self.at = np.unique(self.ids[order], return_index=True)
+            self.found = found
+        total = np.zeros(size)
+        if len(self.found):
+            total[self.found] = np.add.reduceat(per_row[self.rows], self.at)
+        return total
 
     def take(self, keep: np.ndarray) -> Rows:
         size = np.diff(self.start)
@@ -109,17 +125,45 @@ class Linear:
         return _logistic(x.times(self.w) + before @ self.earlier + self.bias)
 
 
-def fit_linear(x: Rows, before: np.ndarray, y: np.ndarray, size: int, l2: float = 1e-4, steps: int = 300, rate: float = 0.1) -> Linear:
-    """Logistic regression by Adam on the full gradient; classes weigh alike."""
-    k = before.shape[1]
-    theta, m, v = np.zeros(size + k + 1), 0.0, 0.0
+def fit_linear(x: Rows, before: np.ndarray, y: np.ndarray, size: int, l2: float = 1e-4, steps: int = STEPS, memory: int = 8) -> Linear:
+    """Logistic regression by L-BFGS, a step being halved until it pays; classes weigh alike."""
     weight = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
-    for t in range(1, steps + 1):
-        gap = (y - _logistic(x.times(theta[:size]) + before @ theta[size:-1] + theta[-1])) * weight
+    sign = np.where(y == 1, -1.0, 1.0)
+
+    def loss(theta: np.ndarray) -> tuple[float, np.ndarray]:
+        z = x.times(theta[:size]) + before @ theta[size:-1] + theta[-1]
+        gap = (_logistic(z) - y) * weight
         g = np.concatenate([x.gather(gap, size), before.T @ gap, [gap.sum()]])
-        g[:-1] -= l2 * theta[:-1]
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        theta = theta + rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
+        g[:-1] += l2 * theta[:-1]
+        return float(weight @ np.logaddexp(0, sign * z) + l2 / 2 * (theta[:-1] @ theta[:-1])), g
+
+    theta = np.zeros(size + before.shape[1] + 1)
+    value, g = loss(theta)
+    past: list[tuple[np.ndarray, np.ndarray, float]] = []
+    for _ in range(steps):
+        q, used = g.copy(), []
+        for s, d, r in reversed(past):
+            used.append(a := r * (s @ q))
+            q -= a * d
+        if past:
+            s, d, _ = past[-1]
+            q *= (s @ d) / (d @ d)
+        for (s, d, r), a in zip(past, reversed(used)):
+            q += s * (a - r * (d @ q))
+        slope, reach = float(g @ q), 1.0 if past else 1.0 / max(1e-12, np.sqrt(g @ g))
+        while True:
+            new = theta - reach * q
+            now, g_new = loss(new)
+            if now <= value - 1e-4 * reach * slope or reach < 1e-10:
+                break
+            reach /= 2
+        s, d = new - theta, g_new - g
+        done = value - now < 1e-9
+        theta, value, g = new, now, g_new
+        if done:
+            break
+        if s @ d > 1e-12:
+            past = [*past[1 - memory :], (s, d, 1 / (s @ d))]
     return Linear(theta[:size], theta[size:-1], float(theta[-1]))
 
 

@@ -50,15 +50,18 @@ def test_chain_against_a_plain_one():
     fold = np.arange(n) % tx.FOLDS
     chain = tx.fit_chain(["a", "b"], {str(i): i for i in range(size)}, tx.Rows.of([np.flatnonzero(v).tolist() for v in dense]), y, fold)
 
-    def fit(x, t, l2=1e-4, rate=0.1):
-        w, m, v = np.zeros(x.shape[1] + 1), 0.0, 0.0
+    def fit(x, t, l2=1e-4):
+        """The minimum of the same loss, by damped Newton steps on the dense matrix."""
         one = np.column_stack([x, np.ones(len(x))])
+        w, reg = np.zeros(one.shape[1]), np.diag([l2] * x.shape[1] + [0])
         weight = np.where(t == 1, 0.5 / max(1, t.sum()), 0.5 / max(1, (1 - t).sum()))
-        for step in range(1, 301):
-            g = one.T @ ((t - 1 / (1 + np.exp(-one @ w))) * weight)
-            g[:-1] -= l2 * w[:-1]
-            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-            w = w + rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
+        loss = lambda w: weight @ np.logaddexp(0, np.where(t == 1, -1, 1) * (one @ w)) + w @ reg @ w / 2
+        for _ in range(200):
+            p = 1 / (1 + np.exp(-one @ w))
+            step, rate = np.linalg.solve(one.T * (weight * p * (1 - p)) @ one + reg + 1e-12 * np.eye(len(w)), one.T @ ((p - t) * weight) + reg @ w), 1.0
+            while loss(w - rate * step) > loss(w) and rate > 1e-9:
+                rate /= 2
+            w = w - rate * step
         return lambda z: 1 / (1 + np.exp(-np.column_stack([z, np.ones(len(z))]) @ w))
 
     first = fit(dense, y[:, 0])
@@ -67,7 +70,7 @@ def test_chain_against_a_plain_one():
         out[fold == f] = fit(dense[fold != f], y[fold != f, 0])(dense[fold == f])
     second = fit(np.column_stack([dense, out]), y[:, 1])
     want = np.column_stack([first(dense), second(np.column_stack([dense, first(dense)]))])
-    assert np.allclose(chain.predict(tx.Rows.of([np.flatnonzero(v).tolist() for v in dense])), want, atol=1e-6)
+    assert np.allclose(chain.predict(tx.Rows.of([np.flatnonzero(v).tolist() for v in dense])), want, atol=5e-3)
 
 
 def test_features_by_hand():
