@@ -1,4 +1,11 @@
-"""A training corpus from raw documents: filter, deduplicate, decontaminate, pack."""
+"""A training corpus from raw documents: filter, deduplicate, decontaminate, pack.
+
+Defined cases of every stage: a null text counts as empty (and stays null if its
+row stays); rows with null or repeated doc_ids are judged each by its own text;
+of rows alike in what a stage goes by, the ones that stay are chosen by a hash of
+their other columns; other columns pass through all stages but the last,
+whatever their names; no rows in, no rows out.
+"""
 
 from __future__ import annotations
 
@@ -47,11 +54,26 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each stage's rows are written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
-    place = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{place}/{k}")
+def run(spark: SparkSession, sf_dir: str, run_id: str | None = None) -> DataFrame:
+    """All stages over documents; each stage's rows are written to the shared folder and read again.
+
+    A run that is started again with the run_id of one that broke off goes on
+    after the last stage that was written to the end. Once a stage is written,
+    the rows of the one before it are removed; the last stage's stay, as the result.
+    """
+    place = f"{shared_dir(spark)}/pipeline-{run_id or uuid.uuid4().hex}"
+    done = max((k for k in range(len(STAGES)) if _there(spark, f"{place}/{k}/_SUCCESS")), default=-1)
+    docs = table(spark, sf_dir, "documents") if done < 0 else spark.read.parquet(f"{place}/{done}")
+    for k, (_, stage) in enumerate(STAGES[done + 1 :], done + 1):
+        stage(spark, docs, sf_dir).write.mode("overwrite").parquet(f"{place}/{k}")
         docs = spark.read.parquet(f"{place}/{k}")
+        if k:
+            _there(spark, f"{place}/{k - 1}", remove=True)
     return docs
+
+
+def _there(spark: SparkSession, name: str, remove: bool = False) -> bool:
+    """Whether a path is there, in any store that Spark reads; removes it if asked."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs.delete(path, True) if remove else fs.exists(path)

@@ -1,7 +1,10 @@
 import random
 
+import pytest
+
 import corpus_pipeline as cp
 from tessera.llm import decontaminate, exact_dedup, quality_rqda, simhash_bk
+from tessera.session import shared_dir
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -43,3 +46,43 @@ def test_stages_against_the_operators(spark, tmp_path):
     packed = cp.run(spark, sf)
     assert sorted({r.doc_id for r in packed.collect()}) == ids(clean)
     assert set(packed.columns) >= {"doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"}
+
+
+def test_a_broken_run_goes_on_and_leaves_one_stage(spark, tmp_path, monkeypatch):
+    sf = f"file://{tmp_path}/sf"
+    write(spark, sf)
+    calls, stages = [], list(cp.STAGES)
+
+    def named(k, f):
+        def stage(*a):
+            calls.append(k)
+            if k == 3 and calls.count(3) == 1:
+                raise RuntimeError("lost")
+            return f(*a)
+
+        return stage
+
+    monkeypatch.setattr(cp, "STAGES", [(n, named(k, f)) for k, (n, f) in enumerate(stages)])
+    with pytest.raises(RuntimeError, match="lost"):
+        cp.run(spark, sf, run_id := f"test-{random.random()}")
+    got = cp.run(spark, sf, run_id)
+    assert calls == [0, 1, 2, 3, 3, 4]
+    place = f"{shared_dir(spark)}/pipeline-{run_id}"
+    assert [k for k in range(5) if cp._there(spark, f"{place}/{k}")] == [4] and got.count() > 0
+
+
+def test_nulls_repeats_other_columns_and_no_rows(spark, tmp_path):
+    sf = f"file://{tmp_path}/sf"
+    write(spark, sf)
+    long = " ".join(f"word{i % 977}" for i in range(30_000)) + "."
+    more = [(None, "a row without an id, which stays as it is said here."), (None, None), (7, long), (7, long), (8, long + " x"), (9, ""), (9, "")]
+    rows = [(d, t, i, "clash", b"f", [1], 0) for i, (d, t) in enumerate(more)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, k int, row string, fp binary, recipe array<int>, y int")
+    for table in (docs, docs.where("false")):
+        now = table
+        for name, stage in cp.STAGES:
+            now = stage(spark, now, sf)
+            assert name == "packing" or now.columns == docs.columns
+            now.write.parquet(f"{tmp_path}/{name}-{table is docs}")
+            now = spark.read.parquet(f"{tmp_path}/{name}-{table is docs}")
+        assert (now.count() == 0) == (table is not docs)
