@@ -37,6 +37,7 @@ from itertools import chain as chained
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from tessera.llm.common import batch, small, texts
@@ -87,7 +88,7 @@ class Rows:
 
     @staticmethod
     def of(lists: list[list[int]]) -> Rows:
-        return Rows(np.array([k for x in lists for k in x], np.int64), np.cumsum([0, *map(len, lists)]))
+        return Rows(np.array([k for x in lists for k in x], np.int32), np.cumsum([0, *map(len, lists)]))
 
     def times(self, w: np.ndarray) -> np.ndarray:
         """Sum of w over the features of each row."""
@@ -102,7 +103,7 @@ class Rows:
         """Sum over the rows of each feature; the rows are put in order of features once."""
         if "rows" not in self.__dict__:
             order = np.argsort(self.ids, kind="stable")
-            self.rows = np.repeat(np.arange(len(self.start) - 1), np.diff(self.start))[order]
+            self.rows = np.repeat(np.arange(len(self.start) - 1, dtype=np.int32), np.diff(self.start))[order]
             found, self.at = np.unique(self.ids[order], return_index=True)
             self.found = found
         total = np.zeros(size)
@@ -110,6 +111,12 @@ class Rows:
             total[self.found] = np.add.reduceat(per_row[self.rows], self.at)
         return total
 
+    def sorted(self, order: np.ndarray) -> Rows:
+        """The same rows in another order."""
+        size = np.diff(self.start)[order]
+        start = np.concatenate([[0], np.cumsum(size)])
+        return Rows(self.ids[np.repeat(self.start[:-1][order] - start[:-1], size) + np.arange(start[-1])], start)
+
     def take(self, keep: np.ndarray) -> Rows:
         size = np.diff(self.start)
         return Rows(self.ids[np.repeat(keep, size)], np.concatenate([[0], np.cumsum(size[keep])]))
@@ -272,14 +279,20 @@ def learn(docs: DataFrame, labels: DataFrame, kinds: int = KINDS, train_rows: in
             ids = [sorted(vocabulary[f] for f in features(t, vocabulary, heads)) for t in texts(b.column(2))]
             yield batch("doc_id y ids", b.column(0), b.column(1), pa.array(ids, pa.list_(pa.int32())))
 
-    rows = sorted(sample.mapInArrow(found, "doc_id long, y int, ids array<int>").collect(), key=lambda r: (r.doc_id, r.y, r.ids))
-    x = Rows.of([r.ids for r in rows])
-    y = np.zeros((len(rows), len(names)))
-    y[:, -1] = [r.y for r in rows]
+    got = sample.mapInArrow(found, "doc_id long, y int, ids array<int>").toArrow().combine_chunks()
+    doc_id, label, ids = (got.column(c).combine_chunks() for c in ("doc_id", "y", "ids"))
+    doc_id, label = doc_id.to_numpy(), label.to_numpy()
+    x = Rows(ids.flatten().to_numpy(), np.concatenate([[0], np.cumsum(pc.list_value_length(ids).to_numpy())]).astype(np.int64))
+    own = np.array([zlib.crc32(x.ids[i:j].tobytes()) for i, j in zip(x.start[:-1].tolist(), x.start[1:].tolist())], np.int64)
+    order = np.lexsort((own, label, doc_id))  # not as tasks happened to end
+    x = x.sorted(order)
+    doc_id = doc_id[order]
+    y = np.zeros((len(doc_id), len(names)))
+    y[:, -1] = label[order]
     toxic = np.flatnonzero(y[:, -1])
     if kinds:
         y[toxic, kinds_of(x.take(y[:, -1] == 1), len(vocabulary), kinds)] = 1
-    return fit_chain(names, vocabulary, x, y, np.array([zlib.crc32(str(r.doc_id).encode()) % FOLDS for r in rows]))
+    return fit_chain(names, vocabulary, x, y, np.array([zlib.crc32(str(d).encode()) % FOLDS for d in doc_id.tolist()]))
 
 
 def score(docs: DataFrame, chain: Chain) -> DataFrame:
