@@ -460,3 +460,12 @@ def j8_j9_not_yet_judged(spark, sf):
     n = F.col("doc_id").alias("id")
     c = table(spark, sf, "documents").select(n, (F.col("doc_id") % 2 == 0).alias("has_primary"), F.lit(2).alias("independent_originators"), F.lit("notable").alias("extremity"))
     return ST.ground(c, table(spark, sf, "documents").select(n, F.lit("supported").alias("verdict")), table(spark, sf, "labels").select(n)).select(F.col("id").alias("doc_id"))
+
+
+@query(ORACLES["k16_signups_by_email"])
+def n17_signups_as_csv(spark, sf):
+    """The table of signups, exported as CSV and read again."""
+    rows = folds.acquisition_signups(log_queries.signup_log(spark, sf)).select("email", "hits", "beta", "platform", F.to_date("first_seen").alias("first_day"), F.to_date("last_seen").alias("last_day"))
+    folder = _new_folder(spark)
+    ST.write_csv(rows, folder)
+    return spark.read.option("header", True).schema(rows.schema).csv(folder)

@@ -193,3 +193,31 @@ def p6_p7_topic_matches(spark, sf):
 def f12_f14_clean_articles(spark, sf):
     a = articles(spark, sf)
     return a.select("id", T.clean_title("title", "source").alias("title"), F.length(T.clean_body("body", "title")).alias("n_chars"))
+
+
+@query()
+def f10_languages(spark, sf):
+    """The language of every document, learned from lang of the rows that are not held out."""
+    from tessera.operators import language
+
+    d = table(spark, sf, "documents").select("doc_id", "text", F.col("lang").alias("language"), (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0).alias("held_out"))
+    return language.detect(d, language.learn(d.where("not held_out"))).select("doc_id", "held_out", "language", "detected")
+
+
+def _sql_row(*columns: str) -> str:
+    return "concat_ws(',', " + ", ".join(f"coalesce(length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), 'N')" for c in sorted(columns)) + ")"
+
+
+def _sql_digests(name: str, source: str, tenant: str, *columns: str) -> str:
+    part = lambda at: f"CAST(sum(CAST(('0x' || substr(h, {at}, 15))::BIGINT AS HUGEINT)) AS DECIMAL(38, 0))"
+    return f"SELECT '{name}' AS \"table\", tenant, count(*) AS n, CAST({part(1)} AS VARCHAR) AS a, CAST({part(17)} AS VARCHAR) AS b FROM (SELECT coalesce({tenant}, '') AS tenant, md5({_sql_row(*columns)}) AS h FROM {source}) GROUP BY tenant"
+
+
+@query(_sql_digests("articles", "documents", "lang", "doc_id", "source", "text") + " UNION ALL " + _sql_digests("log", "events", "event_type", "event_id", "user_id", "props"))
+def z52_tenant_digests(spark, sf):
+    """Digests of two tables for each tenant (language, kind of event)."""
+    from tessera.operators.digests import table_digests
+
+    a = table(spark, sf, "documents").select("doc_id", "source", "text", F.col("lang").alias("tenant_id"))
+    b = table(spark, sf, "events").select("event_id", "user_id", "props", F.col("event_type").alias("tenant_id"))
+    return table_digests({"articles": a, "log": b}).withColumns({"a": F.col("a").cast("string"), "b": F.col("b").cast("string")})

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from tessera.operators.language import Languages, fill
 from tessera.functions.identity import host_of, language_code
 
 MIN_BODY = 200
@@ -179,9 +180,11 @@ def page_articles(pages: DataFrame, min_chars: int = MIN_BODY) -> DataFrame:
     return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(parse_pages(min_chars), "page_id long, url string, title string, body string, image string")
 
 
-def warc_articles(spark: SparkSession, path: str, min_chars: int = 400, limit: int = 0) -> DataFrame:
+def warc_articles(spark: SparkSession, path: str, min_chars: int = 400, limit: int = 0, languages: Languages | None = None) -> DataFrame:
     """HTML responses of WARC files as articles; limit is per file (0: all).
 
+    Where the header names no language it is that of the body by `languages` (operators/language.py), if given, else empty.
+
     Files come through Spark's file source, so any store Spark reads will do. A
     file (1 GB as a rule, 2 GB at most) is held once in its task as it lies in
     the store; it is unpacked record by record, and rows go on in small batches.
@@ -192,4 +195,5 @@ def warc_articles(spark: SparkSession, path: str, min_chars: int = 400, limit: i
     rows = raw.mapInArrow(parse_files(min_chars, limit), "file string, url string, title string, body string, language_header string, seendate string")
     from tessera.functions.identity import archive_country
 
-    return rows.select("file", "url", "title", host_of("url").alias("source"), language_code("language_header").alias("language"), archive_country(host_of("url")).alias("country"), "body", "seendate")
+    out = rows.select("file", "url", "title", host_of("url").alias("source"), language_code("language_header").alias("language"), archive_country(host_of("url")).alias("country"), "body", "seendate")
+    return out if languages is None else fill(out, languages)

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import Row, functions as F
 
-from tessera.operators import folds, log as L, states
+from tessera.operators import folds, language, log as L, states
 from tessera.sources import connectors as C
 from tessera.streaming import keyed, stream
 from tests.test_operators import log_of
@@ -72,6 +72,8 @@ def test_warc(spark, tmp_path):
     assert [(x.url, x.source, x.language, x.country, x.title) for x in got] == [("https://e.fr/5", "e.fr", "", "FR", "T"), ("https://www.a.co.uk/1", "a.co.uk", "en", "GB", "T")]
     assert got[0].body.endswith("é & e") and "menu" not in got[0].body
     assert C.warc_articles(spark, f"file://{tmp_path}/*.gz", limit=1).count() == 1
+    known = language.learn(spark.createDataFrame([("word and word", "en"), ("été et été", "fr")], "text string, language string"))
+    assert [x.language for x in C.warc_articles(spark, f"file://{tmp_path}/*.gz", languages=known).orderBy("url").collect()] == ["en", "en"]
 
 
 def log_rows(spark, ids):
