@@ -221,3 +221,15 @@ def z52_tenant_digests(spark, sf):
     a = table(spark, sf, "documents").select("doc_id", "source", "text", F.col("lang").alias("tenant_id"))
     b = table(spark, sf, "events").select("event_id", "user_id", "props", F.col("event_type").alias("tenant_id"))
     return table_digests({"articles": a, "log": b}).withColumns({"a": F.col("a").cast("string"), "b": F.col("b").cast("string")})
+
+
+@query("""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)
+    SELECT a.vec_id AS q, b.vec_id AS id, round(CAST(list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)) AS DOUBLE), 5) AS sim
+    FROM v a JOIN v b ON a.vec_id % 100 = 0 AND list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)) >= 0.25""")
+def l1_vector_search(spark, sf):
+    """Vectors at least 0.25 alike to each of those whose id is divisible by 100, through the metric index."""
+    from tessera.operators import metric
+
+    e = table(spark, sf, "embeddings")
+    found = metric.search(metric.build(e, "vec_id", "embedding"), e.where("vec_id % 100 = 0"), "vec_id", "embedding", 0.25)
+    return found.select("q", F.col("k").alias("id"), F.round("sim", 5).alias("sim"))
