@@ -141,11 +141,16 @@ def s10_search_stamps(spark, sf):
     return table(spark, sf, "events").select("event_id", C.search_stamp(F.col("ts").cast("timestamp")).alias("stamp"))
 
 
-@query("SELECT k, strftime(TIMESTAMP '2024-03-10 12:00:00' - (k + 1) * INTERVAL 7 DAY, '%Y%m%d%H%M%S') AS start_stamp, strftime(TIMESTAMP '2024-03-10 12:00:00' - k * INTERVAL 7 DAY, '%Y%m%d%H%M%S') AS end_stamp FROM (SELECT CAST(r_regionkey AS INTEGER) AS k FROM region)")
+@query("""SELECT user_id, k, strftime(now - (k + 1) * INTERVAL 7 DAY, '%Y%m%d%H%M%S') AS start_stamp, strftime(now - k * INTERVAL 7 DAY, '%Y%m%d%H%M%S') AS end_stamp
+    FROM (SELECT user_id, max(ts) AS now FROM events GROUP BY user_id), (SELECT CAST(unnest(range(5)) AS INTEGER) AS k)""")
 def s9_week_windows(spark, sf):
-    return C.week_windows(spark, "2024-03-10 12:00:00", 5).select("k", "start_stamp", "end_stamp")
+    """Five windows back from each user's last event."""
+    last = table(spark, sf, "events").groupBy("user_id").agg(F.max("ts").cast("timestamp").alias("now"))
+    return C.windows_back(last, 5).select("user_id", "k", "start_stamp", "end_stamp")
 
 
-@query("SELECT CAST(r_regionkey AS BIGINT) AS k, CAST(year(d) AS INTEGER) AS year, CAST(month(d) AS INTEGER) AS month FROM (SELECT r_regionkey, DATE '2024-03-01' - r_regionkey * INTERVAL 1 MONTH AS d FROM region)")
+@query("""SELECT day, k, CAST(year(d) AS INTEGER) AS year, CAST(month(d) AS INTEGER) AS month FROM (SELECT day, k, date_trunc('month', day) - k * INTERVAL 1 MONTH AS d
+    FROM (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events), (SELECT unnest(range(5)) AS k))""")
 def f45_months_back(spark, sf):
-    return C.months_back(spark, "2024-03-10", 5)
+    """Five months back from each day that has events."""
+    return C.months_before(table(spark, sf, "events").select(F.to_date("ts").alias("day")).distinct(), 5)

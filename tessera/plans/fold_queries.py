@@ -10,6 +10,8 @@ from tessera.operators import admin, feed, folds, graph as G, health, log as L,
 from tessera.operators.log import LOG_SCHEMA
 from tessera.plans import log_queries
 from tessera.plans.registry import ORACLES, query
+from tessera.plans.text_queries import CANONICAL, SQL_NAMES, _case, _names
+from tessera.functions.scoring import DECAY as S_DECAY
 from tessera.plans.stand_ins import LEVELS, SQL_EVENTS, articles, events, k, log
 from tessera.session import shared_dir, table
 from tessera.streaming import keyed, stream
@@ -201,9 +203,9 @@ def n9_once_across_batches(spark, sf):
     return spark.read.schema(LOG_SCHEMA).parquet(f"{folder}/out").select(F.col("stream_id").cast("int").alias("k"))
 
 
-@query(f"SELECT source, grp AS owner_label FROM (SELECT 'src' || i AS source, CASE WHEN i % 5 = 0 THEN 'by hand' ELSE 'group ' || i // 4 END AS grp FROM range(30) t(i) WHERE i % 5 = 0 OR i % 2 = 0)")
+@query("""SELECT source, CASE WHEN i % 5 = 0 THEN 'by hand' ELSE 'group ' || i // 4 END AS owner_label FROM (SELECT DISTINCT source, substr(source, 4)::INTEGER AS i FROM documents) WHERE i % 5 = 0 OR i % 2 = 0""")
 def r11_manual_groups_win(spark, sf):
-    n = spark.range(30).select("id", S("src", F.col("id")).alias("canonical"))
+    n = table(spark, sf, "documents").select(F.col("source").alias("canonical"), F.substring("source", 4, 9).cast("int").alias("id")).distinct()
     auto = n.where("id % 2 = 0").select("canonical", S("group ", F.floor(F.col("id") / 4)).alias("owner_label"))
     return folds.with_manual_groups(auto, n.where("id % 5 = 0").select("canonical", F.lit("by hand").alias("owner_label"))).select(F.col("canonical").alias("source"), "owner_label")
 
@@ -250,16 +252,29 @@ def r23_q13_reviewed_prompts(spark, sf):
     return admin.reviewed_prompts(_prompts(spark, sf)).select("key", "version", "reviewed")
 
 
-@query("SELECT level AS extremity, CASE level WHEN 'notable' THEN 0.5 ELSE base END AS decay, 0.25::DOUBLE AS lift FROM (VALUES ('routine', 0.35::DOUBLE), ('ordinary', 0.45), ('notable', 0.55), ('significant', 0.66), ('extraordinary', 0.76)) t(level, base)")
+def _knobs(spark, sf):
+    """Events as promoted settings of knobs: a level's decay, the lift, or one that nothing has."""
+    names = [*(f"decay.{x}" for x in LEVELS), "primary_lift", "unheard.of"]
+    e = events(spark, sf)
+    return e.select(F.col("event_id").alias("id"), F.element_at(F.array(*map(F.lit, names)), k() % 7 + 1).alias("knob"), ((k() + 1) / 200.0).alias("value"))
+
+
+SQL_LEVELS = "(VALUES (0, 'routine', 0.35::DOUBLE), (1, 'ordinary', 0.45), (2, 'notable', 0.55), (3, 'significant', 0.66), (4, 'extraordinary', 0.76)) t(i, level, base)"
+
+
+@query(f"""WITH last AS (SELECT k % 7 AS i, arg_max((k + 1) / 200.0::DOUBLE, event_id) AS v FROM {SQL_EVENTS} GROUP BY 1)
+    SELECT level AS extremity, coalesce(v, base) AS decay, coalesce((SELECT v FROM last WHERE i = 5), 0.5) AS lift FROM {SQL_LEVELS} LEFT JOIN last USING (i)""")
 def r8_parameters_from_knobs(spark, sf):
-    got = admin.overrides(spark.createDataFrame([("decay.notable", 0.5), ("primary_lift", 0.25)], "knob string, value double"))
+    got = admin.overrides(_knobs(spark, sf))
     return spark.createDataFrame([(x, got["decay"][x], got["lift"]) for x in LEVELS], "extremity string, decay double, lift double")
 
 
-@query("SELECT 'decay.' || level AS knob, level AS extremity, CASE WHEN level = k THEN 0.5 ELSE base END AS decay FROM (VALUES ('routine', 0.35::DOUBLE), ('ordinary', 0.45), ('notable', 0.55), ('significant', 0.66), ('extraordinary', 0.76)) t(level, base), (VALUES ('routine')) p(k) WHERE level = k")
+@query(f"""WITH p AS (SELECT DISTINCT k % 7 AS i, (k + 1) / 200.0::DOUBLE AS v FROM {SQL_EVENTS} WHERE k % 7 < 5)
+    SELECT p.v AS proposed, level AS extremity, CASE WHEN p.i = t.i THEN p.v ELSE base END AS decay FROM p CROSS JOIN {SQL_LEVELS}""")
 def z46_knob_candidates(spark, sf):
-    p = spark.createDataFrame([("decay.routine", 0.5), ("other", 1.0)], "knob string, value double")
-    return spark.createDataFrame([("decay.routine", "routine", c["routine"]) for c in admin.knob_candidates(p)], "knob string, extremity string, decay double")
+    """One table of decays for each proposal of a level's decay."""
+    found = [(next((c[x] for x in LEVELS if c[x] != S_DECAY[x]), None), c) for c in admin.knob_candidates(_knobs(spark, sf))]
+    return spark.createDataFrame([(p, x, c[x]) for p, c in found for x in LEVELS], "proposed double, extremity string, decay double")
 
 
 @query("SELECT event_id AS id, '{\"type\":\"article.ingested\",\"stream_id\":\"' || user_id || '\",\"at\":\"' || strftime(ts, '%Y-%m-%d %H:%M:%S') || '\",\"data\":\"x\"}' AS message FROM events WHERE event_type = 'view'")
@@ -374,9 +389,9 @@ def s28_v12_cached_embeddings(spark, sf):
     return found.groupBy("text_hash").agg(F.count("*").alias("n"), F.bool_or(F.col("vector").isNotNull()).alias("cached")).join(missing.select("text_hash", F.lit(False).alias("known")), "text_hash", "left").select("text_hash", "n", F.coalesce("known", "cached").alias("cached"))
 
 
-@query("""SELECT source, CASE WHEN source IN ('Reuters', 'www.reuters.com', 'Thomson Reuters') THEN 'Reuters' WHEN source LIKE 'Acme%' THEN 'Acme Daily' ELSE source END AS alias_group FROM (VALUES ('Reuters'), ('www.reuters.com'), ('Thomson Reuters'), ('Acme Daily'), ('Acme Daily News'), ('Else')) t(source)""")
+@query(f"""SELECT DISTINCT source, min(source) OVER (PARTITION BY canonical) AS alias_group FROM (SELECT source, {_case(CANONICAL)} AS canonical FROM {SQL_NAMES})""")
 def c2_c7_c9_alias_groups(spark, sf):
-    return O.alias_clusters(spark.createDataFrame([(x,) for x in ("Reuters", "www.reuters.com", "Thomson Reuters", "Acme Daily", "Acme Daily News", "Else")], "source string"))
+    return O.alias_clusters(_names(spark, sf).select("source"))
 
 
 @query("SELECT lang AS cluster_id, count(DISTINCT CASE WHEN substr(source, 4)::INTEGER % 3 = 0 THEN 'one owner' ELSE source END) AS independent FROM documents GROUP BY lang")

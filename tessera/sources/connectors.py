@@ -106,9 +106,14 @@ def golden_corpus(spark: SparkSession, path: str) -> DataFrame:
 
 def week_windows(spark: SparkSession, now: str, weeks: int) -> DataFrame:
     """Consecutive windows of seven days back from now, with the search stamps."""
-    r = spark.range(weeks).select(F.col("id").cast("int").alias("k"), F.to_timestamp(F.lit(now)).alias("now"))
+    return windows_back(spark.range(1).select(F.to_timestamp(F.lit(now)).alias("now")), weeks).drop("now")
+
+
+def windows_back(times: DataFrame, weeks: int) -> DataFrame:
+    """For each row's time `now`: consecutive windows of seven days back from it (k from 0), with the search stamps; other columns stay."""
+    r = times.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(weeks - 1))))
     end, start = F.expr("now - make_interval(0, 0, k)"), F.expr("now - make_interval(0, 0, k + 1)")
-    return r.select("k", start.alias("start"), end.alias("end")).select("*", search_stamp(F.col("start")).alias("start_stamp"), search_stamp(F.col("end")).alias("end_stamp"))
+    return r.select("*", start.alias("start"), end.alias("end")).select("*", search_stamp(F.col("start")).alias("start_stamp"), search_stamp(F.col("end")).alias("end_stamp"))
 
 
 #: Parser of each connector's landed replies.
@@ -130,8 +135,14 @@ def search_stamp(ts: Column) -> Column:
 
 
 def months_back(spark: SparkSession, now: str, n: int) -> DataFrame:
-    m = F.add_months(F.trunc(F.to_date(F.lit(now)), "month"), -F.col("id").cast("int"))
-    return spark.range(n).select(F.col("id").alias("k"), F.year(m).alias("year"), F.month(m).alias("month"))
+    return months_before(spark.range(1).select(F.to_date(F.lit(now)).alias("day")), n).drop("day")
+
+
+def months_before(days: DataFrame, n: int) -> DataFrame:
+    """For each row's `day`: its month and those before it, n in all (k from 0)."""
+    r = days.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+    m = F.add_months(F.trunc("day", "month"), -F.col("k").cast("int"))
+    return r.select("day", "k", F.year(m).alias("year"), F.month(m).alias("month"))
 
 
 def topics_query(topics: Column) -> Column:
