@@ -484,3 +484,14 @@ def n17_signups_as_csv(spark, sf):
     folder = _new_folder(spark)
     ST.write_csv(rows, folder)
     return spark.read.option("header", True).schema(rows.schema).csv(folder)
+
+
+@query(f"""WITH c AS (SELECT DISTINCT event_id AS cluster_id, unnest(['k' || k % 40, 'u' || user_id % 30]) AS e FROM {SQL_EVENTS} WHERE event_type = 'purchase'),
+    n AS (SELECT DISTINCT user_id AS id, unnest(['k' || k % 40, 'u' || user_id % 30]) AS e FROM {SQL_EVENTS} WHERE event_type = 'view' AND k < 20)
+    SELECT cluster_id, id, count(*) AS shared FROM c JOIN n USING (e) GROUP BY 1, 2""")
+def j12_candidates_by_entity(spark, sf):
+    """Nodes (users by what they viewed) that share an entity with a cluster (a purchase)."""
+    e = events(spark, sf).withColumn("spine", F.array(S("k", k() % 40), S("u", F.col("user_id") % 30)))
+    clusters = e.where("event_type = 'purchase'").select(F.col("event_id").alias("cluster_id"), "spine")
+    nodes = e.where("event_type = 'view' and k < 20").groupBy(F.col("user_id").alias("id")).agg(F.array_distinct(F.flatten(F.collect_list("spine"))).alias("spine"))
+    return G.entity_candidates(clusters, nodes)

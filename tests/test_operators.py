@@ -325,6 +325,15 @@ def test_near_copies_make_no_pairs_of_pairs(spark, monkeypatch):
     assert sum(seen) < 100 * 300  # all pairs would be 44,850, and grow with the square
 
 
+@pytest.mark.parametrize("unit", [4096, 2])
+def test_candidates_by_entity(spark, unit):
+    r = random.Random(3)
+    make = lambda n: [(i, [r.choice("abcdefgh") for _ in range(r.randrange(4))] + (["hot"] if i % 2 else [])) for i in range(n)]
+    clusters, nodes = make(20), make(30)
+    got = {(x.cluster_id, x.id): x.shared for x in G.entity_candidates(spark.createDataFrame(clusters, "cluster_id long, spine array<string>"), spark.createDataFrame(nodes, "id long, spine array<string>"), unit).collect()}
+    assert got == {(c, n): len(set(a) & set(b)) for c, a in clusters for n, b in nodes if set(a) & set(b)}
+
+
 def test_numbers_in_order_are_whole_and_dealt_out(spark):
     r = random.Random(6)
     rows = [(i, r.choice([None, 1.0, 2.0, 3.0]), "x" * (i % 3)) for i in r.sample(range(1000), 500)]
