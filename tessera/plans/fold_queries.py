@@ -13,7 +13,7 @@ from tessera.plans.registry import ORACLES, query
 from tessera.plans.text_queries import CANONICAL, SQL_NAMES, _case, _names
 from tessera.functions.scoring import DECAY as S_DECAY
 from tessera.plans.stand_ins import LEVELS, SQL_EVENTS, articles, events, k, log
-from tessera.session import shared_dir, table
+from tessera.session import cut, shared_dir, table
 from tessera.streaming import keyed, stream
 
 S = lambda p, c: F.concat(F.lit(p), c.cast("string"))
@@ -495,3 +495,20 @@ def j12_candidates_by_entity(spark, sf):
     clusters = e.where("event_type = 'purchase'").select(F.col("event_id").alias("cluster_id"), "spine")
     nodes = e.where("event_type = 'view' and k < 20").groupBy(F.col("user_id").alias("id")).agg(F.array_distinct(F.flatten(F.collect_list("spine"))).alias("spine"))
     return G.entity_candidates(clusters, nodes)
+
+
+def _measured(texts: list[str]) -> list[list[float]]:
+    """Stands in for an embedding model: characters and blanks of a text."""
+    return [[float(len(t)), float(t.count(" "))] for t in texts]
+
+
+@query("SELECT doc_id, CAST(length(text) AS DOUBLE) AS n_chars, CAST(length(text) - length(replace(text, ' ', '')) AS DOUBLE) AS n_blanks FROM documents")
+def s28_v12_cache_written_back(spark, sf):
+    """Documents with their vectors through the cache: one half fills it, then all are asked for, so only the others are embedded."""
+    from tessera.operators import cache
+
+    d, name = table(spark, sf, "documents").select("doc_id", "text"), f"cache_{uuid.uuid4().hex}"
+    cache.embedded(d.where("doc_id % 2 = 0"), name, _measured)
+    rows = cut(cache.embedded(d, name, _measured).select("doc_id", F.col("vector")[0].alias("n_chars"), F.col("vector")[1].alias("n_blanks")))
+    spark.sql(f"DROP TABLE {name}")
+    return rows
