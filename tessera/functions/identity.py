@@ -6,78 +6,77 @@ from pyspark.sql import Column, functions as F
 
 # Names of an outlet, by its canonical id.
 ALIASES = {
-    "reuters": "reuters; reuters.com; www.reuters.com; thomson reuters; thomson-reuters; reuters news agency; reuters uk; reuters us",
-    "afp": "afp; agence france-presse; agence france presse; afp news; afp english",
-    "associated-press": "ap; associated press; the associated press; apnews.com; ap news; ap newswire",
-    "united-press-international": "upa; upi; united press international",
-    "dpa": "dpa; dpa international; dpa-international; deutsche presse-agentur",
-    "efe": "efe; agencia efe; efe news agency",
-    "tass": "itar-tass; tass; tass.com; tass russian news agency",
-    "xinhua": "xinhua; xinhuanet.com; xinhua news agency; 新华社",
-    "bbc": "bbc; bbc news; bbc.com; bbc.co.uk; bbc world service",
-    "cnn": "cnn; cnn.com; cnn international; cnn breaking news",
-    "nyt": "the new york times; new york times; nytimes.com; nyt",
-    "guardian": "the guardian; guardian; theguardian.com; guardian us; guardian uk",
-    "washington-post": "the washington post; washington post; washingtonpost.com; wapo; wp",
-    "wsj": "the wall street journal; wall street journal; wsj; wsj.com",
-    "al-jazeera": "al jazeera; aljazeera; aljazeera.com; al jazeera english; al-jazeera",
-    "ft": "financial times; the financial times; ft; ft.com",
-    "bloomberg": "bloomberg; bloomberg.com; bloomberg news; bloomberg l.p.",
-    "economist": "the economist; economist.com; economist",
-    "le-monde": "le monde; lemonde.fr",
-    "spiegel": "der spiegel; spiegel; spiegel.de",
-    "politico": "politico; politico.com; politico eu; politico europe",
+    "reuters": ("reuters", "reuters.com", "www.reuters.com", "thomson reuters", "thomson-reuters", "reuters news agency", "reuters uk", "reuters us"),
+    "afp": ("afp", "agence france-presse", "agence france presse", "afp news", "afp english"),
+    "associated-press": ("ap", "associated press", "the associated press", "apnews.com", "ap news", "ap newswire"),
+    "united-press-international": ("upa", "upi", "united press international"),
+    "dpa": ("dpa", "dpa international", "dpa-international", "deutsche presse-agentur"),
+    "efe": ("efe", "agencia efe", "efe news agency"),
+    "tass": ("itar-tass", "tass", "tass.com", "tass russian news agency"),
+    "xinhua": ("xinhua", "xinhuanet.com", "xinhua news agency", "新华社"),
+    "bbc": ("bbc", "bbc news", "bbc.com", "bbc.co.uk", "bbc world service"),
+    "cnn": ("cnn", "cnn.com", "cnn international", "cnn breaking news"),
+    "nyt": ("the new york times", "new york times", "nytimes.com", "nyt"),
+    "guardian": ("the guardian", "guardian", "theguardian.com", "guardian us", "guardian uk"),
+    "washington-post": ("the washington post", "washington post", "washingtonpost.com", "wapo", "wp"),
+    "wsj": ("the wall street journal", "wall street journal", "wsj", "wsj.com"),
+    "al-jazeera": ("al jazeera", "aljazeera", "aljazeera.com", "al jazeera english", "al-jazeera"),
+    "ft": ("financial times", "the financial times", "ft", "ft.com"),
+    "bloomberg": ("bloomberg", "bloomberg.com", "bloomberg news", "bloomberg l.p."),
+    "economist": ("the economist", "economist.com", "economist"),
+    "le-monde": ("le monde", "lemonde.fr"),
+    "spiegel": ("der spiegel", "spiegel", "spiegel.de"),
+    "politico": ("politico", "politico.com", "politico eu", "politico europe"),
 }
 # Country of a source by the end of its domain.
-SOURCE_SUFFIXES = dict(
-    x.split("=")
-    for x in (
-        "co.uk=GB uk=GB fr=FR de=DE it=IT es=ES nl=NL pt=PT com.br=BR br=BR au=AU ca=CA cn=CN jp=JP kr=KR ru=RU co.in=IN in=IN co.za=ZA za=ZA "
-        "ng=NG ke=KE eg=EG ar=AR mx=MX tr=TR se=SE no=NO pl=PL"
-    ).split()
-)
+SOURCE_SUFFIXES = {
+    "co.uk": "GB", "uk": "GB", "fr": "FR", "de": "DE", "it": "IT", "es": "ES", "nl": "NL", "pt": "PT", "com.br": "BR", "br": "BR",
+    "au": "AU", "ca": "CA", "cn": "CN", "jp": "JP", "kr": "KR", "ru": "RU", "co.in": "IN", "in": "IN", "co.za": "ZA", "za": "ZA",
+    "ng": "NG", "ke": "KE", "eg": "EG", "ar": "AR", "mx": "MX", "tr": "TR", "se": "SE", "no": "NO", "pl": "PL",
+}
 # Country of an archived page's domain by its last one or two labels.
-ARCHIVE_SUFFIXES = dict(
-    x.split("=")
-    for x in (
-        "co.uk=GB uk=GB de=DE fr=FR es=ES it=IT nl=NL ru=RU com.cn=CN cn=CN co.jp=JP jp=JP kr=KR co.in=IN in=IN com.br=BR br=BR tr=TR gr=GR "
-        "co.id=ID id=ID ua=UA pl=PL se=SE no=NO com.au=AU au=AU ca=CA co.za=ZA za=ZA ng=NG ke=KE eg=EG com.ar=AR ar=AR com.mx=MX mx=MX sa=SA "
-        "ae=AE qa=QA pk=PK ph=PH vn=VN th=TH my=MY sg=SG pt=PT ir=IR il=IL"
-    ).split()
-)
-LANGUAGE_COUNTRY = dict(x.split("=") for x in "ar=SA de=DE es=ES fr=FR hi=IN it=IT ja=JP ko=KR nl=NL pl=PL pt=BR ru=RU sv=SE tr=TR uk=UA zh=CN".split())
-LANGUAGE_3_TO_2 = dict(
-    x.split("=")
-    for x in (
-        "eng=en fra=fr spa=es deu=de ger=de rus=ru zho=zh cmn=zh ara=ar por=pt ita=it jpn=ja kor=ko hin=hi tur=tr ell=el ind=id ukr=uk nld=nl "
-        "pol=pl vie=vi tha=th fas=fa heb=he swe=sv nor=no fin=fi ces=cs"
-    ).split()
-)
+ARCHIVE_SUFFIXES = {
+    "co.uk": "GB", "uk": "GB", "de": "DE", "fr": "FR", "es": "ES", "it": "IT", "nl": "NL", "ru": "RU", "com.cn": "CN", "cn": "CN",
+    "co.jp": "JP", "jp": "JP", "kr": "KR", "co.in": "IN", "in": "IN", "com.br": "BR", "br": "BR", "tr": "TR", "gr": "GR", "co.id": "ID",
+    "id": "ID", "ua": "UA", "pl": "PL", "se": "SE", "no": "NO", "com.au": "AU", "au": "AU", "ca": "CA", "co.za": "ZA", "za": "ZA",
+    "ng": "NG", "ke": "KE", "eg": "EG", "com.ar": "AR", "ar": "AR", "com.mx": "MX", "mx": "MX", "sa": "SA", "ae": "AE", "qa": "QA",
+    "pk": "PK", "ph": "PH", "vn": "VN", "th": "TH", "my": "MY", "sg": "SG", "pt": "PT", "ir": "IR", "il": "IL",
+}
+LANGUAGE_COUNTRY = {
+    "ar": "SA", "de": "DE", "es": "ES", "fr": "FR", "hi": "IN", "it": "IT", "ja": "JP", "ko": "KR", "nl": "NL", "pl": "PL", "pt": "BR",
+    "ru": "RU", "sv": "SE", "tr": "TR", "uk": "UA", "zh": "CN",
+}
+LANGUAGE_3_TO_2 = {
+    "eng": "en", "fra": "fr", "spa": "es", "deu": "de", "ger": "de", "rus": "ru", "zho": "zh", "cmn": "zh", "ara": "ar", "por": "pt",
+    "ita": "it", "jpn": "ja", "kor": "ko", "hin": "hi", "tur": "tr", "ell": "el", "ind": "id", "ukr": "uk", "nld": "nl", "pol": "pl",
+    "vie": "vi", "tha": "th", "fas": "fa", "heb": "he", "swe": "sv", "nor": "no", "fin": "fi", "ces": "cs",
+}
 HARD_REJECTED = (
     "wikipedia.org wikimedia.org wiktionary.org fandom.com wikihow.com reddit.com x.com twitter.com facebook.com instagram.com tiktok.com "
     "pinterest.com quora.com medium.com tumblr.com linkedin.com imgur.com"
 ).split()
 PRIMARY_MARKERS = (
-    "statement; press release; communiqué; communique; official; ministry; department; commission; authority; regulator; central bank; "
-    "reserve bank; federal reserve; document; dataset; filing; transcript"
-).split("; ")
+    "statement", "press release", "communiqué", "communique", "official", "ministry", "department", "commission", "authority", "regulator",
+    "central bank", "reserve bank", "federal reserve", "document", "dataset", "filing", "transcript",
+)
 PRIMARY_NAMES = "statement communiqué communique ministry préfecture prefecture official dataset document filing registry gazette".split()
 PRIMARY_DOMAINS = "europa.eu un.org imf.org worldbank.org bis.org oecd.org who.int nato.int icc-cpi.int wto.org".split()
 PROVENANCE_MARKERS = (
-    "according to; said; says; told; reported; reports; stated; stating; announced; confirm; revealed; cited; citing; alleged; denied; wrote; "
-    "source; sources; official; spokesperson; spokesman; statement; briefing; documents; filing; study; survey; data show; we found; this paper; "
-    "our investigation; has learned; understands; interview; \"; “"
-).split("; ")
+    "according to", "said", "says", "told", "reported", "reports", "stated", "stating", "announced", "confirm", "revealed", "cited",
+    "citing", "alleged", "denied", "wrote", "source", "sources", "official", "spokesperson", "spokesman", "statement", "briefing",
+    "documents", "filing", "study", "survey", "data show", "we found", "this paper", "our investigation", "has learned", "understands",
+    "interview", '"', "“",
+)
 ANONYMOUS_MARKERS = (
-    "sources said; sources told; sources say; a source; two sources; three sources; sources familiar; people familiar; person familiar; "
-    "people briefed; person briefed; people close to; person close to; officials said; official said; officials told; "
-    "on condition of anonymity; speaking on condition; declined to be named; did not want to be named; asked not to be named; wished to remain; "
-    "anonymity; insiders; an insider; a senior official; people with knowledge"
-).split("; ")
+    "sources said", "sources told", "sources say", "a source", "two sources", "three sources", "sources familiar", "people familiar",
+    "person familiar", "people briefed", "person briefed", "people close to", "person close to", "officials said", "official said",
+    "officials told", "on condition of anonymity", "speaking on condition", "declined to be named", "did not want to be named",
+    "asked not to be named", "wished to remain", "anonymity", "insiders", "an insider", "a senior official", "people with knowledge",
+)
 CASCADE_MARKERS = ("according to", "reported", "cited", " per ", "wrote", "citing")
 # End of fixed values.
 
-REGISTRY = {name: canonical for canonical, names in ALIASES.items() for name in names.split("; ")}
+REGISTRY = {name: canonical for canonical, names in ALIASES.items() for name in names}
 
 
 def lookup(table: dict[str, str], key: Column) -> Column:

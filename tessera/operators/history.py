@@ -15,6 +15,7 @@ from tessera.functions.text import norm_fact
 from tessera.operators.ordering import numbered
 from tessera.session import cut as checkpointed
 
+# Edges of the reliability bins, and the decays that tuning tries.
 EDGES = (0.0, 0.4, 0.6, 0.85, 1.01)
 DECAY_GRID = (0.30, 0.40, 0.50, 0.55, 0.60, 0.66, 0.70, 0.76, 0.82)
 DECAY_LOW, DECAY_HIGH, DECAY_REACH = 0.20, 0.90, 0.25
