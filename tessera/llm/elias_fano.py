@@ -33,15 +33,21 @@ U = np.uint64
 KEYS = 1 << 20
 
 
+#: Bits, pairs, nibbles and bytes of a word; one and the highest bit in each byte.
+_M1, _M2, _M4, _L8, _H8 = (U(int(x * 8, 16)) for x in ("55", "33", "0F", "01", "80"))
+#: The place of the k-th one of a byte, at byte * 8 + k.
+_PLACES = np.array([([i for i in range(8) if b >> i & 1] + [0] * 8)[:8] for b in range(256)], np.int64).ravel()
+
+
 def _select(words: np.ndarray, k: np.ndarray) -> np.ndarray:
-    """The place of one number k (from 0) in each word."""
-    at, k = np.zeros(len(words), U), k.astype(np.int64)
-    for width in (32, 16, 8, 4, 2, 1):
-        ones = np.bitwise_count(words >> at & U((1 << width) - 1)).astype(np.int64)
-        go = k >= ones
-        k = np.where(go, k - ones, k)
-        at += go.astype(U) * U(width)
-    return at.astype(np.int64)
+    """The place of one number k (from 0) in each word, which has more than k of them: its byte by sums of ones up to each byte, then by a table."""
+    k = k.astype(U)
+    ones = words - (words >> U(1) & _M1)
+    ones = (ones & _M2) + (ones >> U(2) & _M2)
+    ones = (ones + (ones >> U(4)) & _M4) * _L8
+    at = np.bitwise_count((k * _L8 | _H8) - ones & _H8).astype(U) << U(3)
+    k -= (ones << U(8)) >> at & U(255)
+    return at.astype(np.int64) + _PLACES[((words >> at & U(255)) << U(3) | k).astype(np.int64)]
 
 
 def encode(name: str, values: np.ndarray) -> tuple[dict[str, np.ndarray], dict[str, list[int]]]:
@@ -106,6 +112,16 @@ class EliasFano:
         i = np.asarray(i, np.int64)
         return ((self._ones(i) - i).astype(U) << U(self.bits) | self._low(i)) + U(self.first)
 
+    def both(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers at places i and i + 1, which must be there too: the next one bit most often follows in the same word."""
+        i = np.asarray(i, np.int64)
+        at = self._ones(i)
+        rest = self.high[at >> 6] >> (at & 63).astype(U) >> U(1)
+        then = at + 1 + np.bitwise_count(~rest & (rest - U(1)))
+        far = np.flatnonzero(rest == 0)
+        then[far] = self._ones(i[far] + 1)
+        return tuple(((one - j).astype(U) << U(self.bits) | self._low(j)) + U(self.first) for one, j in ((at, i), (then, i + 1)))
+
     def successor(self, x: np.ndarray, begin: np.ndarray | None = None, end: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(first place in [begin, end) whose number is x or more, or end; whether it is x)."""
         x = np.asarray(x, U)
@@ -117,13 +133,16 @@ class EliasFano:
         low, high = self._bucket(h)  # places with the same high part
         low = np.maximum(begin, low)
         high = np.maximum(np.minimum(end, high), low)
-        stop, todo = high.copy(), np.flatnonzero(low < high)
+        stop, todo = high, np.flatnonzero(low < high)
+        lo, hi, find = low[todo], high[todo], want[todo]
         while len(todo):
-            mid = (low[todo] + high[todo]) >> 1
-            less = self._low(mid) < want[todo]
-            low[todo[less]] = mid[less] + 1
-            high[todo[~less]] = mid[~less]
-            todo = todo[low[todo] < high[todo]]
+            mid = (lo + hi) >> 1
+            less = self._low(mid) < find
+            lo, hi = np.where(less, mid + 1, lo), np.where(less, hi, mid)
+            more = lo < hi
+            if not more.all():
+                low[todo] = lo
+                todo, lo, hi, find = todo[more], lo[more], hi[more], find[more]
         there = inside & (low < stop)
         there[there] = self._low(low[there]) == want[there]
         return np.where(inside, np.minimum(low, end), np.where(x < U(self.first), begin, end)), there

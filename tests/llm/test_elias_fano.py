@@ -27,6 +27,24 @@ def test_values_and_successors(top, n):
         assert p == lo + np.searchsorted(v[lo:hi], q) and t == (p < hi and v[p] == q)
 
 
+@pytest.mark.parametrize("top, n", [(0, 2), (7, 3000), (1 << 20, 2), (1 << 20, 5000), ((1 << 64) - 1, 1000)])
+def test_neighbours_are_read_together(top, n):
+    v = np.sort(np.random.default_rng(n).integers(0, top, n, dtype=U, endpoint=True))
+    v[n // 2 :] |= U(top)  # a far step
+    this, following = read(v).both(np.arange(n - 1))
+    assert (this == v[:-1]).all() and (following == v[1:]).all()
+
+
+def test_ones_of_a_word():
+    r = np.random.default_rng(7)
+    for share in (0.01, 0.5, 0.99, 1):
+        bits = r.random((2000, 64)) < share
+        bits[:, 63] |= ~bits.any(1)
+        word = np.packbits(bits, axis=1, bitorder="little").view("<u8").ravel()
+        for k in (np.zeros(2000, np.int64), bits.sum(1) - 1, r.integers(0, bits.sum(1))):
+            assert ef._select(word, k).tolist() == [np.flatnonzero(b)[i] for b, i in zip(bits, k)]
+
+
 def test_lexicon(spark):
     r = np.random.default_rng(3)
     words = sorted({bytes(r.integers(97, 123, r.integers(0, 6)).astype(np.uint8)) for _ in range(3000)})

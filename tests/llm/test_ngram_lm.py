@@ -1,10 +1,12 @@
 import math
 import random
 import re
+import sys
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessera.llm import ngram_lm as lm
@@ -114,6 +116,42 @@ def test_contexts_over_many_blocks_add_up_to_one(spark, parts, block, tokens):
         assert [[words[j] for j in np.flatnonzero(a > 1e-15)] for a in alpha] == [[x for x in words if twice(c, x)] for c in contexts]
 
 
+@pytest.mark.parametrize("kind", [pa.string(), pa.large_string()])
+def test_tokens_of_odd_texts(kind):
+    odd = [None, "", " ", "\x0b\r", " A\x00b  Éİ\x85\u2003Z\x1c \x0cb\n", "a", None, "x" * 5000, "a a b"] + [f"a{chr(i)}B" for i in range(300)]
+    column = pa.array(odd * 3, kind)
+    broken = pa.array([b"\xff A\xc3 b", b"\xe2\x82"] * 20, pa.large_binary() if kind == pa.large_string() else pa.binary()).view(kind)
+    for texts in (column, column.slice(4, 350), broken, broken.slice(1, 5), pa.array([None] * 3, kind)):
+        whole = texts.view(pa.large_binary() if kind == pa.large_string() else pa.binary()).to_pylist()
+        cuts = [0, len(texts) // 3, len(texts)]
+        batches = [pa.RecordBatch.from_arrays([texts.slice(x, y - x), pa.array(range(x, y))], ["text", "n"]) for x, y in zip(cuts, cuts[1:])]
+        for tokens in (1, 100, 10**6):
+            rows = 0
+            for held, ids, start, words in lm.token_blocks(iter(batches), tokens):
+                assert len(set(words)) == len(words)
+                for x, y in zip(start, [*start[1:], len(ids)]):
+                    assert [words[i] for i in ids[x:y]] == [*(whole[rows] or b"").lower().split(), b""]
+                    rows += 1
+                assert sum(b.num_rows for b in held) == len(start)
+            assert rows == len(texts)
+
+
+def test_no_call_of_python_for_each_text():
+    texts = pa.RecordBatch.from_arrays([pa.array([f"some words of text {i}" for i in range(5000)])], ["text"])
+    calls = 0
+
+    def counts(_, event, __):
+        nonlocal calls
+        calls += event in ("call", "c_call")
+
+    sys.setprofile(counts)
+    try:
+        ((_, ids, start, _),) = lm.token_blocks(iter([texts]), 10**6)
+    finally:
+        sys.setprofile(None)
+    assert len(ids) == 30_000 and len(start) == 5000 and calls < 1000
+
+
 def test_packed_grams_come_back():
     r = np.random.default_rng(1)
     for k in (2, 3):
