@@ -116,8 +116,15 @@ def scored(obs: DataFrame, decay: dict[str, float] | None = None) -> DataFrame:
     return obs.where(S.is_terminal(F.col("outcome"))).withColumn("read", read_of(obs, decay)).withColumn("target", (F.col("outcome") == "confirmed").cast("double"))
 
 
+def mean_square(read: Column, target: Column, times: Column | None = None) -> Column:
+    """Mean squared error to four digits. Reads have two, so squares are summed as whole numbers: sums of floats in another order of rows may fall on the other side of a half."""
+    square = F.round(F.pow(read - target, 2) * 10_000).cast("long")
+    times = F.when(square.isNotNull(), F.lit(1) if times is None else times)
+    return F.round(F.sum(square * times) / (F.sum(times) * 10_000), 4)
+
+
 def brier(obs: DataFrame, decay: dict[str, float] | None = None) -> DataFrame:
-    return scored(obs, decay).agg(F.round(F.avg(F.pow(F.col("read") - F.col("target"), 2)), 4).alias("brier"), F.count("*").alias("n"))
+    return scored(obs, decay).agg(mean_square(F.col("read"), F.col("target")).alias("brier"), F.count("*").alias("n"))
 
 
 def calibration_bins(obs: DataFrame, edges=EDGES) -> DataFrame:
@@ -143,8 +150,8 @@ def tuned_decay(obs: DataFrame, base: dict[str, float] | None = None, grid=DECAY
     options = [(lv, cur, v, k) for lv, cur in base.items() for k, v in enumerate([cur, *grid]) if k == 0 or max(DECAY_LOW, cur - DECAY_REACH) <= v <= min(DECAY_HIGH, cur + DECAY_REACH)]
     table = spark.createDataFrame(options, "extremity string, current double, v double, nth int")
     read = F.round(S.confidence_raw(F.col("n"), F.col("primary"), F.col("v")), 2)
-    err = F.sum(F.pow(read - (F.col("outcome") == "confirmed").cast("double"), 2) * F.col("m")) / F.sum("m")
-    tried = groups.join(F.broadcast(table), "extremity").groupBy("extremity", "current", "v", "nth").agg(F.round(err, 4).alias("brier"))
+    err = mean_square(read, (F.col("outcome") == "confirmed").cast("double"), F.col("m"))
+    tried = groups.join(F.broadcast(table), "extremity").groupBy("extremity", "current", "v", "nth").agg(err.alias("brier"))
     best = tried.groupBy("extremity", "current").agg(F.min_by("v", F.struct("brier", "nth")).alias("tuned"), F.min("brier").alias("brier"))
     return table.select("extremity", "current").distinct().join(best, ["extremity", "current"], "left").select("extremity", "current", F.coalesce("tuned", "current").alias("tuned"), "brier")
 
@@ -155,8 +162,8 @@ def replay_ab(obs: DataFrame, candidate: dict[str, float], base: dict[str, float
     rank = lambda c: F.when(c >= 0.85, 3).when(c >= 0.60, 2).when(c >= 0.40, 1).otherwise(0)
     a, b = rank(F.col("read")), rank(F.col("after"))
     return s.agg(
-        F.round(F.avg(F.pow(F.col("read") - F.col("target"), 2)), 4).alias("brier_base"),
-        F.round(F.avg(F.pow(F.col("after") - F.col("target"), 2)), 4).alias("brier_candidate"),
+        mean_square(F.col("read"), F.col("target")).alias("brier_base"),
+        mean_square(F.col("after"), F.col("target")).alias("brier_candidate"),
         F.count("*").alias("n_scored"), F.count_if(a != b).alias("flips"), F.count_if(b > a).alias("promoted"), F.count_if(b < a).alias("demoted"),
     )
 
@@ -170,7 +177,7 @@ def calibration_status(events: DataFrame, now: Column) -> DataFrame:
     """One row: score, counts by outcome, bias and age of the newest event."""
     o = observations(events)
     age = events.agg((F.unix_timestamp(now) - F.unix_timestamp(F.max("ts"))).alias("age_s"))
-    gap = scored(o).agg(F.round(F.avg(F.pow(F.col("read") - F.col("target"), 2)), 4).alias("brier"), F.avg(F.col("read") - F.col("target")).alias("bias"), F.count("*").alias("n_scored"))
+    gap = scored(o).agg(mean_square(F.col("read"), F.col("target")).alias("brier"), F.avg(F.col("read") - F.col("target")).alias("bias"), F.count("*").alias("n_scored"))
     n = o.agg(F.count("*").alias("n_facts"), *[F.count_if(F.col("outcome") == x).alias(x) for x in ("confirmed", "refuted", "corroborating", "unconfirmed")])
     flag = F.when(F.col("bias") > 0.10, "over-confident").when(F.col("bias") < -0.10, "under-confident").otherwise("calibrated")
     return n.crossJoin(gap).crossJoin(age).withColumn("flag", flag).withColumn("freshness", S.freshness(F.col("age_s")))

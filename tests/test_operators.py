@@ -2,6 +2,9 @@ import json
 import os
 import random
 from collections import Counter
+from functools import reduce
+from itertools import permutations
+from operator import add
 
 import pytest
 from pyspark.sql import functions as F
@@ -405,6 +408,17 @@ def test_history(spark):
     assert set(series) == {("s1", 4), ("s2", 4), ("s1", 7), ("s2", 7), ("ministry", 7)}
 
 
+def test_mean_squared_error_is_the_same_in_any_order_of_rows(spark):
+    rows = [(3, True, "extraordinary", "refuted"), (0, False, "extraordinary", "refuted"), (0, True, "routine", "confirmed"), (2, False, "notable", "refuted"), (3, False, "ordinary", "confirmed"), (2, False, "routine", "refuted")]
+    squares = [(0.78 - 0) ** 2, 0.0, (0.5 - 1) ** 2, (0.7 - 0) ** 2, (0.91 - 1) ** 2, (0.88 - 0) ** 2]  # their mean is 0.35515
+    for below in (True, False):
+        order = next(p for p in permutations(range(6)) if (reduce(add, [squares[i] for i in p]) / 6 < 0.35515) == below)
+        obs = spark.createDataFrame([rows[i] for i in order], "n long, primary boolean, extremity string, outcome string").coalesce(1)
+        again = H.replay_ab(obs, dict.fromkeys(H.S.DECAY, 0.5)).first()
+        assert H.brier(obs).first() == (0.3552, 6) and again.brier_base == 0.3552
+    assert H.brier(obs.where("n > 9")).first() == (None, 0)
+
+
 def test_tied_ids_are_on_one_side_of_a_cut_at_any_size(spark):
     n, half = 1_000_004, 500_002
     rest = ["1 AS n_groups", "1 AS independent_originators", "false AS has_primary", "'notable' AS extremity", "false AS corrected", "cast(null AS string) AS grounding", "timestamp'2024-01-01' AS ts"]
