@@ -185,10 +185,15 @@ def salvaged_array(reply: Column, schema: str) -> Column:
 
 
 def page_articles(pages: DataFrame, min_chars: int = MIN_BODY) -> DataFrame:
-    """Fetched pages (page_id, url, html) as articles with title, main text and lead image; too short ones are left out."""
+    """Fetched pages (page_id, url, html) as articles with title, main text and lead image; too short ones are left out.
+
+    title is what a reader sees; title_html is what stands between the first plain title tags, on one line, as it is written.
+    """
     from tessera.sources.warc import parse_pages
 
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(parse_pages(min_chars), "page_id long, url string, title string, body string, image string")
+    written = F.regexp_extract("html", r"<title>([^\n]*?)</title>", 1).alias("title_html")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", written, "html")
+    return rows.mapInArrow(parse_pages(min_chars), "page_id long, url string, title string, title_html string, body string, image string")
 
 
 def warc_articles(spark: SparkSession, path: str, min_chars: int = 400, limit: int = 0, languages: Languages | None = None) -> DataFrame:
