@@ -351,15 +351,118 @@ def semantic_search(stories: DataFrame, query: Column, least: float = 0.08) -> D
     return parts.groupBy("id").agg(F.max(jaccard(words(F.col("part")), words(query))).alias("score")).where(F.col("score") >= least).orderBy(F.desc("score"), "id")
 
 
-def search_many(stories: DataFrame, queries: DataFrame, least: float = 0.08) -> DataFrame:
-    """(q_id, id, score): semantic_search for many queries (q_id, text) at once, by a join on words; stories has (id, fact, claims)."""
+#: Words and rows of a block of queries; rows of a slice of stories, and slices at least; words of a block counted by products; counts held at once.
+QUERY_WORDS, QUERY_ROWS, SLICE_ROWS, SLICES, HOT_WORDS, CELLS = 1 << 23, 1 << 16, 1 << 16, 16, 256, 1 << 20
+
+
+class _QueryBlock:
+    """An inverted index of a block of queries: rows by word; the words of most queries are columns of a matrix instead."""
+
+    def __init__(self, ids, words, sizes) -> None:
+        import numpy as np
+
+        self.ids, self.sizes = ids, sizes
+        order = np.argsort(words, kind="stable")
+        self.rows = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[order]
+        self.words, self.start, self.count = np.unique(words[order], return_index=True, return_counts=True)
+        hot = np.argsort(-self.count, kind="stable")[:HOT_WORDS]
+        self.column = np.full(len(self.words), -1)
+        self.column[hot] = np.arange(len(hot))
+        self.hot = np.zeros((len(hot), len(sizes)), np.float32)
+        for x, w in enumerate(hot):
+            self.hot[x, self.rows[self.start[w] : self.start[w] + self.count[w]]] = 1
+
+    def counts(self, words, sizes):
+        """How many words each set (given one after the other) shares with each query."""
+        import numpy as np
+
+        of = np.repeat(np.arange(len(sizes)), sizes)
+        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+        known = self.words[at] == words
+        of, at = of[known], at[known]
+        is_hot = self.column[at] >= 0
+        sets = np.zeros((len(sizes), len(self.hot)), np.float32)
+        sets[of[is_hot], self.column[at[is_hot]]] = 1
+        of, at = of[~is_hot], at[~is_hot]
+        n = self.count[at]
+        place = np.arange(n.sum()) + np.repeat(self.start[at] - np.cumsum(n) + n, n)
+        cells = np.repeat(of * len(self.sizes), n) + self.rows[place]
+        rare = np.bincount(cells, minlength=len(sizes) * len(self.sizes)).reshape(len(sizes), -1)
+        return rare + (sets @ self.hot).astype(np.int64)
+
+
+def search_many(stories: DataFrame, queries: DataFrame, least: float = 0.08, query_words: int = QUERY_WORDS, query_rows: int = QUERY_ROWS) -> DataFrame:
+    """(q_id, id, score): semantic_search for many queries (q_id, text) at once; stories has (id, fact, claims); a row for each pair of a query's and a story's row.
+
+    The work is that of all pairs, but what is shuffled is not: blocks of queries
+    meet slices of stories. A unit of both comes sorted to one task, the queries
+    first, which become an inverted index there; stories stream past it, and what
+    they share with the queries is counted in the task. Each story is moved once a
+    block of queries and each query once a slice. Words are 64-bit hashes.
+    """
+    import numpy as np
+    import pyarrow as pa
+
     words = lambda c: F.array_distinct(F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"(?U)[^\p{L}\p{N}]+"), lambda t: F.length(t) > 2))
-    parts = stories.select("id", F.posexplode(F.concat(F.array("fact"), "claims")).alias("part", "t")).select("id", "part", words(F.col("t")).alias("w"))
-    asked = queries.select("q_id", words(F.col("text")).alias("w"))
-    have = parts.select("id", "part", F.size("w").alias("n"), F.explode("w").alias("x"))
-    want = asked.select("q_id", F.size("w").alias("m"), F.explode("w").alias("x"))
-    both = have.join(want, "x").groupBy("q_id", "id", "part", "n", "m").agg(F.count("*").alias("c"))
-    return both.groupBy("q_id", "id").agg(F.max(F.col("c") / (F.col("n") + F.col("m") - F.col("c"))).alias("score")).where(F.col("score") >= least)
+    hashes = lambda c: F.transform(words(c), lambda t: F.xxhash64(t))
+    asked = cut(queries.select("q_id", hashes(F.col("text")).alias("w")))
+    n_words, n_rows = asked.agg(F.sum(F.size("w")), F.count("*")).first()
+    blocks = max(1, -(-(n_words or 0) // query_words), -(-n_rows // query_rows))
+    slices = max(SLICES, -(-stories.count() // SLICE_ROWS))
+    q_kind, kind = dict(queries.dtypes)["q_id"], dict(stories.dtypes)["id"]
+    unit = lambda i, j: (i * F.lit(slices) + j).cast("int").alias("unit")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.withColumn("j", each(slices)).select(unit(F.pmod(F.xxhash64("q_id"), F.lit(blocks)), F.col("j")), F.lit(0).alias("side"), "q_id", F.lit(None).cast(kind).alias("id"), F.array("w").alias("w"))
+    sets = stories.select("id", F.transform(F.concat(F.array("fact"), "claims"), hashes).alias("w")).where(F.size("w") > 0).withColumn("i", each(blocks))
+    right = sets.select(unit(F.col("i"), F.pmod(F.xxhash64("id"), F.lit(slices))), F.lit(1).alias("side"), F.lit(None).cast(q_kind).alias("q_id"), "id", "w")
+
+    def arrays(lists: pa.Array):
+        """Sets of each row, members of each set, members."""
+        sets = lists.flatten()
+        return lists.value_lengths().to_numpy(), sets.value_lengths().to_numpy(), sets.flatten().to_numpy()
+
+    def found(block: _QueryBlock, ids: pa.Array, lists: pa.Array):
+        parts, sizes, members = arrays(lists)
+        first, at = np.append(0, np.cumsum(parts)), np.append(0, np.cumsum(sizes))
+        tile = first[:-1] // max(1, CELLS // len(block.sizes))  # rows whose first sets fall into one tile go together
+        edges = np.append(np.flatnonzero(np.diff(tile, prepend=-1)), len(tile))
+        for x, y in zip(edges, edges[1:]):
+            s, e = first[x], first[y]
+            c = block.counts(members[at[s] : at[e]], sizes[s:e])
+            of = sizes[s:e, None] + block.sizes[None, :] - c
+            i, j = np.nonzero((c > 0) & (c >= (least - 1e-9) * of))
+            score = c[i, j] / of[i, j]
+            i, j, score = i[score >= least], j[score >= least], score[score >= least]
+            i = np.repeat(np.arange(x, y), parts[x:y])[i]
+            if e - s > y - x:  # the best set of a row counts
+                order = np.lexsort((-score, j, i))
+                i, j, score = i[order], j[order], score[order]
+                best = (np.diff(i, prepend=-1) != 0) | (np.diff(j, prepend=-1) != 0)
+                i, j, score = i[best], j[best], score[best]
+            if len(i):
+                yield pa.RecordBatch.from_arrays([block.ids.take(pa.array(j)), ids.take(pa.array(i)), pa.array(score)], names=["q_id", "id", "score"])
+
+    def matched(batches):
+        now, held, block = None, [], None
+        for b in batches:
+            units, side = b.column(0).to_numpy(), b.column(1).to_numpy()
+            edges = np.append(np.flatnonzero(np.diff(2 * units.astype(np.int64) + side, prepend=-1)), len(units))
+            for x, y in zip(edges, edges[1:]):
+                if units[x] != now:
+                    now, held, block = units[x], [], None
+                part = b.slice(x, y - x)
+                if side[x] == 0:
+                    held.append(part)
+                    continue
+                if held:
+                    t = pa.Table.from_batches(held).combine_chunks()
+                    _, sizes, members = arrays(t["w"].chunk(0))
+                    block, held = _QueryBlock(t["q_id"].chunk(0), members, sizes) if len(members) else None, []
+                if block:
+                    yield from found(block, part.column("id"), part.column("w"))
+
+    units = left.unionByName(right).repartition(blocks * slices, "unit").sortWithinPartitions("unit", "side")
+    return units.mapInArrow(matched, f"q_id {q_kind}, id {kind}, score double")
 
 
 def cached_embeddings(texts: DataFrame, cache: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
